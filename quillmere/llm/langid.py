@@ -81,6 +81,11 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     reject_below: float
+    full: int = 256  # n-grams from which the bound holds in full
+
+    def bound(self, counts: np.ndarray) -> np.ndarray:
+        """The rejection bound; the cosine of a short text is low by chance, as the root of its n-grams."""
+        return self.reject_below * np.sqrt(np.minimum(1.0, counts.sum(axis=1) / self.full))
 
     def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centroid and cosine of each row; ties go to the first centroid."""
@@ -103,7 +108,8 @@ def _features(dims: int):
 def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str = "text", dims: int = 4096, centroids: int = 3, per_language: int = 400, max_languages: int = 500, reject_share: float = 0.5) -> Model:
     """Fit on at most ``per_language`` rows of each label, those with the smallest hashed ids.
 
-    ``reject_below`` is ``reject_share`` of the cosine that 99 of 100 fitted rows reach. With no
+    ``reject_below`` is ``reject_share`` of the cosine that 99 of 100 fitted rows reach; for a
+    text of few n-grams it falls with the root of their number. With no
     labelled row the model has no language, and every document is undetermined.
     """
     order = Window.partitionBy(label).orderBy(F.xxhash64(doc_id), doc_id)
@@ -145,18 +151,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         dims = len(m.idf)
         for b in batches:
-            label, score = [], []
+            label, score, bound = [], [], []
             for chunk in tk.chunks(b.column(b.num_columns - 1), max_docs=512):
                 ok = has_letter(chunk)
                 if not m.labels:
                     label += [UNDETERMINED] * chunk.n
                     score.append(np.zeros(chunk.n))
+                    bound.append(np.zeros(chunk.n))
                     continue
-                best, s = m.score(ngram_counts(chunk, dims))
+                counts = ngram_counts(chunk, dims)
+                best, s = m.score(counts)
+                bound.append(m.bound(counts))
                 label += [m.labels[j] if o else UNDETERMINED for j, o in zip(best, ok, strict=True)]
                 score.append(np.where(ok, s, 0.0))
             score = np.concatenate(score).astype(float) if score else np.zeros(0)
-            bad = (score < m.reject_below) | (np.array(label, object) == UNDETERMINED) if label else np.zeros(0, bool)
+            bad = (score < np.concatenate(bound)) | (np.array(label, object) == UNDETERMINED) if label else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(label, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     return src.mapInArrow(run, schema)

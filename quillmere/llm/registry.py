@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op5_decontamination
 from .langid import op10_language_id
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op1_quality
+from .simhash import op8_simhash
 from .tokens import op2_token_counts
 from .topk import OP7_SQL, op7_exact_topk
 
@@ -19,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_token_counts": op2_token_counts,
         "op3_line_dedup": op3_line_dedup,
+        "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
         "op7_exact_topk": op7_exact_topk,
+        "op8_simhash": op8_simhash,
         "op10_language_id": op10_language_id,
     }
 
