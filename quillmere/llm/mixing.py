@@ -131,7 +131,9 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken and first_slot of every row."""
-        p = self._pieces.join(self._slots, ["sid", "rank"], "left")
+        # Rows that no block takes get ranks of their own, so that they don't meet in one task.
+        spread = F.coalesce("rank", -1 - F.pmod(F.xxhash64("doc_id", "__cell", "__place"), F.lit(1 << 40)))
+        p = self._pieces.withColumn("rank", spread).join(self._slots, ["sid", "rank"], "left")
         return p.groupBy("doc_id", "source", "size", "source_size", "target", "sid", "__cell", "__place").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).drop("sid", "__cell", "__place")
 
 

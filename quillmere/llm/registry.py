@@ -12,6 +12,7 @@ from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op1_quality
 from .simhash import op8_simhash
+from .substring import op9_substring_dedup
 from .tokens import op2_token_counts
 from .topk import OP7_SQL, op7_exact_topk
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_exact_topk": op7_exact_topk,
         "op8_simhash": op8_simhash,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
     }
 
