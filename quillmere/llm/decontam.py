@@ -169,21 +169,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ``shortest`` tokens, and windows that are half placeholders, identify nothing and are left
     out. Null or empty texts match nothing; rows with a null id are compared like others.
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     found = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], window, shortest))
+    for shared in _indexes(docs.sparkSession, benchmark, item_id, item_text, window, shortest, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for b in batches:
-                out = []
-                for chunk in tk.chunks(b.column(1), 1 << 20):
-                    out += [(chunk.first + m[0], *m[1:]) for m in _matches(index, chunk, coverage)]
+                out = list(_in_batch(shared.value, b.column(1), coverage))
                 ids = b.column(0).take(pa.array([m[0] for m in out], pa.int64()))
                 cols = [[m[j] for m in out] for j in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["doc_id", "item_id", "n_windows", "coverage", "reparameterised"])
@@ -192,6 +184,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return reduce(DataFrame.unionAll, found)
 
 
+def _indexes(spark, benchmark: DataFrame, item_id: str, item_text: str, window: int, shortest: int, block_bytes: int):
+    """One broadcast index for each block of about block_bytes of item text."""
+    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()
+        yield spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], window, shortest))
+
+
+def _in_batch(index: Index, texts: pa.Array, coverage: float):
+    for chunk in tk.chunks(texts, 1 << 20):
+        for m in _matches(index, chunk, coverage):
+            yield chunk.first + m[0], *m[1:]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 64 << 20) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, as ``contaminated`` finds them. No shuffle."""
+    place, schema = docs.columns.index(text), docs.schema
+    for shared in _indexes(docs.sparkSession, benchmark, item_id, item_text, window, shortest, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[m[0] for m in _in_batch(shared.value, b.column(place), coverage)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it holds."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -141,10 +141,11 @@ def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score and rejected (score below the model's bound, or no letter)."""
+    """All columns of ``docs`` with lang_pred, score and rejected (score below the model's bound, or
+    no letter). A column of ``docs`` that has one of these three names is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    src = docs.select(*names, F.col(text).alias("__text"))
+    src, place = docs.select(*names), names.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "lang_pred string", "score double", "rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         dims = len(m.idf)
         for b in batches:
             label, score, bound = [], [], []
-            for chunk in tk.chunks(b.column(b.num_columns - 1), max_docs=512):
+            for chunk in tk.chunks(b.column(place), max_docs=512):
                 ok = has_letter(chunk)
                 if not m.labels:
                     label += [UNDETERMINED] * chunk.n
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 score.append(np.where(ok, s, 0.0))
             score = np.concatenate(score).astype(float) if score else np.zeros(0)
             bad = (score < np.concatenate(bound)) | (np.array(label, object) == UNDETERMINED) if label else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(label, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     return src.mapInArrow(run, schema)
 
@@ -179,5 +180,5 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the two thirds of documents that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
-    p = predict(docs.select("doc_id", "text"), model).drop("text")
+    p = predict(docs.select("doc_id", "text"), model)
     return p.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op5_decontamination
 from .langid import op10_language_id
 from .linededup import OP3_SQL, op3_line_dedup
+from .lpf import op4_suffix_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op1_quality
 from .simhash import op8_simhash
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_token_counts": op2_token_counts,
         "op3_line_dedup": op3_line_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
         "op7_exact_topk": op7_exact_topk,

@@ -217,6 +217,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named.hint("merge"), F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
+    """``docs`` with one document of each component: the smallest id. Rows with a null id stay."""
+    found = near_duplicates(docs, doc_id, text, bits).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    goes = found.where(~F.col("stays")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(goes, F.col(doc_id) == F.col("__gone"), "left_anti")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
