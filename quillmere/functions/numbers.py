@@ -76,6 +76,6 @@ def dates(c: Column) -> Column:
 
     def parse(t: Column) -> Column:
         iso = F.regexp_replace(F.regexp_replace(t, "日", ""), "[年月/.]", "-")
-        return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(iso, F.lit("yyyy-MM-dd")))
+        return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(iso, "yyyy-MM-dd"))
 
     return F.array_distinct(F.array_compact(F.transform(tokens, parse)))

@@ -21,7 +21,7 @@ def _type(df: DataFrame, column: str) -> str:
 
 def ttl_cache(calls: DataFrame, ttl_seconds: float, key: str = "key", at: str = "ts", order: str = "event_id") -> DataFrame:
     """outcome (hit or miss) of each call. An entry lives ``ttl_seconds`` from its write; hits don't extend it."""
-    src = calls.select(key, order, F.unix_micros(F.col(at)).alias("us"))
+    src = calls.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", order])
@@ -38,7 +38,7 @@ def ttl_cache(calls: DataFrame, ttl_seconds: float, key: str = "key", at: str =
 
 def single_flight(calls: DataFrame, key: str = "key", start: str = "start", seconds: str = "seconds", order: str = "event_id") -> DataFrame:
     """role of each call: the first of a key leads for its duration; calls that start within it follow."""
-    src = calls.select(key, order, F.unix_micros(F.col(start)).alias("us"), F.col(seconds).alias("s"))
+    src = calls.select(key, order, F.unix_micros(F.col(start).cast("timestamp")).alias("us"), F.col(seconds).alias("s"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", order])
@@ -56,7 +56,7 @@ def single_flight(calls: DataFrame, key: str = "key", start: str = "start", seco
 def fifo_limiter(calls: DataFrame, max_concurrency: int, max_queue: int, timeout_seconds: float, key: str = "provider", start: str = "start", seconds: str = "seconds", order: str = "event_id") -> DataFrame:
     """outcome and wait of calls to a provider with a bounded number of slots and a first-in queue:
     started, queued (started after a wait), rejected (queue full) or timed_out."""
-    src = calls.select(key, order, F.unix_micros(F.col(start)).alias("us"), F.col(seconds).alias("s"))
+    src = calls.select(key, order, F.unix_micros(F.col(start).cast("timestamp")).alias("us"), F.col(seconds).alias("s"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", order])

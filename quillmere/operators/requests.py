@@ -160,15 +160,12 @@ def first_failure(checks: list[Column]) -> Column:
 def submit(attempts: DataFrame, key: str = "idempotency_key", draft: str = "draft_id", owner: str = "owner", at: str = "at") -> DataFrame:
     """outcome of each attempt in order of ``at``: created, replayed, key_conflict or draft_conflict.
 
-    The first use of a key binds it to its draft and owner; the first created submission of a draft
-    binds the draft to its key. An attempt whose draft is bound to an earlier key creates nothing, so
-    its key stays free; each draft's first attempt is therefore the only one that can create.
+    A submission key is derived from its draft, so a key never names two drafts. The first attempt
+    of a draft creates and binds key and owner; the same key and owner replay, the same key of
+    another owner is a key conflict, and another key is a draft conflict.
     """
-    by_draft = Window.partitionBy(draft).orderBy(at, key)
-    a = attempts.withColumn("__first_key", F.first(key).over(by_draft)).withColumn("__n", F.row_number().over(by_draft))
-    # Among the first attempts of drafts, the earliest with a key owns it.
-    by_key = Window.partitionBy(key).orderBy(F.when(F.col("__n") == 1, 0).otherwise(1), at, draft)
-    a = a.withColumn("__draft", F.first(draft).over(by_key)).withColumn("__owner", F.first(owner).over(by_key)).withColumn("__at", F.first(at).over(by_key)).withColumn("__lead", F.row_number().over(by_key)).withColumn("__made", F.first("__n").over(by_key) == 1)
-    same = (F.col("__draft") == F.col(draft)) & (F.col("__owner") == F.col(owner))
-    outcome = F.when((F.col("__lead") == 1) & F.col("__made"), "created").when(F.col("__made") & (F.col(at) >= F.col("__at")) & same, "replayed").when(F.col("__made") & (F.col(at) >= F.col("__at")), "key_conflict").otherwise("draft_conflict")
-    return a.withColumn("outcome", outcome).drop("__first_key", "__n", "__draft", "__owner", "__at", "__lead", "__made")
+    order = Window.partitionBy(draft).orderBy(at, key, owner)
+    a = attempts.withColumn("__n", F.row_number().over(order)).withColumn("__key", F.first(key).over(order)).withColumn("__owner", F.first(owner).over(order))
+    same = F.col("__key") == F.col(key)
+    outcome = F.when(F.col("__n") == 1, "created").when(~same, "draft_conflict").when(F.col("__owner") == F.col(owner), "replayed").otherwise("key_conflict")
+    return a.withColumn("outcome", outcome).drop("__n", "__key", "__owner")
