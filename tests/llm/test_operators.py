@@ -1,0 +1,382 @@
+"""Each operator against a brute-force version on a small fixture with the awkward cases:
+nulls, empty texts, repeated rows, ties, a long text, null ids, clashing columns, empty tables."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillmere.llm import components, decontam, langid, linededup, lpf, mixing, quality, simhash, substring, tokens, topk
+from quillmere.llm.workspace import Workspace
+
+W = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus(seed=5, n=60):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(300)]
+    say = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    shared, line = [say(40) for _ in range(3)], "A Common Line Of Text"
+    texts = []
+    for i in range(n):
+        parts = [say(r.randint(1, 60)) for _ in range(3)]
+        if i % 3 == 0:
+            parts.insert(1, r.choice(shared))
+        if i % 2 == 0:
+            parts.append(r.choice([line, f"  {line.upper()}\t", line + "é"]))
+        texts.append("\n".join(parts))
+    texts += [texts[0], texts[1], None, "", " \n\t ", "short", "é" * 130, "ab" * 900, "word " * 500, say(6000)]
+    return texts
+
+
+TEXTS = corpus()
+
+
+# --- line dedup ----------------------------------------------------------------------------------
+
+
+def _key(line):
+    k = line.strip("\x20\x09\x0a\x0b\x0c\x0d")
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k)
+
+
+def brute_lines(rows):
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if i is not None and len(_key(line)) >= 10:
+                holders[_key(line)].add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (i is not None and len(holders[_key(x)]) > 1 and i > min(holders[_key(x)]))]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("batches", "fan_in"), [(1, 2), (5, 2), (3, 3)])
+def test_line_dedup(docs_of, batches, fan_in):
+    rows = [*enumerate(TEXTS), (3, TEXTS[3]), (None, TEXTS[2]), (4, "another text of one id\n" + TEXTS[2])]
+    got = linededup.dedup_lines(docs_of(rows, ("kept", "pos", "first")), batches=batches, fan_in=fan_in).select("doc_id", "n_lines", "n_dropped", "kept", "pos")
+    assert sorted([tuple(r)[:4] for r in got.collect()], key=str) == brute_lines(rows)
+
+
+def test_line_dedup_of_nothing(docs_of):
+    assert linededup.dedup_lines(docs_of([])).count() == 0
+
+
+# --- suffix and substring dedup ------------------------------------------------------------------
+
+
+def brute_bytes(rows, length):
+    seen, out = {}, []
+    for i, t in sorted(((i, (t or "").encode()) for i, t in rows if i is not None), key=lambda x: x[0]):
+        for p in range(len(t) - length + 1):
+            seen.setdefault(t[p : p + length], (i, p))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            if i is not None and seen[b[p : p + length]] < (i, p):
+                gone[p : p + length] = [True] * length
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slice_bytes", [3 << 20, 400])
+def test_suffix_dedup(docs_of, slice_bytes):
+    rows = [*enumerate(TEXTS), (0, TEXTS[0]), (None, TEXTS[0])]
+    got = lpf.dedup_suffixes(docs_of(rows, ("kept", "block", "kind")), slice_bytes=slice_bytes)
+    assert "block" in got.columns
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()]
+    assert sorted(got, key=str) == brute_bytes(rows, 100)
+
+
+def brute_words(rows, window):
+    first, out = {}, []
+    split = [(i, W.findall(t or "")) for i, t in rows]
+    for i, w in split:
+        for p in range(len(w) - window + 1):
+            if i is not None:
+                k = tuple(w[p : p + window])
+                first[k] = min(first.get(k, i), i)
+    for i, w in split:
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[p : p + window])] < i:
+                gone[p : p + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window", [13, 5])
+def test_substring_dedup(docs_of, window):
+    rows = [*enumerate(TEXTS), (0, TEXTS[0]), (None, TEXTS[0])]
+    got = substring.dedup_substrings(docs_of(rows, ("kept", "block")), window=window).select("doc_id", "n_words", "n_removed", "kept")
+    assert sorted([tuple(r) for r in got.collect()], key=str) == brute_words(rows, window)
+
+
+def test_several_texts_of_one_id_stay_whole_but_count(docs_of):
+    a, b = "x" * 150, "y" * 150
+    rows = [(1, a), (1, b), (0, "z" * 150 + " " + a), (2, b)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in lpf.dedup_suffixes(docs_of(rows)).collect()}
+    assert got[(1, 150)] == 0 and got[(2, 150)] == 150
+    words = " ".join(map(str, range(20)))
+    got = [(r.doc_id, r.n_removed) for r in substring.dedup_substrings(docs_of([(1, words), (1, "other"), (2, words)])).collect()]
+    assert sorted(got) == [(1, 0), (1, 0), (2, 20)]
+
+
+def test_dedup_of_nothing(docs_of):
+    assert lpf.dedup_suffixes(docs_of([])).count() == 0 and substring.dedup_substrings(docs_of([])).count() == 0
+    assert [r.n_removed for r in lpf.dedup_suffixes(docs_of([None, "a"])).collect()] == [0, 0]
+    with pytest.raises(ValueError):
+        substring.dedup_substrings(docs_of([]), window=13, block_words=8)
+
+
+# --- SimHash -------------------------------------------------------------------------------------
+
+
+def brute_print(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = W.findall(low)
+    if not w:
+        return 0
+    h = [xxhash.xxh64(" ".join(w[i : i + 4]).encode(), seed=42).intdigest() for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def near_corpus():
+    r = random.Random(3)
+    base = [f"w{r.randint(0, 999)}" for _ in range(400)]
+    texts = list(TEXTS)
+    for _ in range(40):
+        v = list(base)
+        v[r.randrange(400)] = f"edit{r.randint(0, 99)}"
+        texts.append(" ".join(v))
+    return texts
+
+
+def test_simhash_components(docs_of):
+    texts = near_corpus()
+    rows = [*((i + 5, t) for i, t in enumerate(texts)), (2, texts[-1]), (7, texts[2]), (None, texts[0])]
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs_of(rows, ("fp", "component_id"))).collect()}
+    prints = [(i, brute_print(t)) for i, t in rows]
+    own = {f: f for _, f in prints}
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a in own:
+        for b in own:
+            if (a ^ b).bit_count() <= 4:
+                own[find(a)] = find(b)
+    least = {}
+    for i, f in prints:
+        if i is not None:
+            least[find(f)] = min(i, least.get(find(f), i))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    assert got == {(i, signed(f)): least[find(f)] for i, f in prints}
+    assert len(set(got.values())) < len(rows) - 35
+    kept = simhash.one_of_each(docs_of(rows))
+    assert {r.doc_id for r in kept.collect()} == set(least.values()) | {None}
+
+
+def test_simhash_of_nothing(docs_of):
+    assert simhash.near_duplicates(docs_of([])).count() == 0
+    got = simhash.near_duplicates(docs_of([None, "", " "])).collect()
+    assert {(r.fp, r.component_id) for r in got} == {(0, 0)}
+
+
+def test_components_of_a_long_path(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
+    got = {r.node: r.root for r in components.components(e, Workspace(spark, "t")).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+# --- decontamination -----------------------------------------------------------------------------
+
+ITEM = "A farmer named Maria sold 12 kg of apples for 30 dollars and then gave 12 kg to Peter before noon on that day."
+
+
+def hits(docs_of, spark, texts, items=((1, ITEM),), **kw):
+    b = spark.createDataFrame(list(items), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.reparameterised for r in decontam.contaminated(docs_of(texts), b, **kw).collect()}
+
+
+def test_templates(docs_of, spark):
+    other = ITEM.replace("12", "75").replace("30", "44").replace("Maria", "Ines").replace("Peter", "Karl")
+    mixed = ITEM.replace("12 kg of", "75 kg of")  # 12 becomes 75 in one place and stays 12 in the other
+    texts = ["intro words here. " + ITEM + " and more", other.upper() if False else "x. " + other, mixed, "a farmer sold many apples to all of us and then went home", None, "", ITEM[: len(ITEM) // 4], "noise " * 2000 + ITEM]
+    assert hits(docs_of, spark, texts) == {(0, 1): False, (1, 1): True, (7, 1): False}
+    assert hits(docs_of, spark, texts, block_bytes=10) == {(0, 1): False, (1, 1): True, (7, 1): False}
+    left = decontam.without_contaminated(docs_of(texts, ("item_id", "coverage")), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 6] and "coverage" in left.columns
+
+
+def test_items_of_any_kind(docs_of, spark):
+    items = [(1, None), (2, ""), (3, "too short"), (4, "six plain words stand in here"), (5, "six plain words stand in here"), (6, "1 2 3 4 5 6 7 8 9 10")]
+    assert hits(docs_of, spark, ["say: six plain words stand in here now", "1 2 3 4 5 6 7 8 9 10"], items) == {(0, 4): False, (0, 5): False}
+    assert hits(docs_of, spark, ["x"], []) == {} and hits(docs_of, spark, [], items) == {}
+
+
+# --- mixing --------------------------------------------------------------------------------------
+
+
+def mixed(docs_of, rows, **kw):
+    df = docs_of([]).sparkSession.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("clash"))
+    return mixing.Mix(df, **kw)
+
+
+def test_mix_meets_targets_and_caps(docs_of):
+    r = random.Random(1)
+    rows = [(i, r.choice(["a", "b", None, "é", "tiny"] if i % 50 else ["tiny"]), "w " * r.randint(0, 90)) for i in range(400)] + [(7, "a", "w " * 40)] * 3 + [(None, "a", None)]
+    for slots in (50, 5000):
+        m = mixed(docs_of, rows, slots=slots)
+        got = m.taken().collect()
+        assert len(got) == len(rows)
+        by = defaultdict(list)
+        for x in got:
+            by[x.source].append(x)
+            assert 0 <= x.taken <= 3 * x.size
+        order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+        sizes = [sum(x.size for x in by[s]) for s in order]
+        for s, size, target in zip(order, sizes, mixing.water_level(sizes, [5, 2, 1, 5, 2][: len(order)], 3), strict=True):
+            assert {x.source_size for x in by[s]} == {size} and {x.target for x in by[s]} == {target}
+            assert abs(sum(x.taken for x in by[s]) - target) <= 0.5
+    again = mixed(docs_of, rows, slots=5000).taken().collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_schedule_is_whole_and_interleaved(docs_of):
+    rows = [(i, "abc"[i % 3], "w " * 20) for i in range(300)]
+    m = mixed(docs_of, rows, slots=600)
+    p = m.pieces().collect()
+    taken = m.taken().agg(F.sum("taken")).first()[0]
+    assert sum(x.words for x in p) == taken and min(x.words for x in p) > 0
+    slots = sorted({(x.slot, x.sid) for x in p})
+    early = Counter(s for _, s in slots[: len(slots) // 4])
+    assert max(abs(early[s] / (len(slots) // 4) - c / len(slots)) for s, c in Counter(s for _, s in slots).items()) < 0.03
+
+
+def test_mix_of_nothing(docs_of):
+    assert mixed(docs_of, []).taken().count() == 0
+    assert [x.taken for x in mixed(docs_of, [(1, None, None)]).taken().collect()] == [0]
+    with pytest.raises(ValueError):
+        mixed(docs_of, [(1, "a", "x"), (2, "b", "x")], max_sources=1)
+
+
+# --- top-k ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("block", "shard"), [(4096, 4096), (2, 7)])
+def test_top_k(spark, block, shard):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(size=8).round(1)]) for i in range(120)]
+    rows += [(200 + i, rows[3][1]) for i in range(30)] + [(50, rows[3][1]), (300, None), (301, [1.0, None] * 4), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [1.0, 2.0]), (305, [0.5, 2.0]), (None, rows[1][1]), (350, [1e12] * 8), (306, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1))
+    v = topk.quantised(df)
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(v, v.where("vec_id % 50 = 0 or vec_id = 304"), query_block=block, shard_rows=shard).collect()}
+    ok = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = {}
+    for q in sorted({i for i, _ in ok if i % 50 == 0 or i == 304}):
+        vec = min(e for i, e in ok if i == q)
+        scored = sorted(((-sum(a * b for a, b in zip(vec, e, strict=True)), i) for i, e in ok if i != q and len(e) == len(vec)))
+        for n, (s, i) in enumerate(scored[:5], 1):
+            want[(q, n)] = (i, -s)
+    assert got == want
+
+
+def test_top_k_of_nothing(spark):
+    v = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert topk.top_k(v, v).count() == 0
+
+
+# --- tokens, language, quality -------------------------------------------------------------------
+
+
+def test_token_counts(docs_of):
+    pytest.importorskip("tiktoken")
+    try:
+        lengths = tokens.token_lengths(docs_of(TEXTS))
+    except FileNotFoundError:
+        pytest.skip("no vocabulary file")
+    n = [r.n_tokens for r in lengths.orderBy("doc_id").collect()]
+    assert len(n) == len(TEXTS) and n[TEXTS.index(None)] == 0 and n[TEXTS.index("")] == 0 and n[TEXTS.index("short")] >= 1
+    t = tokens.context_table(tokens.length_histogram(lengths), block=16).cache()
+    for r in t.collect():
+        L = r.n_tokens
+        assert (r.n_docs, r.docs_ge, r.docs_le, r.tokens_ge, r.truncated_tokens) == (n.count(L), sum(x >= L for x in n), sum(x <= L for x in n), sum(x for x in n if x >= L), sum(min(x, L) for x in n))
+    assert tuple(tokens.total(t).first()) == (len(n), sum(n)) and tokens.truncated_total(t, 77).first()[0] == sum(min(x, 77) for x in n)
+    for q in (0.01, 0.5, 0.9, 1.0):
+        assert tokens.quantile(t, q).first()[0] == sorted(n)[math.ceil(q * len(n)) - 1]
+    assert tokens.context_table(tokens.length_histogram(tokens.token_lengths(docs_of([])))).count() == 0
+
+
+def test_encoding_round_trip():
+    tiktoken = pytest.importorskip("tiktoken")
+    try:
+        raw = open(tokens.DEFAULT_VOCABULARY, "rb").read()
+    except FileNotFoundError:
+        pytest.skip("no vocabulary file")
+    e = tokens._encoder(raw)
+    assert isinstance(e, tiktoken.Encoding)
+    for t in ("a b  c\n\n", "<|endoftext|> don't", "日本語 é 123"):
+        assert e.decode(e.encode_ordinary(t)) == t
+
+
+def test_language(docs_of, spark):
+    r = random.Random(2)
+    vocab = {"en": ["the", "and", "with", "shine", "thing", "water"], "de": ["und", "der", "nicht", "schön", "über", "zeit"], "fr": ["et", "les", "être", "voilà", "peu", "eaux"]}
+    rows = []
+    for i in range(240):
+        lang = r.choice(list(vocab))
+        rows.append((i, " ".join(r.choice(vocab[lang]) for _ in range(r.randint(3, 60))), lang if i % 7 else None, "s", 0))
+    odd = [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "123 !!!", "fr", "s", 0), (903, "木", None, "s", 0), (904, "zqx " * 400, None, "s", 0), (905, "the " * 40_000, None, "s", 0)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("clash"))
+    m = langid.fit(df.where("doc_id < 240"), per_language=30)
+    assert set(m.labels) == set(vocab) and len(m.labels) <= 9
+    got = {x.doc_id: x for x in langid.predict(df, m).collect()}
+    known = [x for x in rows if x[2]]
+    assert sum(got[x[0]].lang_pred == x[2] for x in known) >= 0.98 * len(known) and not any(got[x[0]].rejected for x in rows)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (900, 901, 902))
+    assert got[903].lang_pred in vocab and got[904].rejected and got[905].lang_pred == "en"
+    assert all(0 <= x.score <= 1 for x in got.values())
+    none = langid.fit(df.where("doc_id < 0"))
+    assert {x.lang_pred for x in langid.predict(df, none).collect()} == {"und"} and langid.predict(df.limit(0), m).count() == 0
+
+
+def test_resampling(docs_of, spark):
+    r = random.Random(4)
+    good, bad = ["alpha", "beta", "gamma", "delta"], ["spam", "click", "win", "cash"]
+    texts = [" ".join(r.choice(good if i % 2 else bad) for _ in range(r.randint(2, 30))) for i in range(200)] + [None, "", "x " * 20_000]
+    rows = [*enumerate(texts), (5, texts[5])]
+    target = spark.createDataFrame([(i,) for i in range(1, 100, 2)] + [(None,), (1,)], "doc_id long")
+    got = quality.importance_resample(docs_of(rows, ("selected",)), target, fraction=0.5, slots=500).collect()
+    assert len(got) == len(rows) and sum(x.selected for x in got) == len(rows) // 2
+    by = {x.doc_id: x for x in got}
+    low = max(x.resample_key for x in got if not x.selected)
+    assert all(x.resample_key >= low for x in got if x.selected)
+    assert sum(by[i].selected for i in range(1, 200, 2)) > 90 and by[200].log_weight == 0 and by[201].n_grams == 0
+    assert math.isclose(by[7].log_weight, by[7].log_weight) and quality.importance_resample(docs_of([]), target).count() == 0
+
+
+def test_top_by_key_with_ties(spark):
+    df = spark.createDataFrame([(i, float(i % 4)) for i in range(40)] + [(3, 3.0)], "doc_id long, k double")
+    for k in (0, 1, 11, 12, 25, 41, 50):
+        got = quality.top_by_key(df, "k", "doc_id", k, bins=2, small=1).where("selected").collect()
+        want = sorted([(-float(i % 4), i) for i in range(40)] + [(-3.0, 3)])[:k]
+        assert sorted((-x.k, x.doc_id) for x in got) == want
+
+
+def test_digests(docs_of):
+    d = docs_of(["abc"]).select(F.sha2(F.col("text").cast("binary"), 256)).first()[0]
+    assert d == hashlib.sha256(b"abc").hexdigest()
