@@ -66,8 +66,13 @@ def _product(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     most = (np.abs(q).max(initial=0) * np.abs(m).max(initial=0)) * max(1, q.shape[1])
     if most < 2**52:
         return q @ m.T
-    big = q.astype(object) @ m.astype(object).T if q.shape[1] else np.zeros((len(q), len(m)), object)
-    return big.reshape(len(q), len(m))
+    whole = lambda x: np.array([[int(c) for c in row] for row in x], object).reshape(x.shape)
+    return whole(q) @ whole(m).T
+
+
+def _long(score: int) -> int:
+    """A score as a 64-bit integer; beyond that range it is the nearest bound."""
+    return max(-(2**63), min(2**63 - 1, score))
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -108,7 +113,7 @@ def _gather(shared, k: int, lists: int, rows: int):
                 found = sorted(found, reverse=True)[:k]
                 out_q += [own] * len(found)
                 out_s += found
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_s, pa.int64())], ["query_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array([_long(x) for x in out_s], pa.int64())], ["query_id", "score"])
 
     return run
 
@@ -137,7 +142,7 @@ def _collect(shared, cutoffs, k: int, lists: int, rows: int):
                 top = _best(score, k)
                 out[0].extend([own] * len(top))
                 out[1].extend(ids[at[top]].tolist())
-                out[2].extend(int(x) for x in score[top])
+                out[2].extend(_long(int(x)) for x in score[top])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
     return run
@@ -152,7 +157,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, qu
     """query_id, rank, vec_id, score: for each query its k best among ``vectors`` by (score desc,
     vec_id). Both inputs have vec_id and v (see ``quantised``); a vector is no candidate for
     itself (equal vec_id), and vectors of another length are no candidates. A repeated query id
-    is one query (its smallest vector); repeated candidates each count."""
+    is one query (its smallest vector); repeated candidates each count. A score beyond 64 bits is
+    given as the bound."""
     spark = vectors.sparkSession
     stated = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     done, last = [], None
