@@ -170,6 +170,48 @@ def _walk(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(members), np.concatenate(roots)
 
 
+def _merged(members: list[np.ndarray], roots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each member of the joined links: the smallest fingerprint they lead to."""
+    u, v = np.concatenate(members), np.concatenate(roots)
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    child = np.flatnonzero(label != np.arange(len(names)))
+    return names[child], names[label[child]]
+
+
+def _within(fp: np.ndarray, segment: tuple[int, int], bits: int, small: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket. A large bucket is split once more: its members differ in at most
+    ``bits`` of the bits outside the segment, so of bits // 2 + 1 pieces of those one differs by at
+    most one bit, and one-wildcard variants of the pieces make smaller buckets."""
+    if len(fp) <= small:
+        return _walk(fp, bits)
+    low, width = segment
+    free = [i for i in range(64) if not low <= i < low + width]
+    members, roots = [], []
+    for piece in np.array_split(free, bits // 2 + 1):
+        for wild in piece:
+            mask = np.uint64(sum(1 << int(i) for i in piece if i != wild))
+            value = fp & mask
+            order = np.argsort(value, kind="stable")
+            f, x = fp[order], value[order]
+            edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+            for i in np.flatnonzero(np.diff(edge) > 1):
+                m, r = _walk(np.sort(f[edge[i] : edge[i + 1]]), bits)
+                members.append(m)
+                roots.append(r)
+    return _merged(members, roots) if members else (fp[:0], fp[:0])
+
+
 def _link(parts: int, bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         v = int(key[0].as_py()) // parts
@@ -186,7 +228,7 @@ def _link(parts: int, bits: int):
         members.append(np.maximum(fp[near], fp[near + 1]))
         roots.append(np.minimum(fp[near], fp[near + 1]))
         for i in np.flatnonzero(size > 2):
-            m, r = _walk(fp[edge[i] : edge[i + 1]], bits)
+            m, r = _within(fp[edge[i] : edge[i + 1]], VARIANTS[v][:2], bits)
             members.append(m)
             roots.append(r)
         return pa.table({"u": np.concatenate(members).view(np.int64), "v": np.concatenate(roots).view(np.int64)})

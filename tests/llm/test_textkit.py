@@ -99,3 +99,17 @@ def test_large_components_stay_exact():
 def test_template_tokens():
     c = next(tk.chunks(pa.array(["In 2020 Anna paid 35 kg."])))
     assert decontam.Tokens(c).kind.tolist() == [0, decontam.NUMBER, decontam.NAME, 0, decontam.NUMBER, decontam.UNIT]
+
+
+def test_large_buckets_are_split_without_losing_links():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**43, 300).astype(np.uint64) << np.uint64(21)
+    near = [b ^ np.uint64(sum(1 << int(i) for i in r.choice(43, r.integers(0, 6), replace=False) + 21)) for b in base[:150]]
+    chain = [base[0]]
+    for _ in range(20):
+        chain.append(chain[-1] ^ np.uint64(sum(1 << int(i) for i in r.choice(43, 4, replace=False) + 21)))
+    fp = np.unique(np.concatenate([base, near, chain]))
+    want = dict(zip(*simhash._walk(fp, 4), strict=True))
+    for small in (1 << 20, 4):
+        got = dict(zip(*simhash._within(fp, (0, 21), 4, small), strict=True))
+        assert got == want and len(want) > 100
