@@ -151,3 +151,13 @@ def web_results(raw: DataFrame, max_results: int = 5) -> DataFrame:
 def write_report(report: DataFrame, folder: str) -> None:
     """A report as one JSON line for each row; the folder appears only when it is complete."""
     report.write.mode("overwrite").json(folder)
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A table of a relational store, if its driver is on the class path. ``partition`` is (column,
+    lower bound, upper bound, number of partitions) for a parallel read."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if partition:
+        for key, value in zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), partition, strict=True):
+            r = r.option(key, str(value))
+    return r.load()
