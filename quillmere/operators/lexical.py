@@ -19,10 +19,16 @@ def tokens(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.coalesce(terms, F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms").cast("bigint"))
 
 
+def _exploded(tokenized: DataFrame, key: str) -> DataFrame:
+    """One row for each term. The outer form keeps the planner from adding a filter on the number of
+    terms, which would tokenise every text twice."""
+    return tokenized.select(key, "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+
+
 def term_frequency(tokenized: DataFrame, key: str = "doc_id") -> DataFrame:
     """Postings: key, term, tf, dl. The aggregation key starts with the row's own id, so map-side
     combining finishes it where rows of an id lie together."""
-    return tokenized.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _exploded(tokenized, key).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -42,7 +48,7 @@ def scores(tokenized: DataFrame, queries: DataFrame, key: str = "doc_id", query_
     terms, which keeps postings to what can score.
     """
     wanted = queries.select("term").distinct()
-    hits = tokenized.select(key, "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = _exploded(tokenized, key).join(wanted, "term").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     stats = tokenized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     # One row of statistics: a broadcast of fixed size.

@@ -39,6 +39,32 @@ DEPENDENT = ("需要哪些材料", "需要什么材料", "要哪些材料", "谁
 TOPICS = ("差旅", "出差", "住宿费", "交通费", "采购", "请假", "年休假", "病假", "事假", "费用报销", "信息安全", "数据安全")
 
 
+#: Words of which a match of each rule holds at least one from every group; a fast test before the pattern.
+NEEDED = {
+    "PI001": (("ignore", "disregard", "forget", "override", "bypass"), ("previous", "prior", "above", "system", "developer", "security", "safety"), ("instruction", "prompt", "rule", "policies", "guardrail")),
+    "PI002": (("忽略", "无视", "忘掉", "覆盖", "绕过"),),
+    "PI003": (("reveal", "print", "repeat", "dump", "expose", "return"), ("prompt", "message", "instruction", "key", "token", "password")),
+    "PI004": (("给出", "输出", "打印", "复述", "暴露", "告诉我"),),
+    "PI005": (("admin", "root", "finance", "security officer", "hr manager"), ("access", "permission", "privilege", "confidential", "restricted", "core")),
+    "PI006": (("我是", "将我设为", "把我当作", "授予我"),),
+    "PI007": (("you are now", "act as", "switch to"),),
+    "PI008": (("你现在是", "扮演", "切换为", "进入"),),
+    "PI009": (("tool", "function", "command"), ("without", "bypass", "ignore", "skip")),
+    "PI010": (("调用", "执行", "运行"),),
+    "PI011": (("decode", "base64", "rot13"),),
+    "PI012": (("解码", "base64", "rot13"),),
+    "PI013": (("system", "developer"), ("<system>", "[system]", "###")),
+}
+SECRET_NEEDED = (("key", "token", "secret", "passw", "pwd"), ("bearer",), ("sk-",), ("密码",))
+
+
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    out = c.contains(words[0])
+    for w in words[1:]:
+        out = out | c.contains(w)
+    return out
+
+
 def scan_text(c: Column) -> Column:
     """What the rules look at: NFKC, no zero-width characters, single spaces."""
     return T.collapse(F.regexp_replace(T.nfkc(c), T.ZERO_WIDTH, ""))
@@ -46,7 +72,20 @@ def scan_text(c: Column) -> Column:
 
 def injection(scanned: Column) -> Column:
     """Matched rules in order: array of (rule, category)."""
-    return F.array_compact(F.array(*[F.when(scanned.rlike("(?iu)" + p), F.struct(F.lit(r).alias("rule"), F.lit(c).alias("category"))) for r, c, p in INJECTION_RULES]))
+    # Letters that case-insensitive matching takes for i and s.
+    low = F.lower(F.translate(scanned, "\u0130\u0131\u017f", "iis"))
+
+    def rules(x: Column) -> Column:
+        rows = []
+        for rule, category, pattern in INJECTION_RULES:
+            may = F.lit(True)
+            for group in NEEDED[rule]:
+                may = may & _any(x["low"], group)
+            rows.append(F.when(may & x["text"].rlike("(?iu)" + pattern), F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"))))
+        return F.array_compact(F.array(*rows))
+
+    # A lambda's variable is computed once; as plain columns both texts would be made again for each test.
+    return F.transform(F.array(F.struct(scanned.alias("text"), low.alias("low"))), rules)[0]
 
 
 def assess(df: DataFrame, text: str) -> DataFrame:
@@ -64,12 +103,12 @@ def guard_counts(assessed: DataFrame) -> DataFrame:
 def redact(c: Column, limit: int = 2000) -> Column:
     """struct(content, redacted, truncated). Blank content is null."""
     t = F.when(F.trim(c) != "", F.trim(c))
-    r = t
-    for p in SECRET_PATTERNS:
-        r = F.regexp_replace(r, p, "[REDACTED]")
-    hit = F.lit(False)
-    for p in SECRET_PATTERNS:
-        hit = hit | F.coalesce(t.rlike(p), F.lit(False))
+    low = F.lower(t)
+    r, hit = t, F.lit(False)
+    for p, words in zip(SECRET_PATTERNS, SECRET_NEEDED, strict=True):
+        may = _any(low, words)
+        hit = hit | F.coalesce(may & t.rlike(p), F.lit(False))
+        r = F.when(may, F.regexp_replace(r, p, "[REDACTED]")).otherwise(r)
     long = F.length(r) > limit
     cut = F.when(long, F.concat(F.substring(r, 1, limit - len(SUFFIX)), F.lit(SUFFIX))).otherwise(r)
     return F.struct(cut.alias("content"), hit.alias("redacted"), F.coalesce(long, F.lit(False)).alias("truncated"))
