@@ -51,6 +51,8 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def bucket_count(spark: SparkSession, per_partition: int = 2, least: int = 32) -> int:
-    """Buckets for packed exchanges, in proportion to the cluster's shuffle parallelism."""
-    return max(least, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def block_count(df: DataFrame, block_bytes: int = 8 << 20, least: int = 32) -> int:
+    """Blocks for packed exchanges, by the size of the input as its files tell it, so that a block
+    fits a task whatever the shuffle parallelism is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(least, -(-size // block_bytes)), 1 << 20)
