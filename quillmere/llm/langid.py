@@ -100,7 +100,8 @@ def _features(dims: int):
             for chunk in tk.chunks(b.column(1), max_docs=512):
                 counts = ngram_counts(chunk, dims)
                 at = [np.flatnonzero(c) for c in counts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(chunk.first, chunk.n), pa.array(at, pa.list_(pa.int64())), pa.array([c[i] for c, i in zip(counts, at, strict=True)], pa.list_(pa.float64()))], ["label", "at", "n"])
+                packed = [np.concatenate([i, c[i]]).astype(np.int32).tobytes() for c, i in zip(counts, at, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(chunk.first, chunk.n), pa.array(packed, pa.binary())], ["label", "counts"])
 
     return run
 
@@ -112,22 +113,30 @@ def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str
     text of few n-grams it falls with the root of their number. With no
     labelled row the model has no language, and every document is undetermined.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(doc_id), doc_id)
-    ids = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(doc_id, label).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_language)
-    # At most max_languages * per_language ids, which is checked here before they are broadcast.
-    found = ids.select(label, doc_id).limit(max_languages * per_language + 1).collect()
-    if len({r[0] for r in found}) > max_languages or len(found) > max_languages * per_language:
+    spark = docs.sparkSession
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(doc_id, label)
+    # One row a language, at most max_languages of them.
+    sizes = known.groupBy(label).agg(F.count(F.lit(1))).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if not found:
+    if not sizes:
         return Model([], np.zeros((0, dims), np.float32), np.ones(dims), 0.0)
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r[1],) for r in found], docs.select(doc_id).schema).distinct())
-    rows = docs.where(F.col(label).isNotNull()).select(label, text, doc_id).join(wanted, doc_id, "left_semi").select(F.col(label).alias("label"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_features(dims), "label string, at array<bigint>, n array<double>").orderBy("label", "at", "n").collect()
-    x = np.zeros((len(rows), dims))
+    # Hashed ids below a bound that passes about four times the sample, so that ranking sees few rows.
+    share = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, min(1.0, 4.0 * per_language / n))])
+    chance = F.shiftrightunsigned(F.xxhash64(doc_id), 11) / float(1 << 53)
+    order = Window.partitionBy(label).orderBy(F.xxhash64(doc_id), doc_id)
+    ids = known.where(chance < share[F.col(label)]).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_language)
+    # At most max_languages * per_language ids by construction.
+    found = [r[0] for r in ids.select(doc_id).collect()]
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in found], docs.select(doc_id).schema).distinct())
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(label, text, doc_id).join(wanted, doc_id, "left_semi").select(F.col(label).alias("label"), F.col(text).alias("t")).mapInArrow(_features(dims), "label string, counts binary").orderBy("label", "counts").collect()
+    x = np.zeros((len(rows), dims), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r["n"]
+        at, n = np.frombuffer(r["counts"], np.int32).reshape(2, -1)
+        x[i, at] = n
     names = np.array([r["label"] for r in rows])
     x, names = x[x.any(axis=1)], names[x.any(axis=1)]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     v = _unit(np.log1p(x) * idf)
     labels, cents = [], []
     for name in sorted(set(names.tolist())):
