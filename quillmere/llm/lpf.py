@@ -392,7 +392,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     docs = docs.select(*names)
-    n = block_count(docs)
+    n = block_count(docs, text)
     space = Workspace(spark, "suffix")
     dealt = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_deal(length, anchor, n, n, flush_bytes), ex.PACKED)
     met = space.write(ex.exchanged(dealt, _meet(n), ex.PACKED), "met")

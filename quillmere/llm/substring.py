@@ -233,7 +233,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         raise ValueError("a window must hold a whole reference block")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     docs = docs.select(*names)
-    n = block_count(docs)
+    n = block_count(docs, text)
     space = Workspace(spark, "substring")
     probes = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_probe(block_words, n, flush_bytes), ex.PACKED)
     hits = space.write(ex.exchanged(probes, _meet(n), ex.PACKED), "hits")

@@ -11,6 +11,7 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/quillmere-shared"
 
@@ -51,8 +52,12 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def block_count(df: DataFrame, block_bytes: int = 8 << 20, least: int = 32) -> int:
-    """Blocks for packed exchanges, by the size of the input as its files tell it, so that a block
-    fits a task whatever the shuffle parallelism is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(least, -(-size // block_bytes)), 1 << 20)
+def block_count(df: DataFrame, text: str, block_bytes: int = 8 << 20, least: int = 32) -> int:
+    """Blocks for packed exchanges, so that a block fits a task whatever the shuffle parallelism is:
+    by the size that the input's files tell, or by the bytes of its texts where the planner knows none."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    # Past joins and the like the planner's size is a guess, often a product.
+    if any(x in plan.toString() for x in ("LogicalRDD", "Join", "Generate", "Expand", "Aggregate", "MapIn")):
+        size = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
+    return max(least, -(-size // block_bytes))
