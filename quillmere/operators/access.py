@@ -70,7 +70,17 @@ def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str,
     ``max_identities`` before they are broadcast."""
     if identities.limit(max_identities + 1).count() > max_identities:
         raise ValueError(f"more than {max_identities} identities; pass them in blocks")
-    w = identities.select(F.col(who_key), *[F.col(n).alias(f"__{n}") for n in IDENTITY])
-    who = {n: F.col(f"__{n}") for n in IDENTITY}
-    cond = F.size(denial_reasons(_mine(rows, COLUMNS), who, F.lit(as_of).cast("date"))) == 0
-    return rows.join(F.broadcast(w), cond).select(who_key, key)
+    day = F.lit(as_of).cast("date")
+    # What depends on one side only is done before the join; the pair compares prepared values.
+    region = F.lower(F.trim("region"))
+    r = rows.where((F.col("status") == "effective") & (F.col("effective") <= day) & (F.col("expiry").isNull() | (F.col("expiry") >= day)))
+    r = r.select(F.col(key), F.col("rank").alias("__rank"), _scope(F.col("departments")).alias("__dep"), _scope(F.col("roles")).alias("__rol"), F.coalesce(region, F.lit("")).alias("__reg"))
+    r = r.withColumn("__any_dep", _open(F.col("__dep"))).withColumn("__any_rol", _open(F.col("__rol")))
+    w = identities.select(F.col(who_key), F.upper(F.trim("department")).alias("__d"), _scope(F.col("roles")).alias("__r"), F.col("rank").alias("__k"), F.lower(F.trim("region")).alias("__g"))
+    cond = (
+        F.coalesce(F.col("__rank") <= F.col("__k"), F.lit(True))
+        & ((F.col("__reg") == "") | (F.col("__reg") == F.col("__g")))
+        & (F.col("__any_dep") | F.array_contains("__dep", F.col("__d")))
+        & (F.col("__any_rol") | F.arrays_overlap("__rol", "__r"))
+    )
+    return r.join(F.broadcast(w), cond).select(who_key, key)
