@@ -7,7 +7,7 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
-from test_operators import brute_lines, brute_print  # noqa: E402
+from test_llm_operators import brute_lines, brute_print  # noqa: E402
 
 pipeline = pytest.importorskip("corpus_pipeline")
 ITEM = "a benchmark item with a dozen plain words that nobody else would ever write down here"
