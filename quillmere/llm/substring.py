@@ -4,8 +4,8 @@ Reference blocks are the non-overlapping runs of ``block_words`` words of every
 window of ``window`` words always holds a whole block when block_words <= (window + 1) / 2.
 Every rolling run of block_words words probes that index. Probes that meet a block of another
 document mark the windows around them; those windows are extended to full length, compared by
-64-bit hash within hashed buckets, and every window that starts in a smaller document is
-removed. Runs of removed windows are the maximal exact repeats.
+64-bit hash within buckets of a second hash, and every window that starts in a smaller document
+is removed. Runs of removed windows are the maximal exact repeats.
 
 A bucket holds hashes only. A block or a window that a third of all documents share is one
 sorted run of four or eight bytes for each occurrence, never a pair.
@@ -24,7 +24,7 @@ from . import exchange as ex
 from . import textkit as tk
 from .workspace import Workspace, block_count
 
-_TABLE = tk.byte_table(31)
+_TABLE, _SECOND = tk.byte_table(31), tk.U64(0x2545F4914F6CDD1D)
 _BLOCK, _FLAG = np.uint32(0x7FFFFFFF), np.uint32(0x80000000)
 DOCS, HITS, MARKS = 0, 1, 2
 
@@ -44,6 +44,9 @@ class Words:
         at = np.flatnonzero(self.doc[: len(h)] == self.doc[k - 1 : k - 1 + len(h)])
         return at, h[at]
 
+    def second(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the runs of k words at these places that have nothing in common with those of ``runs``."""
+        return tk.rolling(tk.prefix(tk.mix(self.hash + _SECOND)), k)[at]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -124,7 +127,7 @@ def _extend(block_words: int, window: int, buckets: int, id_column: str, text: s
         hit_doc, hit_fp = ex.unpack_all(kinds[HITS], np.uint32)
         names = np.unique(hit_doc)
         keys = np.sort((np.searchsorted(names, hit_doc).astype(np.uint64) << tk.U64(32)) | hit_fp)
-        out = ([], [], [])
+        out = ([], [], [], [])
         for chunk in tk.chunks(t.column(text)):
             own = ids[chunk.first : chunk.first + chunk.n]
             place = np.minimum(np.searchsorted(names, own), len(names) - 1)
@@ -146,10 +149,11 @@ def _extend(block_words: int, window: int, buckets: int, id_column: str, text: s
             out[0].append(own[w.doc[start]])
             out[1].append(full)
             out[2].append((start - w.first[w.doc[start]]).astype(np.uint32))
+            out[3].append(_bucket(w.second(window, start), buckets))
         if not out[0]:
             return ex.rows_to_batch([])
-        doc, full, start = (np.concatenate(x) for x in out)
-        return ex.rows_to_batch([(p, 0, ex.pack_records(doc[at], full[at], start[at])) for p, at in ex.split(_bucket(full, buckets), buckets)])
+        doc, full, start, dest = (np.concatenate(x) for x in out)
+        return ex.rows_to_batch([(p, 0, ex.pack_records(doc[at], full[at], start[at])) for p, at in ex.split(dest, buckets)])
 
     return work
 
