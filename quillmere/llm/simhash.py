@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as ex
 from . import textkit as tk
 from .components import components
 from .workspace import Workspace
@@ -136,17 +137,25 @@ def _variant_value(fp: np.ndarray, v: int) -> np.ndarray:
     return (fp >> np.uint64(low)) & np.uint64(mask)
 
 
-def _emit_variants(parts: int):
+def _emit_variants(parts: int, held_fps: int = 1 << 21):
+    """Fingerprints -> packed arrays by bucket; a task sends a bucket one row for each ``held_fps`` it reads."""
+
+    def packed(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for v in range(len(VARIANTS)):
+            part = (tk.mix(_variant_value(fp, v)) % np.uint64(parts)).astype(np.int64)
+            rows = [(v * parts + p, fp[at].tobytes()) for p, at in ex.split(part, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "fps"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            for v in range(len(VARIANTS)):
-                part = (tk.mix(_variant_value(fp, v)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                some = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-                blobs = [fp[order[cuts[p] : cuts[p + 1]]].tobytes() for p in some]
-                yield pa.RecordBatch.from_arrays([pa.array([v * parts + p for p in some], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "fps"])
+            held.append(b.column(0).to_numpy().view(np.uint64))
+            size += b.num_rows
+            if size >= held_fps:
+                yield from packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from packed(np.concatenate(held))
 
     return run
 
