@@ -8,7 +8,8 @@ collects those entries in every shard, resolves their scores exactly and keeps k
 
 The queries are a stated set. They are taken in blocks of ``query_block`` vectors, each block
 gathered and broadcast with that bound, so memory does not grow with the number of queries.
-Arithmetic is in float64 while it is exact (below 2**53), else in Python integers.
+Arithmetic is in float64 while it is exact, else in Python integers. A task multiplies 256
+queries with one shard at a time and keeps k entries a query.
 """
 
 from __future__ import annotations
@@ -61,13 +62,16 @@ def _shards(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.n
         yield from flush()
 
 
-def _product(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, one row per query."""
-    most = (np.abs(q).max(initial=0) * np.abs(m).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**52:
-        return q @ m.T
-    whole = lambda x: np.array([[int(c) for c in row] for row in x], object).reshape(x.shape)
-    return whole(q) @ whole(m).T
+def _partials(q: np.ndarray, m: np.ndarray, lists: int) -> list[np.ndarray]:
+    """Exact integer partial inner products of each slice, one row per query; their sum is exact too."""
+    slices = [s for s in np.array_split(np.arange(m.shape[1]), lists) if len(s)]
+    if not slices:
+        return [np.zeros((len(q), len(m)))]
+    most = np.abs(q).max(initial=0) * np.abs(m).max(initial=0) * m.shape[1]
+    if most * len(slices) >= 2**52:
+        whole = lambda x: np.array([[int(c) for c in row] for row in x], object).reshape(x.shape)
+        q, m = whole(q), whole(m)
+    return [q[:, s] @ m[:, s].T for s in slices]
 
 
 def _long(score: int) -> int:
@@ -75,16 +79,21 @@ def _long(score: int) -> int:
     return max(-(2**63), min(2**63 - 1, score))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k highest scores, the first columns among equals; scores is one row."""
-    if len(scores) <= k:
-        return np.argsort(-scores, kind="stable")
-    if scores.dtype == object:
-        return np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], j))[:k])
-    least = -np.partition(-scores, k - 1)[k - 1]
-    above, level = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-    pick = np.concatenate([above, level[: k - len(above)]])
-    return pick[np.lexsort((pick, -scores[pick]))]
+def _leaders(p: np.ndarray, k: int) -> np.ndarray:
+    """Columns of k of the highest scores of each row."""
+    if p.shape[1] <= k:
+        return np.tile(np.arange(p.shape[1]), (len(p), 1))
+    order = np.argsort(-p, axis=1, kind="stable") if p.dtype == object else np.argpartition(p, p.shape[1] - k, axis=1)[:, ::-1]
+    return order[:, :k]
+
+
+def _kept(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row its k entries of highest score, smaller ids first among equals."""
+    level = np.unique(score, return_inverse=True)[1] if score.dtype == object else score
+    o = np.lexsort((ids, -level, row))
+    begin = np.searchsorted(row[o], row[o], "left")
+    o = o[np.arange(len(o)) - begin < k]
+    return row[o], ids[o], score[o]
 
 
 def _queries(block: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -94,56 +103,59 @@ def _queries(block: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], float).reshape(len(rows), d)) for d, rows in by.items()}
 
 
+def _blocks(queries: dict, m: np.ndarray, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First place, ids and vectors of the queries of a shard's length, a few at a time."""
+    qids, q = queries.get(m.shape[1], (np.empty(0, np.int64), np.empty((0, m.shape[1]))))
+    for at in range(0, len(qids), rows):
+        yield at, qids[at : at + rows], q[at : at + rows]
+
+
 def _gather(shared, k: int, lists: int, rows: int):
-    """Phase 1: per query the k best resolved scores among each slice's local leaders."""
+    """Phase 1: per query the k best resolved scores among the leaders of each slice in each shard.
+    A task keeps k scores a query and sends them once."""
 
     def run(batches):
         queries = _queries(shared.value)
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for ids, m in _shards(batches, rows):
-            if m.shape[1] not in queries:
-                continue
-            qids, q = queries[m.shape[1]]
-            slices = np.array_split(np.arange(m.shape[1]), lists)
-            parts = [_product(q[:, s], m[:, s]) for s in slices if len(s)] or [np.zeros((len(q), len(m)))]
-            full = reduce(np.add, parts)
-            out_q, out_s = [], []
-            for i, own in enumerate(qids):
-                seen = np.unique(np.concatenate([_best(p[i], k + 1) for p in parts]))
-                found = [int(full[i, j]) for j in seen if ids[j] != own]
-                found = sorted(found, reverse=True)[:k]
-                out_q += [own] * len(found)
-                out_s += found
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array([_long(x) for x in out_s], pa.int64())], ["query_id", "score"])
+            for at, own, q in _blocks(queries, m):
+                parts = _partials(q, m, lists)
+                seen = np.sort(np.concatenate([_leaders(p, k + 1) for p in parts], axis=1), axis=1)
+                score = reduce(np.add, [np.take_along_axis(p, seen, 1) for p in parts])
+                score[:, 1:][seen[:, 1:] == seen[:, :-1]] = -np.inf
+                score[ids[seen] == own[:, None]] = -np.inf
+                key = (m.shape[1], at)
+                held = best[key][1] if key in best else score[:, :0]
+                best[key] = (own, np.sort(np.concatenate([held, score], axis=1), axis=1)[:, -k:])
+        for own, score in best.values():
+            row, at = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(own[row], pa.int64()), pa.array([_long(int(x)) for x in score[row, at]], pa.int64())], ["query_id", "score"])
 
     return run
 
 
 def _collect(shared, cutoffs, k: int, lists: int, rows: int):
-    """Phase 3: entries above the uniform threshold in some slice, resolved; k a shard at most."""
+    """Phase 3: entries above the uniform threshold in some slice, resolved; a task sends k a query at most."""
 
     def run(batches):
         queries = _queries(shared.value)
+        best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         for ids, m in _shards(batches, rows):
-            if m.shape[1] not in queries:
-                continue
-            qids, q = queries[m.shape[1]]
-            slices = [s for s in np.array_split(np.arange(m.shape[1]), lists) if len(s)]
-            out = ([], [], [])
-            parts = [_product(q[:, s], m[:, s]) for s in slices] or [np.zeros((len(q), len(m)))]
-            for i, own in enumerate(qids):
-                cut = cutoffs.value.get(int(own))
-                enough = np.ones(len(ids), bool)
-                if cut is not None:
-                    enough = reduce(np.logical_or, [p[i] * len(parts) >= cut for p in parts])
-                at = np.flatnonzero(enough & (ids != own))
-                score = reduce(np.add, [p[i, at] for p in parts])
-                if cut is not None:
-                    at, score = at[score >= cut], score[score >= cut]
-                top = _best(score, k)
-                out[0].extend([own] * len(top))
-                out[1].extend(ids[at[top]].tolist())
-                out[2].extend(_long(int(x)) for x in score[top])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+            for at, own, q in _blocks(queries, m):
+                parts = _partials(q, m, lists)
+                kind = parts[0].dtype
+                cut = np.array([cutoffs.value.get(int(i), -np.inf) for i in own], kind)[:, None]
+                enough = reduce(np.logical_or, [(p * len(parts) >= cut).astype(bool) for p in parts])
+                enough &= ids != own[:, None]
+                row, j = np.nonzero(enough)
+                score = reduce(np.add, [p[row, j] for p in parts])
+                on = (score >= cut[row, 0]).astype(bool)
+                new = (row[on], ids[j[on]], score[on])
+                key = (m.shape[1], at)
+                held = best[key][1:] if key in best else tuple(x[:0] for x in new)
+                best[key] = (own, *_kept(*(np.concatenate(x) for x in zip(held, new, strict=True)), k))
+        for own, row, found, score in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(own[row], pa.int64()), pa.array(found, pa.int64()), pa.array([_long(int(x)) for x in score], pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -171,7 +183,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, qu
         order = Window.partitionBy("query_id").orderBy(F.desc("score"))
         # At most query_block rows: one cutoff for each query of the block.
         kth = gathered.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", "score").collect()
-        cutoffs = spark.sparkContext.broadcast({r[0]: r[1] for r in kth})
+        # A cutoff at the lower bound of 64 bits may stand for a lower one, so it cuts nothing.
+        cutoffs = spark.sparkContext.broadcast({r[0]: r[1] for r in kth if r[1] > -(2**63)})
         done.append(_ranked(vectors.mapInArrow(_collect(shared, cutoffs, k, lists, shard_rows), _SCORES), k))
         last = block[-1][0]
         if len(block) < query_block:
