@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens are canonicalised: a token with a digit, a unit after a number, and a capitalised token
-inside a sentence become typed placeholders; other tokens stay, lower-cased. Windows of template
-tokens are hash-joined with those of the benchmark. For every matched item the values that the
+become typed placeholders; other tokens stay, lower-cased. Windows of template tokens are
+hash-joined with those of the benchmark, in three ways: with capitals inside a sentence as names,
+with capitals anywhere, and whatever the document's case, with wildcards where the item has names
+or with every token as it is. For every matched item the values that the
 document puts into the item's slots must be consistent: one value of the item goes with one
 value of the document and back. So a question with other numbers or names is caught, and a
 chance match of placeholders is not.
@@ -36,40 +38,97 @@ _CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
 _PLACE = tk.mix(np.arange(4, dtype=np.uint64) + np.uint64(0x51ED270B))
 
 
-class Tokens:
-    """Template tokens of a chunk: literal hash, kind (0: literal), template id, document."""
+def _cases() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point below 65536: is it upper case; its lower case where UTF-8 keeps the length."""
+    chars = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(1 << 16)]
+    upper = np.array([c.isupper() or c.istitle() for c in chars])
+    lower = np.arange(1 << 16)
+    for c in np.flatnonzero(upper):
+        low = chars[c].lower()
+        if len(low) == 1 and len(low.encode()) == len(chars[c].encode()):
+            lower[c] = ord(low)
+    return upper, lower
+
+
+_UPPER, _LOWER = _cases()
+
+
+def _folded(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes in lower case, and the length in bytes of the capital that starts at each place (0: none)."""
+    out = tk.LOWER[d]
+    capital = _CAPITAL[d].astype(np.uint8)
+    for size, least, most in ((2, 0xC3, 0xDF), (3, 0xE1, 0xEF)):
+        at = np.flatnonzero((d >= least) & (d <= most))
+        at = at[at + size <= len(d)]
+        c = d[at].astype(np.int64) & (31 if size == 2 else 15)
+        for j in range(1, size):
+            c = c << 6 | d[at + j] & 63
+        at, c = at[_UPPER[c]], c[_UPPER[c]]
+        capital[at] = size
+        c = _LOWER[c]
+        for j in range(size - 1, 0, -1):
+            out[at + j] = 0x80 | c & 63
+            c = c >> 6
+        out[at] = c | (0xC0 if size == 2 else 0xE0)
+    return out, capital
+
+
+class View:
+    """Template tokens: literal hash, kind (0: literal), template id, document."""
+
+    def __init__(self, literal: np.ndarray, kind: np.ndarray, doc: np.ndarray):
+        self.literal, self.kind, self.doc = literal, kind, doc
+        self.template = np.where(kind == 0, literal, _PLACE[kind])
+
+    def windows(self, w: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of windows of w tokens in one document with enough literals."""
+        h = _rolled(self.template, w)
+        if not len(h):
+            return np.empty(0, np.int64), h
+        lit = np.concatenate([[0], np.cumsum(self.kind == 0)])
+        ok = (self.doc[: len(h)] == self.doc[w - 1 :]) & (lit[w : w + len(h)] - lit[: len(h)] >= least_literal)
+        at = np.flatnonzero(ok)
+        return at, h[at]
+
+
+class Tokens(View):
+    """Tokens of a chunk, none merged. ``kind`` takes capitals inside a sentence for names, ``view``
+    any capitals, and ``plain`` none."""
 
     def __init__(self, chunk: tk.Chunk):
         d = chunk.data
-        starts, ends, self.doc = tk.runs(_TOKEN[d], chunk.bounds)
-        pre = tk.prefix(_TABLE[tk.LOWER[d]])
-        self.literal = tk.span_hash(pre, starts, ends)
+        starts, ends, doc = tk.runs(_TOKEN[d], chunk.bounds)
+        low, capital = _folded(d)
+        literal = tk.span_hash(tk.prefix(_TABLE[low]), starts, ends)
         n = len(starts)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[d])])
         number = digits[ends] > digits[starts]
         stops = np.concatenate([[0], np.cumsum(_STOP[d])])
         follows = np.zeros(n, bool)
-        if n > 1:
-            follows[1:] = self.doc[1:] == self.doc[:-1]
+        unit = np.zeros(n, bool)
         gap_clean = np.zeros(n, bool)
         if n > 1:
+            follows[1:] = doc[1:] == doc[:-1]
             gap_clean[1:] = follows[1:] & (stops[starts[1:]] == stops[ends[:-1]])
-        name = _CAPITAL[d[starts]] & gap_clean & (ends - starts > 1) if n else np.zeros(0, bool)
-        unit = np.zeros(n, bool)
-        if n > 1:
-            unit[1:] = number[:-1] & follows[1:] & np.isin(self.literal[1:], _unit_hashes())
-        self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
-        self.template = np.where(self.kind == 0, self.literal, _PLACE[self.kind])
+            unit[1:] = number[:-1] & follows[1:] & np.isin(literal[1:], _unit_hashes())
+        size = capital[starts] if n else np.zeros(0, np.uint8)
+        self.capital = (size > 0) & (ends - starts > size)
+        self.plain = np.where(number, NUMBER, np.where(unit, UNIT, 0))
+        super().__init__(literal, self._named(self.capital & gap_clean), doc)
+
+    def _named(self, name: np.ndarray) -> np.ndarray:
+        return np.where((self.plain == 0) & name, NAME, self.plain)
+
+    def views(self) -> list[View]:
+        """By capitals inside a sentence, and by capitals anywhere."""
+        return [View(self.literal, k, self.doc) for k in (self.kind, self._named(self.capital))]
 
-    def windows(self, w: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of windows of w tokens in one document with enough literals."""
-        h = tk.rolling(tk.prefix(self.template), w)
-        if not len(h):
-            return np.empty(0, np.int64), h
-        lit = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        ok = (self.doc[: len(h)] == self.doc[w - 1 :]) & (lit[w : w + len(h)] - lit[: len(h)] >= least_literal)
-        at = np.flatnonzero(ok)
-        return at, h[at]
+
+def _rolled(values: np.ndarray, w: int) -> np.ndarray:
+    """Unmixed hashes of all windows of w values: the sums of value times radix**place."""
+    pre = tk.prefix(values)
+    n = len(pre) - w
+    return (pre[w:] - pre[:n]) * tk.powers(len(pre))[1][:n] if n > 0 else np.empty(0, np.uint64)
 
 
 _units: list[np.ndarray] = []
@@ -83,30 +142,106 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
+class ViewIndex:
+    """Template windows of some items in one view, sorted by hash, for each window length."""
+
+    def __init__(self, view: View, n: int, window: int, shortest: int):
+        self.view = view
+        count = tk.counts_by_doc(view.doc, n)
+        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.total = np.zeros(n, np.int64)
+        for w in range(shortest, window + 1):
+            at, h = _own(view, count, w, window, *view.windows(w, _literals(w)))
+            if len(at):
+                self.by[w] = _sorted(at, h)
+                self.total += tk.counts_by_doc(view.doc[at], n)
+
+
+class PlainIndex:
+    """Windows of some items that don't hang on the case of a document: of all tokens as they are,
+    and with wildcards (bits of the mask) where the item has names."""
+
+    def __init__(self, t: Tokens, n: int, window: int, shortest: int):
+        self.view = View(t.literal, t._named(t.capital), t.doc)
+        count = tk.counts_by_doc(t.doc, n)
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.masked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.total_exact, self.total_masked = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        name = (self.view.kind == NAME).astype(np.int64)
+        for w in range(shortest, window + 1):
+            inside, _ = View(t.literal, t.plain, t.doc).windows(w, _literals(w))
+            at, h = _own(t, count, w, window, inside, _rolled(t.literal, w)[inside])
+            if len(at):
+                self.exact[w] = _sorted(at, h)
+                self.total_exact += tk.counts_by_doc(t.doc[at], n)
+            at, h = _own(t, count, w, window, *self.view.windows(w, _literals(w)))
+            self.total_masked += tk.counts_by_doc(t.doc[at], n)
+            mask = sum((name[at + j] << j for j in range(w)), np.zeros(len(at), np.int64))
+            for m in np.unique(mask):
+                self.masked[w, int(m)] = _sorted(at[mask == m], h[mask == m])
+        every = [h for h, _ in [*self.exact.values(), *self.masked.values()]]
+        # Hashes seen, by their top bits: most windows of a document need no search.
+        bits = min(26, max(12, int(16 * sum(map(len, every))).bit_length()))
+        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        for h in every:
+            self.seen[h >> self.shift] = True
+
+    def hits(self, t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+        """Places in the document and in the item of equal windows, their length, and whether they are exact."""
+        for w, entry in self.exact.items():
+            yield *self._found(entry, t, _rolled(t.literal, w), w), w, True
+        values = np.where(t.plain == 0, t.literal, _PLACE[t.plain])
+        wild, p = values - _PLACE[NAME], tk.powers(9)[0]
+        for w in {w for w, _ in self.masked}:
+            whole = _rolled(values, w)
+            for (v, mask), entry in self.masked.items():
+                if v == w:
+                    h = whole.copy()
+                    for j in range(w):
+                        if mask >> j & 1:
+                            h -= wild[j : j + len(h)] * p[j]
+                    yield *self._found(entry, t, h, w), w, False
+
+    def _found(self, entry, t: Tokens, h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+        pos = np.flatnonzero(self.seen[h >> self.shift])
+        pos = pos[t.doc[pos] == t.doc[pos + w - 1]]
+        return _joined(entry, pos, h[pos])
+
+
+def _own(view: View, count: np.ndarray, w: int, window: int, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of w tokens that stand for their item: a short item is one window."""
+    own = count[view.doc[at]]
+    mine = (own == w) if w < window else (own >= w)
+    return at[mine], h[mine]
+
+
+def _sorted(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    o = np.argsort(h, kind="stable")
+    return h[o], at[o].astype(np.int32)
+
+
+def _joined(entry: tuple[np.ndarray, np.ndarray], pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a place in the documents and one in the items with equal hashes."""
+    hashes, at = entry
+    lo = np.searchsorted(hashes, h, side="left")
+    hit = np.flatnonzero((lo < len(hashes)) & (hashes[np.minimum(lo, len(hashes) - 1)] == h))
+    lo, n = lo[hit], np.searchsorted(hashes, h[hit], side="right") - lo[hit]
+    k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(pos[hit], n), at[k].astype(np.int64)
+
+
 class Index:
-    """Template windows of some benchmark items, sorted by hash, for each window length."""
+    """The windows of some benchmark items in each view."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, shortest: int):
         self.ids = np.array([i for i, _ in items], np.int64)
         texts = pa.array([t or "" for _, t in items], pa.large_string())
         parts = list(tk.chunks(texts, 1 << 62))
-        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        if not parts:
-            return
-        self.tokens = Tokens(parts[0])
-        count = tk.counts_by_doc(self.tokens.doc, len(items))
-        self.first = np.concatenate([[0], np.cumsum(count)])[:-1]
-        for w in range(shortest, window + 1):
-            at, h = self.tokens.windows(w, _literals(w))
-            own = self.tokens.doc[at]
-            mine = (count[own] == w) if w < window else (count[own] >= w)
-            at, h, own = at[mine], h[mine], own[mine]
-            if len(at):
-                o = np.argsort(h, kind="stable")
-                self.by[w] = (h[o], at[o], own[o])
-        self.total = np.zeros(len(items), np.int64)
-        for w, (_, at, own) in self.by.items():
-            self.total += tk.counts_by_doc(own, len(items))
+        self.views, self.plain = [], None
+        if parts:
+            t = Tokens(parts[0])
+            self.views = [ViewIndex(v, len(items), window, shortest) for v in t.views()]
+            self.plain = PlainIndex(t, len(items), window, shortest)
 
 
 def _literals(w: int) -> int:
@@ -123,44 +258,82 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _matches(index: Index, chunk: tk.Chunk, coverage: float):
     """(document, item, windows, coverage, changed) of every contaminated pair of the chunk."""
-    t = Tokens(chunk)
+    if index.plain is None:
+        return
+    t, known = Tokens(chunk), set()
+    for found in [*(_by_view(i, v, coverage) for i, v in zip(index.views, t.views(), strict=True)), _by_place(index.plain, t, coverage)]:
+        for doc, item, *rest in found:
+            if (doc, item) not in known:
+                known.add((doc, item))
+                yield doc, int(index.ids[item]), *rest
+
+
+def _grouped(keys: tuple[np.ndarray, ...], *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Columns sorted by the keys, and the bounds of the rows with equal keys but the last."""
+    o = np.lexsort(keys[::-1])
+    cut = np.zeros(max(len(o) - 1, 0), bool)
+    for k in keys[:-1]:
+        cut |= k[o][1:] != k[o][:-1]
+    return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(o)]]), [c[o] for c in columns]
+
+
+def _by_view(index: ViewIndex, t: View, coverage: float):
     rows = []
-    for w, (hashes, at, own) in index.by.items():
-        pos, h = t.windows(w, _literals(w))
-        lo = np.searchsorted(hashes, h, side="left")
-        hit = np.flatnonzero((lo < len(hashes)) & (hashes[np.minimum(lo, len(hashes) - 1)] == h))
-        if not len(hit):
-            continue
-        lo, n = lo[hit], np.searchsorted(hashes, h[hit], side="right") - lo[hit]
-        k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rows.append((np.repeat(pos[hit], n), at[k], own[k], np.full(len(k), w)))
+    for w, entry in index.by.items():
+        pos, at = _joined(entry, *t.windows(w, _literals(w)))
+        if len(pos):
+            rows.append((pos, at, np.full(len(pos), w)))
     if not rows:
         return
-    pos, at, item, width = (np.concatenate(x) for x in zip(*rows, strict=True))
-    doc = t.doc[pos]
-    o = np.lexsort((at, item, doc))
-    pos, at, item, width, doc = pos[o], at[o], item[o], width[o], doc[o]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True]]))
+    pos, at, width = (np.concatenate(x) for x in zip(*rows, strict=True))
+    cut, (pos, at, width) = _grouped((t.doc[pos], index.view.doc[at], at), pos, at, width)
     for a, b in zip(cut[:-1], cut[1:], strict=True):
+        item = int(index.view.doc[at[a]])
         covered = len(np.unique(at[a:b]))
-        share = covered / index.total[item[a]]
+        share = covered / index.total[item]
         if share < coverage:
             continue
         steps = np.arange(width[a])
         i, d = (at[a:b, None] + steps).ravel(), (pos[a:b, None] + steps).ravel()
-        slot = index.tokens.kind[i] > 0
+        slot = index.view.kind[i] > 0
         diagonal = np.repeat(pos[a:b] - at[a:b], len(steps))
         # Each copy of the item in the document fills the slots in its own way.
         for g in np.unique(diagonal):
             mine = diagonal == g
             if len(np.unique(i[mine])) < coverage * len(np.unique(i)):
                 continue
-            x, y = index.tokens.literal[i[mine & slot]], t.literal[d[mine & slot]]
+            x, y = index.view.literal[i[mine & slot]], t.literal[d[mine & slot]]
             if _consistent(x, y):
-                yield int(doc[a]), int(index.ids[item[a]]), covered, float(share), bool((x != y).any())
+                yield int(t.doc[pos[a]]), item, covered, float(share), bool((x != y).any())
                 break
 
 
+def _by_place(index: PlainIndex, t: Tokens, coverage: float):
+    """Pairs that match token by token, in whatever case: a copy with other names and numbers whose
+    slots are consistent, or an exact copy. Where the former matches, its slots decide."""
+    rows = [(pos, at, np.full(len(pos), w), np.full(len(pos), exact)) for pos, at, w, exact in index.hits(t) if len(pos)]
+    if not rows:
+        return
+    pos, at, width, exact = (np.concatenate(x) for x in zip(*rows, strict=True))
+    cut, (pos, at, width, exact) = _grouped((t.doc[pos], index.view.doc[at], pos - at, at), pos, at, width, exact)
+    item = index.view.doc[at[cut[:-1]]]
+    n_exact = np.add.reduceat(exact.astype(np.int64), cut[:-1])
+    n_masked = np.diff(cut) - n_exact
+    exactly = n_exact / np.maximum(index.total_exact[item], 1)
+    as_template = n_masked / np.maximum(index.total_masked[item], 1)
+    for k in np.flatnonzero((exactly >= coverage) | (as_template >= coverage)):
+        a, b = cut[k], cut[k + 1]
+        pair = int(t.doc[pos[a]]), int(item[k])
+        if n_masked[k] and as_template[k] >= coverage:
+            i = np.unique(at[a:b][~exact[a:b], None] + np.arange(width[a]))
+            i = i[index.view.kind[i] > 0]
+            x, y = index.view.literal[i], t.literal[i + pos[a] - at[a]]
+            if _consistent(x, y):
+                yield *pair, int(n_masked[k]), float(as_template[k]), bool((x != y).any())
+        else:
+            yield *pair, int(n_exact[k]), float(exactly[k]), False
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, reparameterised: documents that hold benchmark items.
 

@@ -228,6 +228,20 @@ def test_items_of_any_kind(docs_of, spark):
     assert hits(docs_of, spark, ["x"], []) == {} and hits(docs_of, spark, [], items) == {}
 
 
+PEOPLE = "Maria has 12 apples and 7 pears. Peter has 30 apples and gives Maria some of them. How many apples does Maria have now?"
+
+
+def test_names_in_any_case_and_place(docs_of, spark):
+    other = ITEM.replace("12", "75").replace("30", "44").replace("Maria", "Ines").replace("Peter", "Karl")
+    for text in (ITEM, other):
+        cases = [text.upper(), text.lower(), text.title(), "they say " + text]
+        assert hits(docs_of, spark, cases) == {(i, 1): text is other for i in range(4)}
+    people = PEOPLE.replace("Maria", "Élodie").replace("Peter", "Örjan").replace("30", "41")
+    cases = [people, "Intro " + people, people.upper(), people.lower()]
+    assert hits(docs_of, spark, cases, [(1, PEOPLE)]) == {(i, 1): True for i in range(4)}
+    assert hits(docs_of, spark, [people.upper()], [(1, people)]) == {(0, 1): False}
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
