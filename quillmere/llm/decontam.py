@@ -34,6 +34,9 @@ _TOKEN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"|"]] = True
+_INNER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_INNER[[ord(c) for c in ".,/:"]] = True
+_SIGN[[ord(c) for c in "+-"]] = True
 _CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
 _PLACE = tk.mix(np.arange(4, dtype=np.uint64) + np.uint64(0x51ED270B))
 
@@ -73,6 +76,17 @@ def _folded(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, capital
 
 
+def _token_bytes(d: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bytes of tokens: letters and digits, and . , / : between two digits of one document."""
+    mask = _TOKEN[d]
+    at = np.flatnonzero(_INNER[d[1:-1]]) + 1 if len(d) > 2 else np.empty(0, np.int64)
+    at = at[_DIGIT[d[at - 1]] & _DIGIT[d[at + 1]]]
+    edge = np.zeros(len(d) + 1, bool)
+    edge[bounds] = True
+    mask[at[~edge[at] & ~edge[at + 1]]] = True
+    return mask
+
+
 class View:
     """Template tokens: literal hash, kind (0: literal), template id, document."""
 
@@ -92,12 +106,12 @@ class View:
 
 
 class Tokens(View):
-    """Tokens of a chunk, none merged. ``kind`` takes capitals inside a sentence for names, ``view``
+    """Tokens of a chunk; a number with inner marks is one. ``kind`` takes capitals inside a sentence for names, ``view``
     any capitals, and ``plain`` none."""
 
     def __init__(self, chunk: tk.Chunk):
         d = chunk.data
-        starts, ends, doc = tk.runs(_TOKEN[d], chunk.bounds)
+        starts, ends, doc = tk.runs(_token_bytes(d, chunk.bounds), chunk.bounds)
         low, capital = _folded(d)
         literal = tk.span_hash(tk.prefix(_TABLE[low]), starts, ends)
         n = len(starts)
@@ -107,6 +121,7 @@ class Tokens(View):
         follows = np.zeros(n, bool)
         unit = np.zeros(n, bool)
         gap_clean = np.zeros(n, bool)
+        commas = np.concatenate([[0], np.cumsum((d == ord(",")) | (d == ord(";")) | (d == ord("(")) | (d == ord(")")))])
         if n > 1:
             follows[1:] = doc[1:] == doc[:-1]
             gap_clean[1:] = follows[1:] & (stops[starts[1:]] == stops[ends[:-1]])
@@ -114,14 +129,32 @@ class Tokens(View):
         size = capital[starts] if n else np.zeros(0, np.uint8)
         self.capital = (size > 0) & (ends - starts > size)
         self.plain = np.where(number, NUMBER, np.where(unit, UNIT, 0))
+        self.joined = np.zeros(n, bool)
+        if n > 1:
+            self.joined[1:] = gap_clean[1:] & (commas[starts[1:]] == commas[ends[:-1]])
         super().__init__(literal, self._named(self.capital & gap_clean), doc)
+        # The value of a number has its sign, which is no byte of the token.
+        before = np.maximum(starts - 1, 0)
+        signed = number & _SIGN[d[before]] & (starts > chunk.bounds[doc]) if n else number
+        signed &= (before == chunk.bounds[doc]) | ~_TOKEN[d[np.maximum(before - 1, 0)]]
+        self.value = np.where(signed, tk.mix(literal ^ d[before] if n else literal), literal)
 
     def _named(self, name: np.ndarray) -> np.ndarray:
         return np.where((self.plain == 0) & name, NAME, self.plain)
 
     def views(self) -> list[View]:
-        """By capitals inside a sentence, and by capitals anywhere."""
-        return [View(self.literal, k, self.doc) for k in (self.kind, self._named(self.capital))]
+        """By capitals inside a sentence, and by capitals anywhere; a name of several tokens is one."""
+        return [self._merged(k) for k in (self.kind, self._named(self.capital))]
+
+    def _merged(self, kind: np.ndarray) -> View:
+        more = np.zeros(len(kind), bool)
+        more[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & self.joined[1:]
+        if not len(kind):
+            return View(self.value, kind, self.doc)
+        first = np.flatnonzero(~more)
+        size = np.diff(np.concatenate([first, [len(kind)]]))
+        value = np.where(size > 1, tk.span_hash(tk.prefix(self.literal), first, first + size), self.value[first])
+        return View(value, kind[first], self.doc[first])
 
 
 def _rolled(values: np.ndarray, w: int) -> np.ndarray:
@@ -162,7 +195,7 @@ class PlainIndex:
     and with wildcards (bits of the mask) where the item has names."""
 
     def __init__(self, t: Tokens, n: int, window: int, shortest: int):
-        self.view = View(t.literal, t._named(t.capital), t.doc)
+        self.view, self.value = View(t.literal, t._named(t.capital), t.doc), t.value
         count = tk.counts_by_doc(t.doc, n)
         self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.masked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -327,7 +360,7 @@ def _by_place(index: PlainIndex, t: Tokens, coverage: float):
         if n_masked[k] and as_template[k] >= coverage:
             i = np.unique(at[a:b][~exact[a:b], None] + np.arange(width[a]))
             i = i[index.view.kind[i] > 0]
-            x, y = index.view.literal[i], t.literal[i + pos[a] - at[a]]
+            x, y = index.value[i], t.value[i + pos[a] - at[a]]
             if _consistent(x, y):
                 yield *pair, int(n_masked[k]), float(as_template[k]), bool((x != y).any())
         else:

@@ -242,6 +242,25 @@ def test_names_in_any_case_and_place(docs_of, spark):
     assert hits(docs_of, spark, [people.upper()], [(1, people)]) == {(0, 1): False}
 
 
+def test_numbers_and_names_of_several_tokens(docs_of, spark):
+    def put(*pairs):
+        text = ITEM
+        for old, new in pairs:
+            text = text.replace(old, new)
+        return text
+
+    texts = [
+        put(("12", "1.5")),
+        put(("12", "1.5"), ("30", "$7.25")),
+        put(("12", "1,250"), ("30", "2/3")),
+        put(("Maria", "Mary Ann"), ("Peter", "Jean Luc Karl"), ("12", "1.5")),
+        put(("12", "-1.5"), ("30", "1.5")),
+        put(("12 kg of", "-12 kg of")),
+    ]
+    assert hits(docs_of, spark, texts) == {(i, 1): True for i in range(5)}
+    assert hits(docs_of, spark, ["1,", "5 " + ITEM, ".5", ITEM + "3."]) == {(1, 1): False, (3, 1): False}
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
