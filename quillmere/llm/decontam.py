@@ -15,6 +15,7 @@ the documents for each block, so what is broadcast does not grow with the benchm
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +29,8 @@ from . import textkit as tk
 #: Units that make a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "g", "kg", "mg", "lb", "oz", "t", "l", "ml", "s", "ms", "min", "h", "hr", "hrs", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "gram", "grams", "kilogram", "kilograms", "liter", "liters", "litre", "litres", "mile", "miles", "degree", "degrees", "watt", "watts", "volt", "volts", "usd", "eur", "kw", "kwh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb")
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Consecutive tokens that identify an item whatever its length, and whatever they are.
+RUN = 13
 
 _TABLE = tk.byte_table(23)
 _TOKEN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -194,19 +197,22 @@ class PlainIndex:
     """Windows of some items that don't hang on the case of a document: of all tokens as they are,
     and with wildcards (bits of the mask) where the item has names."""
 
-    def __init__(self, t: Tokens, n: int, window: int, shortest: int):
+    def __init__(self, t: Tokens, n: int, window: int, shortest: int, left_out: np.ndarray):
         self.view, self.value = View(t.literal, t._named(t.capital), t.doc), t.value
         count = tk.counts_by_doc(t.doc, n)
         self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.masked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.total_exact, self.total_masked = np.zeros(n, np.int64), np.zeros(n, np.int64)
         name = (self.view.kind == NAME).astype(np.int64)
-        for w in range(shortest, window + 1):
-            inside, _ = View(t.literal, t.plain, t.doc).windows(w, _literals(w))
-            at, h = _own(t, count, w, window, inside, _rolled(t.literal, w)[inside])
+        every = View(t.literal, np.zeros_like(t.plain), t.doc)
+        for w in range(1, window + 1):
+            at, h = _own(t, count, w, window, *every.windows(w, 0))
+            at, h = at[~left_out[t.doc[at]]], h[~left_out[t.doc[at]]]
             if len(at):
                 self.exact[w] = _sorted(at, h)
                 self.total_exact += tk.counts_by_doc(t.doc[at], n)
+            if w < shortest:
+                continue
             at, h = _own(t, count, w, window, *self.view.windows(w, _literals(w)))
             self.total_masked += tk.counts_by_doc(t.doc[at], n)
             mask = sum((name[at + j] << j for j in range(w)), np.zeros(len(at), np.int64))
@@ -263,6 +269,14 @@ def _joined(entry: tuple[np.ndarray, np.ndarray], pos: np.ndarray, h: np.ndarray
     return np.repeat(pos[hit], n), at[k].astype(np.int64)
 
 
+def _counts_up(text: str) -> bool:
+    """Is the text a short count, as 1 2 3 4, which stands in lists everywhere?"""
+    words = re.findall(r"\w+", text[:200])
+    if not 1 < len(words) < RUN or len(text) > 200 or not all(w.isascii() and w.isdecimal() for w in words):
+        return False
+    return all(int(b) - int(a) == 1 for a, b in zip(words[:-1], words[1:], strict=True))
+
+
 class Index:
     """The windows of some benchmark items in each view."""
 
@@ -274,7 +288,7 @@ class Index:
         if parts:
             t = Tokens(parts[0])
             self.views = [ViewIndex(v, len(items), window, shortest) for v in t.views()]
-            self.plain = PlainIndex(t, len(items), window, shortest)
+            self.plain = PlainIndex(t, len(items), window, shortest, np.array([_counts_up(x or "") for _, x in items]))
 
 
 def _literals(w: int) -> int:
@@ -370,10 +384,11 @@ def _by_place(index: PlainIndex, t: Tokens, coverage: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, reparameterised: documents that hold benchmark items.
 
-    A pair counts when at least ``coverage`` of the item's windows occur in the document with
-    consistent slots. Items of fewer than ``window`` tokens are one window; items of fewer than
-    ``shortest`` tokens, and windows that are half placeholders, identify nothing and are left
-    out. Null or empty texts match nothing; rows with a null id are compared like others.
+    A pair counts when at least ``coverage`` of the item's windows occur in the document, either
+    as templates with consistent slots or with every token as it is, in any letter case. Items of
+    fewer than ``window`` tokens are one window. Items of fewer than ``shortest`` tokens, and windows
+    that are over half placeholders, have no template: they count as they are, down to one token.
+    Of these a count such as 1 2 3 4 of fewer than 13 numbers is left out. Null or empty texts match nothing; rows with a null id are compared like others.
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     found = []

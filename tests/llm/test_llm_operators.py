@@ -261,6 +261,12 @@ def test_numbers_and_names_of_several_tokens(docs_of, spark):
     assert hits(docs_of, spark, ["1,", "5 " + ITEM, ".5", ITEM + "3."]) == {(1, 1): False, (3, 1): False}
 
 
+def test_verbatim_items_without_a_template(docs_of, spark):
+    items = [(1, "12 7 19 4 8 3 11 5 6 40"), (2, "7 + 5 = 12"), (3, "Anna, Bert, Cleo, Dora, Emil, Fritz, Gwen, Hugo and Ida"), (4, "Capital of Peru"), (5, "Which river crosses Lima and Callao?"), (6, "Ozymandias"), (7, "4 5 6"), (8, "???")]
+    texts = [f"as seen {t} elsewhere" for _, t in items[:6]] + ["4 5 6 ???", "12 7 19 4 8 3 12 5 6 40", "the capital of Chile", "7 + 5"]
+    assert hits(docs_of, spark, texts, items) == {(i, i + 1): False for i in range(6)}
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
