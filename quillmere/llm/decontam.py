@@ -357,7 +357,8 @@ def _by_view(index: ViewIndex, t: View, coverage: float):
 
 def _by_place(index: PlainIndex, t: Tokens, coverage: float):
     """Pairs that match token by token, in whatever case: a copy with other names and numbers whose
-    slots are consistent, or an exact copy. Where the former matches, its slots decide."""
+    slots are consistent, or an exact copy of its share or of RUN tokens. Where the former matches,
+    its slots decide over exact runs of less than twice RUN tokens."""
     rows = [(pos, at, np.full(len(pos), w), np.full(len(pos), exact)) for pos, at, w, exact in index.hits(t) if len(pos)]
     if not rows:
         return
@@ -368,7 +369,8 @@ def _by_place(index: PlainIndex, t: Tokens, coverage: float):
     n_masked = np.diff(cut) - n_exact
     exactly = n_exact / np.maximum(index.total_exact[item], 1)
     as_template = n_masked / np.maximum(index.total_masked[item], 1)
-    for k in np.flatnonzero((exactly >= coverage) | (as_template >= coverage)):
+    longest = _longest(at, width, exact, cut)
+    for k in np.flatnonzero((exactly >= coverage) | (as_template >= coverage) | (longest >= RUN)):
         a, b = cut[k], cut[k + 1]
         pair = int(t.doc[pos[a]]), int(item[k])
         if n_masked[k] and as_template[k] >= coverage:
@@ -377,8 +379,21 @@ def _by_place(index: PlainIndex, t: Tokens, coverage: float):
             x, y = index.value[i], t.value[i + pos[a] - at[a]]
             if _consistent(x, y):
                 yield *pair, int(n_masked[k]), float(as_template[k]), bool((x != y).any())
-        else:
-            yield *pair, int(n_exact[k]), float(exactly[k]), False
+                continue
+            if longest[k] < 2 * RUN:
+                continue
+        yield *pair, int(n_exact[k]), float(exactly[k]), False
+
+
+def _longest(at: np.ndarray, width: np.ndarray, exact: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Tokens of the longest exact run of each group of rows sorted by at."""
+    out = np.zeros(len(cut) - 1, np.int64)
+    e = np.flatnonzero(exact)
+    if len(e):
+        group = np.searchsorted(cut, e, side="right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (at[e][1:] != at[e][:-1] + 1)]))
+        np.maximum.at(out, group[new], np.diff(np.concatenate([new, [len(e)]])) + width[e[new]] - 1)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 64 << 20) -> DataFrame:
@@ -388,7 +403,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     as templates with consistent slots or with every token as it is, in any letter case. Items of
     fewer than ``window`` tokens are one window. Items of fewer than ``shortest`` tokens, and windows
     that are over half placeholders, have no template: they count as they are, down to one token.
-    Of these a count such as 1 2 3 4 of fewer than 13 numbers is left out. Null or empty texts match nothing; rows with a null id are compared like others.
+    A run of 13 tokens of an item as they are counts whatever its share of the item. If the rest of
+    the item stands around it with slots that contradict each other, it takes 26.
+    Of items without a template a count such as 1 2 3 4 of fewer than 13 numbers is left out. Null or empty texts match nothing; rows with a null id are compared like others.
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
     found = []

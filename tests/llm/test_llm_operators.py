@@ -267,6 +267,18 @@ def test_verbatim_items_without_a_template(docs_of, spark):
     assert hits(docs_of, spark, texts, items) == {(i, i + 1): False for i in range(6)}
 
 
+@pytest.mark.parametrize("n", [45, 60, 400])
+def test_a_run_of_a_long_item(docs_of, spark, n):
+    r = random.Random(n)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) + ("7" if i % 5 == 0 else "") for i in range(n)]
+    run = lambda k, at: "so " + " ".join(words[at : at + k]) + " it goes"
+    texts = [run(25, 3), run(13, 20), run(13, 0).upper(), run(13, n - 13), run(12, 20), " ".join(words[:8] + ["x"] + words[9:17] + ["y"] + words[18:20])]
+    assert hits(docs_of, spark, texts, [(1, " ".join(words))]) == {(i, 1): False for i in range(4)}
+    # Slots that contradict each other around a long run.
+    other = " ".join("12" if w == words[0] else w for w in words[:5]) + " " + " ".join(words[5:31] + ["12" if w[-1] == "7" else w for w in words[31:]])
+    assert hits(docs_of, spark, [other], [(1, " ".join(words))]) == {(0, 1): False}
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
