@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
+
 #: The clearance levels in order.
 LEVELS = ("public", "internal", "sensitive", "core")
 REASONS = ("document_not_effective", "not_yet_effective", "expired", "clearance", "department", "role", "region")
@@ -66,10 +68,7 @@ def restrict(rows: DataFrame, identity: dict[str, object], as_of: str) -> DataFr
 
 
 def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str, who_key: str, max_identities: int = 10_000) -> DataFrame:
-    """(identity, row) pairs that pass. Identities are a stated set: their number is checked against
-    ``max_identities`` before they are broadcast."""
-    if identities.limit(max_identities + 1).count() > max_identities:
-        raise ValueError(f"more than {max_identities} identities; pass them in blocks")
+    """(identity, row) pairs that pass. Identities are broadcast in blocks of about ``max_identities``."""
     day = F.lit(as_of).cast("date")
     # What depends on one side only is done before the join; the pair compares prepared values.
     region = F.lower(F.trim("region"))
@@ -83,4 +82,4 @@ def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str,
         & (F.col("__any_dep") | F.array_contains("__dep", F.col("__d")))
         & (F.col("__any_rol") | F.arrays_overlap("__rol", "__r"))
     )
-    return r.join(F.broadcast(w), cond).select(who_key, key)
+    return in_blocks(w, who_key, max_identities, lambda block: r.join(F.broadcast(block), cond).select(who_key, key))

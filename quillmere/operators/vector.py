@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import in_blocks
 
 
 def indexed(rows: DataFrame, key: str, embedding: str, dimension: int) -> DataFrame:
@@ -20,13 +21,14 @@ def rejected(rows: DataFrame, key: str, embedding: str, dimension: int) -> DataF
 
 
 def cosine_scores(index: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", max_queries: int = 20_000) -> DataFrame:
-    """query, key, score for all pairs. The stated queries are counted before they are broadcast;
-    pass more than ``max_queries`` in blocks."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; pass them in blocks")
-    q = queries.select(query_key, F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
-    pairs = index.join(F.broadcast(q), F.size("v") == F.size("qv"))
-    return pairs.select(query_key, key, (V.dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    """query, key, score for all pairs. The stated queries are broadcast in blocks of about ``max_queries``."""
+
+    def scored(block: DataFrame) -> DataFrame:
+        q = block.select(query_key, F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+        pairs = index.join(F.broadcast(q), F.size("v") == F.size("qv"))
+        return pairs.select(query_key, key, (V.dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm"))).alias("score"))
+
+    return in_blocks(queries, query_key, max_queries, scored)
 
 
 def top_k(scored: DataFrame, k: int, key: str, query_key: str = "query_id", ordinal: str | None = None, digits: int = 9) -> DataFrame:

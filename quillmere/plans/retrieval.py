@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import access, evaluation, fusion, lexical, safety, vector
+from ..operators.blocks import in_blocks
 from ..session import table
 from .common import ALLOWED, AS_OF, GOVERNED, IDENTITY, TERMS, benchmark_queries, governed, terms
 
@@ -196,6 +197,10 @@ cases AS (SELECT case_id, channel, {", ".join(f"len(list_intersect(retrieved[1:{
   coalesce(1.0 / (SELECT min(i) FROM (SELECT unnest(range(1, 6)) AS i) WHERE list_contains(relevant, retrieved[i])), 0.0) AS mrr FROM retrieved JOIN rel USING (label))"""
 
 
+#: Cases that are broadcast at a time.
+CASES = 20_000
+
+
 def _cases(spark, d):
     from pyspark.sql import Window
 
@@ -203,9 +208,7 @@ def _cases(spark, d):
 
     i = _index(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
     q = i.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("case_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"), F.col("label").alias("ql"))
-    if q.limit(20_001).count() > 20_000:
-        raise ValueError("more than 20,000 cases; pass them in blocks")
-    p = i.join(F.broadcast(q), F.col("vec_id") != F.col("case_id"))
+    p = in_blocks(q, "case_id", CASES, lambda block: i.join(F.broadcast(block), F.col("vec_id") != F.col("case_id")))
     product = dot(F.col("v"), F.col("qv"))
     s = p.select("case_id", F.col("ql").alias("label"), "vec_id", F.inline(F.array(F.struct(F.lit("cosine").alias("channel"), F.round(product / (F.col("norm") * F.col("qn")), 9).alias("score")), F.struct(F.lit("dot").alias("channel"), F.round(product, 9).alias("score")))))
     r = s.withColumn("r", F.row_number().over(Window.partitionBy("channel", "case_id").orderBy(F.desc("score"), "vec_id"))).where("r <= 5")

@@ -204,3 +204,23 @@ def test_folds(spark):
     assert [r.draft_status for r in folds.session_workflow(m).orderBy("turn").collect()] == ["waiting_for_information", "confirmed", "submitted", "submitted"]
     r = spark.createDataFrame([("d", 1, {"a": "1"}), ("d", 2, {"b": "2"}), ("d", 3, {"a": "3"})], "draft_id string, revision int, fields map<string,string>")
     assert [x.fields for x in folds.revise(r).orderBy("revision").collect()] == [{"a": "1"}, {"a": "1", "b": "2"}, {"a": "3", "b": "2"}]
+
+
+def test_stated_sets_beyond_a_block(spark, monkeypatch):
+    from quillmere.operators import access
+    from quillmere.plans import retrieval
+
+    rows = spark.createDataFrame([(k, [float(k % 5 + 1), float(k % 3)]) for k in range(1, 12)], "id long, e array<double>")
+    i = vector.indexed(rows, "id", "e", 2)
+    q = i.select(F.when(F.col("id") > 1, F.floor(F.col("id") / 3)).alias("query_id"), "v", "norm")
+    got = lambda n: sorted(map(str, vector.cosine_scores(i, q, "id", max_queries=n).collect()))
+    assert len(got(100)) == 121 and got(100) == got(1) == got(2) == got(5)
+    docs = spark.createDataFrame([(k, "effective", k % 3, ["ALL"], ["ALL"], "en") for k in range(6)], "doc_id long, status string, rank int, departments array<string>, roles array<string>, region string")
+    docs = docs.withColumn("effective", F.lit("2024-01-01").cast("date")).withColumn("expiry", F.lit(None).cast("date"))
+    who = spark.createDataFrame([(k, "a", ["b"], k % 3, "en") for k in range(7)], "who long, department string, roles array<string>, rank int, region string")
+    seen = lambda n: sorted((r.who, r.doc_id) for r in access.allowed_pairs(docs, who, "2024-06-30", "doc_id", "who", max_identities=n).collect())
+    assert seen(100) == seen(3) == sorted((w, k) for w in range(7) for k in range(6) if k % 3 <= w % 3)
+    cases = lambda: sorted(map(str, retrieval.mrr_at_k(spark, "/root/testdata/sf0.001").collect()))
+    whole = cases()
+    monkeypatch.setattr(retrieval, "CASES", 1)
+    assert len(whole) > 2 and cases() == whole
