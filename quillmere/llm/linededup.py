@@ -1,17 +1,21 @@
 """Line dedup over levelled sorted runs of line keys. DataFrame functions only.
 
 The store is a list of levels; a level holds sorted runs of (128-bit line key, first document).
-A batch of documents merge-anti-joins the runs: keys that no run holds become a new sorted run
-of level 0, and a level with ``fan_in`` runs is compacted to one run of the next level. Batches
-arrive in order of document id, so the first holder of a key is its smallest id.
-
-A common line costs one pre-aggregated row for each map task. Joins of line occurrences with
-keys are plain sort-merge joins with nothing above them that needs a key together, so adaptive
-execution can split a hot key.
+Runs are tables bucketed and sorted by the key, all with the same number of buckets, so a batch
+of documents meets them bucket by bucket: its keys are shuffled once and merge-joined with each
+run as it lies on disk. Keys that no run holds become a new run of level 0, and a level with
+``fan_in`` runs is merged, again bucket by bucket, to one run of the next level. Batches arrive
+in order of document id, so the first holder of a key is its smallest id.
+
+Texts are split twice: once for the line keys, which are stored in the order of the input, and
+once to put the lines that stay together. A common line costs one pre-aggregated row for each map
+task. The join of line occurrences with repeated keys is a plain merge join with nothing above
+it that needs a key together, so adaptive execution can split a hot key.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,69 +45,77 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_length: int) -> Dat
     return keyed.select("d", "t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"))
 
 
+@contextmanager
+def _merging(spark, buckets: int):
+    """Plan with as many shuffle partitions as buckets, and take buckets as sorted as they were written."""
+    wanted = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 class LineRuns:
-    """Levelled runs of line keys in the shared folder."""
+    """Levelled runs of line keys in the shared folder: h1, h2, first; a key is in one run only."""
 
-    def __init__(self, spark, fan_in: int = 2):
-        self.space, self.fan_in, self.levels, self._n = Workspace(spark, "lines"), fan_in, [], 0
+    def __init__(self, spark, buckets: int, fan_in: int = 2):
+        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
+        self.space, self.levels, self._n = Workspace(spark, "lines"), [], 0
 
-    def _name(self, kind: str) -> str:
+    def _store(self, df: DataFrame) -> DataFrame:
         self._n += 1
-        return f"{kind}-{self._n}"
-
-    def known(self) -> DataFrame | None:
-        """h1, h2, first over all runs; a key is in one run only."""
-        every = [run for level in self.levels for _, run in level]
-        return reduce(DataFrame.unionAll, every) if every else None
+        return self.space.write_bucketed(df, f"run-{self._n}", self.buckets, "h1", "h2")
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Take a batch in; return its keys that are repeated: h1, h2, first (the document that keeps them)."""
-        keys = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-        held = self.known()
-        if held is None:
-            merged = keys.withColumn("seen", F.lit(False))
-        else:
-            held = held.select("h1", "h2", F.col("first").alias("before")).hint("merge")
-            merged = keys.join(held, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("before", "first").alias("first"), "last", F.col("before").isNotNull().alias("seen"))
-        table = self.space.write(merged.sortWithinPartitions("h1", "h2"), self._name("batch"))
-        self._push(0, table.where(~F.col("seen")).select("h1", "h2", "first"))
+        with _merging(self.spark, self.buckets):
+            merged = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+            runs = [run for level in self.levels for run in level]
+            for i, run in enumerate(runs):
+                merged = merged.join(run.withColumnRenamed("first", f"run{i}").hint("merge"), ["h1", "h2"], "left")
+            before = F.coalesce(*[F.col(f"run{i}") for i in range(len(runs))], F.lit(None).cast(lines.schema["d"].dataType))
+            table = self._store(merged.select("h1", "h2", F.coalesce(before, "first").alias("first"), "last", before.isNotNull().alias("seen")))
+            self._push(0, table.where(~F.col("seen")).select("h1", "h2", "first"))
         return table.where(F.col("seen") | (F.col("first") < F.col("last"))).select("h1", "h2", "first")
 
-    def _push(self, level: int, run: DataFrame, name: str | None = None) -> None:
+    def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, run))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
             runs, self.levels[level] = self.levels[level], []
-            merged = reduce(DataFrame.unionAll, [r for _, r in runs]).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-            to = self._name("run")
-            table = self.space.write(merged, to)
-            for old, _ in runs:
-                if old:
-                    self.space.drop(old)
-            self._push(level + 1, table, to)
+            self._push(level + 1, self._store(reduce(_merged, runs)))
+
+
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs without a common key, merged in order of the key."""
+    both = a.join(b.withColumnRenamed("first", "other").hint("merge"), ["h1", "h2"], "full_outer")
+    return both.select("h1", "h2", F.coalesce("first", "other").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 10, batches: int = 4, fan_in: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 10, batches: int = 4, fan_in: int = 2, buckets: int | None = None) -> DataFrame:
     """All columns of ``docs``, with n_lines, n_dropped and kept (the text that stays).
 
     A key of at least ``min_length`` code points that several documents hold loses its lines in
     all but the smallest id. Rows of one id are one document; a row with a null id is left as
-    it is and counts for nothing. A null text is one empty line, and is kept as an empty text.
+    it is and counts for nothing. A null text is one empty line, and is kept as an empty text. A
+    very long text is split like any other; an empty table gives none. An input column named
+    n_lines, n_dropped or kept is replaced.
     """
     spark = docs.sparkSession
-    store = LineRuns(spark, fan_in)
+    store = LineRuns(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fan_in)
     cuts = docs.agg(F.percentile_approx(doc_id, F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)).alias("c")).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    drops = []
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        part = docs
-        part = part if lo is None else part.where(F.col(doc_id) > lo)
-        part = part if hi is None else part.where(F.col(doc_id) <= hi)
-        lines = occurrences(part, doc_id, text, min_length)
-        repeated = store.add(lines)
-        drops.append(lines.join(repeated.hint("merge"), ["h1", "h2"]).where("d > first").select("d", "t", "pos"))
-    per_doc = reduce(DataFrame.unionAll, drops).groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
+    batch = sum((F.when(F.col("d") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    lines = store.space.write(occurrences(docs, doc_id, text, min_length).withColumn("batch", batch.cast("int")), "occurrences", partition_by="batch")
+    repeated = reduce(DataFrame.unionAll, [store.add(lines.where(F.col("batch") == i)) for i in range(len(cuts) + 1)])
+    repeated = repeated.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    drops = lines.join(repeated.hint("merge"), ["h1", "h2"]).where("d > first")
+    per_doc = drops.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     per_doc = per_doc.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__drop")
     joined = docs.join(per_doc.hint("merge"), (F.col(doc_id) == F.col("__d")) & (F.xxhash64(F.col(text)) == F.col("__t")), "left")
     lined = joined.withColumn("__lines", lines_of(F.col(text))).withColumn("n_lines", F.size("__lines").cast("bigint")).withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint"))

@@ -4,26 +4,33 @@ Targets. Source weights share the whole size; a target stops at ``max_repeats``
 source's size and the excess is shared again by weight. That is a water level: the target is
 the smaller of the cap and level * weight.
 
-Schedule. Slot i is the golden-ratio point frac(i * phi), mapped through the cumulative
-weights to a source; the r-th slot of a source takes the r-th equal-token block of that
-source's shuffled stream. A stream repeats when it is used up, a block may begin and end
-inside a document, and a source's last block is cut to its target.
-
-Scale. Rows are shuffled by a hash into cells of a source; offsets come from prefix sums over
-cells and then inside one cell, so a source with a third of all rows is never in one task.
-The number of slots is fixed (``slots``), not a function of the input.
+Schedule. The cumulative weights give each source a share of a fixed total of slots, two at
+least, in proportion to its target. Slot i is the golden-ratio point i * phi mod 1, mapped
+through the cumulative weights to a source; the slots of a source are ranked. The slots that a
+source wins are the number of equal-token blocks that its shuffled stream is cut to, up to its
+target: the r-th slot takes the r-th block. A stream repeats when it is used up, and a block may
+begin and end inside a document. What is taken of a document is the sum over its won blocks; a
+source that won no slot would give nothing (two slots' width always holds a point).
+
+Scale. Texts are read once, for their sizes. Rows are shuffled by a hash into cells of a source;
+offsets come from prefix sums over cells and then inside one cell, so a source with a third of
+all rows is never in one task. Points are generated, counted and ranked in runs of slots. A
+block holds at most ``block_words`` words however large the input is. Sources are one row each
+in a table; none of it goes through the driver.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 WORD = r"[^\x20\x09-\x0D]+"
-PHI = 0.6180339887498949
 WEIGHT_CYCLE = (5, 2, 1)
+#: The golden ratio's fraction in 62 bits, in two halves, so that points are exact integers.
+BITS = 31
+PHI_HIGH, PHI_LOW = divmod(2850178704830799621, 1 << BITS)
 
 
 def n_words(text: Column) -> Column:
@@ -44,103 +51,126 @@ def water_level(sizes: list[int], weights: list[float], max_repeats: int) -> lis
     return [min(float(c), level * w) for c, w in zip(caps, weights, strict=True)]
 
 
-def source_plan(sources: list[tuple[str | None, int]], slots: int, cycle: tuple[float, ...], max_repeats: int) -> list[dict]:
-    """Targets, slot counts and cumulative slot weights of the sources, ordered by code point, null last."""
-    ranked = sorted(sources, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-8")))
-    weights = [cycle[i % len(cycle)] for i in range(len(ranked))]
-    targets = water_level([s for _, s in ranked], weights, max_repeats) if sum(s for _, s in ranked) else [0.0] * len(ranked)
-    block = max(1, -(-sum(s for _, s in ranked) // slots))
-    plan = []
-    for i, ((name, size), target) in enumerate(zip(ranked, targets, strict=True)):
-        take = min(int(target + 0.5), max_repeats * size)
-        plan.append({"sid": i, "source": name, "source_size": size, "target": target, "take": take, "need": -(-take // block), "block": block})
-    every, done = sum(p["need"] for p in plan), 0
-    for p in plan:
-        p["lo"] = done / every if every else 0.0
-        done += p["need"]
-        p["hi"] = done / every if every else 0.0
-    return plan
-
-
-def _rows(spark, rows: list[dict], schema: str) -> DataFrame:
-    """A few rows as a literal, so that the plan stays in the JVM."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-
-
-def schedule(spark, plan: list[dict], grid: int = 4096, run: int = 4096) -> DataFrame:
-    """sid, rank, slot: which slot takes the rank-th block of each source. Every needed rank has one."""
-    needed = [p for p in plan if p["need"]]
-    every = sum(p["need"] for p in needed)
-    schema = "sid: int, need: bigint, lo: double, hi: double"
-    src = _rows(spark, [{k: p[k] for k in ("sid", "need", "lo", "hi")} for p in needed], schema)
-    n = 6 * every
-    cells = src.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))))
-    points = spark.range(1, n + 1).select(F.col("id").alias("slot"), (F.col("id") * F.lit(PHI) % F.lit(1.0)).alias("u")).withColumn("cell", F.floor(F.col("u") * grid))
-    hits = points.join(cells, "cell").where("u >= lo and u < hi").select("sid", "need", "slot", F.expr(f"slot div {run}").alias("run"))
+def source_plan(sizes: DataFrame, cycle: tuple[float, ...], max_repeats: int, slots: int, block_words: int) -> DataFrame:
+    """sid, source, source_size, target, take, lo, hi, n_slots of every source of ``sizes`` (source,
+    source_size). Sources are ordered by code point, null last; the windows run over one row a source.
+    ``lo`` and ``hi`` bound the source's share of the points in 62-bit integers."""
+    ranked = sizes.withColumn("sid", (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1).cast("bigint"))
+    place = F.pmod(F.col("sid"), F.lit(len(cycle)))
+    weight = F.lit(float(cycle[-1]))
+    for i, w in reversed(list(enumerate(cycle[:-1]))):
+        weight = F.when(place == i, float(w)).otherwise(weight)
+    cap = (max_repeats * F.col("source_size")).cast("double")
+    by_ratio = Window.orderBy("ratio", "sid")
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
+    r = ranked.withColumn("weight", weight).withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("weight"))
+    r = r.withColumn("total", F.sum("source_size").over(everything)).withColumn("capped", F.coalesce(F.sum(max_repeats * F.col("source_size")).over(before), F.lit(0))).withColumn("open_weight", F.sum("weight").over(after))
+    level = (F.col("total") - F.col("capped")).cast("double") / F.col("open_weight")
+    # The level is that of the first source, by cap over weight, whose cap it doesn't pass.
+    r = r.withColumn("level", F.min(F.when(level <= F.col("ratio"), F.struct("ratio", "sid", level.alias("level")))).over(everything)["level"])
+    r = r.withColumn("target", F.least("cap", F.coalesce("level", F.lit(0.0)) * F.col("weight"))).withColumn("take", F.least(F.floor(F.col("target") + 0.5).cast("bigint"), max_repeats * F.col("source_size")))
+    block = F.least(F.lit(block_words), F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(slots))))
+    # Slots in proportion to the target, rounded up, and two at least for a source with words.
+    share = F.when(F.col("take") > 0, F.greatest(F.lit(2), F.ceil(F.col("take") / block))).otherwise(F.lit(0)).cast("bigint")
+    upto = F.sum("share").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("share", share).withColumn("n_slots", F.sum("share").over(everything)).withColumn("upto", upto)
+    scale = F.lit(1 << 2 * BITS).cast("decimal(20,0)")
+    edge = lambda c: F.floor(c.cast("decimal(18,0)") * scale / F.greatest(F.col("n_slots"), F.lit(1)).cast("decimal(18,0)")).cast("bigint")
+    return r.select("sid", "source", "source_size", "target", "take", edge(F.col("upto") - F.col("share")).alias("lo"), edge(F.col("upto")).alias("hi"), "n_slots")
+
+
+def golden_point(slot: Column) -> Column:
+    """slot * phi mod 1 in 62-bit integers, for slots below 2**31; no product passes 63 bits."""
+    half = 1 << BITS
+    return ((slot * PHI_HIGH % half) * half + slot * PHI_LOW) % (1 << 2 * BITS)
+
+
+def schedule(points: DataFrame, plan: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """sid, rank, slot: the source of every slot in ``points`` (slot), ranked within its source.
+
+    A point meets its source by an equi-join on cells of the unit interval, so the number of
+    sources may be large. Ranks come from counts of runs of slots and a window inside one run.
+    """
+    grid = 1 << 12
+    cell = lambda c: F.floor(c / F.lit(1 << (2 * BITS - 12)))
+    cells = plan.where("hi > lo").select("sid", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(grid - 1)))).alias("cell"))
+    u = points.withColumn("u", golden_point(F.col("slot"))).withColumn("cell", cell(F.col("u")))
+    hits = u.join(cells, "cell").where("u >= lo and u < hi").select("sid", "slot", F.expr(f"slot div {run}").alias("run"))
     per_run = hits.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("c"))
-    before = per_run.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot"))).join(before, ["sid", "run"]).select("sid", (F.col("r") + F.col("before")).alias("rank"), "slot", "need").where("rank <= need").drop("need")
-    ranks = src.select("sid", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("need"))).alias("rank"))
-    return ranks.join(ranked, ["sid", "rank"], "left").select("sid", "rank", F.coalesce("slot", F.lit(n) + F.col("rank")).alias("slot"))
-
-
-def streams(docs: DataFrame, doc_id: str, source: str, cells: int) -> DataFrame:
-    """Each row's offset in its source's shuffled stream of words, with its place (cell, place)."""
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    d = docs.withColumn("__key", key).withColumn("__cell", F.floor(F.conv(F.substring("__key", 1, 6), 16, 10).cast("bigint") * cells / F.lit(1 << 24)).cast("int"))
-    cell_sums = d.groupBy(source, "__cell").agg(F.sum("size").alias("__sum"))
-    earlier = Window.partitionBy(source).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cell_sums = cell_sums.select(F.col(source).alias("__s"), F.col("__cell").alias("__c"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
-    within = Window.partitionBy(source, "__cell").orderBy("__key", doc_id)
+    earlier = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_run.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).drop("c")
+    inside = F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot"))
+    return hits.withColumn("r", inside).join(before, ["sid", "run"]).select("sid", (F.col("r") + F.col("before")).cast("bigint").alias("rank"), "slot")
+
+
+def streams(sized: DataFrame, cells: int) -> DataFrame:
+    """Each row's offset in its source's shuffled stream of words (__at), with its place (__cell, __place)."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    d = sized.withColumn("__key", key).withColumn("__cell", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * cells / F.lit(1 << 32)).cast("bigint"))
+    earlier = Window.partitionBy("source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cell_sums = d.groupBy("source", "__cell").agg(F.sum("size").alias("__sum")).select(F.col("source").alias("__s"), F.col("__cell").alias("__c"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("source", "__cell").orderBy("__key", "doc_id", "size")
     d = d.withColumn("__place", F.row_number().over(within)).withColumn("__in", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    return d.join(cell_sums, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c"))).withColumn("__at", F.col("__base") + F.col("__in")).drop("__s", "__c", "__base", "__in", "__key")
+    placed = d.join(cell_sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c")))
+    return placed.withColumn("__at", F.col("__base") + F.col("__in")).drop("__s", "__c", "__base", "__in", "__key")
 
 
 class Mix:
     """The mix of ``docs``; ``pieces`` is the schedule itself, ``taken`` the count per row.
 
-    A null text has size 0; rows with a null or repeated id each count. ``max_sources`` bounds
-    what is gathered on the driver (one row for each source); more sources are an error.
+    ``slots`` is the least number of blocks where the words allow it, ``block_words`` the most
+    words of a block: a small input is cut finely and a large one never more coarsely than that.
+    A null text has size 0 and very long texts are cut at block borders like any other; rows with
+    a null or repeated id each count; an empty table gives no row. Only id, source and text are
+    read, so other columns of any name don't matter.
     """
 
-    def __init__(self, docs: DataFrame, doc_id="doc_id", source="source", text="text", slots=1 << 17, cells=None, cycle=WEIGHT_CYCLE, max_repeats=3, max_sources=100_000):
-        spark = docs.sparkSession
-        cells = cells or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-        sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
-        found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
-        if len(found) > max_sources:
-            raise ValueError(f"more than {max_sources} sources")
-        self.plan = source_plan([(r[0], r[1]) for r in found], slots, cycle, max_repeats)
-        fields = "sid: int, source: string, source_size: bigint, target: double, take: bigint, need: bigint, block: bigint"
-        kept = [{k: v for k, v in p.items() if k not in ("lo", "hi")} for p in self.plan]
-        src = _rows(spark, kept, fields).withColumnRenamed("source", "__src")
-        s = streams(sized, "doc_id", "source", cells)
-        rows = s.join(F.broadcast(src) if len(kept) <= 10_000 else src, F.col("source").eqNullSafe(F.col("__src"))).drop("__src")
+    def __init__(self, docs: DataFrame, doc_id="doc_id", source="source", text="text", slots=1 << 17, block_words=1 << 14, cell_rows=1 << 15, cycle=WEIGHT_CYCLE, max_repeats=3):
+        spark, space = docs.sparkSession, Workspace(docs.sparkSession, "mixing")
+        sized = space.write(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sized")
+        sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        self.plan = space.write(source_plan(sizes, cycle, max_repeats, slots, block_words).coalesce(1), "plan")
+        n = self.plan.agg(F.max("n_slots")).first()[0] or 0
+        if n >= 1 << BITS:
+            raise ValueError("block_words is too small for this input: it takes 2**31 slots or more")
+        points = spark.range(1, n + 1).select(F.col("id").alias("slot"))
+        self._slots = space.write(schedule(points, self.plan), "slots")
+        won = self._slots.groupBy("sid").agg(F.count(F.lit(1)).alias("won"))
+        # Blocks are equal to a word: the first ``longer`` of the won ones have size ``short`` + 1.
+        src = self.plan.join(won, "sid", "left").select("sid", F.col("source").alias("__src"), "source_size", "target", F.when(F.col("won") > 0, F.col("take")).otherwise(0).alias("take"), F.coalesce("won", F.lit(0)).alias("won"))
+        src = src.withColumn("short", F.when(F.col("won") > 0, F.expr("take div won")).otherwise(0)).withColumn("longer", F.when(F.col("won") > 0, F.col("take") % F.col("won")).otherwise(0))
+        placed = streams(sized, max(64, -(-sized.count() // cell_rows)))
+        rows = placed.join(src, F.col("source").eqNullSafe(F.col("__src"))).drop("__src")
         # Copies of a row on the unrolled stream: one for each pass that the source's words allow.
         passes = F.when(F.col("take") > 0, F.sequence(F.lit(0).cast("bigint"), F.expr("(take - 1) div greatest(source_size, 1)"))).otherwise(F.array(F.lit(0).cast("bigint")))
         unrolled = rows.withColumn("pass", F.explode(passes)).withColumn("lo", F.col("__at") + F.col("pass") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("take")))
-        ranks = F.when(F.col("hi") > F.col("lo"), F.sequence(F.expr("lo div block + 1"), F.expr("(hi - 1) div block + 1")))
-        self._pieces = unrolled.withColumn("rank", F.explode_outer(ranks)).withColumn("words", F.when(F.col("rank").isNull(), F.lit(0)).otherwise(F.least(F.col("hi"), F.col("rank") * F.col("block")) - F.greatest(F.col("lo"), (F.col("rank") - 1) * F.col("block"))))
-        self._slots = schedule(spark, self.plan)
+        ranks = F.when(F.col("hi") > F.col("lo"), F.sequence(self._block_of("lo"), self._block_of("hi - 1")))
+        self._rows, self._unrolled = rows, unrolled.withColumn("rank", F.explode_outer(ranks))
+
+    @staticmethod
+    def _block_of(word: str) -> Column:
+        """The rank of the block that holds a word of the unrolled stream."""
+        return F.expr(f"case when {word} < longer * (short + 1) then ({word}) div (short + 1) + 1 else longer + ({word} - longer * (short + 1)) div greatest(short, 1) + 1 end")
 
     def pieces(self) -> DataFrame:
-        """The mix in order: slot, sid, rank, doc_id, pass, from (word of the document), words."""
-        p = self._pieces.where("rank is not null").join(self._slots, ["sid", "rank"])
-        begin = F.greatest(F.col("lo"), (F.col("rank") - 1) * F.col("block")) - F.col("lo")
-        return p.select("slot", "sid", "rank", "doc_id", "source", "pass", begin.alias("from_word"), "words")
+        """The mix in order: slot, sid, rank, doc_id, pass, from (word of the document), words, and the row's place."""
+        begin = F.expr("(rank - 1) * short + least(rank - 1, longer)")
+        end = F.expr("rank * short + least(rank, longer)")
+        p = self._unrolled.where("rank is not null").withColumn("__from", F.greatest(F.col("lo"), begin)).withColumn("words", F.least(F.col("hi"), end) - F.col("__from"))
+        won = p.join(self._slots, ["sid", "rank"])
+        return won.select("slot", "sid", "rank", "doc_id", "source", "pass", (F.col("__from") - F.col("lo")).alias("from_word"), "words", "__cell", "__place")
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken and first_slot of every row."""
-        # Rows that no block takes get ranks of their own, so that they don't meet in one task.
-        spread = F.coalesce("rank", -1 - F.pmod(F.xxhash64("doc_id", "__cell", "__place"), F.lit(1 << 40)))
-        p = self._pieces.withColumn("rank", spread).join(self._slots, ["sid", "rank"], "left")
-        return p.groupBy("doc_id", "source", "size", "source_size", "target", "sid", "__cell", "__place").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).drop("sid", "__cell", "__place")
+        """doc_id, source, size, source_size, target, taken, source_slots and first_slot of every row."""
+        got = self.pieces().groupBy("sid", "__cell", "__place").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+        return self._rows.join(got, ["sid", "__cell", "__place"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.col("won").alias("source_slots"), "first_slot")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     m = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return m.taken().select("doc_id", "size", "source_size", "target", "taken")
+    return m.taken().select("doc_id", "size", "source_size", "target", "taken", "source_slots", "first_slot")
 
 
 OP6_SQL = r"""
@@ -162,16 +192,42 @@ WITH d AS (
   SELECT arg_min(CAST(total - capped AS DOUBLE) / CAST(open_weight AS DOUBLE), (ratio, sid)) AS level
   FROM o WHERE CAST(total - capped AS DOUBLE) / CAST(open_weight AS DOUBLE) <= ratio
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce((SELECT level FROM level), 0) * weight) AS target FROM w
+  SELECT sid, source, source_size, total, least(cap, coalesce((SELECT level FROM level), 0) * weight) AS target FROM o
 ), u AS (
-  SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS take FROM t
+  SELECT *, CAST(least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS BIGINT) AS take,
+         least(16384, greatest(1, CAST(ceil(total / 131072) AS BIGINT))) AS block FROM t
+), n AS (
+  SELECT *, CASE WHEN take > 0 THEN greatest(2, (take + block - 1) // block) ELSE 0 END AS share FROM u
+), e AS (
+  SELECT *, sum(share) OVER () AS n_slots, sum(share) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS upto FROM n
+), iv AS (
+  SELECT sid, source, source_size, target, take,
+         (CAST(upto - share AS HUGEINT) * 4611686018427387904) // n_slots AS lo, (CAST(upto AS HUGEINT) * 4611686018427387904) // n_slots AS hi
+  FROM e
+), points AS (
+  SELECT slot, (CAST(slot AS HUGEINT) * 2850178704830799621) % 4611686018427387904 AS u
+  FROM (SELECT unnest(range(1, 1 + CAST((SELECT max(n_slots) FROM e) AS BIGINT))) AS slot)
+), ranked AS (
+  SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) AS rank FROM points JOIN iv ON u >= lo AND u < hi
+), won AS (
+  SELECT iv.*, count(slot) AS won FROM iv LEFT JOIN ranked ON iv.sid = ranked.sid GROUP BY ALL
+), blocks AS (
+  SELECT won.sid, slot, (rank - 1) * (take // won) + least(rank - 1, take % won) AS b0, rank * (take // won) + least(rank, take % won) AS b1
+  FROM ranked JOIN won ON ranked.sid = won.sid
 ), p AS (
   SELECT doc_id, source, size,
-         CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a
+         CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a,
+         row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size) AS place
   FROM d
+), passes AS (
+  SELECT sid, place, a + pass * source_size AS lo, a + pass * source_size + size AS hi
+  FROM p JOIN won ON p.source IS NOT DISTINCT FROM won.source, (SELECT unnest(range(0, 3)) AS pass)
+), pieces AS (
+  SELECT passes.sid, place, slot, least(hi, b1) - greatest(lo, b0) AS words
+  FROM passes JOIN blocks ON passes.sid = blocks.sid AND b0 < hi AND b1 > lo
+), got AS (
+  SELECT sid, place, sum(words) AS taken, min(slot) AS first_slot FROM pieces GROUP BY sid, place
 )
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE
-         (take // source_size) * size + greatest(0, least(a + size, take % source_size) - a) END AS BIGINT) AS taken
-FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, won AS source_slots, first_slot
+FROM p JOIN won ON p.source IS NOT DISTINCT FROM won.source LEFT JOIN got ON got.sid = won.sid AND got.place = p.place
 """

@@ -1,8 +1,10 @@
 """Token counts: an exact length histogram that answers questions for every context limit.
 
-The corpus is encoded once. Documents are counted by encoded length, and sums over that
-histogram give totals, quantiles and truncated totals for any limit with no second pass.
-A null or empty text has length 0; special-token strings in a text are ordinary text.
+The corpus is encoded once. Documents are counted by encoded length, the histogram is written,
+and sums over it give totals, quantiles and truncated totals for any limit with no second pass.
+A null or empty text has length 0; special-token strings in a text are ordinary text. Each row
+counts, whether or not ids repeat or are null; an empty table gives an empty histogram. A task
+holds one Arrow batch of texts, so a very long text costs memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,8 +52,10 @@ def token_lengths(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens, n_docs: one row for each encoded length that occurs."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs: one row for each encoded length that occurs. The histogram is written, as the
+    sums read it twice."""
+    counted = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return Workspace(lengths.sparkSession, "tokens").write(counted, "histogram")
 
 
 def context_table(histogram: DataFrame, block: int = 256) -> DataFrame:

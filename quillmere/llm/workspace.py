@@ -13,13 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/quillmere-shared"
+LOCAL_DIR = "/tmp/quillmere-shared"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is set, a folder of this machine in local
+    mode, and an error on a cluster, whose executors couldn't read each other's tables."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named or FALLBACK_DIR
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or LOCAL_DIR
 
 
 class Workspace:
@@ -36,13 +39,20 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
+    def write(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return the table as read back, with no lineage behind it."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(table))
         schema = df.schema
         del df
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def write_bucketed(self, df: DataFrame, table: str, buckets: int, *keys: str) -> DataFrame:
+        """Write ``df`` in buckets of ``keys``, sorted by them. The table's name goes with this session."""
+        name = f"quillmere_{self.root.rsplit('-', 1)[-1]}_{table.replace('-', '_')}"
+        df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self.path(table)).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, table: str) -> None:
         self._fs.delete(self._path(self.path(table)), True)
 
@@ -54,10 +64,6 @@ class Workspace:
 
 def block_count(df: DataFrame, text: str, block_bytes: int = 8 << 20, least: int = 32) -> int:
     """Blocks for packed exchanges, so that a block fits a task whatever the shuffle parallelism is:
-    by the size that the input's files tell, or by the bytes of its texts where the planner knows none."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    # Past joins and the like the planner's size is a guess, often a product.
-    if any(x in plan.toString() for x in ("LogicalRDD", "Join", "Generate", "Expand", "Aggregate", "MapIn")):
-        size = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
+    by the bytes of the texts."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(least, -(-size // block_bytes))

@@ -322,7 +322,53 @@ def test_mix_of_nothing(docs_of):
     assert mixed(docs_of, []).taken().count() == 0
     assert [x.taken for x in mixed(docs_of, [(1, None, None)]).taken().collect()] == [0]
     with pytest.raises(ValueError):
-        mixed(docs_of, [(1, "a", "x"), (2, "b", "x")], max_sources=1)
+        mixed(docs_of, [(1, "a", "x " * 9)], block_words=0.000_000_001)
+
+
+def brute_mix(rows, slots, block_words):
+    """The schedule slot by slot: taken words, first slot and won slots of every row, by (source, place)."""
+    sized = [(i, s, len(W.findall(t or ""))) for i, s, t in rows]
+    names = sorted({s for _, s, _ in sized}, key=lambda s: (s is None, (s or "").encode()))
+    size = [sum(n for _, s, n in sized if s == name) for name in names]
+    targets = mixing.water_level(size, [(5, 2, 1)[k % 3] for k in range(len(names))], 3)
+    take = [min(int(t + 0.5), 3 * n) for t, n in zip(targets, size, strict=True)]
+    block = min(block_words, max(1, math.ceil(sum(size) / slots)))
+    share = [max(2, math.ceil(t / block)) if t else 0 for t in take]
+    phi, edges = (mixing.PHI_HIGH << 31) + mixing.PHI_LOW, [sum(share[:k]) for k in range(len(share) + 1)]
+    won = [[] for _ in names]
+    for slot in range(1, edges[-1] + 1):
+        u = slot * phi % (1 << 62)
+        won[next(k for k in range(len(names)) if (edges[k] << 62) // edges[-1] <= u < (edges[k + 1] << 62) // edges[-1])].append(slot)
+    out = []
+    for k, name in enumerate(names):
+        mine = sorted((r for r in sized if r[1] == name), key=lambda r: (hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), r[0] is not None, r[0] or 0, r[2]))
+        owner = [place for place, r in enumerate(mine) for _ in range(r[2])]
+        words, first = Counter(), {}
+        at = 0
+        for n, slot in enumerate(won[k]):
+            for _ in range(take[k] // len(won[k]) + (n < take[k] % len(won[k]))):
+                place = owner[at % len(owner)]
+                words[place] += 1
+                first[place] = min(slot, first.get(place, slot))
+                at += 1
+        out += [(r[0], name, r[2], words[place], first.get(place), len(won[k])) for place, r in enumerate(mine)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("slots", "block_words"), [(1 << 17, 1 << 14), (40, 1 << 14), (1 << 17, 3)])
+def test_the_slots_decide_the_mix(docs_of, slots, block_words):
+    r = random.Random(7)
+    rows = [(i, r.choice(["a", "b", None, "é"]), "w " * r.randint(0, 30)) for i in range(90)] + [(500, "one", "w"), (501, "none", ""), (None, "a", "w w")]
+    got = mixed(docs_of, rows, slots=slots, block_words=block_words).taken().collect()
+    assert Counter((x.doc_id, x.source, x.size, x.taken, x.first_slot, x.source_slots) for x in got) == brute_mix(rows, slots, block_words)
+    # A schedule of other points takes other blocks first.
+    assert len({x.first_slot for x in got}) > 30 or slots == 40
+
+
+def test_mix_of_many_sources(docs_of):
+    got = mixed(docs_of, [(i, f"s{i:04}", "w " * (i % 7)) for i in range(3000)]).taken().collect()
+    assert len(got) == 3000 and all(x.taken <= 3 * x.size for x in got)
+    assert sum(x.taken for x in got) == pytest.approx(sum(x.size for x in got), abs=1500)
 
 
 # --- top-k ---------------------------------------------------------------------------------------
@@ -346,6 +392,36 @@ def test_top_k(spark, block, shard):
     assert got == want
 
 
+def test_the_cutoff_saves_products(spark):
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(8, 32))
+    rows = [(i, [float(x) for x in centre[i % 8] * 4 + r.normal(size=32) * 0.1]) for i in range(1600)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    tally = spark.sparkContext.accumulator(0)
+    got = topk.top_k(v, v.where("vec_id % 50 = 0"), tally=tally).collect()
+    e = np.array([[math.floor(256 * x) for x in x] for _, x in rows])
+    score = e[::50] @ e.T
+    for n, q in enumerate(range(0, 1600, 50)):
+        score[n, q] = -(2**62)
+        want = sorted(range(1600), key=lambda i: (-score[n, i], i))[:5]
+        assert [(x.vec_id, x.score) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q] == [(i, score[n, i]) for i in want]
+    assert 0 < tally.value < 0.5 * 4 * 32 * 1600
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 27])
+def test_sufficient_entries(scale):
+    r = np.random.default_rng(3)
+    q, m = (r.integers(-99, 99, (n, 10)) * scale for n in (6, 300))
+    q, m = topk._exactly(q.astype(float), m.astype(float))
+    assert (q.dtype == object) == (scale > 1)
+    exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in m] for x in q], object)
+    for cut in (0, 20_000, 60_000):
+        skip = np.arange(300)[None, :] == np.arange(6)[:, None]
+        row, col, score, _ = topk._sufficient(q, m, np.array([[cut * scale * scale]] * 6, q.dtype), 3, skip)
+        want = {(i, j, exact[i, j]) for i in range(6) for j in range(300) if i != j and exact[i, j] >= cut * scale * scale}
+        assert {(int(i), int(j), int(s)) for i, j, s in zip(row, col, score, strict=True)} == want
+
+
 def test_top_k_of_nothing(spark):
     v = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, v).count() == 0
