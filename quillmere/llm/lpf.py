@@ -2,26 +2,28 @@
 
 In suffix order, the earlier text that shares the longest prefix with a position is its
 previous or its next smaller position. A position whose longest previous factor reaches the
-threshold starts a repeat; the bytes it covers go, and the first copy stays.
+threshold starts a repeat; the bytes it covers go, and the first copy stays. ``repeats`` is that
+test; every removal below is its answer.
 
-One suffix array over a corpus does not distribute, so suffixes are dealt out by content:
+One suffix array over a corpus does not distribute, so suffixes are dealt out by content. Names
+stand for long strings, as ranks do in prefix doubling: equal names, equal strings.
 
 1. Every ``length``-byte string holds a minimiser, the least hashed ``anchor``-gram in it, which
-   its copies choose alike. Each anchor carries a hash of its context, the bytes that strings
-   around this anchor can reach. Anchors meet in buckets of their hash. An anchor whose context
-   occurred before lies in a repeat as a whole; of each context only the first occurrence goes on.
-2. Anchors with several contexts send those to the bucket. There the suffixes are sorted by
-   prefix doubling, previous and next smaller positions give the factors, and marks go back.
-3. Marks meet their documents again, and the marked bytes are taken out.
-
-A bucket sorts slices of at most ``slice_bytes``; an anchor with more contexts than that is
-compared offset by offset with 128-bit hashes, which is exact too and linear in its contexts.
+   its copies choose alike. An anchor's context is the bytes that strings around it can reach;
+   hash and context are its 128-bit name. A block of documents sends the first position of each
+   name to a bucket of the name. There the factors of whole contexts are known: a later position
+   of a name is a repeat as a whole, and the first one goes on.
+2. Anchors whose hash has several contexts may share a part of them. Buckets count the contexts of
+   each hash, and counts are added up by hash, so that a frequent anchor is one number a bucket.
+3. Such contexts are cut out of their documents and meet by hash. Their suffixes are sorted by
+   prefix doubling, and their factors decide. The suffixes of an anchor with more contexts than a
+   slice of ``slice_bytes`` holds are named one by one, and dealt by name to all buckets, of each
+   name the first one of a block only.
+4. Marks meet their documents again, and the marked bytes are taken out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,21 +31,25 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
+from .exchange import DOCS
 from .workspace import Workspace, block_count
 
 _TABLE, _SECOND = tk.byte_table(41), tk.byte_table(43)
-DOCS, ASKED, SPANS = 0, 1, 2
+FOUND, SPANS, FIRST, COUNTS, SEVERAL, ASKED, CONTEXTS, NAMED = 1, 2, 3, 4, 5, 6, 7, 8
 _TOP = tk.U64(2**64 - 1)
 
 
 # --- suffix order and previous factors ---------------------------------------------------------
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    s = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])) if len(s) else s
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks of rows by several keys, equal rows alike, from 0."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
     return rank
 
 
@@ -67,10 +73,10 @@ def prefix_ranks(data: np.ndarray, room: np.ndarray, length: int) -> tuple[np.nd
 
 
 def repeats(at: np.ndarray, rank: np.ndarray, age: np.ndarray) -> np.ndarray:
-    """Which positions have a longest previous factor that reaches the sorted prefix length.
+    """Which positions have a longest previous factor that reaches the length that ``rank`` ranks.
 
-    ``age`` is the global order of the positions. Along the suffix order, runs of equal rank are
-    the neighbours whose common prefix reaches the length; within a run a position has a previous
+    ``age`` is the order of the positions in the corpus. Along the suffix order, runs of equal rank
+    are the neighbours whose common prefix reaches the length; within a run a position has a previous
     or next smaller one exactly where the running minimum from one of the two sides is below it.
     """
     order = np.argsort(rank, kind="stable")
@@ -89,29 +95,12 @@ def repeats(at: np.ndarray, rank: np.ndarray, age: np.ndarray) -> np.ndarray:
     return out
 
 
-def longest_previous_factors(text: bytes) -> np.ndarray:
-    """The whole LPF array of one text: for each position the longest prefix of its suffix that
-    also starts earlier. For single texts; the distributed operator needs the threshold only."""
-    data = np.frombuffer(text, np.uint8)
-    n = len(data)
-    order = np.array(sorted(range(n), key=lambda i: text[i:]), np.int64)
-    lcp = [0] * (n + 1)
-    for k in range(1, n):
-        i, j, m = order[k - 1], order[k], 0
-        while max(i, j) + m < n and text[i + m] == text[j + m]:
-            m += 1
-        lcp[k] = m
-    out = np.zeros(n, np.int64)
-    for step, span in ((1, range(n)), (-1, range(n - 1, -1, -1))):
-        stack: list[tuple[int, int]] = []  # (position, common prefix with the one above it)
-        for k in span:
-            common = lcp[k] if step == 1 else lcp[k + 1] if k + 1 < n else 0
-            while stack and stack[-1][0] > order[k]:
-                common = min(common, stack.pop()[1])
-            if stack:
-                out[order[k]] = max(out[order[k]], common)
-            stack.append((int(order[k]), common if stack else 0))
-    return out
+def named(ids: np.ndarray, place: np.ndarray, *name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first positions of each name, and of those with a previous factor: by (id, place).
+    Positions of one age are first or later together."""
+    rank = _dense(*name)
+    later = repeats(rank, rank, _dense(ids, place))
+    return np.flatnonzero(~later), np.flatnonzero(later)
 
 
 # --- anchors -----------------------------------------------------------------------------------
@@ -145,130 +134,196 @@ def anchors(chunk: tk.Chunk, length: int, anchor: int) -> tuple[np.ndarray, np.n
     return at, h[at], doc, context, (lo, hi)
 
 
-def _deal(length: int, anchor: int, buckets: int, blocks: int, flush_bytes: int):
-    """doc_id, text -> anchors by bucket (kind 0), and places already known to repeat (kind 1).
-
-    Before sending, a task keeps the first occurrence of each anchor and context only.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            h, ctx, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, again = _firsts(h, ctx, doc, pos)
-            rows = []
-            a = np.sort(first)
-            for p, k in ex.split(((h[a] >> tk.U64(32)) % tk.U64(buckets)).astype(np.int64), buckets):
-                k = a[k]
-                rows.append((p, 0, ex.pack_records(doc[k], h[k].astype(np.uint32), ctx[k], pos[k])))
-            if len(again):
-                again = again[np.lexsort((pos[again], doc[again]))]
-                for p, k in ex.split(ex.block_of(doc[again], blocks), blocks):
-                    rows.append((p % buckets, 1, ex.pack_records(doc[again[k]], pos[again[k]])))
-            return ex.rows_to_batch(rows).combine_chunks().to_batches()
-
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for chunk in tk.chunks(b.column(1), 1 << 20):
-                at, h, doc, ctx, _ = anchors(chunk, length, anchor)
-                held.append((h, ctx, ids[chunk.first + doc], (at - chunk.bounds[doc]).astype(np.uint32)))
-                size += len(chunk.data)
-                if size >= flush_bytes:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    return run
-
-
-def _firsts(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first occurrence (smallest document, place) of each (hash, context), and of the later ones."""
-    o = np.lexsort((pos, doc, ctx, h))
-    new = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (ctx[o][1:] != ctx[o][:-1])]) if len(o) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    n = np.diff(np.concatenate([begin, [len(o)]]))
-    lead = np.repeat(o[begin], n)
-    later = ~new & ((doc[o] != doc[lead]) | (pos[o] != pos[lead]))
-    return o[new], o[later]
-
-
-def _meet(blocks: int):
-    """A bucket of anchors -> by block: places that repeat as a whole, and anchors whose contexts are asked for."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
-        doc, h, ctx, pos = ex.unpack_all(kinds.get(0, []), np.uint32, np.uint64, np.uint32)
-        first, again = _firsts(h, ctx, doc, pos)
-        h1 = h[first]  # ascending, as _firsts sorts by hash
-        several = np.zeros(len(first), bool)
-        if len(first) > 1:
-            same = h1[1:] == h1[:-1]
-            several[1:] |= same
-            several[:-1] |= same
-        ask = first[several]
-        rows = []
-        ask = ask[np.lexsort((pos[ask], doc[ask]))]
-        for p, k in ex.split(ex.block_of(doc[ask], blocks), blocks):
-            rows.append((p, ASKED, ex.pack_records(doc[ask[k]], pos[ask[k]], h[ask[k]])))
-        known_doc, known_pos = ex.unpack_all(kinds.get(1, []), np.uint32)
-        d, s = np.concatenate([doc[again], known_doc]), np.concatenate([pos[again], known_pos])
-        o = np.lexsort((s, d))
-        d, s = d[o], s[o]
-        for p, k in ex.split(ex.block_of(d, blocks), blocks):
-            rows.append((p, SPANS, ex.pack_records(d[k], s[k], np.zeros(len(k), np.uint32))))
-        return ex.rows_to_batch(rows)
-
-    return work
-
-
-# --- contexts ----------------------------------------------------------------------------------
-
-
-def _documents(bodies: list[bytes], id_column: str, text: str):
-    t = ex.from_ipc(bodies).combine_chunks()
-    null = t.column(id_column).is_null().to_numpy()
-    ids = t.column(id_column).fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
-    usable = ~null & ~ex.conflicting(ids, t.column(text))
-    return t, ids, usable
-
-
-def _extract(length: int, anchor: int, buckets: int, id_column: str, text: str):
-    """Documents and asked anchors -> contexts, by bucket of the anchor: ids, starts, sizes, anchor hashes, bytes."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
+def _joined(parts: list[tuple], types: tuple) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, t) for t in types]
+
+
+class _Dedup:
+    """The steps of one run, each from packed rows to packed rows."""
+
+    def __init__(self, doc_id: str, text: str, length: int, anchor: int, buckets: int, slice_bytes: int, fan: int | None):
+        self.doc_id, self.text, self.length, self.anchor, self.buckets, self.slice_bytes = doc_id, text, length, anchor, buckets, slice_bytes
+        #: Contexts of an anchor that one slice holds.
+        self.contexts = max(1, slice_bytes // (2 * length))
+        route = lambda kind, *types: ex.Route(kind, buckets, *types, fan=fan)
+        self.found, self.first = route(FOUND, np.uint64, np.uint64, np.uint32), route(FIRST, np.uint64, np.uint64, np.uint32)
+        self.spans, self.asked = route(SPANS, np.uint32, np.uint32), route(ASKED, np.uint32, np.uint64, np.uint32)
+        self.counts, self.several = route(COUNTS, np.uint64, np.uint32), route(SEVERAL, np.uint64, np.uint32)
+        self.named = route(NAMED, np.uint64, np.uint64, np.uint32)
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (tk.mix(h) % tk.U64(self.buckets)).astype(np.int64)
+
+    def send_spans(self, block, ids, rows, lo, hi, part: int) -> list:
+        """Marks to their blocks; neighbouring and overlapping spans of a document become one."""
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        o = np.lexsort((lo, rows, block))
+        block, ids, rows, lo, hi = block[o], ids[o], rows[o], lo[o], hi[o]
+        if not len(o):
+            return []
+        doc = np.cumsum(np.concatenate([[0], (block[1:] != block[:-1]) | (rows[1:] != rows[:-1])])).astype(np.int64)
+        far = doc * np.int64(hi.max() + 1)
+        reach = np.maximum.accumulate(hi + far)
+        begin = np.flatnonzero(np.concatenate([[True], (lo + far)[1:] > reach[:-1]]))
+        end = np.concatenate([begin[1:], [len(o)]]) - 1
+        return self.spans.send(block[begin], block[begin], ids[begin], rows[begin], lo[begin].astype(np.uint32), (reach[end] - far[end]).astype(np.uint32), part=part)
+
+    def whole(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of an anchor's context; the end may pass that of the document."""
+        pos = pos.astype(np.int64)
+        return np.maximum(pos - (self.length - self.anchor), 0), pos + self.length
+
+    def find(self, block: int, bodies: list[bytes]) -> pa.Table:
+        """A block -> its first anchors by bucket of their names, and spans that repeat inside the block."""
+        b, parts = ex.Block(bodies, self.doc_id, self.text), []
+        for chunk in tk.chunks(b.texts, 1 << 20):
+            at, h, doc, context, _ = anchors(chunk, self.length, self.anchor)
+            on = b.usable[chunk.first + doc]
+            at, h, doc, context = at[on], h[on], doc[on], context[on]
+            parts.append((b.ids[chunk.first + doc], chunk.first + doc, h, context, (at - chunk.bounds[doc]).astype(np.uint32)))
+        ids, rows, h, context, pos = _joined(parts, (np.int64, np.int64, np.uint64, np.uint64, np.uint32))
+        first, again = named(ids, pos, h, context)
+        at = np.full(len(ids), block)
+        out = self.send_spans(at[again], ids[again], rows[again], *self.whole(pos[again]), block)
+        return ex.rows_to_batch(out + self.found.send(self.bucket(h[first] ^ tk.mix(context[first])), at[first], ids[first], rows[first], h[first], context[first], pos[first], part=block))
+
+    def meet(self, key: int, kinds: dict) -> pa.Table:
+        """A bucket of names -> spans of the later positions; the first ones, kept by this bucket; how many contexts each hash has."""
+        block, ids, rows, h, context, pos = ex.unpack(kinds.get(FOUND, []), *self.found.dtypes)
+        first, again = named(ids, pos, h, context)
+        out = self.send_spans(block[again], ids[again], rows[again], *self.whole(pos[again]), key)
+        block, ids, rows, h, context, pos = (x[first] for x in (block, ids, rows, h, context, pos))
+        o = np.lexsort((pos, rows, block))
+        out += self.first.send(np.full(len(o), key), block[o], ids[o], rows[o], h[o], context[o], pos[o], part=key)
+        o = np.lexsort((context, h))
+        new = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (context[o][1:] != context[o][:-1])]) if len(o) else np.zeros(0, bool)
+        hashes, n = np.unique(h[o][new], return_counts=True)
+        none = np.zeros(len(hashes), np.int64)
+        return ex.rows_to_batch(out + self.counts.send(self.bucket(hashes), none + key, none, none, hashes, n.astype(np.uint32), part=key))
+
+    def add(self, key: int, kinds: dict) -> pa.Table:
+        """Counts by hash -> to each bucket of names that holds one of several contexts, their number."""
+        bucket, _, _, h, n = ex.unpack(kinds.get(COUNTS, []), *self.counts.dtypes)
+        hashes, place = np.unique(h, return_inverse=True)
+        total = np.bincount(place, n, minlength=len(hashes)).astype(np.int64)[place]
+        on = np.flatnonzero(total > 1)
+        on = on[np.argsort(bucket[on], kind="stable")]
+        none = np.zeros(len(on), np.int64)
+        return ex.rows_to_batch(self.several.send(bucket[on], none, none, none, h[on], np.minimum(total[on], 2**32 - 1).astype(np.uint32), part=key))
+
+    def ask(self, key: int, kinds: dict) -> pa.Table:
+        """First positions and the hashes that have several contexts -> the positions whose contexts are asked for, by block."""
+        _, _, _, hashes, total = ex.unpack(kinds.get(SEVERAL, []), *self.several.dtypes)
+        if not len(hashes) or FIRST not in kinds:
+            return ex.rows_to_batch([])
+        block, ids, rows, h, _, pos = ex.unpack(kinds[FIRST], *self.first.dtypes)
+        o = np.argsort(hashes)
+        hashes, total = hashes[o], total[o]
+        spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        on = np.flatnonzero(hashes[spot] == h)
+        return ex.rows_to_batch(self.asked.send(block[on], block[on], ids[on], rows[on], pos[on], h[on], total[spot[on]], part=key))
+
+    def extract(self, key: int, kinds: dict) -> pa.Table:
+        """Documents and asked anchors -> contexts by bucket of the anchor; of frequent anchors, each suffix by its name."""
         if DOCS not in kinds or ASKED not in kinds:
             return ex.rows_to_batch([])
-        t, ids, _ = _documents(kinds[DOCS], id_column, text)
-        doc, pos, h = ex.unpack_all(kinds[ASKED], np.uint32, np.uint32)
-        o = np.argsort(doc, kind="stable")
-        doc, pos, h = doc[o], pos[o].astype(np.int64), h[o]
-        out = ([], [], [], [], [])
-        for chunk in tk.chunks(t.column(text)):
-            own = ids[chunk.first : chunk.first + chunk.n]
-            lo, hi = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
-            for i in np.flatnonzero(hi > lo):
-                k = np.arange(lo[i], hi[i])
-                size = chunk.bounds[i + 1] - chunk.bounds[i]
-                k = k[pos[k] < size]
-                a, b = np.maximum(pos[k] - (length - anchor), 0), np.minimum(pos[k] + length, size)
-                room = b - a
-                at = np.repeat(chunk.bounds[i] + a - (np.cumsum(room) - room), room) + np.arange(room.sum())
-                for column, value in zip(out, (np.full(len(k), own[i]), a, room, h[k], chunk.data[at]), strict=True):
+        b = ex.Block(kinds[DOCS], self.doc_id, self.text)
+        _, _, rows, pos, h, total = ex.unpack(kinds[ASKED], *self.asked.dtypes)
+        o = np.argsort(rows, kind="stable")
+        rows, h, total = rows[o], h[o], total[o]
+        lo, hi = self.whole(pos[o])
+        few, contexts, suffixes = total <= self.contexts, [], []
+        for chunk in tk.chunks(b.texts, 1 << 20):
+            k = np.arange(np.searchsorted(rows, chunk.first), np.searchsorted(rows, chunk.first + chunk.n))
+            base, end = chunk.bounds[rows[k] - chunk.first], np.diff(chunk.bounds)[rows[k] - chunk.first]
+            a, z = lo[k], np.minimum(hi[k], end)
+            on = few[k]
+            if on.any():
+                room = (z - a)[on]
+                at = np.repeat((base + a)[on] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+                contexts.append((rows[k[on]], a[on], room, h[k[on]], chunk.data[at]))
+            on = ~on
+            if on.any():
+                n = np.maximum((z - a)[on] - self.length + 1, 0)
+                start = np.repeat((base + a)[on] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                start = np.unique(start)
+                doc = np.searchsorted(chunk.bounds, start, side="right") - 1
+                names = [tk.span_hash(tk.prefix(t[chunk.data]), start, start + self.length) for t in (_TABLE, _SECOND)]
+                suffixes.append((chunk.first + doc, (start - chunk.bounds[doc]).astype(np.uint32), *names))
+        out = []
+        if contexts:
+            rows, start, room, h, data = (np.concatenate(x) for x in zip(*contexts, strict=True))
+            offset = np.concatenate([[0], np.cumsum(room)])
+            for p, k in ex.split(self.bucket(h)):
+                at = np.repeat(offset[k] - (np.cumsum(room[k]) - room[k]), room[k]) + np.arange(room[k].sum())
+                t = pa.table({"block": np.full(len(k), key), "id": b.ids[rows[k]], "row": rows[k], "start": start[k], "h": h[k]})
+                out.append((CONTEXTS, p, key % ex.PARTS, ex.to_ipc(t.append_column("data", pa.array(_slices(data[at], room[k]), pa.binary())))))
+        if suffixes:
+            rows, pos, *names = (np.concatenate(x) for x in zip(*suffixes, strict=True))
+            first, again = named(b.ids[rows], pos, *names)
+            at = np.full(len(rows), key)
+            out += self.send_spans(at[again], b.ids[rows[again]], rows[again], pos[again], pos[again].astype(np.int64) + self.length, key)
+            out += self.named.send(self.bucket(names[0][first]), at[first], b.ids[rows[first]], rows[first], *(x[first] for x in names), pos[first], part=key)
+        return ex.rows_to_batch(out)
+
+    def factors(self, key: int, kinds: dict) -> pa.Table:
+        """Contexts and named suffixes of a bucket -> the spans of positions whose previous factors reach the length, by block."""
+        found = []
+        block, ids, rows, *names, pos = ex.unpack(kinds.get(NAMED, []), *self.named.dtypes)
+        _, again = named(ids, pos, *names)
+        found.append((block[again], ids[again], rows[again], pos[again].astype(np.int64)))
+        if CONTEXTS in kinds:
+            t = ex.from_ipc(kinds[CONTEXTS]).combine_chunks()
+            block, ids, rows, start, h = (t.column(c).to_numpy() for c in ("block", "id", "row", "start", "h"))
+            data = t.column("data").combine_chunks()
+            data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+            order = np.argsort(h, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
+            size = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1])
+            grown = np.concatenate([[0], np.cumsum(size[order].astype(np.int64))])[edge]
+            g = 0
+            while g < len(edge) - 1:
+                to = max(g + 1, int(np.searchsorted(grown, grown[g] + self.slice_bytes, side="right")) - 1)
+                k = order[edge[g] : edge[to]]
+                chunk = next(tk.chunks(data.take(pa.array(k)), 1 << 62))
+                which = np.repeat(np.arange(len(k)), np.diff(chunk.bounds))
+                at, rank = prefix_ranks(chunk.data, chunk.bounds[which + 1] - np.arange(len(which)), self.length)
+                far = start[k][which[at]] + at - chunk.bounds[which[at]]
+                k = k[which[at]]
+                on = repeats(at, rank, _dense(ids[k], far))
+                found.append((block[k[on]], ids[k[on]], rows[k[on]], far[on]))
+                g = to
+        block, ids, rows, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        return ex.rows_to_batch(self.send_spans(block, ids, rows, pos, pos + self.length, key))
+
+    def remove(self, columns: list[str]):
+        """Documents and their spans -> the documents with n_bytes, n_removed, n_spans and kept (bytes)."""
+
+        def work(_: int, kinds: dict) -> pa.Table:
+            b = ex.Block(kinds[DOCS], self.doc_id, self.text)
+            _, _, rows, lo, hi = ex.unpack(kinds.get(SPANS, []), *self.spans.dtypes)
+            o = np.argsort(rows, kind="stable")
+            rows, lo, hi = rows[o], lo[o].astype(np.int64), hi[o].astype(np.int64)
+            counts, kept = ([], [], []), []
+            for chunk in tk.chunks(b.texts):
+                size = np.diff(chunk.bounds)
+                doc, k = b.marks(chunk, rows)
+                step = np.zeros(len(chunk.data) + 1, np.int64)
+                np.add.at(step, chunk.bounds[doc] + np.minimum(lo[k], size[doc]), 1)
+                np.add.at(step, chunk.bounds[doc] + np.minimum(hi[k], size[doc]), -1)
+                gone = np.cumsum(step[:-1]) > 0
+                total = np.concatenate([[0], np.cumsum(gone)])
+                _, _, of = tk.runs(gone, chunk.bounds)
+                removed = total[chunk.bounds[1:]] - total[chunk.bounds[:-1]]
+                for column, value in zip(counts, (size, removed, tk.counts_by_doc(of, chunk.n)), strict=True):
                     column.append(value)
-        if not out[0]:
-            return ex.rows_to_batch([])
-        owner, start, room, h, data = (np.concatenate(x) for x in out)
-        offset = np.concatenate([[0], np.cumsum(room)])
-        rows = []
-        for p, k in ex.split(tk.mix(h.astype(np.uint64)).astype(np.int64) % buckets, buckets):
-            at = np.repeat(offset[k] - (np.cumsum(room[k]) - room[k]), room[k]) + np.arange(room[k].sum())
-            packed = pa.table({"doc": owner[k], "start": start[k].astype(np.uint32), "size": room[k].astype(np.uint32), "h": h[k]})
-            rows.append((p, 0, ex.to_ipc(packed.append_column("data", pa.array(_slices(data[at], room[k]), pa.binary())))))
-        return ex.rows_to_batch(rows)
+                kept.append(_slices(chunk.data[~gone], size - removed))
+            out = b.table.select(columns)
+            for name, value in zip(("n_bytes", "n_removed", "n_spans"), counts, strict=True):
+                out = out.append_column(name, pa.array(np.concatenate(value) if value else np.zeros(0, np.int64), pa.int64()))
+            return out.append_column("kept", pa.chunked_array(kept, pa.binary()))
 
-    return work
+        return work
 
 
 def _slices(data: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -276,136 +331,37 @@ def _slices(data: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _by_offsets(data: np.ndarray, bounds: np.ndarray, owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Repeats of one anchor with very many contexts: every string is hashed by 128 bits, offset by offset."""
-    pre, pre2 = tk.prefix(_TABLE[data]), tk.prefix(_SECOND[data])
-    size = np.diff(bounds)
-    found = ([], [])
-    h = ([], [], [], [])
-    for o in range(int(size.max()) - length + 1):
-        k = np.flatnonzero(size >= o + length)
-        s = bounds[k] + o
-        for column, value in zip(h, (tk.span_hash(pre, s, s + length), tk.span_hash(pre2, s, s + length), owner[k], start[k] + o), strict=True):
-            column.append(value)
-    a, b, d, p = (np.concatenate(x) for x in h)
-    _, again = _firsts(a, b, d, p)
-    found = (d[again], p[again])
-    return found
-
-
-def _factors(blocks: int, length: int, slice_bytes: int):
-    """A bucket of contexts -> by block, the spans whose strings start earlier."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
-        t = ex.from_ipc(kinds[0]).combine_chunks()
-        h, owner, start, size = (t.column(c).to_numpy() for c in ("h", "doc", "start", "size"))
-        order = np.argsort(h, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
-        grown = np.concatenate([[0], np.cumsum(size[order].astype(np.int64))])
-        marks = ([], [])
-        g = 0
-        while g < len(edge) - 1:
-            to = max(g + 1, int(np.searchsorted(grown[edge], grown[edge[g]] + slice_bytes, side="right")) - 1)
-            k = order[edge[g] : edge[to]]
-            part = t.column("data").combine_chunks().take(pa.array(k))
-            part = part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part
-            chunk = next(tk.chunks(part, 1 << 62))
-            d, s = owner[k], start[k].astype(np.int64)
-            if grown[edge[to]] - grown[edge[g]] > slice_bytes:
-                md, mp = _by_offsets(chunk.data, chunk.bounds, d, s, length)
-            else:
-                # The age of a byte is its order by (document, place) over the slice.
-                n = len(chunk.data)
-                which = np.repeat(np.arange(len(k)), np.diff(chunk.bounds))
-                inside = np.arange(n) - chunk.bounds[which]
-                at, rank = prefix_ranks(chunk.data, chunk.bounds[which + 1] - np.arange(n), length)
-                names = np.unique(d)
-                far = s[which[at]] + inside[at]
-                age = np.searchsorted(names, d[which[at]]) * np.int64(far.max(initial=0) + 1) + far
-                on = repeats(at, rank, _dense(age))
-                md, mp = d[which[at[on]]], far[on]
-            marks[0].append(md)
-            marks[1].append(mp)
-            g = to
-        d, s = np.concatenate(marks[0]), np.concatenate(marks[1])
-        o = np.lexsort((s, d))
-        d, s = d[o], s[o]
-        # Neighbouring starts become one span.
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)]) if len(d) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        last = np.concatenate([begin[1:], [len(d)]]) - 1 if len(d) else begin
-        d, lo, hi = d[begin], s[begin], s[last] + length
-        return ex.rows_to_batch([(p, SPANS, ex.pack_records(d[k], lo[k].astype(np.uint32), hi[k].astype(np.uint32))) for p, k in ex.split(ex.block_of(d, blocks), blocks)])
-
-    return work
-
-
-# --- removal -----------------------------------------------------------------------------------
-
-
-def _remove(length: int, anchor: int, id_column: str, text: str, columns: list[str]):
-    """Documents and their spans -> the documents with n_bytes, n_removed, n_spans and kept (bytes)."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
-        t, ids, usable = _documents(kinds[DOCS], id_column, text)
-        doc, lo, hi = ex.unpack_all(kinds.get(SPANS, []), np.uint32, np.uint32)
-        o = np.argsort(doc, kind="stable")
-        doc, lo, hi = doc[o], lo[o].astype(np.int64), hi[o].astype(np.int64)
-        whole = hi == 0  # an anchor's place: its whole context goes
-        hi = np.where(whole, lo + length, hi)
-        lo = np.where(whole, np.maximum(lo - (length - anchor), 0), lo)
-        counts, kept = ([], [], []), []
-        for chunk in tk.chunks(t.column(text)):
-            own = ids[chunk.first : chunk.first + chunk.n]
-            size = np.diff(chunk.bounds)
-            a, b = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
-            step = np.zeros(len(chunk.data) + 1, np.int64)
-            for i in np.flatnonzero((b > a) & usable[chunk.first : chunk.first + chunk.n]):
-                np.add.at(step, chunk.bounds[i] + np.minimum(lo[a[i] : b[i]], size[i]), 1)
-                np.add.at(step, chunk.bounds[i] + np.minimum(hi[a[i] : b[i]], size[i]), -1)
-            gone = np.cumsum(step[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            _, _, of = tk.runs(gone, chunk.bounds)
-            removed = total[chunk.bounds[1:]] - total[chunk.bounds[:-1]]
-            for column, value in zip(counts, (size, removed, tk.counts_by_doc(of, chunk.n)), strict=True):
-                column.append(value)
-            kept.append(_slices(chunk.data[~gone], size - removed))
-        out = t.select(columns)
-        for name, value in zip(("n_bytes", "n_removed", "n_spans"), counts, strict=True):
-            out = out.append_column(name, pa.array(np.concatenate(value) if value else np.zeros(0, np.int64), pa.int64()))
-        return out.append_column("kept", pa.chunked_array(kept, pa.binary()))
-
-    return work
-
-
-def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, anchor: int = 32, slice_bytes: int = 3 << 20, flush_bytes: int = 24 << 20) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, anchor: int = 32, slice_bytes: int = 2 << 20, block_bytes: int = 4 << 20, fan: int | None = None) -> DataFrame:
     """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept (the UTF-8 bytes that stay).
 
     A byte goes if a ``length``-byte string that covers it also starts earlier: in a smaller id,
     or before in the same document. Strings are judged on the input and overlap freely. ``kept``
-    is binary, as a repeat may begin inside a character. A null text is empty. Rows of one id
-    are one document; an id with several different texts is left whole, though others are
-    compared with it, and a row with a null id is left whole and compared with nothing.
+    is binary, as a repeat may begin inside a character. A null text is empty; an empty table gives
+    no row; a very long text is a block of its own. Rows of one id are one document, with one text
+    or several; a row with a null id is left whole and compared with nothing. An input column with
+    one of the four names is replaced; other names don't matter.
     """
     if not 1 <= anchor < length:
         raise ValueError("an anchor must be shorter than the strings it marks")
-    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    docs = docs.select(*names)
-    n = block_count(docs, text)
-    space = Workspace(spark, "suffix")
-    dealt = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_deal(length, anchor, n, n, flush_bytes), ex.PACKED)
-    met = space.write(ex.exchanged(dealt, _meet(n), ex.PACKED), "met")
-    del dealt
+    docs = docs.select(*names).withColumn(doc_id, F.col(doc_id).cast("bigint"))
+    n = block_count(docs, text, block_bytes)
+    space, d = Workspace(docs.sparkSession, "suffix"), _Dedup(doc_id, text, length, anchor, n, slice_bytes, fan)
+    blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks")
+    found = space.write(ex.each_block(blocks, d.find), "found", partition_by="kind")
+    met = space.write(ex.exchanged(d.found.arrive(found), n, d.meet), "met", partition_by="kind")
+    space.release()
+    several = ex.exchanged(d.counts.arrive(met), n, d.add)
+    asked = space.write(ex.exchanged(d.first.arrive(met).unionByName(d.several.arrive(several)), n, d.ask), "asked")
+    del several
+    space.release()
+    extracted = space.write(ex.exchanged(blocks.unionByName(d.asked.arrive(asked)), n, d.extract), "extracted", partition_by="kind")
     space.release()
-    asked = ex.packed_docs(docs.select(doc_id, text), doc_id, n).unionAll(met.where(F.col("kind") == ASKED))
-    contexts = ex.exchanged(asked, _extract(length, anchor, n, doc_id, text), ex.PACKED)
-    spans = space.write(ex.exchanged(contexts, _factors(n, length, slice_bytes), ex.PACKED), "spans")
-    del asked, contexts
+    judged = space.write(ex.exchanged(extracted.where(F.col("kind") == CONTEXTS).unionByName(d.named.arrive(extracted)), n, d.factors), "judged")
     space.release()
-    marked = met.where(F.col("kind") == SPANS).unionAll(spans)
+    spans = found.unionByName(met).unionByName(extracted).unionByName(judged)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
-    return ex.exchanged(ex.packed_docs(docs, doc_id, n).unionAll(marked), _remove(length, anchor, doc_id, text, names), schema)
+    return ex.exchanged(blocks.unionByName(d.spans.arrive(spans)), n, d.remove(names), schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

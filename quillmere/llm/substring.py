@@ -7,14 +7,14 @@ document mark the windows around them; those windows are extended to full length
 64-bit hash within buckets of a second hash, and every window that starts in a smaller document
 is removed. Runs of removed windows are the maximal exact repeats.
 
-A bucket holds hashes only. A block or a window that a third of all documents share is one
-sorted run of four or eight bytes for each occurrence, never a pair.
+Documents are stored in blocks of some megabytes. A block probes once for each run that occurs in
+it, names the smallest and largest document of its reference blocks, and sends of a window only
+the occurrences in its smallest document; the others are decided at once. So a run or a window
+that a third of all documents share costs a bucket one entry for each block of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
+from .exchange import DOCS
 from .workspace import Workspace, block_count
 
 _TABLE, _SECOND = tk.byte_table(31), tk.U64(0x2545F4914F6CDD1D)
-_BLOCK, _FLAG = np.uint32(0x7FFFFFFF), np.uint32(0x80000000)
-DOCS, HITS, MARKS = 0, 1, 2
+PROBES, REFERENCES, HITS, WINDOWS, MARKS = 1, 2, 3, 4, 5
+#: Who holds a reference block that was met: several documents, or one.
+_SEVERAL, _ONE = 0, 1
 
 
 class Words:
@@ -49,131 +51,151 @@ class Words:
         return tk.rolling(tk.prefix(tk.mix(self.hash + _SECOND)), k)[at]
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> tk.U64(32)) % tk.U64(buckets)).astype(np.int64)
-
-
-def _probe(block_words: int, buckets: int, flush_bytes: int):
-    """doc_id, text -> packed (document, 31-bit hash and whether the run is a reference block)."""
+class _Dedup:
+    """The steps of one run, each from packed rows to packed rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+    def __init__(self, doc_id: str, text: str, window: int, block_words: int, buckets: int, fan: int | None):
+        self.doc_id, self.text, self.window, self.block_words, self.buckets = doc_id, text, window, block_words, buckets
+        route = lambda kind, *types: ex.Route(kind, buckets, *types, fan=fan)
+        self.probes, self.references, self.hits = route(PROBES, np.uint32, np.uint8), route(REFERENCES, np.uint32, np.int64), route(HITS, np.uint32, np.uint8)
+        self.windows, self.marks = route(WINDOWS, np.uint64, np.uint32), route(MARKS, np.uint32)
 
-        def flush():
-            doc, fp, dest = (np.concatenate(x) for x in zip(*held, strict=True))
-            return ex.rows_to_batch([(p, 0, ex.pack_records(doc[at], fp[at])) for p, at in ex.split(dest, buckets)]).combine_chunks().to_batches()
-
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for chunk in tk.chunks(b.column(1)):
-                w = Words(chunk)
-                at, h = w.runs(block_words)
-                doc = w.doc[at]
-                reference = (at - w.first[doc]) % block_words == 0
-                fp = (h & tk.U64(_BLOCK)).astype(np.uint32) | np.where(reference, _FLAG, np.uint32(0))
-                held.append((ids[chunk.first + doc], fp, _bucket(h, buckets)))
-                size += len(chunk.data)
-                if size >= flush_bytes:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> tk.U64(32)) % tk.U64(self.buckets)).astype(np.int64)
 
-    return run
-
-
-def _meet(blocks: int):
-    """A bucket of probes -> for each block of documents, the hashes that met another document's block."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
-        doc, fp = ex.unpack_all(kinds[0], np.uint32)
-        value = fp & _BLOCK
-        order = np.argsort(value, kind="stable")
-        v, d, ref = value[order], doc[order], (fp[order] & _FLAG) > 0
-        cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        n = np.diff(np.concatenate([cut, [len(v)]]))
+    def probe(self, block: int, bodies: list[bytes]) -> pa.Table:
+        """A block -> its distinct runs by bucket, and the smallest and largest document of its reference blocks."""
+        b, parts = ex.Block(bodies, self.doc_id, self.text), []
+        for chunk in tk.chunks(b.texts, 1 << 20):
+            w = Words(chunk)
+            at, h = w.runs(self.block_words)
+            doc = w.doc[at]
+            on = b.usable[chunk.first + doc]
+            at, h, doc = at[on], h[on], doc[on]
+            parts.append((h, b.ids[chunk.first + doc], (at - w.first[doc]) % self.block_words == 0))
+        if not parts:
+            return ex.rows_to_batch([])
+        h, ids, reference = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(h):
+            return ex.rows_to_batch([])
+        order = np.argsort(h, kind="stable")
+        h, ids, reference = h[order], ids[order], reference[order]
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
         big = np.iinfo(np.int64)
-        low = np.minimum.reduceat(np.where(ref, d, big.max), cut)
-        high = np.maximum.reduceat(np.where(ref, d, big.min), cut)
-        low, high = np.repeat(low, n), np.repeat(high, n)
-        # Another document has this block: the smallest or the largest document of its blocks is not this one.
-        hit = (low <= high) & ((low != d) | (high != d))
-        d, v = d[hit], v[hit]
-        o = np.lexsort((v, d))
-        d, v = d[o], v[o]
-        once = np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])]) if len(d) else np.zeros(0, bool)
-        d, v = d[once], v[once]
-        return ex.rows_to_batch([(p, HITS, ex.pack_records(d[at], v[at])) for p, at in ex.split(ex.block_of(d, blocks), blocks)])
-
-    return work
-
-
-def _documents(bodies: list[bytes], id_column: str, text: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The documents of a block, their ids (null: the smallest integer) and which rows can be compared."""
-    t = ex.from_ipc(bodies).combine_chunks()
-    null = t.column(id_column).is_null().to_numpy()
-    ids = t.column(id_column).fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
-    return t, ids, ~null
-
-
-def _extend(block_words: int, window: int, buckets: int, id_column: str, text: str):
-    """Documents and their met hashes -> packed (document, window hash, word place) by window bucket."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
+        low, high = np.minimum.reduceat(np.where(reference, ids, big.max), cut), np.maximum.reduceat(np.where(reference, ids, big.min), cut)
+        run = h[cut]
+        none = np.zeros(len(run), np.int64)
+        out = self.probes.send(self.bucket(run), none + block, none, none, run.astype(np.uint32), several.astype(np.uint8), part=block)
+        held = np.flatnonzero(low <= high)
+        # The smallest document goes as the record's id, the largest as a step from it.
+        held = held[np.argsort(low[held], kind="stable")]
+        return ex.rows_to_batch(out + self.references.send(self.bucket(run[held]), none[held] + block, low[held], none[held], run[held].astype(np.uint32), high[held] - low[held], part=block))
+
+    def meet(self, key: int, kinds: dict) -> pa.Table:
+        """A bucket -> for each block, its runs that met a reference block of another document, and whose that is."""
+        home, low, _, run, step = ex.unpack(kinds.get(REFERENCES, []), *self.references.dtypes)
+        block, _, _, probe, several = ex.unpack(kinds.get(PROBES, []), *self.probes.dtypes)
+        if not len(run):
+            return ex.rows_to_batch([])
+        o = np.argsort(run, kind="stable")
+        run, low, high, home = run[o], low[o], (low + step)[o], home[o]
+        cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        run, low, high = run[cut], np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+        first, last = np.minimum.reduceat(home, cut), np.maximum.reduceat(home, cut)
+        spot = np.minimum(np.searchsorted(run, probe), len(run) - 1)
+        # A block that holds the only document of the reference blocks, and no other with this run, has met itself.
+        hit = (run[spot] == probe) & ((low[spot] != high[spot]) | (several > 0) | (first[spot] != block) | (last[spot] != block))
+        block, probe, spot = block[hit], probe[hit], spot[hit]
+        owner = np.where(low[spot] == high[spot], low[spot], 0)
+        o = np.lexsort((owner, block))
+        block, probe, owner, one = block[o], probe[o], owner[o], (low[spot] == high[spot])[o]
+        return ex.rows_to_batch(self.hits.send(block, block, owner, np.zeros(len(o), np.int64), probe, one.astype(np.uint8), part=key))
+
+    def extend(self, key: int, kinds: dict) -> pa.Table:
+        """Documents and their met runs -> the windows of each smallest document by bucket, and marks on the others."""
         if DOCS not in kinds or HITS not in kinds:
             return ex.rows_to_batch([])
-        t, ids, usable = _documents(kinds[DOCS], id_column, text)
-        hit_doc, hit_fp = ex.unpack_all(kinds[HITS], np.uint32)
-        names = np.unique(hit_doc)
-        keys = np.sort((np.searchsorted(names, hit_doc).astype(np.uint64) << tk.U64(32)) | hit_fp)
-        out = ([], [], [], [])
-        for chunk in tk.chunks(t.column(text)):
-            own = ids[chunk.first : chunk.first + chunk.n]
-            place = np.minimum(np.searchsorted(names, own), len(names) - 1)
-            met = (names[place] == own) & usable[chunk.first : chunk.first + chunk.n]
-            if not met.any():
-                continue
+        b = ex.Block(kinds[DOCS], self.doc_id, self.text)
+        _, owner, _, probe, one = ex.unpack(kinds[HITS], *self.hits.dtypes)
+        o = np.argsort(probe, kind="stable")
+        probe, owner, one = probe[o], owner[o], one[o] > 0
+        cut = np.flatnonzero(np.concatenate([[True], probe[1:] != probe[:-1]]))
+        # Runs of equal 32 bits from several buckets: anybody's.
+        alone = (np.diff(np.concatenate([cut, [len(probe)]])) == 1) & one[cut]
+        probe, owner = probe[cut], owner[cut]
+        parts = []
+        for chunk in tk.chunks(b.texts, 1 << 20):
             w = Words(chunk)
-            at, h = w.runs(block_words)
-            on = met[w.doc[at]]
-            at, h = at[on], h[on]
-            key = (place[w.doc[at]].astype(np.uint64) << tk.U64(32)) | (h & tk.U64(_BLOCK))
-            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            at, h = w.runs(self.block_words)
+            on = b.usable[chunk.first + w.doc[at]]
+            at, h = at[on], h[on].astype(np.uint32)
+            spot = np.minimum(np.searchsorted(probe, h), len(probe) - 1)
+            met = (probe[spot] == h) & ~(alone[spot] & (owner[spot] == b.ids[chunk.first + w.doc[at]]))
             flag = np.zeros(len(w.hash) + 1, np.int64)
-            flag[1 + at[keys[spot] == key]] = 1
+            flag[1 + at[met]] = 1
             total = np.cumsum(flag)
-            start, full = w.runs(window)
-            some = total[start + window - block_words + 1] > total[start]
+            start, full = w.runs(self.window)
+            some = total[start + self.window - self.block_words + 1] > total[start]
             start, full = start[some], full[some]
-            out[0].append(own[w.doc[start]])
-            out[1].append(full)
-            out[2].append((start - w.first[w.doc[start]]).astype(np.uint32))
-            out[3].append(_bucket(w.second(window, start), buckets))
-        if not out[0]:
-            return ex.rows_to_batch([])
-        doc, full, start, dest = (np.concatenate(x) for x in out)
-        return ex.rows_to_batch([(p, 0, ex.pack_records(doc[at], full[at], start[at])) for p, at in ex.split(dest, buckets)])
-
-    return work
-
-
-def _judge(blocks: int):
-    """A bucket of windows -> for each block of documents, the windows that start in a smaller document."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
-        doc, full, start = ex.unpack_all(kinds[0], np.uint64, np.uint32)
-        order = np.argsort(full, kind="stable")
-        v, d, s = full[order], doc[order], start[order]
-        cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        least = np.repeat(np.minimum.reduceat(d, cut), np.diff(np.concatenate([cut, [len(v)]])))
-        later = d > least
-        d, s = d[later], s[later]
-        o = np.lexsort((s, d))
-        d, s = d[o], s[o]
-        return ex.rows_to_batch([(p, MARKS, ex.pack_records(d[at], s[at])) for p, at in ex.split(ex.block_of(d, blocks), blocks)])
-
-    return work
+            doc = w.doc[start]
+            parts.append((b.ids[chunk.first + doc], chunk.first + doc, full, w.second(self.window, start), (start - w.first[doc]).astype(np.uint32)))
+        ids, rows, full, second, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        later = _later(ids, full, second)
+        block, first = np.full(len(ids), key), np.flatnonzero(~later)
+        out = self.windows.send(self.bucket(second[first]), block[first], ids[first], rows[first], full[first], start[first], part=key)
+        later = np.flatnonzero(later)
+        return ex.rows_to_batch(out + self.marks.send(block[later], block[later], ids[later], rows[later], start[later], part=key))
+
+    def judge(self, key: int, kinds: dict) -> pa.Table:
+        """A bucket of windows -> for each block, the windows that start in a smaller document."""
+        block, ids, rows, full, start = ex.unpack(kinds.get(WINDOWS, []), *self.windows.dtypes)
+        later = np.flatnonzero(_later(ids, full))
+        later = later[np.lexsort((start[later], rows[later], block[later]))]
+        return ex.rows_to_batch(self.marks.send(block[later], block[later], ids[later], rows[later], start[later], part=key))
+
+    def remove(self, columns: list[str]):
+        """Documents and their removed windows -> the documents with n_words, n_removed and kept."""
+
+        def work(_: int, kinds: dict) -> pa.Table:
+            b = ex.Block(kinds[DOCS], self.doc_id, self.text)
+            _, _, rows, start = ex.unpack(kinds.get(MARKS, []), *self.marks.dtypes)
+            o = np.argsort(rows, kind="stable")
+            rows, start = rows[o], start[o].astype(np.int64)
+            counts, removed, kept = [], [], []
+            for chunk in tk.chunks(b.texts):
+                w = Words(chunk)
+                doc, k = b.marks(chunk, rows)
+                step = np.zeros(len(w.hash) + 1, np.int64)
+                at = w.first[doc] + start[k]
+                np.add.at(step, at, 1)
+                np.add.at(step, at + self.window, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                counts.append(w.count)
+                removed.append(tk.counts_by_doc(w.doc[gone], chunk.n))
+                kept.append(joined_words(chunk, w.starts[~gone], w.ends[~gone], w.doc[~gone]))
+            out = b.table.select(columns)
+            for name, value in (("n_words", counts), ("n_removed", removed)):
+                out = out.append_column(name, pa.array(np.concatenate(value) if value else np.zeros(0, np.int64), pa.int64()))
+            return out.append_column("kept", pa.chunked_array(kept, pa.string()))
+
+        return work
+
+
+def _later(ids: np.ndarray, *name: np.ndarray) -> np.ndarray:
+    """Which windows are also in a document of a smaller id."""
+    if not len(ids):
+        return np.zeros(0, bool)
+    order = np.lexsort(name)
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for x in name:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    cut = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ids[order], cut), np.diff(np.concatenate([cut, [len(order)]])))
+    out = np.zeros(len(ids), bool)
+    out[order] = ids[order] > least
+    return out
 
 
 def joined_words(chunk: tk.Chunk, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> pa.Array:
@@ -192,63 +214,33 @@ def joined_words(chunk: tk.Chunk, starts: np.ndarray, ends: np.ndarray, doc: np.
     return pa.LargeStringArray.from_buffers(chunk.n, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string())
 
 
-def _remove(window: int, id_column: str, text: str, columns: list[str]):
-    """Documents and their removed windows -> the documents with n_words, n_removed and kept."""
-
-    def work(_: int, kinds: dict[int, list[bytes]]) -> pa.Table:
-        t, ids, usable = _documents(kinds[DOCS], id_column, text)
-        usable &= ~ex.conflicting(ids, t.column(text))
-        doc, start = ex.unpack_all(kinds.get(MARKS, []), np.uint32)
-        order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order]
-        counts, removed, kept = [], [], []
-        for chunk in tk.chunks(t.column(text)):
-            own = ids[chunk.first : chunk.first + chunk.n]
-            w = Words(chunk)
-            step = np.zeros(len(w.hash) + 1, np.int64)
-            lo, hi = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
-            for i in np.flatnonzero((hi > lo) & usable[chunk.first : chunk.first + chunk.n]):
-                at = w.first[i] + start[lo[i] : hi[i]].astype(np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + window, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            counts.append(w.count)
-            removed.append(tk.counts_by_doc(w.doc[gone], chunk.n))
-            kept.append(joined_words(chunk, w.starts[~gone], w.ends[~gone], w.doc[~gone]))
-        out = t.select(columns)
-        for name, value in (("n_words", counts), ("n_removed", removed)):
-            out = out.append_column(name, pa.array(np.concatenate(value) if value else np.zeros(0, np.int64), pa.int64()))
-        return out.append_column("kept", pa.chunked_array(kept, pa.string()))
-
-    return work
-
-
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, block_words: int | None = None, flush_bytes: int = 48 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, block_words: int | None = None, block_bytes: int = 4 << 20, fan: int | None = None) -> DataFrame:
     """All columns of ``docs`` with n_words, n_removed and kept (the words that stay, one space between).
 
     A word goes if a window of ``window`` words that covers it also starts in a document of a
-    smaller id. Windows are judged on the input. A null text has no words. Rows of one id are
-    one document; an id with several different texts is left whole, though others are compared
-    with it, and a row with a null id is left whole and compared with nothing.
+    smaller id. Windows are judged on the input. A null text has no words; an empty table gives no
+    row; a very long text is a block of its own. Rows of one id are one document, with one text or
+    several; a row with a null id is left whole and compared with nothing. An input column with one
+    of the three names is replaced; other names don't matter.
     """
-    spark = docs.sparkSession
     block_words = block_words or (window + 1) // 2
     if not 1 <= 2 * block_words - 1 <= window:
         raise ValueError("a window must hold a whole reference block")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    docs = docs.select(*names)
-    n = block_count(docs, text)
-    space = Workspace(spark, "substring")
-    probes = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_probe(block_words, n, flush_bytes), ex.PACKED)
-    hits = space.write(ex.exchanged(probes, _meet(n), ex.PACKED), "hits")
+    docs = docs.select(*names).withColumn(doc_id, F.col(doc_id).cast("bigint"))
+    n = block_count(docs, text, block_bytes)
+    space, d = Workspace(docs.sparkSession, "substring"), _Dedup(doc_id, text, window, block_words, n, fan)
+    blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks")
+    probes = ex.each_block(blocks, d.probe)
+    hits = space.write(ex.exchanged(ex.arrived(probes, d.probes, d.references), n, d.meet), "hits")
     del probes
     space.release()
-    windows = ex.exchanged(ex.packed_docs(docs.select(doc_id, text), doc_id, n).unionAll(hits), _extend(block_words, window, n, doc_id, text), ex.PACKED)
-    marks = space.write(ex.exchanged(windows, _judge(n), ex.PACKED), "marks")
-    del windows
+    windows = space.write(ex.exchanged(blocks.unionByName(d.hits.arrive(hits)), n, d.extend), "windows", partition_by="kind")
+    space.release()
+    judged = space.write(ex.exchanged(d.windows.arrive(windows), n, d.judge), "judged")
     space.release()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words bigint, n_removed bigint, kept string"])
-    return ex.exchanged(ex.packed_docs(docs, doc_id, n).unionAll(marks), _remove(window, doc_id, text, names), schema)
+    return ex.exchanged(blocks.unionByName(d.marks.arrive(windows.unionByName(judged))), n, d.remove(names), schema)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

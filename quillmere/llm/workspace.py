@@ -62,8 +62,8 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def block_count(df: DataFrame, text: str, block_bytes: int = 8 << 20, least: int = 32) -> int:
+def block_count(df: DataFrame, text: str, block_bytes: int) -> int:
     """Blocks for packed exchanges, so that a block fits a task whatever the shuffle parallelism is:
     by the bytes of the texts."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(least, -(-size // block_bytes))
+    return max(1, -(-size // block_bytes))

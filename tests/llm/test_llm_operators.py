@@ -76,9 +76,10 @@ def test_line_dedup_of_nothing(docs_of):
 
 def brute_bytes(rows, length):
     seen, out = {}, []
-    for i, t in sorted(((i, (t or "").encode()) for i, t in rows if i is not None), key=lambda x: x[0]):
+    for i, t in ((i, (t or "").encode()) for i, t in rows if i is not None):
         for p in range(len(t) - length + 1):
-            seen.setdefault(t[p : p + length], (i, p))
+            k = t[p : p + length]
+            seen[k] = min(seen.get(k, (i, p)), (i, p))
     for i, t in rows:
         b = (t or "").encode()
         gone = [False] * len(b)
@@ -90,10 +91,14 @@ def brute_bytes(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("slice_bytes", [3 << 20, 400])
-def test_suffix_dedup(docs_of, slice_bytes):
-    rows = [*enumerate(TEXTS), (0, TEXTS[0]), (None, TEXTS[0])]
-    got = lpf.dedup_suffixes(docs_of(rows, ("kept", "block", "kind")), slice_bytes=slice_bytes)
+#: Rows that repeat an id, with one text and with several, and null ids.
+ODD = [(0, TEXTS[0]), (None, TEXTS[0]), (4, "other words " + TEXTS[9] + TEXTS[0]), (4, TEXTS[9]), (70, TEXTS[2]), (70, TEXTS[2])]
+
+
+@pytest.mark.parametrize(("slice_bytes", "block_bytes", "fan"), [(3 << 20, 4 << 20, None), (400, 4 << 20, None), (2000, 9000, None), (400, 4000, 3)])
+def test_suffix_dedup(docs_of, slice_bytes, block_bytes, fan):
+    rows = [*enumerate(TEXTS), *ODD]
+    got = lpf.dedup_suffixes(docs_of(rows, ("kept", "block", "kind", "key")), slice_bytes=slice_bytes, block_bytes=block_bytes, fan=fan)
     assert "block" in got.columns
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()]
     assert sorted(got, key=str) == brute_bytes(rows, 100)
@@ -116,18 +121,18 @@ def brute_words(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window", [13, 5])
-def test_substring_dedup(docs_of, window):
-    rows = [*enumerate(TEXTS), (0, TEXTS[0]), (None, TEXTS[0])]
-    got = substring.dedup_substrings(docs_of(rows, ("kept", "block")), window=window).select("doc_id", "n_words", "n_removed", "kept")
+@pytest.mark.parametrize(("window", "block_bytes", "fan"), [(13, 4 << 20, None), (5, 4 << 20, None), (13, 9000, None), (5, 4000, 3)])
+def test_substring_dedup(docs_of, window, block_bytes, fan):
+    rows = [*enumerate(TEXTS), *ODD]
+    got = substring.dedup_substrings(docs_of(rows, ("kept", "block", "key")), window=window, block_bytes=block_bytes, fan=fan).select("doc_id", "n_words", "n_removed", "kept")
     assert sorted([tuple(r) for r in got.collect()], key=str) == brute_words(rows, window)
 
 
-def test_several_texts_of_one_id_stay_whole_but_count(docs_of):
+def test_several_texts_of_one_id_are_one_document(docs_of):
     a, b = "x" * 150, "y" * 150
     rows = [(1, a), (1, b), (0, "z" * 150 + " " + a), (2, b)]
-    got = {(r.doc_id, r.n_bytes): r.n_removed for r in lpf.dedup_suffixes(docs_of(rows)).collect()}
-    assert got[(1, 150)] == 0 and got[(2, 150)] == 150
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in lpf.dedup_suffixes(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == brute_bytes(rows, 100) and (1, 150, 150, 1, b"") in got
     words = " ".join(map(str, range(20)))
     got = [(r.doc_id, r.n_removed) for r in substring.dedup_substrings(docs_of([(1, words), (1, "other"), (2, words)])).collect()]
     assert sorted(got) == [(1, 0), (1, 0), (2, 20)]

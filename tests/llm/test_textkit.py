@@ -43,12 +43,22 @@ def test_xxh64_of_many_lengths():
     assert simhash.xxh64(data, a, b).tolist() == [xxhash.xxh64(data[i:j].tobytes(), seed=42).intdigest() for i, j in zip(a, b, strict=True)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab", max_size=40).map(str.encode))
-def test_longest_previous_factors(s):
+def previous_factors(s):
+    """The longest previous factor of each position, by comparing all pairs."""
     n = len(s)
-    want = [max([0] + [max(m for m in range(n - i + 1) if s[j : j + m] == s[i : i + m]) for j in range(i)]) for i in range(n)]
-    assert lpf.longest_previous_factors(s).tolist() == want
+    return [max([0] + [max(m for m in range(n - i + 1) if s[j : j + m] == s[i : i + m]) for j in range(i)]) for i in range(n)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab", max_size=40).map(str.encode), st.sampled_from([1, 2, 5, 8, 11]))
+def test_repeats_are_long_previous_factors(s, length):
+    data = np.frombuffer(s, np.uint8)
+    at, rank = lpf.prefix_ranks(data, len(s) - np.arange(len(s)), length)
+    assert set(at[lpf.repeats(at, rank, at)].tolist()) == {i for i, f in enumerate(previous_factors(s)) if f >= length}
+    # Whatever the order of the corpus, the first of each kind is no repeat and all others are.
+    age = np.random.default_rng(len(s)).permutation(len(s))[at]
+    on = lpf.repeats(at, rank, age)
+    assert on.tolist() == [any(age[j] < age[i] and rank[j] == rank[i] for j in range(len(at))) for i in range(len(at))]
 
 
 @settings(max_examples=60, deadline=None)
@@ -66,18 +76,6 @@ def test_repeats_are_factors_over_a_threshold(texts, length):
     assert lpf.repeats(at, rank, at).tolist() == want
 
 
-def test_many_contexts_by_offsets():
-    texts = [b"x" * i + b"0123456789" + b"y" * (9 - i) for i in range(4)]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    d, p = lpf._by_offsets(data, np.arange(5) * 19, np.array([4, 5, 6, 7]), np.array([0, 10, 20, 30]), 10)
-    seen, want = {}, set()
-    for doc, (t, start) in enumerate(zip(texts, (0, 10, 20, 30), strict=True), 4):
-        for i in range(10):
-            if seen.setdefault(t[i : i + 10], (doc, start + i)) != (doc, start + i):
-                want.add((doc, start + i))
-    assert want and set(zip(d.tolist(), p.tolist(), strict=True)) == want
-
-
 def test_walk_of_a_dense_bucket_reaches_the_smallest():
     base = np.uint64(0x0F0F0F0F0F0F0F0F)
     fp = np.sort(np.array([base ^ np.uint64(1 << i) for i in range(40)] + [base ^ np.uint64(0x3FF)], np.uint64))
@@ -92,8 +90,8 @@ def test_water_level():
 
 
 def test_large_components_stay_exact():
-    q = np.array([[2.0**40, 1.0]])
-    assert topk._partials(q, q, 1)[0][0, 0] == 2**80 + 1 and topk._long(2**80) == 2**63 - 1
+    q, m = topk._exactly(*[np.array([[2.0**40, 1.0]])] * 2)
+    assert (q @ m.T)[0, 0] == topk._resolved(q, m, np.zeros(1, int), np.zeros(1, int), np.arange(2))[0] == 2**80 + 1 and topk._long(2**80) == 2**63 - 1
 
 
 def test_template_tokens():
