@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -63,31 +63,47 @@ def _score(shared):
     return run
 
 
-def top_by_key(rows: DataFrame, key: str, tie: str, k: int, bins: int = 1024, small: int = 100_000) -> DataFrame:
-    """``rows`` with ``selected``: the k highest keys, ties to the smaller ``tie``. The cutoff is
-    narrowed by histograms until few rows share its bin; only those are ranked."""
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if n <= k:
-        return rows.withColumn("selected", F.lit(True))
-    above = 0
-    while hi > lo:
-        width = (hi - lo) / bins
-        if not width or lo + width == lo:
-            break
-        spot = F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1))
-        found = rows.where(F.col(key).between(lo, hi)).groupBy(spot.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(F.desc("b")).collect()
+def _cutoff(rows: DataFrame, column: str, wanted: int, descending: bool, bins: int, small: int) -> tuple[object, int]:
+    """The value of ``column`` that the wanted-th row has in order, and how many rows come before that
+    value. Histograms narrow the range; only a range of at most ``small`` rows is counted value by value."""
+    lo, hi, n = rows.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+    before = 0
+    while hi > lo and n > small:
+        spot = F.least(F.floor((F.col(column).cast("double") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+        found = rows.where(F.col(column).between(lo, hi)).groupBy(spot.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).orderBy(F.desc("b") if descending else F.asc("b")).collect()
         for r in found:
-            if above + r["n"] >= k:
+            if before + r["n"] >= wanted:
                 break
-            above += r["n"]
-        lo, hi = r["lo"], r["hi"]
-        if r["n"] <= small or len(found) == 1:
-            break
-    edge = rows.where(F.col(key).between(lo, hi)).select(F.col(tie).alias("__tie"), F.col(key).alias("__key"))
-    edge = edge.orderBy(F.desc("__key"), "__tie").limit(k - above).groupBy("__tie", "__key").agg(F.count(F.lit(1)).alias("__left"))
-    ranked = rows.join(edge, F.col(tie).eqNullSafe(F.col("__tie")) & (F.col(key) == F.col("__key")), "left")
-    inside = ranked.withColumn("__r", F.when(F.col("__left").isNotNull(), F.row_number().over(Window.partitionBy(tie, key).orderBy(F.lit(1)))))
-    return inside.withColumn("selected", (F.col(key) > hi) | F.coalesce(F.col("__r") <= F.col("__left"), F.lit(False))).drop("__tie", "__key", "__left", "__r")
+            before += r["n"]
+        if (r["lo"], r["hi"]) == (lo, hi):
+            break  # as narrow as doubles tell apart
+        lo, hi, n = r["lo"], r["hi"], r["n"]
+    # Few rows, or few values.
+    for r in rows.where(F.col(column).between(lo, hi)).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(column) if descending else F.asc(column)).toLocalIterator():
+        if before + r["n"] >= wanted:
+            return r[column], before
+        before += r["n"]
+    raise AssertionError("fewer rows than wanted")
+
+
+def top_by_key(rows: DataFrame, key: str, tie: str, k: int, bins: int = 1024, small: int = 100_000) -> DataFrame:
+    """``rows`` with ``selected``: the k highest keys, ties to the smaller ``tie`` (null first), then to
+    the row's place. Cutoffs of key, tie and place are found by histograms one after the other, so
+    no row is shuffled, and equal keys of any number are no group of their own. ``rows`` must be
+    read alike each time, as a stored table is."""
+    if rows.count() <= k:
+        return rows.withColumn("selected", F.lit(True))
+    if k <= 0:
+        return rows.withColumn("selected", F.lit(False))
+    placed = rows.withColumn("__place", F.monotonically_increasing_id()).withColumn("__known", F.col(tie).isNotNull().cast("int")).withColumn("__tie", F.coalesce(tie, F.lit(0)))
+    left, chosen, edge = placed, F.lit(False), F.lit(True)
+    for column, descending in ((key, True), ("__known", False), ("__tie", False), ("__place", False)):
+        cut, before = _cutoff(left, column, k, descending, bins, small)
+        chosen = chosen | (edge & (F.col(column) > F.lit(cut) if descending else F.col(column) < F.lit(cut)))
+        edge = edge & (F.col(column) == F.lit(cut))
+        k -= before
+        left = left.where(F.col(column) == F.lit(cut))
+    return placed.withColumn("selected", chosen | edge).drop("__place", "__known", "__tie")
 
 
 def importance_resample(docs: DataFrame, target_ids: DataFrame, fraction: float = 0.5, doc_id: str = "doc_id", text: str = "text", slots: int = 10_000, max_target: int = 20_000, seed: int = 17) -> DataFrame:
@@ -95,7 +111,9 @@ def importance_resample(docs: DataFrame, target_ids: DataFrame, fraction: float
 
     ``target_ids`` (column doc_id) names the target documents; those with the ``max_target``
     smallest hashed ids are used. floor(fraction * rows) rows are selected. A null or empty text
-    has weight 0, and so ranks by its noise alone. Rows that repeat an id share its noise.
+    has weight 0, and so ranks by its noise alone. Rows that repeat an id share its noise, and so do
+    rows with a null id; of equal keys the smaller id goes first. An empty table gives no row; a very
+    long text is counted whole. Only id and text are read, so other columns of any name don't matter.
     """
     spark = docs.sparkSession
     chosen = target_ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
