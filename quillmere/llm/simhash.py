@@ -27,8 +27,20 @@ from .workspace import Workspace
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
-VARIANTS = tuple((low, width, bit) for low, width in SEGMENTS for bit in range(width))
+
+
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of so few segments that one of them differs by at most one of ``bits`` bits."""
+    n = bits // 2 + 1
+    if not 1 <= n <= 16:
+        raise ValueError("segments of at least four bits allow up to 31 differing bits")
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def variants(bits: int) -> list[tuple[int, int, int]]:
+    """Every segment with each of its bits as the wildcard."""
+    return [(low, width, bit) for low, width in segments(bits) for bit in range(width)]
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -131,19 +143,19 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _variant_value(fp: np.ndarray, v: int) -> np.ndarray:
-    low, width, bit = VARIANTS[v]
+def _variant_value(fp: np.ndarray, variant: tuple[int, int, int]) -> np.ndarray:
+    low, width, bit = variant
     mask = ((1 << width) - 1) & ~(1 << bit)
     return (fp >> np.uint64(low)) & np.uint64(mask)
 
 
-def _emit_variants(parts: int, held_fps: int = 1 << 21):
+def _emit_variants(parts: int, bits: int, held_fps: int = 1 << 21):
     """Fingerprints -> packed arrays by bucket; a task sends a bucket one row for each ``held_fps`` it reads."""
 
     def packed(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for v in range(len(VARIANTS)):
-            part = (tk.mix(_variant_value(fp, v)) % np.uint64(parts)).astype(np.int64)
-            rows = [(v * parts + p, fp[at].tobytes()) for p, at in ex.split(part, parts)]
+        for v, variant in enumerate(variants(bits)):
+            part = (tk.mix(_variant_value(fp, variant)) % np.uint64(parts)).astype(np.int64)
+            rows = [(v * parts + p, fp[at].tobytes()) for p, at in ex.split(part)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "fps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +235,9 @@ def _within(fp: np.ndarray, segment: tuple[int, int], bits: int, small: int = 10
 
 def _link(parts: int, bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        v = int(key[0].as_py()) // parts
+        variant = variants(bits)[int(key[0].as_py()) // parts]
         fp = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("fps").to_pylist()]))
-        value = _variant_value(fp, v)
+        value = _variant_value(fp, variant)
         order = np.argsort(value, kind="stable")
         fp, value = fp[order], value[order]
         edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
@@ -237,7 +249,7 @@ def _link(parts: int, bits: int):
         members.append(np.maximum(fp[near], fp[near + 1]))
         roots.append(np.minimum(fp[near], fp[near + 1]))
         for i in np.flatnonzero(size > 2):
-            m, r = _within(fp[edge[i] : edge[i + 1]], VARIANTS[v][:2], bits)
+            m, r = _within(fp[edge[i] : edge[i + 1]], variant[:2], bits)
             members.append(m)
             roots.append(r)
         return pa.table({"u": np.concatenate(members).view(np.int64), "v": np.concatenate(roots).view(np.int64)})
@@ -248,31 +260,56 @@ def _link(parts: int, bits: int):
 def links(nodes: DataFrame, bits: int = 4, per_part: int = 1_000_000) -> DataFrame:
     """u, v: fingerprints of ``nodes`` (distinct, column fp) in one component of a bucket's links."""
     parts = max(1, -(-nodes.count() // per_part))
-    variants = nodes.select("fp").mapInArrow(_emit_variants(parts), "bucket bigint, fps binary")
-    return variants.groupBy("bucket").applyInArrow(_link(parts, bits), "u bigint, v bigint").distinct()
+    emitted = nodes.select("fp").mapInArrow(_emit_variants(parts, bits), "bucket bigint, fps binary")
+    return emitted.groupBy("bucket").applyInArrow(_link(parts, bits), "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4, salts: int = 64) -> DataFrame:
     """doc_id, fp, component_id for every row; component_id is the smallest id of the component.
 
-    A text without words has fingerprint zero and is linked like any other. Rows of one id are
-    one document; a null id names no component (a component of null ids only has a null id).
+    A null text, or one without words, has fingerprint zero and is linked like any other; a very
+    long text is one fingerprint and costs memory in proportion to it. Rows of one id are one
+    document; a null id names no component (a component of null ids only has a null id). An empty
+    table gives no row. Only id and text are read, so other columns of any name don't matter.
+
+    A component or a fingerprint may hold a third of all rows: names of components go back to their
+    members in ``salts`` copies, and those of frequent fingerprints (over a thousandth of the
+    rows, so at most a thousand of them) as well.
     """
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.write(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
-    nodes = space.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = space.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes, bits), space)
-    placed = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(ids.hint("merge"), "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(named.hint("merge"), F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    hung = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"]).select("fp", "first", "root")
+    # Smallest ids are combined in the task before they meet by component.
+    least = hung.groupBy("root").agg(F.min("first").alias("least"))
+    rooted = nodes.join(least.hint("merge"), nodes["fp"] == least["root"]).select(F.col("fp").alias("root"), F.least("first", "least").alias("component_id"))
+    copies = rooted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    members = hung.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(copies.hint("merge"), ["root", "salt"]).select("fp", "component_id")
+    linked = members.unionAll(rooted).withColumnRenamed("fp", "__fp")
+    named = nodes.join(linked.hint("merge"), nodes["fp"] == linked["__fp"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
+    frequent = F.col("n") * 1000 > F.lit(prints.count())
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(frequent, salts - 1).otherwise(0)))).select(F.col("fp").alias("__fp"), "salt", "component_id")
+    hot = F.broadcast(nodes.where(frequent).select(F.col("fp").alias("__hot")))
+    salted = prints.join(hot, F.col("fp") == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"))
+    return salted.join(spread.hint("merge"), (F.col("fp") == F.col("__fp")) & (F.col("__salt") == F.col("salt"))).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the smallest id. Rows with a null id stay."""
-    found = near_duplicates(docs, doc_id, text, bits).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    """``docs`` with one document of each component: the smallest id, and of the rows that repeat it one.
+
+    Which of several rows of an id stays is decided by their texts, then by all other columns. Rows
+    with a null id can't be told apart by it and stay. All columns are kept.
+    """
+    found = near_duplicates(docs, doc_id, text, bits).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
     goes = found.where(~F.col("stays")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(goes, F.col(doc_id) == F.col("__gone"), "left_anti")
+    left = docs.join(goes, F.col(doc_id) == F.col("__gone"), "left_anti")
+    repeated = found.where("stays and n > 1").select(F.col("doc_id").alias("__again"))
+    once = left.join(repeated, F.col(doc_id) == F.col("__again"), "left_anti")
+    # Of a repeated id one row, by an aggregate that combines in the task.
+    row = F.struct(F.xxhash64(text).alias("__hash"), *[F.col(c) for c in docs.columns])
+    several = left.join(repeated, F.col(doc_id) == F.col("__again"), "left_semi").groupBy(F.col(doc_id).alias("__id")).agg(F.min(row).alias("__row"))
+    return once.unionByName(several.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
