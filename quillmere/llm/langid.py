@@ -2,8 +2,9 @@
 
 Each language has several centroids (spherical k-means), so that a language with distinct
 registers is not one blurred mean. A document goes to the language of the nearest centroid by
-cosine; a document too far from every centroid is flagged ``rejected``, and one without any
-letter is ``und``. Whole texts are read; only the fit uses a sample, of ``per_language`` rows.
+cosine; a document too far from it for its language is flagged ``rejected``, and one without any
+letter is ``und``. Whole texts are read, a very long one in pieces; only the fit uses a sample, of
+at most ``per_language`` rows a language. Each row is predicted by itself, whatever its id.
 """
 
 from __future__ import annotations
@@ -24,22 +25,32 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _ASCII_LETTER = np.array([chr(b).isalpha() if b < 128 else False for b in range(256)])
 
 
-def ngram_counts(chunk: tk.Chunk, dims: int) -> np.ndarray:
+def ngram_counts(chunk: tk.Chunk, dims: int, piece: int = 1 << 22) -> np.ndarray:
     """Counts of hashed 2- and 3-byte letter n-grams, one row per document. Bytes that are no
-    letters are one separator each; an n-gram of separators only is left out."""
-    b = _FOLD[chunk.data].astype(np.uint32)
-    n, size = chunk.n, len(b)
-    doc = np.repeat(np.arange(n), np.diff(chunk.bounds))
+    letters are one separator each; an n-gram of separators only is left out. A text of over
+    ``piece`` bytes is counted piece by piece."""
+    out = np.zeros((chunk.n, dims))
+    for at in range(0, len(chunk.data), piece):
+        data, bounds = chunk.data[at : at + piece + 2], np.clip(chunk.bounds - at, 0, len(chunk.data[at : at + piece + 2]))
+        out += _piece_counts(data, bounds, chunk.n, dims, piece)
+    return out
+
+
+def _piece_counts(data: np.ndarray, bounds: np.ndarray, n: int, dims: int, most: int) -> np.ndarray:
+    """Counts of the n-grams that start in the first ``most`` bytes."""
+    b = _FOLD[data].astype(np.uint32)
+    size = len(b)
+    doc = np.repeat(np.arange(n), np.diff(bounds))
     out = np.zeros(n * dims)
     for k in (2, 3):
         if size < k:
             continue
-        m = size - k + 1
+        m = min(size - k + 1, most)
         code = b[:m].copy()
         for j in range(1, k):
             code = code << np.uint32(8) | b[j : j + m]
         blank = np.uint32(0x2020 if k == 2 else 0x202020)
-        inside = (doc[:m] == doc[k - 1 :]) & (code != blank)
+        inside = (doc[:m] == doc[k - 1 : k - 1 + m]) & (code != blank)
         slot = ((code + np.uint32(k << 24)) * np.uint32(2654435761)) >> np.uint32(16)
         out += np.bincount((doc[:m] * dims + slot % np.uint32(dims))[inside], minlength=n * dims)
     return out.reshape(n, dims)
@@ -80,12 +91,12 @@ class Model:
     labels: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: float
-    full: int = 256  # n-grams from which the bound holds in full
+    reject_below: np.ndarray  # of each centroid's language
+    full: int = 1024  # n-grams from which the bound holds in full
 
-    def bound(self, counts: np.ndarray) -> np.ndarray:
+    def bound(self, counts: np.ndarray, best: np.ndarray) -> np.ndarray:
         """The rejection bound; the cosine of a short text is low by chance, as the root of its n-grams."""
-        return self.reject_below * np.sqrt(np.minimum(1.0, counts.sum(axis=1) / self.full))
+        return self.reject_below[best] * np.sqrt(np.minimum(1.0, counts.sum(axis=1) / self.full))
 
     def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centroid and cosine of each row; ties go to the first centroid."""
@@ -95,41 +106,44 @@ class Model:
 
 
 def _features(dims: int):
+    """label, order, text -> label, order, packed counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk in tk.chunks(b.column(1), max_docs=512):
+            for chunk in tk.chunks(b.column(2), max_docs=512):
                 counts = ngram_counts(chunk, dims)
                 at = [np.flatnonzero(c) for c in counts]
                 packed = [np.concatenate([i, c[i]]).astype(np.int32).tobytes() for c, i in zip(counts, at, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(chunk.first, chunk.n), pa.array(packed, pa.binary())], ["label", "counts"])
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(chunk.first, chunk.n) for j in (0, 1)), pa.array(packed, pa.binary())], ["label", "chance", "counts"])
 
     return run
 
 
-def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str = "text", dims: int = 4096, centroids: int = 3, per_language: int = 400, max_languages: int = 500, reject_share: float = 0.5) -> Model:
-    """Fit on at most ``per_language`` rows of each label, those with the smallest hashed ids.
+def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str = "text", dims: int = 4096, centroids: int = 3, per_language: int = 400, max_languages: int = 500, reject_share: float = 0.8) -> Model:
+    """Fit on at most ``per_language`` rows of each label, those with the smallest hashed ids, and on
+    at most ``max_languages`` labels, those with the most rows: a bounded sample. Rows that repeat
+    an id and a text are drawn like others, but no more than ``per_language`` reach the driver.
 
-    ``reject_below`` is ``reject_share`` of the cosine that 99 of 100 fitted rows reach; for a
-    text of few n-grams it falls with the root of their number. With no
-    labelled row the model has no language, and every document is undetermined.
+    The bound of a language is ``reject_share`` of the cosine that 99 of 100 of its fitted rows
+    reach; for a text of few n-grams it falls with the root of their number. With no labelled
+    row the model has no language, and every document is undetermined but none is rejected.
     """
-    spark = docs.sparkSession
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(doc_id, label)
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     # One row a language, at most max_languages of them.
-    sizes = known.groupBy(label).agg(F.count(F.lit(1))).limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_languages).collect()
     if not sizes:
-        return Model([], np.zeros((0, dims), np.float32), np.ones(dims), 0.0)
-    # Hashed ids below a bound that passes about four times the sample, so that ranking sees few rows.
-    share = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, min(1.0, 4.0 * per_language / n))])
-    chance = F.shiftrightunsigned(F.xxhash64(doc_id), 11) / float(1 << 53)
-    order = Window.partitionBy(label).orderBy(F.xxhash64(doc_id), doc_id)
-    ids = known.where(chance < share[F.col(label)]).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_language)
-    # At most max_languages * per_language ids by construction.
-    found = [r[0] for r in ids.select(doc_id).collect()]
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in found], docs.select(doc_id).schema).distinct())
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(label, text, doc_id).join(wanted, doc_id, "left_semi").select(F.col(label).alias("label"), F.col(text).alias("t")).mapInArrow(_features(dims), "label string, counts binary").orderBy("label", "counts").collect()
+        return Model([], np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(0))
+    # The hashed id up to which a label's sample goes: from ids and labels only, ranked in each task first.
+    chance = F.xxhash64(F.col(doc_id))
+    order = Window.partitionBy("label").orderBy("chance")
+    ranked = known.select(F.col(label).alias("label"), chance.alias("chance")).where(F.col("label").isin([r[0] for r in sizes])).withColumn("r", F.row_number().over(order))
+    bound = ranked.where(F.col("r") <= per_language).groupBy("label").agg(F.max("chance")).collect()
+    upto = F.create_map(*[F.lit(x) for name, cut in bound for x in (name, cut)])
+    drawn = known.withColumn("__chance", chance).where(F.col("__chance") <= upto[F.col(label)])
+    counted = drawn.select(F.col(label).alias("label"), F.col("__chance").alias("chance"), F.col(text).alias("t")).mapInArrow(_features(dims), "label string, chance bigint, counts binary")
+    order = Window.partitionBy("label").orderBy("chance", "counts")
+    # At most max_languages * per_language rows by construction.
+    rows = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).orderBy("label", "r").collect()
     x = np.zeros((len(rows), dims), np.float32)
     for i, r in enumerate(rows):
         at, n = np.frombuffer(r["counts"], np.int32).reshape(2, -1)
@@ -138,20 +152,21 @@ def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str
     x, names = x[x.any(axis=1)], names[x.any(axis=1)]
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     v = _unit(np.log1p(x) * idf)
-    labels, cents = [], []
+    labels, cents, below = [], [], []
     for name in sorted(set(names.tolist())):
-        c = spherical_kmeans(v[names == name], centroids)
+        mine = v[names == name]
+        c = spherical_kmeans(mine, centroids)
         cents.append(c)
         labels += [name] * len(c)
-    m = Model(labels, np.concatenate(cents).astype(np.float32) if cents else np.zeros((0, dims), np.float32), idf, 0.0)
-    if labels:
-        m.reject_below = reject_share * float(np.quantile(m.score(x)[1], 0.01))
-    return m
+        below += [reject_share * float(np.quantile((mine @ c.T).max(axis=1), 0.01))] * len(c)
+    return Model(labels, np.concatenate(cents).astype(np.float32) if cents else np.zeros((0, dims), np.float32), idf, np.array(below))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score and rejected (score below the model's bound, or
-    no letter). A column of ``docs`` that has one of these three names is replaced."""
+    """All columns of ``docs`` with lang_pred, score and rejected (score below the bound of the language,
+    or no letter). A column of ``docs`` that has one of these three names is replaced. A null or empty
+    text is ``und`` and rejected. A model without languages predicts ``und`` and rejects nothing. An
+    empty table gives no row, and repeated rows are predicted each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     src, place = docs.select(*names), names.index(text)
@@ -171,11 +186,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     continue
                 counts = ngram_counts(chunk, dims)
                 best, s = m.score(counts)
-                bound.append(m.bound(counts))
+                bound.append(m.bound(counts, best))
                 label += [m.labels[j] if o else UNDETERMINED for j, o in zip(best, ok, strict=True)]
                 score.append(np.where(ok, s, 0.0))
             score = np.concatenate(score).astype(float) if score else np.zeros(0)
-            bad = (score < np.concatenate(bound)) | (np.array(label, object) == UNDETERMINED) if label else np.zeros(0, bool)
+            bad = np.zeros(len(label), bool)
+            if m.labels and label:
+                bad = (score < np.concatenate(bound)) | (np.array(label, object) == UNDETERMINED)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
     return src.mapInArrow(run, schema)

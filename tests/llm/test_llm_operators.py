@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small fixture with the awkward cases:
 nulls, empty texts, repeated rows, ties, a long text, null ids, clashing columns, empty tables."""
 
+import base64
 import hashlib
 import math
 import random
@@ -191,8 +192,28 @@ def test_simhash_components(docs_of):
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     assert got == {(i, signed(f)): least[find(f)] for i, f in prints}
     assert len(set(got.values())) < len(rows) - 35
-    kept = simhash.one_of_each(docs_of(rows))
-    assert {r.doc_id for r in kept.collect()} == set(least.values()) | {None}
+    kept = [r.doc_id for r in simhash.one_of_each(docs_of([*rows, (6, "another"), (6, texts[1])])).collect()]
+    assert sorted(kept, key=str) == sorted([*set(least.values()), None], key=str)
+    assert {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs_of(rows), salts=1).collect()} == got
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 6])
+def test_links_for_any_number_of_bits(spark, bits):
+    r = random.Random(bits)
+    base = [r.getrandbits(64) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, bits + 1))) for b in base for _ in range(4)})
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in prints], "fp long")
+    near = [{f for f in prints if (f ^ g).bit_count() <= bits} for g in prints]
+    own = {f: f for f in prints}
+    for _ in prints:
+        own = {f: min(own[x] for x in n) for f, n in zip(prints, near, strict=True)}
+    edges = simhash.links(nodes, bits).collect()
+    got = {f: f for f in prints}
+    for _ in prints:
+        for e in edges:
+            u, v = e.u % (1 << 64), e.v % (1 << 64)
+            got[u] = got[v] = min(got[u], got[v])
+    assert got == own and sum(a != b for a, b in got.items()) > (10 if bits else -1)
 
 
 def test_simhash_of_nothing(docs_of):
@@ -453,6 +474,35 @@ def test_token_counts(docs_of):
     assert tokens.context_table(tokens.length_histogram(tokens.token_lengths(docs_of([])))).count() == 0
 
 
+def brute_encode(text, ranks):
+    """Byte-pair merges in order of rank, piece by piece."""
+    import regex
+
+    out = []
+    for piece in regex.findall(tokens.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in ranks:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_lengths_by_brute_force(docs_of):
+    pytest.importorskip("tiktoken")
+    pytest.importorskip("regex")
+    try:
+        lines = open(tokens.DEFAULT_VOCABULARY, "rb").read().splitlines()
+    except FileNotFoundError:
+        pytest.skip("no vocabulary file")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
+    texts = [*TEXTS[:30], None, "", "it's 2024, isn't it?\n\n  naïve 日本語 <|endoftext|>", "x" * 300]
+    got = {r.doc_id: r.n_tokens for r in tokens.token_lengths(docs_of(texts)).collect()}
+    assert got == {i: len(brute_encode(t or "", ranks)) for i, t in enumerate(texts)}
+
+
 def test_encoding_round_trip():
     tiktoken = pytest.importorskip("tiktoken")
     try:
@@ -483,7 +533,94 @@ def test_language(docs_of, spark):
     assert got[903].lang_pred in vocab and got[904].rejected and got[905].lang_pred == "en"
     assert all(0 <= x.score <= 1 for x in got.values())
     none = langid.fit(df.where("doc_id < 0"))
-    assert {x.lang_pred for x in langid.predict(df, none).collect()} == {"und"} and langid.predict(df.limit(0), m).count() == 0
+    assert {(x.lang_pred, x.rejected) for x in langid.predict(df, none).collect()} == {("und", False)} and langid.predict(df.limit(0), m).count() == 0
+
+
+def brute_language(model, text):
+    """The nearest centroid by dictionaries of n-grams; None: no letter."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalpha() else 32 for c in (text or "").encode())
+    counts = Counter()
+    for k in (2, 3):
+        for i in range(len(folded) - k + 1):
+            g = folded[i : i + k]
+            if g.strip(b" "):
+                code = (int.from_bytes(g, "big") + (k << 24)) * 2654435761 % 2**32
+                counts[(code >> 16) % len(model.idf)] += 1
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    x = {i: math.log1p(n) * float(model.idf[i]) for i, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    sims = [sum(v * float(c[i]) for i, v in x.items()) / norm for c in model.centroids]
+    best = max(range(len(sims)), key=lambda j: sims[j])
+    return model.labels[best], sims[best], sims[best] < model.reject_below[best] * math.sqrt(min(1, sum(counts.values()) / model.full))
+
+
+def test_language_by_brute_force(docs_of):
+    df = docs_of([*TEXTS, "Ünïcode ßtraße " * 40, "木 木"]).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "aa").when(F.col("doc_id") % 3 == 1, "bb"))
+    m = langid.fit(df, per_language=20)
+    for r in langid.predict(df, m).collect():
+        want = brute_language(m, r.text)
+        if want is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            assert r.lang_pred == want[0] and r.score == pytest.approx(want[1], abs=1e-5) and r.rejected == want[2]
+
+
+def test_long_texts_are_counted_in_pieces():
+    from quillmere.llm import textkit as tk
+
+    import pyarrow as pa
+
+    c = next(tk.chunks(pa.array(["ab cd " * 50 + "xyz", "", "q"])))
+    whole = langid.ngram_counts(c, 512)
+    for piece in (1, 7, 100):
+        assert (langid.ngram_counts(c, 512, piece) == whole).all()
+
+
+def test_repeated_labelled_rows_stay_bounded(docs_of):
+    df = docs_of([(7, "the same text")] * 500 + [(None, "no id")] * 300).withColumn("lang", F.lit("xx"))
+    assert langid.fit(df, per_language=20).labels
+    assert langid.fit(df.withColumn("lang", F.concat(F.lit("l"), (F.monotonically_increasing_id() % 7).cast("string"))), max_languages=3).labels[::3] != []
+
+
+def brute_weights(rows, target, slots):
+    """log weights by counting n-grams in dictionaries; the slot of an n-gram is the operator's."""
+    from quillmere.llm import textkit as tk
+
+    import pyarrow as pa
+
+    def grams(t):
+        out = Counter()
+        for c in tk.chunks(pa.array([t or ""])):
+            w = W.findall(t or "")
+            at, _ = quality.ngram_slots(c, slots)
+            assert len(at) == 2 * len(w) - 1 if w else not len(at)
+            out.update(at.tolist())
+        return out
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in target:
+            good.update(grams(t))
+    ratio = [math.log((good[s] + 1) / (sum(good.values()) + slots)) - math.log((raw[s] + 1) / (sum(raw.values()) + slots)) for s in range(slots)]
+    return [sum(n * ratio[s] for s, n in grams(t).items()) for _, t in rows]
+
+
+def test_resampling_by_brute_force(docs_of, spark):
+    rows = [*enumerate(TEXTS), (4, "another text of an id"), (None, TEXTS[3])]
+    target = {2, 4, 8, 16, 32, 66}
+    got = quality.importance_resample(docs_of(rows, ("log_weight", "selected")), spark.createDataFrame([(i,) for i in target], "doc_id long"), fraction=0.3, slots=400).collect()
+    want = brute_weights(rows, target, 400)
+    by = lambda xs: sorted(xs, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for g, (i, w) in zip(by([(x.doc_id, x.log_weight) for x in got]), by([(i, w) for (i, _), w in zip(rows, want, strict=True)]), strict=True):
+        assert g[0] == i and g[1] == pytest.approx(w, abs=1e-6)
+    k = int(0.3 * len(rows))
+    order = sorted(got, key=lambda x: (-x.resample_key, x.doc_id is not None, x.doc_id or 0))
+    assert sorted(x.resample_key for x in got if x.selected) == sorted(x.resample_key for x in order[:k])
+    # The noise is Gumbel: its mean over many ids is Euler's constant.
+    noise = quality.importance_resample(docs_of([""] * 4000), spark.createDataFrame([(1,)], "doc_id long"), slots=10).agg(F.avg("resample_key"), F.stddev("resample_key")).first()
+    assert noise[0] == pytest.approx(0.5772, abs=0.08) and noise[1] == pytest.approx(math.pi / math.sqrt(6), abs=0.08)
 
 
 def test_resampling(docs_of, spark):
@@ -498,7 +635,14 @@ def test_resampling(docs_of, spark):
     low = max(x.resample_key for x in got if not x.selected)
     assert all(x.resample_key >= low for x in got if x.selected)
     assert sum(by[i].selected for i in range(1, 200, 2)) > 90 and by[200].log_weight == 0 and by[201].n_grams == 0
-    assert math.isclose(by[7].log_weight, by[7].log_weight) and quality.importance_resample(docs_of([]), target).count() == 0
+    assert quality.importance_resample(docs_of([]), target).count() == 0
+
+
+def test_top_by_key_of_equal_rows(spark):
+    df = spark.createDataFrame([(i % 2 if i % 5 else None, 1.5) for i in range(60)], "doc_id long, k double")
+    for k in (0, 1, 12, 13, 36, 37, 59, 60):
+        got = quality.top_by_key(df, "k", "doc_id", k, bins=4, small=1).where("selected").collect()
+        assert sorted((x.doc_id for x in got), key=str) == sorted(sorted((r.doc_id for r in df.collect()), key=lambda x: (x is not None, x or 0))[:k], key=str)
 
 
 def test_top_by_key_with_ties(spark):
