@@ -183,11 +183,13 @@ class Route:
         return rows.groupBy("key", "part").applyInArrow(run, PACKED)
 
 
-def arrived(rows: DataFrame, *routes: Route) -> DataFrame:
-    """The rows of several kinds by their last destination. Where one step does, ``rows`` is read once."""
+def arrived(rows: DataFrame, *routes: Route, passing: Route | None = None) -> DataFrame:
+    """The rows of several kinds by their last destination; rows of ``passing`` keep their key. Where one
+    step does, ``rows`` is read once."""
     if not any(r.coarse for r in routes):
-        return rows.where(F.col("kind").isin(*[r.kind for r in routes]))
-    return reduce(DataFrame.unionByName, [r.arrive(rows) for r in routes])
+        return rows.where(F.col("kind").isin(*[r.kind for r in routes], *([passing.kind] if passing else [])))
+    parts = [r.arrive(rows) for r in routes]
+    return reduce(DataFrame.unionByName, [*parts, rows.where(F.col("kind") == passing.kind)] if passing else parts)
 
 
 def exchanged(rows: DataFrame, parts: int, work: Callable[[int, dict[int, list[bytes]]], pa.Table], schema: str = PACKED) -> DataFrame:

@@ -146,7 +146,7 @@ class _Dedup:
         #: Contexts of an anchor that one slice holds.
         self.contexts = max(1, slice_bytes // (2 * length))
         route = lambda kind, *types: ex.Route(kind, buckets, *types, fan=fan)
-        self.found, self.first = route(FOUND, np.uint64, np.uint64, np.uint32), route(FIRST, np.uint64, np.uint64, np.uint32)
+        self.found, self.first = route(FOUND, np.uint64, np.uint64, np.uint32), route(FIRST, np.uint64, np.uint32)
         self.spans, self.asked = route(SPANS, np.uint32, np.uint32), route(ASKED, np.uint32, np.uint64, np.uint32)
         self.counts, self.several = route(COUNTS, np.uint64, np.uint32), route(SEVERAL, np.uint64, np.uint32)
         self.named = route(NAMED, np.uint64, np.uint64, np.uint32)
@@ -188,13 +188,17 @@ class _Dedup:
         return ex.rows_to_batch(out + self.found.send(self.bucket(h[first] ^ tk.mix(context[first])), at[first], ids[first], rows[first], h[first], context[first], pos[first], part=block))
 
     def meet(self, key: int, kinds: dict) -> pa.Table:
-        """A bucket of names -> spans of the later positions; the first ones, kept by this bucket; how many contexts each hash has."""
-        block, ids, rows, h, context, pos = ex.unpack(kinds.get(FOUND, []), *self.found.dtypes)
+        """A bucket of names -> spans of the later positions; the first ones, kept by this bucket; how many contexts each hash has.
+        Spans that a block found by itself pass through."""
+        passing = [(SPANS, key, i % ex.PARTS, body) for i, body in enumerate(kinds.get(SPANS, []))]
+        if FOUND not in kinds:
+            return ex.rows_to_batch(passing)
+        block, ids, rows, h, context, pos = ex.unpack(kinds[FOUND], *self.found.dtypes)
         first, again = named(ids, pos, h, context)
-        out = self.send_spans(block[again], ids[again], rows[again], *self.whole(pos[again]), key)
+        out = passing + self.send_spans(block[again], ids[again], rows[again], *self.whole(pos[again]), key)
         block, ids, rows, h, context, pos = (x[first] for x in (block, ids, rows, h, context, pos))
         o = np.lexsort((pos, rows, block))
-        out += self.first.send(np.full(len(o), key), block[o], ids[o], rows[o], h[o], context[o], pos[o], part=key)
+        out += self.first.send(np.full(len(o), key), block[o], ids[o], rows[o], h[o], pos[o], part=key)
         o = np.lexsort((context, h))
         new = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (context[o][1:] != context[o][:-1])]) if len(o) else np.zeros(0, bool)
         hashes, n = np.unique(h[o][new], return_counts=True)
@@ -216,7 +220,7 @@ class _Dedup:
         _, _, _, hashes, total = ex.unpack(kinds.get(SEVERAL, []), *self.several.dtypes)
         if not len(hashes) or FIRST not in kinds:
             return ex.rows_to_batch([])
-        block, ids, rows, h, _, pos = ex.unpack(kinds[FIRST], *self.first.dtypes)
+        block, ids, rows, h, pos = ex.unpack(kinds[FIRST], *self.first.dtypes)
         o = np.argsort(hashes)
         hashes, total = hashes[o], total[o]
         spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -348,18 +352,21 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = block_count(docs, text, block_bytes)
     space, d = Workspace(docs.sparkSession, "suffix"), _Dedup(doc_id, text, length, anchor, n, slice_bytes, fan)
     blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks")
-    found = space.write(ex.each_block(blocks, d.find), "found", partition_by="kind")
-    met = space.write(ex.exchanged(d.found.arrive(found), n, d.meet), "met", partition_by="kind")
+    met = space.write(ex.exchanged(ex.arrived(ex.each_block(blocks, d.find), d.found, passing=d.spans), n, d.meet), "met", partition_by="kind")
     space.release()
     several = ex.exchanged(d.counts.arrive(met), n, d.add)
     asked = space.write(ex.exchanged(d.first.arrive(met).unionByName(d.several.arrive(several)), n, d.ask), "asked")
     del several
+    for kind in (FIRST, COUNTS):
+        space.drop(f"met/kind={kind}")
     space.release()
     extracted = space.write(ex.exchanged(blocks.unionByName(d.asked.arrive(asked)), n, d.extract), "extracted", partition_by="kind")
     space.release()
     judged = space.write(ex.exchanged(extracted.where(F.col("kind") == CONTEXTS).unionByName(d.named.arrive(extracted)), n, d.factors), "judged")
+    for kind in (CONTEXTS, NAMED):
+        space.drop(f"extracted/kind={kind}")
     space.release()
-    spans = found.unionByName(met).unionByName(extracted).unionByName(judged)
+    spans = met.unionByName(extracted).unionByName(judged)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
     return ex.exchanged(blocks.unionByName(d.spans.arrive(spans)), n, d.remove(names), schema)
 
