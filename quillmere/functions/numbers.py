@@ -79,3 +79,15 @@ def dates(c: Column) -> Column:
         return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(iso, "yyyy-MM-dd"))
 
     return F.array_distinct(F.array_compact(F.transform(tokens, parse)))
+
+
+def plain(c: Column) -> Column:
+    """A decimal in plain notation, without trailing zeros."""
+    t = c.cast(WIDE).cast("string")
+    return F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+
+
+def hash_score(query: Column, text: Column) -> Column:
+    """A deterministic score from 0 to 1 of a pair, for tests of rerankers."""
+    h = F.sha2(F.concat_ws("\x00", query, text).cast("binary"), 256)
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16**12 - 1)

@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 
 CJK = r"㐀-䶿一-鿿"
 SEGMENT = rf"[a-z0-9]+(?:[._/-][a-z0-9]+)*|[{CJK}]+"
-ZERO_WIDTH = r"[​‌‍⁠﻿]"
+#: Characters without width that a scan leaves out.
+ZERO_WIDTH = r"[\u200b-\u200f\u2060\ufeff]"
+#: What stripping takes off both ends: white space of any script and the ASCII separators.
+BLANK = r"[\s\x1c-\x1f]"
 
 
 @F.pandas_udf(T.StringType())
@@ -44,6 +47,11 @@ def fold_latin(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -84,7 +92,7 @@ def cited_ids(c: Column, letter: str = "S") -> Column:
 def labelled_value(c: Column, labels: tuple[str, ...], stop: str = r"，,。；;\n") -> Column:
     """The text after the first of the labels and an optional colon or copula; null if there is none."""
     v = F.regexp_extract(c, rf"(?iu)(?:{'|'.join(map(re.escape, labels))})(?:\s*(?:是|为|：|:))?\s*([^{stop}]+)", 1)
-    v = F.btrim(F.trim(v), F.lit("：:，,；;。.!！?？\"'“”‘’"))
+    v = F.btrim(strip(v), F.lit("：:，,；;。.!！?？\"'“”‘’"))
     return F.when(v != "", v)
 
 
@@ -101,10 +109,44 @@ def has_any(c: Column, cues) -> Column:
 
 def json_body(c: Column) -> Column:
     """The text inside an optional ```json fence."""
-    inner = F.regexp_extract(F.trim(c), r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
-    return F.when(inner != "", inner).otherwise(F.trim(c))
+    inner = F.regexp_extract(strip(c), r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
+    return F.when(inner != "", inner).otherwise(strip(c))
 
 
 def escape_label(c: Column) -> Column:
     """Escapes of a label value in the text exposition format."""
     return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))
+
+
+def json_map(c: Column) -> Column:
+    """map<string,string> of a flat JSON object; an empty map for null, blank or malformed text."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.from_json(strip(c), "map<string,string>"), none)
+
+
+def sorted_json(values: Column) -> Column:
+    """Compact JSON list of an array's values in order."""
+    return F.to_json(F.array_sort(values))
+
+
+def union_sorted(a: Column, b: Column) -> Column:
+    """The distinct values of two arrays in order; null counts as none."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def normalized_revision(c: Column) -> Column:
+    """A revision's wording with one verb: changed to, set to and the like are all 为."""
+    return F.regexp_replace(strip(c), r"(?:修改|更改|调整|变更|改)(?:成|为|到)", "为")
+
+
+def string_list(c: Column, scalar: bool = False) -> Column:
+    """A list of names: a single text is a list of one, null is empty, blanks go."""
+    values = F.array(c) if scalar else c
+    return F.coalesce(F.filter(F.transform(values, strip), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+
+
+def stable_digest(**parts: Column) -> Column:
+    """SHA-256 of the compact JSON object of the parts, keys sorted, nulls kept."""
+    body = F.to_json(F.struct(*[v.alias(k) for k, v in sorted(parts.items())]), {"ignoreNullFields": "false"})
+    return F.sha2(body.cast("binary"), 256)

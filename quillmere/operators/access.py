@@ -1,8 +1,12 @@
-"""Row-level access control with an as-of date.
+"""Row-level access control with an as-of date. What isn't known is denied.
 
 Every denial is a Column that is null where the row passes, so the reasons of a row are an array
-in fixed order and an allowed row is one whose array is empty. For many identities the same
-columns are the condition of a join against the identities.
+in fixed order and an allowed row is one whose array is empty. A null or unknown status, date of
+effect, level or scope denies, and so does every scope for an identity that lacks the value; an
+identity without department, roles, clearance or region is incomplete and refused as a whole.
+
+Many identities share few profiles (department, roles, clearance, region). Rows meet profiles by
+an equi-join on their scopes, never all pairs, and identities get the rows of their profile.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks
+from ..functions.text import strip
 
 #: The clearance levels in order.
 LEVELS = ("public", "internal", "sensitive", "core")
@@ -18,45 +22,64 @@ REASONS = ("document_not_effective", "not_yet_effective", "expired", "clearance"
 
 
 def level_rank(level: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower(level)) - 1
+    """Place of a level from 0; null for a level that isn't known."""
+    place = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower(strip(level))) - 1
+    return F.when(place >= 0, place).cast("int")
+
+
+def scope(values: Column) -> Column:
+    """Upper-case entries without blanks; null stays null."""
+    return F.filter(F.transform(values, lambda x: F.upper(strip(x))), lambda x: x.isNull() | (x != ""))
+
 
+def _open(s: Column) -> Column:
+    """A scope without entries, or with ALL, is open; one that isn't known is not."""
+    return F.coalesce((F.size(s) == 0) | F.exists(s, lambda x: F.coalesce(x == "ALL", F.lit(False))), F.lit(False)) & s.isNotNull()
 
-def _scope(values: Column) -> Column:
-    v = F.coalesce(values, F.array().cast("array<string>"))
-    return F.filter(F.transform(v, lambda x: F.upper(F.trim(x))), lambda x: x != "")
 
+def _has(s: Column, value: Column) -> Column:
+    return F.coalesce(F.array_contains(s, value), F.lit(False))
 
-def _open(scope: Column) -> Column:
-    return (F.size(scope) == 0) | F.array_contains(scope, "ALL")
+
+def _named(c: Column) -> Column:
+    return F.nullif(strip(c), F.lit(""))
 
 
 def denial_reasons(c: dict[str, Column], who: dict[str, Column], as_of: Column) -> Column:
     """Reasons in fixed order. ``c``: status, effective, expiry, rank, departments, roles, region of a
     row; ``who``: department, roles, rank, region of an identity."""
-    departments, roles = _scope(c["departments"]), _scope(c["roles"])
-    region = F.lower(F.trim(c["region"]))
-    checks = (
-        c["status"] != "effective",
-        c["effective"] > as_of,
-        c["expiry"].isNotNull() & (c["expiry"] < as_of),
-        c["rank"] > who["rank"],
-        ~_open(departments) & ~F.array_contains(departments, F.upper(F.trim(who["department"]))),
-        ~_open(roles) & ~F.arrays_overlap(roles, _scope(who["roles"])),
-        region.isNotNull() & (region != "") & (region != F.lower(F.trim(who["region"]))),
+    departments, roles = scope(c["departments"]), scope(c["roles"])
+    region = _named(F.lower(c["region"]))
+    passes = (
+        c["status"] == "effective",
+        c["effective"] <= as_of,
+        c["expiry"].isNull() | (c["expiry"] >= as_of),
+        c["rank"] <= who["rank"],
+        _open(departments) | _has(departments, F.upper(_named(who["department"]))),
+        _open(roles) | F.arrays_overlap(roles, F.coalesce(scope(who["roles"]), F.array().cast("array<string>"))),
+        region.isNull() | (region == _named(F.lower(who["region"]))),
     )
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True) if i < 2 else F.lit(False)), F.lit(r)) for i, (bad, r) in enumerate(zip(checks, REASONS, strict=True))]))
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(r)) for ok, r in zip(passes, REASONS, strict=True)]))
 
 
 COLUMNS = ("status", "effective", "expiry", "rank", "departments", "roles", "region")
-IDENTITY = ("department", "roles", "rank", "region")
 
 
 def _mine(df: DataFrame, names) -> dict[str, Column]:
     return {n: df[n] for n in names}
 
 
+def _complete(identity: dict[str, object]) -> None:
+    for name in ("department", "region"):
+        if not str(identity.get(name) or "").strip():
+            raise ValueError(f"an identity has a {name}")
+    if identity.get("rank") is None or not [r for r in identity.get("roles") or [] if str(r or "").strip()]:
+        raise ValueError("an identity has roles and a clearance")
+
+
 def decide(rows: DataFrame, identity: dict[str, object], as_of: str) -> DataFrame:
-    """``rows`` with denial_reasons and allowed for one identity; no join."""
+    """``rows`` with denial_reasons and allowed for one identity; no join. An incomplete identity is an error."""
+    _complete(identity)
     who = {"department": F.lit(identity["department"]), "roles": F.array(*[F.lit(r) for r in identity["roles"]]), "rank": F.lit(identity["rank"]), "region": F.lit(identity["region"])}
     d = rows.withColumn("denial_reasons", denial_reasons(_mine(rows, COLUMNS), who, F.lit(as_of).cast("date")))
     return d.withColumn("allowed", F.size("denial_reasons") == 0)
@@ -67,19 +90,40 @@ def restrict(rows: DataFrame, identity: dict[str, object], as_of: str) -> DataFr
     return decide(rows, identity, as_of).where("allowed").drop("denial_reasons", "allowed")
 
 
-def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str, who_key: str, max_identities: int = 10_000) -> DataFrame:
-    """(identity, row) pairs that pass. Identities are broadcast in blocks of about ``max_identities``."""
+def _with_profile(identities: DataFrame) -> DataFrame:
+    roles = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(scope(F.col("roles")), F.array().cast("array<string>")))))
+    p = identities.withColumn("__dep", F.upper(_named(F.col("department")))).withColumn("__roles", roles).withColumn("__rank", F.col("rank")).withColumn("__reg", _named(F.lower(F.col("region"))))
+    known = F.col("__dep").isNotNull() & (F.size("__roles") > 0) & F.col("__rank").isNotNull() & F.col("__reg").isNotNull()
+    return p.withColumn("profile", F.when(known, F.sha2(F.to_json(F.struct("__dep", "__roles", "__rank", "__reg")), 256)))
+
+
+def profiles(identities: DataFrame, who_key: str) -> DataFrame:
+    """who, profile of the complete identities: equal department, roles, rank and region, equal profile."""
+    return _with_profile(identities).where("profile is not null").select(who_key, "profile")
+
+
+def incomplete(identities: DataFrame, who_key: str) -> DataFrame:
+    """Identities that lack a department, roles, rank or region; they see nothing."""
+    return _with_profile(identities).where("profile is null").select(who_key)
+
+
+def allowed_profiles(rows: DataFrame, identities: DataFrame, as_of: str, key: str) -> DataFrame:
+    """profile, row key of what each profile of ``identities`` may see."""
     day = F.lit(as_of).cast("date")
-    # What depends on one side only is done before the join; the pair compares prepared values.
-    region = F.lower(F.trim("region"))
-    r = rows.where((F.col("status") == "effective") & (F.col("effective") <= day) & (F.col("expiry").isNull() | (F.col("expiry") >= day)))
-    r = r.select(F.col(key), F.col("rank").alias("__rank"), _scope(F.col("departments")).alias("__dep"), _scope(F.col("roles")).alias("__rol"), F.coalesce(region, F.lit("")).alias("__reg"))
-    r = r.withColumn("__any_dep", _open(F.col("__dep"))).withColumn("__any_rol", _open(F.col("__rol")))
-    w = identities.select(F.col(who_key), F.upper(F.trim("department")).alias("__d"), _scope(F.col("roles")).alias("__r"), F.col("rank").alias("__k"), F.lower(F.trim("region")).alias("__g"))
-    cond = (
-        F.coalesce(F.col("__rank") <= F.col("__k"), F.lit(True))
-        & ((F.col("__reg") == "") | (F.col("__reg") == F.col("__g")))
-        & (F.col("__any_dep") | F.array_contains("__dep", F.col("__d")))
-        & (F.col("__any_rol") | F.arrays_overlap("__rol", "__r"))
-    )
-    return in_blocks(w, who_key, max_identities, lambda block: r.join(F.broadcast(block), cond).select(who_key, key))
+    mine = _with_profile(identities).where("profile is not null").groupBy("profile").agg(*[F.first(c).alias(c) for c in ("__dep", "__roles", "__rank", "__reg")])
+    for column, value in (("dep", F.array(F.lit("*"), F.col("__dep"))), ("reg", F.array(F.lit("*"), F.col("__reg"))), ("rol", F.concat(F.array(F.lit("*")), "__roles"))):
+        mine = mine.withColumn(column, F.explode(value))
+    r = rows.where((F.col("status") == "effective") & (F.col("effective") <= day) & (F.col("expiry").isNull() | (F.col("expiry") >= day)) & F.col("rank").isNotNull())
+    departments, roles = scope(F.col("departments")), scope(F.col("roles"))
+    anyone = lambda s: F.when(_open(s), F.array(F.lit("*"))).otherwise(F.array_distinct(F.array_compact(s)))
+    r = r.select(key, F.col("rank").alias("__need"), anyone(departments).alias("__deps"), anyone(roles).alias("__rols"), F.coalesce(_named(F.lower("region")), F.lit("*")).alias("reg"))
+    r = r.withColumn("dep", F.explode("__deps")).withColumn("rol", F.explode("__rols"))
+    j = r.join(mine, ["dep", "rol", "reg"]).where(F.col("__need") <= F.col("__rank"))
+    # A row that several roles of a profile reach counts once, at the first of them.
+    first = F.get(F.array_intersect(F.col("__rols"), F.concat(F.array(F.lit("*")), "__roles")), F.lit(0))
+    return j.where(F.col("rol") == first).select("profile", key)
+
+
+def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str, who_key: str) -> DataFrame:
+    """(identity, row) pairs that pass."""
+    return profiles(identities, who_key).join(allowed_profiles(rows, identities, as_of, key), "profile").select(who_key, key)

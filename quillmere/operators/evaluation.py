@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,32 @@ def unknown_judgments(cases: DataFrame, rows: DataFrame, allowed: DataFrame, rel
     return missing.unionByName(hidden)
 
 
+def retrieval_report(channels: dict[str, DataFrame], cases: DataFrame, ks: tuple[int, ...] = (1, 3, 5), key: str = "doc_id") -> DataFrame:
+    """Every case in every channel: case_id, channel, retrieved, relevant, recall at each k, mrr and error.
+
+    ``channels`` are ranked rows (query_id, key, rank); a case that a channel finds nothing for is
+    there with nothing retrieved. ``cases``: case_id, relevant (array). Feed it to ``channel_summary``.
+    """
+    if not ks or min(ks) < 1 or not channels:
+        raise ValueError("an evaluation has channels and positive depths")
+    parts = []
+    for name, ranked in channels.items():
+        top = ranked.where(F.col("rank") <= max(ks)).groupBy(F.col("query_id").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("retrieved"))
+        none = F.array().cast(top.schema["retrieved"].dataType)
+        parts.append(cases.join(top, "case_id", "left").select("case_id", F.lit(name).alias("channel"), F.coalesce("retrieved", none).alias("retrieved"), "relevant", F.lit(None).cast("string").alias("error")))
+    return per_case(reduce(DataFrame.unionAll, parts), ks)
+
+
+def run_cases(cases: DataFrame, predict: Callable[[DataFrame], DataFrame], metrics: dict[str, Callable[[], Column]]) -> DataFrame:
+    """case_id, metric, passed of every golden case: ``predict`` adds the predictions, ``metrics`` are tests
+    of predicted against expected columns. A metric that a case has no expectation for is null and left
+    out; a case that ``predict`` marks in its error column fails all of its metrics."""
+    p = predict(cases)
+    error = F.col("error").isNotNull() if "error" in p.columns else F.lit(False)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(test().isNotNull(), ~error & F.coalesce(test(), F.lit(False))).alias("passed")) for m, test in metrics.items()])
+    return p.select("case_id", F.inline(each)).where("passed is not null")
+
+
 def metric_summary(dimensions: DataFrame, metrics: dict[str, float]) -> DataFrame:
     """passed, total and accuracy of every metric in ``metrics`` (name: target), also those without cases."""
     seed = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(t)).alias("target")) for m, t in metrics.items()])).alias("s")

@@ -1,15 +1,18 @@
 """Sequential folds: one key's events in order, where a window cannot express the state.
 
-Each fold is a plain function over the ordered events of one key, given to applyInPandas with
-the key's columns only. Stateless parts stay columns before the fold.
+A fold that starts afresh after a pause is cut into islands by a window first, so that a busy key
+is many groups; a plain function then runs over the ordered events of one island, with the
+key's columns only. It jumps from one change of state to the next by binary search where it can.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import requests as R
@@ -19,51 +22,144 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def ttl_cache(calls: DataFrame, ttl_seconds: float, key: str = "key", at: str = "ts", order: str = "event_id") -> DataFrame:
-    """outcome (hit or miss) of each call. An entry lives ``ttl_seconds`` from its write; hits don't extend it."""
-    src = calls.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", order])
-        out, expires = [], None
-        for us in pdf["us"]:
-            hit = expires is not None and us < expires
-            if not hit:
-                expires = us + int(ttl_seconds * 1e6)
-            out.append("hit" if hit else "miss")
-        return pdf.assign(outcome=out)[[key, order, "outcome"]]
 
-    return src.groupBy(key).applyInPandas(fold, f"{key} {_type(calls, key)}, {order} {_type(calls, order)}, outcome string")
+def islands(events: DataFrame, key: str, order: str, until: Column) -> DataFrame:
+    """``events`` (us: time) with island: a new one starts where all earlier ``until`` of the key have passed."""
+    w = Window.partitionBy(key).orderBy("us", order).rowsBetween(Window.unboundedPreceding, -1)
+    e = events.withColumn("__until", until)
+    fresh = F.coalesce((F.col("us") >= F.max("__until").over(w)).cast("int"), F.lit(1))
+    running = Window.partitionBy(key).orderBy("us", order).rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("__fresh", fresh).withColumn("island", F.sum("__fresh").over(running)).drop("__until", "__fresh")
 
 
-def single_flight(calls: DataFrame, key: str = "key", start: str = "start", seconds: str = "seconds", order: str = "event_id") -> DataFrame:
-    """role of each call: the first of a key leads for its duration; calls that start within it follow."""
-    src = calls.select(key, order, F.unix_micros(F.col(start).cast("timestamp")).alias("us"), F.col(seconds).alias("s"))
+def _by_island(events: DataFrame, keys: list[str], order: str, fold: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``fold`` over whole islands, many at a time: the events in order, and where each island starts.
+    A task holds one Arrow batch and one island."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", order])
-        out, until = [], None
-        for us, s in zip(pdf["us"], pdf["s"], strict=True):
-            follows = until is not None and us < until
-            if not follows:
-                until = us + int(s * 1e6)
-            out.append("follower" if follows else "leader")
-        return pdf.assign(role=out)[[key, order, "role"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and (held[-1][keys].iloc[-1] != pdf[keys].iloc[0]).any():
+                yield whole(pd.concat(held))
+                held = []
+            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            if len(starts) > 1:
+                yield whole(pd.concat([*held, pdf.iloc[: starts[-1]]]))
+                held, pdf = [], pdf.iloc[starts[-1] :]
+            held.append(pdf)
+        if held:
+            yield whole(pd.concat(held))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        return fold(pdf, np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()))
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, "us", order).mapInPandas(run, schema)
+
+
+def _jumps(us: np.ndarray, end: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which events open a span: the first of an island, and each first one at or after the end of the last span."""
+    # Islands are laid one behind the other in time, so that one search serves all.
+    island = np.searchsorted(starts, np.arange(len(us)), side="right") - 1
+    span = int(end.max() - us.min()) + 1 if len(us) else 1
+    shift = island * span - us[starts][island] + (us.min() if len(us) else 0)
+    us, end = us + shift, np.minimum(end + shift, (island + 1) * span + (us.min() if len(us) else 0))
+    opens, at = np.zeros(len(us), bool), 0
+    while at < len(us):
+        opens[at] = True
+        at = max(at + 1, int(np.searchsorted(us, end[at], "left")))
+    return opens
+
+
+def ttl_cache(calls: DataFrame, ttl_seconds: float, key: str = "key", at: str = "ts", order: str = "event_id", bypass: Column | None = None, read_error: Column | None = None, write_error: Column | None = None) -> DataFrame:
+    """outcome of each call: hit, miss, bypass or error. An entry lives ``ttl_seconds`` from its write;
+    hits don't extend it.
+
+    A call with ``bypass`` never asks the cache. A call whose read fails is an error: it neither finds
+    nor writes. A miss whose write fails stays a miss and leaves no entry, so the next call misses too.
+    """
+    if ttl_seconds <= 0:
+        raise ValueError("an entry lives some time")
+    ttl, no = int(ttl_seconds * 1e6), F.lit(False)
+    src = calls.select(key, order, _micros(F.col(at)).alias("us"), *[F.coalesce(no if c is None else c, no).alias(n) for n, c in (("bypass", bypass), ("read_error", read_error), ("write_error", write_error))])
+    aside = F.when(F.col("bypass"), "bypass").when(F.col("read_error"), "error")
+    asked = islands(src.where(aside.isNull()), key, order, F.col("us") + ttl)
+
+    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        us, lost = pdf["us"].to_numpy(), pdf["write_error"].to_numpy()
+        miss = _jumps(us, np.where(lost, us, us + ttl), starts)
+        return pdf.assign(outcome=np.where(miss, "miss", "hit"))[[key, order, "outcome"]]
+
+    done = _by_island(asked, [key, "island"], order, fold, f"{key} {_type(calls, key)}, {order} {_type(calls, order)}, outcome string")
+    return done.unionByName(src.where(aside.isNotNull()).select(key, order, aside.alias("outcome")))
+
+
+def cache_summary(outcomes: DataFrame) -> DataFrame:
+    """hits, misses, bypasses and errors."""
+    return outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("hit", "hits"), ("miss", "misses"), ("bypass", "bypasses"), ("error", "errors"))])
 
-    return src.groupBy(key).applyInPandas(fold, f"{key} {_type(calls, key)}, {order} {_type(calls, order)}, role string")
+
+def single_flight(calls: DataFrame, key: str = "key", start: str = "start", seconds: str = "seconds", order: str = "event_id", process: str | None = None, max_keys: int | None = None) -> DataFrame:
+    """role of each call: the first of a key leads for its duration; calls that start within it follow.
+
+    With ``process`` and ``max_keys``, a process holds at most that many keys in flight: a call of
+    another key is an overflow, runs alone and is joined by nobody.
+    """
+    columns = [key, order] + ([process] if process else [])
+    src = calls.select(*columns, _micros(F.col(start)).alias("us"), (F.col(seconds) * 1_000_000).cast("bigint").alias("took"))
+    schema = f"{key} {_type(calls, key)}, {order} {_type(calls, order)}, role string"
+    if max_keys is None:
+
+        def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            us = pdf["us"].to_numpy()
+            return pdf.assign(role=np.where(_jumps(us, us + pdf["took"].to_numpy(), starts), "leader", "follower"))[[key, order, "role"]]
+
+        return _by_island(islands(src, key, order, F.col("us") + F.col("took")), [key, "island"], order, fold, schema)
+
+    def registry(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ends: dict[object, int] = {}
+        due: list[tuple[int, object]] = []
+        roles, fresh = [], set(starts.tolist())
+        for i, (us, took, k) in enumerate(zip(pdf["us"].tolist(), pdf["took"].tolist(), pdf[key].tolist(), strict=True)):
+            if i in fresh:
+                ends, due = {}, []
+            while due and due[0][0] <= us:
+                end, old = heapq.heappop(due)
+                if ends.get(old) == end:
+                    del ends[old]
+            if k in ends:
+                roles.append("follower")
+            elif len(ends) >= max_keys:
+                roles.append("overflow")
+            else:
+                ends[k] = us + took
+                heapq.heappush(due, (us + took, k))
+                roles.append("leader")
+        return pdf.assign(role=roles)[[key, order, "role"]]
+
+    return _by_island(islands(src, process, order, F.col("us") + F.col("took")), [process, "island"], order, registry, schema)
 
 
 def fifo_limiter(calls: DataFrame, max_concurrency: int, max_queue: int, timeout_seconds: float, key: str = "provider", start: str = "start", seconds: str = "seconds", order: str = "event_id") -> DataFrame:
     """outcome and wait of calls to a provider with a bounded number of slots and a first-in queue:
     started, queued (started after a wait), rejected (queue full) or timed_out."""
-    src = calls.select(key, order, F.unix_micros(F.col(start).cast("timestamp")).alias("us"), F.col(seconds).alias("s"))
+    if max_concurrency < 1 or max_queue < 0 or timeout_seconds <= 0:
+        raise ValueError("a limiter has slots, a queue of some length and a timeout")
+    src = calls.select(key, order, _micros(F.col(start)).alias("us"), F.col(seconds).alias("s"))
+    # A call that starts at all starts within the timeout, so an idle provider starts afresh.
+    src = islands(src, key, order, F.col("us") + F.lit(int(timeout_seconds * 1e6)) + (F.col("s") * 1_000_000).cast("bigint"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", order])
+    limit = int(timeout_seconds * 1e6)
+
+    def simulate(arrivals: list[int], lengths: list[float]) -> tuple[list[str], list[float]]:
         busy: list[int] = []  # ends of running calls
         queue: list[tuple[int, int, int]] = []  # index, arrival, duration
-        outcome, wait = ["started"] * len(pdf), [0.0] * len(pdf)
-        limit = int(timeout_seconds * 1e6)
+        outcome, wait = ["started"] * len(arrivals), [0.0] * len(arrivals)
 
         def advance(now: int) -> None:
             while queue:
@@ -85,7 +181,7 @@ def fifo_limiter(calls: DataFrame, max_concurrency: int, max_queue: int, timeout
                 wait[i] = (begins - came) / 1e3
                 queue.pop(0)
 
-        for i, (us, s) in enumerate(zip(pdf["us"], pdf["s"], strict=True)):
+        for i, (us, s) in enumerate(zip(arrivals, lengths, strict=True)):
             took = int(s * 1e6)
             advance(us)
             while busy and busy[0] <= us:
@@ -98,9 +194,25 @@ def fifo_limiter(calls: DataFrame, max_concurrency: int, max_queue: int, timeout
                 outcome[i] = "queued"
                 queue.append((i, us, took))
         advance(1 << 62)
+        return outcome, wait
+
+    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        us, took, outcome, wait = pdf["us"].tolist(), pdf["s"].tolist(), [], []
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            o, w = simulate(us[a:b], took[a:b])
+            outcome += o
+            wait += w
         return pdf.assign(outcome=outcome, wait_ms=wait)[[key, order, "outcome", "wait_ms"]]
 
-    return src.groupBy(key).applyInPandas(fold, f"{key} {_type(calls, key)}, {order} {_type(calls, order)}, outcome string, wait_ms double")
+    return _by_island(src, [key, "island"], order, fold, f"{key} {_type(calls, key)}, {order} {_type(calls, order)}, outcome string, wait_ms double")
+
+
+def limiter_summary(outcomes: DataFrame, key: str = "provider") -> DataFrame:
+    """Counts of a limiter's outcomes by provider, and the average wait of the calls that started."""
+    started = F.col("outcome").isin("started", "queued")
+    counts = [F.count_if(F.col("outcome") == o).alias(n) for o, n in (("rejected", "rejected"), ("timed_out", "timed_out"))]
+    g = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("outcome") != "rejected").alias("accepted"), F.count_if(started).alias("started"), *counts, F.round(F.avg(F.when(started, F.col("wait_ms"))), 3).alias("average_wait_ms"))
+    return g.withColumn("average_wait_ms", F.coalesce("average_wait_ms", F.lit(0.0)))
 
 
 def session_workflow(messages: DataFrame, text: str = "text", session: str = "session_id", turn: str = "turn", max_active: int = 1) -> DataFrame:

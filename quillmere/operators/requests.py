@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..session import cut
 from . import approval
 from .safety import command
 
@@ -39,12 +42,17 @@ EXPENSE_CATEGORIES = (
     ("COMMUNICATION", ("通信费", "网络费")),
     ("LOCAL_TRANSPORTATION", ("市内交通费", "打车费", "出租车费")),
 )
+#: An item with its count in either order, its price, and a pair of cities.
+COUNTED = r"(?:采购|购买|购置|买)\s*(\d+|[一二两三四五六七八九十]+)\s*(台|个|套|件|份)\s*([^，,；;。\n]{1,40})"
+NAMED = r"(?:采购|购买|购置|买)\s*([^，,；;。\n]{1,30}?)\s*(\d+|[一二两三四五六七八九十]+)\s*(台|个|套|件|份)"
+PRICES = (r"每(?:台|个|套|件|份)?(?:单价)?\s*(?:是|为|：|:)?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)", r"(?:预计单价|单价)(?:\s*(?:是|为|：|:))?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)")
+CITIES = r"从([一-龥]{2,12})(?:出发)?(?:到|前往)([一-龥]{2,12})(?:出差|差旅)"
 PREFIX = {"travel_reimbursement": "TRAVEL-RMB", "expense_reimbursement": "EXPENSE", "purchase": "PURCHASE", "leave": "LEAVE"}
 
 
 def intent(c: Column) -> Column:
     """Draft before material before approval before policy; else unknown."""
-    t = F.trim(c)
+    t = T.strip(c)
     out = F.when((t.contains("草稿") & T.has_any(t, DRAFT_VERBS)) | T.has_any(t, DRAFT), "draft_generation")
     for name, cues in INTENTS:
         out = out.when(T.has_any(t, cues), name)
@@ -79,17 +87,15 @@ def _about(t: Column, subject: str) -> Column:
 
 
 def draft_fields(c: Column) -> dict[str, dict[str, Column]]:
-    """For each type the fields of a draft in order; a group of alternatives shares one requirement."""
-    t = F.trim(c)
+    """For each type the fields of a draft in order; a group of alternatives shares one requirement.
+    ``c`` is read many times, so it should be a column that is stripped already."""
+    t = c
     label, code, text = T.labelled_value, T.labelled_code, lambda col: col.cast("string")
-    counted = r"(?:采购|购买|购置|买)\s*(\d+|[一二两三四五六七八九十]+)\s*(台|个|套|件|份)\s*([^，,；;。\n]{1,40})"
-    named = r"(?:采购|购买|购置|买)\s*([^，,；;。\n]{1,30}?)\s*(\d+|[一二两三四五六七八九十]+)\s*(台|个|套|件|份)"
-    first = t.rlike(counted)
-    item = F.btrim(F.trim(F.when(first, F.regexp_extract(t, counted, 3)).otherwise(F.regexp_extract(t, named, 1))), F.lit("：:，,；;。.!！?？\"'“”‘’"))
-    count = N.small_number(F.when(first, F.regexp_extract(t, counted, 1)).otherwise(F.regexp_extract(t, named, 2)))
+    first = t.rlike(COUNTED)
+    item = F.btrim(T.strip(F.when(first, F.regexp_extract(t, COUNTED, 3)).otherwise(F.regexp_extract(t, NAMED, 1))), F.lit("：:，,；;。.!！?？\"'“”‘’"))
+    count = N.small_number(F.when(first, F.regexp_extract(t, COUNTED, 1)).otherwise(F.regexp_extract(t, NAMED, 2)))
     count = F.when(count == F.floor(count), count.cast("int"))
-    price_p = (r"每(?:台|个|套|件|份)?(?:单价)?\s*(?:是|为|：|:)?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)", r"(?:预计单价|单价)(?:\s*(?:是|为|：|:))?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)")
-    prices = [F.when(F.regexp_extract(t, p, 1) != "", F.regexp_replace(F.regexp_extract(t, p, 1), ",", "").cast(N.WIDE) * F.when(F.regexp_extract(t, p, 2).isin("万", "万元"), 10000).otherwise(1)) for p in price_p]
+    prices = [F.when(F.regexp_extract(t, p, 1) != "", F.regexp_replace(F.regexp_extract(t, p, 1), ",", "").cast(N.WIDE) * F.when(F.regexp_extract(t, p, 2).isin("万", "万元"), 10000).otherwise(1)) for p in PRICES]
     price = F.coalesce(*prices).cast(N.MONEY)
     total = F.coalesce(_labelled_money(t, ("预计总金额", "采购总金额", "总金额", "总价", "预算金额")), (price * count).cast(N.MONEY))
     it = T.has_any(F.lower(t), approval.IT_CUES)
@@ -98,10 +104,9 @@ def draft_fields(c: Column) -> dict[str, dict[str, Column]]:
     found, request = N.dates(t), approval.request(t)
     start = lambda ls: F.coalesce(_labelled_date(t, ls), F.get(found, F.lit(0)))
     end = lambda ls: F.coalesce(_labelled_date(t, ls), F.get(found, F.lit(1)))
-    pair = r"从([一-龥]{2,12})(?:出发)?(?:到|前往)([一-龥]{2,12})(?:出差|差旅)"
     leave_from, leave_to = label(t, ("出发城市", "出发地")), label(t, ("目的城市", "目的地"))
     by_pair = leave_from.isNull() & leave_to.isNull()
-    city = lambda own, g: F.when(by_pair, F.nullif(F.regexp_extract(t, pair, g), F.lit(""))).otherwise(own)
+    city = lambda own, g: F.when(by_pair, F.nullif(F.regexp_extract(t, CITIES, g), F.lit(""))).otherwise(own)
     whole = T.has_any(t, ("全天", "整天"))
     budget = F.coalesce(code(t, ("预算编号", "预算代码")), code(t, ("成本中心",)))
     return {
@@ -115,13 +120,14 @@ def draft_fields(c: Column) -> dict[str, dict[str, Column]]:
 def drafts(requests: DataFrame, text: str = "text", employee: str = "employee_id", session: str = "session_id") -> DataFrame:
     """``requests`` with application_type, draft_id, idempotency_key, fields (map of found values),
     missing_fields (in order), blocking issues, and status."""
-    t = F.trim(F.col(text))
+    requests = requests.withColumn("__text", T.strip(F.col(text)))
+    t = F.col("__text")
     kind = approval.first_cue(t, TYPES)
     digest = F.upper(F.sha2(F.concat_ws("\0", kind, F.col(employee), F.col(session), t), 256))
     prefix = F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[kind]
     d = requests.withColumn("application_type", kind)
     values, gaps = None, None
-    for name, fields in draft_fields(F.col(text)).items():
+    for name, fields in draft_fields(t).items():
         entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
         found, lack = F.filter(entries, lambda e: e["value"].isNotNull()), F.transform(F.filter(entries, lambda e: e["value"].isNull()), lambda e: e["key"])
         mine = kind == name
@@ -134,7 +140,7 @@ def drafts(requests: DataFrame, text: str = "text", employee: str = "employee_id
     issue = F.array_compact(F.array(F.when(late, "DATE_ORDER_INVALID"), F.when(wrong, "PURCHASE_TOTAL_MISMATCH")))
     d = d.withColumn("issues", issue)
     status = F.when(kind.isNull(), "no_type").when((F.size("missing_fields") > 0) | (F.size("issues") > 0), "waiting_for_information").otherwise("waiting_for_confirmation")
-    return d.withColumn("draft_id", F.concat(prefix, F.lit("-DRAFT-"), F.substring(digest, 1, 12))).withColumn("idempotency_key", F.concat_ws(":", F.lit("draft"), kind, F.col(employee), F.substring(digest, 1, 20))).withColumn("status", status)
+    return d.withColumn("draft_id", F.concat(prefix, F.lit("-DRAFT-"), F.substring(digest, 1, 12))).withColumn("idempotency_key", F.concat_ws(":", F.lit("draft"), kind, F.col(employee), F.substring(digest, 1, 20))).withColumn("status", status).drop("__text")
 
 
 def turn_action(c: Column, draft_status: Column) -> Column:
@@ -157,15 +163,32 @@ def first_failure(checks: list[Column]) -> Column:
     return out
 
 
-def submit(attempts: DataFrame, key: str = "idempotency_key", draft: str = "draft_id", owner: str = "owner", at: str = "at") -> DataFrame:
+def submit(attempts: DataFrame, key: str = "idempotency_key", draft: str = "draft_id", owner: str = "owner", at: str = "at", session: str | None = None) -> DataFrame:
     """outcome of each attempt in order of ``at``: created, replayed, key_conflict or draft_conflict.
 
-    A submission key is derived from its draft, so a key never names two drafts. The first attempt
-    of a draft creates and binds key and owner; the same key and owner replay, the same key of
-    another owner is a key conflict, and another key is a draft conflict.
+    An attempt whose key is bound replays if draft, owner and session are those of the binding, and
+    is a key conflict otherwise. With a free key, a draft that is bound is a draft conflict; else the
+    attempt creates, and binds key, draft, owner and session. ``at`` is unique.
+
+    Keys and drafts may be mixed up at will, so that what an attempt meets hangs on all before it.
+    Bindings are found in rounds: of the pairs of key and draft that are open, those that come first
+    for their key and their draft alike bind, and pairs that share a key or a draft with a binding
+    are settled. Where each key belongs to one draft, one round does. Each round cuts its lineage.
     """
-    order = Window.partitionBy(draft).orderBy(at, key, owner)
-    a = attempts.withColumn("__n", F.row_number().over(order)).withColumn("__key", F.first(key).over(order)).withColumn("__owner", F.first(owner).over(order))
-    same = F.col("__key") == F.col(key)
-    outcome = F.when(F.col("__n") == 1, "created").when(~same, "draft_conflict").when(F.col("__owner") == F.col(owner), "replayed").otherwise("key_conflict")
-    return a.withColumn("outcome", outcome).drop("__n", "__key", "__owner")
+    session_of = F.col(session) if session else F.lit(None).cast("string")
+    a = attempts.select(F.col(key).alias("k"), F.col(draft).alias("d"), F.struct(F.col(at).alias("at"), F.col(owner).alias("o"), session_of.alias("s")).alias("w"))
+    left, bound = cut(a.groupBy("k", "d").agg(F.min("w").alias("w"))), []
+    while not left.isEmpty():
+        by_key, by_draft = left.groupBy("k").agg(F.min("w.at").alias("ka")), left.groupBy("d").agg(F.min("w.at").alias("da"))
+        placed = left.join(by_key, "k").join(by_draft, "d")
+        new = cut(placed.where((F.col("w.at") == F.col("ka")) & (F.col("w.at") == F.col("da"))).select("k", "d", "w"))
+        bound.append(new)
+        left = cut(left.join(new.select("k"), "k", "left_anti").join(new.select("d"), "d", "left_anti"))
+    bindings = reduce(DataFrame.unionAll, bound) if bound else left
+    by_key = bindings.select(F.col("k").alias("__k"), F.col("d").alias("__kd"), F.col("w").alias("__w"))
+    by_draft = bindings.select(F.col("d").alias("__d"), F.col("w.at").alias("__at"))
+    j = attempts.join(by_key, F.col(key) == F.col("__k"), "left").join(by_draft, F.col(draft) == F.col("__d"), "left")
+    same = (F.col("__kd") == F.col(draft)) & F.col("__w.o").eqNullSafe(F.col(owner)) & F.col("__w.s").eqNullSafe(session_of)
+    before = F.col("__w.at") < F.col(at)
+    outcome = F.when((F.col("__w.at") == F.col(at)) & (F.col("__kd") == F.col(draft)), "created").when(before & same, "replayed").when(before, "key_conflict").when(F.col("__at") < F.col(at), "draft_conflict")
+    return j.withColumn("outcome", outcome).drop("__k", "__kd", "__w", "__d", "__at")

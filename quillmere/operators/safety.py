@@ -100,22 +100,37 @@ def guard_counts(assessed: DataFrame) -> DataFrame:
     return assessed.agg(F.count(F.lit(1)).alias("checked"), blocked.alias("blocked"), blocked.alias("llm_calls_avoided"))
 
 
+def evidence_counts(assessed: DataFrame) -> DataFrame:
+    """checked and quarantined: evidence passages that a rule matches are left out of every context."""
+    return assessed.agg(F.count(F.lit(1)).alias("checked"), F.count_if("blocked").alias("quarantined"))
+
+
 def redact(c: Column, limit: int = 2000) -> Column:
-    """struct(content, redacted, truncated). Blank content is null."""
-    t = F.when(F.trim(c) != "", F.trim(c))
-    low = F.lower(t)
-    r, hit = t, F.lit(False)
-    for p, words in zip(SECRET_PATTERNS, SECRET_NEEDED, strict=True):
-        may = _any(low, words)
-        hit = hit | F.coalesce(may & t.rlike(p), F.lit(False))
-        r = F.when(may, F.regexp_replace(r, p, "[REDACTED]")).otherwise(r)
-    long = F.length(r) > limit
-    cut = F.when(long, F.concat(F.substring(r, 1, limit - len(SUFFIX)), F.lit(SUFFIX))).otherwise(r)
-    return F.struct(cut.alias("content"), hit.alias("redacted"), F.coalesce(long, F.lit(False)).alias("truncated"))
+    """struct(content, redacted, truncated). White space of any kind at the ends goes; blank content is null."""
+
+    def once(value: Column, f) -> Column:
+        """``f`` of a value that is computed once, as a lambda's variable is."""
+        return F.transform(F.array(value), f)[0]
+
+    def scrubbed(x: Column) -> Column:
+        r, hit = x["text"], F.lit(False)
+        for p, words in zip(SECRET_PATTERNS, SECRET_NEEDED, strict=True):
+            may = _any(x["low"], words)
+            hit = hit | F.coalesce(may & x["text"].rlike(p), F.lit(False))
+            r = F.when(may, F.regexp_replace(r, p, "[REDACTED]")).otherwise(r)
+        return F.struct(r.alias("text"), hit.alias("hit"))
+
+    def shortened(x: Column) -> Column:
+        long = F.length(x["text"]) > limit
+        kept = F.when(long, F.concat(F.substring(x["text"], 1, limit - len(SUFFIX)), F.lit(SUFFIX))).otherwise(x["text"])
+        return F.struct(kept.alias("content"), x["hit"].alias("redacted"), F.coalesce(long, F.lit(False)).alias("truncated"))
+
+    stripped = once(T.strip(c), lambda t: F.struct(F.nullif(t, F.lit("")).alias("text"), F.lower(t).alias("low")))
+    return once(once(stripped, scrubbed), shortened)
 
 
 def command(c: Column) -> Column:
-    return F.btrim(F.trim(c), F.lit("。.!！?？ ，,"))
+    return F.btrim(T.strip(c), F.lit("。.!！?？ ，,"))
 
 
 def needs_context(c: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_label
+from ..functions.text import escape_label, strip
 
 #: Fixed values.
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
@@ -14,7 +16,7 @@ BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 def method_of(c: Column) -> Column:
-    m = F.upper(F.trim(c))
+    m = F.upper(strip(c))
     return F.when(m.isin(*METHODS), m).otherwise("OTHER")
 
 
@@ -97,15 +99,128 @@ def peak_in_flight(intervals: DataFrame, start: str, end: str, cell: str = "1 ho
     return cells.withColumn("peak", F.col("top") + before).agg(F.coalesce(F.max("peak"), F.lit(0)).alias("peak"))
 
 
+def _labels(**values: Column) -> Column:
+    parts = [F.concat(F.lit(f'{k}="'), escape_label(v), F.lit('"')) for k, v in values.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _number(c: Column) -> Column:
+    """Shortest plain form with up to twelve significant digits."""
+    return F.regexp_replace(F.format_string("%.12f", c), r"\.?0+$", "")
+
+
 def exposition(histograms: DataFrame, prefix: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
-    """Lines of the text format for histograms by (method, route): position, line."""
-    labels = F.concat(F.lit('method="'), escape_label(F.col("method")), F.lit('",route="'), escape_label(F.col("route")), F.lit('"'))
+    """Lines of the text format for histograms by (method, route): position, line. Cumulative buckets, then
+    +Inf, the sum and the count."""
+    labels = {"method": F.col("method"), "route": F.col("route")}
     name = f"{prefix}_http_request_duration_seconds"
-    rows = [F.struct(F.lit(i).alias("n"), F.concat(F.lit(f"{name}_bucket{{"), labels, F.lit(f',le="{b:.12g}"}} '), F.get("buckets", F.lit(i)).cast("string")).alias("line")) for i, b in enumerate(bounds)]
-    k = len(bounds)
-    rows.append(F.struct(F.lit(k).alias("n"), F.concat(F.lit(f"{name}_bucket{{"), labels, F.lit(',le="+Inf"} '), F.col("requests").cast("string")).alias("line")))
-    rows.append(F.struct(F.lit(k + 1).alias("n"), F.concat(F.lit(f"{name}_count{{"), labels, F.lit("} "), F.col("requests").cast("string")).alias("line")))
-    return histograms.select("method", "route", F.inline(F.array(*rows))).select("method", "route", F.col("n").alias("position"), "line")
+    lines = [F.concat(F.lit(f"{name}_bucket"), _labels(**labels, le=F.lit(f"{b:.12g}")), F.lit(" "), F.get("buckets", F.lit(i)).cast("string")) for i, b in enumerate(bounds)]
+    lines.append(F.concat(F.lit(f"{name}_bucket"), _labels(**labels, le=F.lit("+Inf")), F.lit(" "), F.col("requests").cast("string")))
+    lines.append(F.concat(F.lit(f"{name}_sum"), _labels(**labels), F.lit(" "), _number(F.col("duration_sum"))))
+    lines.append(F.concat(F.lit(f"{name}_count"), _labels(**labels), F.lit(" "), F.col("requests").cast("string")))
+    return histograms.select("method", "route", F.posexplode(F.array(*lines)).alias("position", "line"))
+
+
+#: Fixed values: (metric, type, help) of the exposition in order; {p} is the prefix.
+HTTP_SERIES = (
+    ("http_requests_in_flight", "gauge", "Current measured HTTP requests."),
+    ("http_requests_peak", "gauge", "Highest measured HTTP concurrency."),
+    ("http_route_overflow_requests_total", "counter", "Requests mapped to the bounded overflow label."),
+    ("http_metrics_recording_errors_total", "counter", "Internal metric recording invariant errors."),
+    ("http_requests_total", "counter", "Completed HTTP requests by route."),
+    ("http_request_duration_seconds", "histogram", "HTTP request latency by normalized route."),
+)
+PROVIDER_SERIES = (
+    ("llm_provider_limiter_available", "gauge", "Whether the process-local limiter is initialized."),
+    ("llm_provider_limiter_enabled", "gauge", "Whether limiting is enabled."),
+    ("llm_provider_limiter_state", "gauge", "Current limiter state."),
+    ("llm_provider_in_flight", "gauge", "Current upstream calls."),
+    ("llm_provider_queued", "gauge", "Current FIFO waiters."),
+    ("llm_provider_max_concurrency", "gauge", "Configured execution limit."),
+    ("llm_provider_max_queue", "gauge", "Configured FIFO limit."),
+    ("llm_provider_events_total", "counter", "Process-local limiter events."),
+)
+GUARD_SERIES = (
+    ("prompt_security_available", "gauge", "Whether the process-local prompt guard is initialized."),
+    ("prompt_security_user_inputs_total", "counter", "Prompt input checks by outcome."),
+    ("prompt_security_evidence_chunks_total", "counter", "Retrieved evidence checks by outcome."),
+    ("prompt_security_llm_calls_avoided_total", "counter", "LLM calls skipped after blocked inputs."),
+)
+LIMITER_EVENTS = ("accepted", "bypassed", "cancelled", "completed", "failed", "received", "rejected", "started", "timed_out")
+
+
+def metrics_page(prefix: str, http: DataFrame, statuses: DataFrame, histograms: DataFrame, provider: DataFrame | None = None, guard: DataFrame | None = None, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """block, series, item, line: the whole text exposition, in order of its first three columns.
+
+    ``http``: one row (in_flight, peak, overflow, errors). ``statuses``: method, route, status_class, n.
+    ``histograms``: see ``histogram``. ``provider``: one row (enabled, state, in_flight, queued,
+    max_concurrency, max_queue and a count for each of LIMITER_EVENTS). ``guard``: one row (checked,
+    blocked, evidence, quarantined, avoided). Without the latter two only their availability is told.
+    """
+    spark = http.sparkSession
+    parts: list[DataFrame] = []
+
+    def add(block: int, series: tuple[str, str, str], n: int, rows: DataFrame | None) -> None:
+        name = f"{prefix}_{series[0]}"
+        head = spark.range(1).select(F.posexplode(F.array(F.lit(f"# HELP {name} {series[2]}"), F.lit(f"# TYPE {name} {series[1]}"))).alias("i", "line"))
+        parts.append(head.select(F.lit(block).alias("block"), F.lit(n).alias("series"), F.concat(F.lit("!"), F.col("i").cast("string")).alias("item"), "line"))
+        if rows is not None:
+            parts.append(rows.select(F.lit(block).alias("block"), F.lit(n).alias("series"), "item", "line"))
+
+    def one(df: DataFrame, series: tuple[str, str, str], value: Column, labels: Column | None = None) -> DataFrame:
+        shown = F.concat(F.lit(f"{prefix}_{series[0]}"), F.lit("") if labels is None else labels, F.lit(" "), value.cast("string"))
+        return df.select(F.lit("a").alias("item"), shown.alias("line"))
+
+    for n, (s, c) in enumerate(zip(HTTP_SERIES[:4], ("in_flight", "peak", "overflow", "errors"), strict=True)):
+        add(0, s, n, one(http, s, F.col(c)))
+    s = HTTP_SERIES[4]
+    place = F.concat_ws("\x01", "method", "route", "status_class")
+    add(0, s, 4, statuses.select(F.concat(F.lit("a"), place).alias("item"), F.concat(F.lit(f"{prefix}_{s[0]}"), _labels(method=F.col("method"), route=F.col("route"), status_class=F.col("status_class")), F.lit(" "), F.col("n").cast("string")).alias("line")))
+    lines = exposition(histograms, prefix, bounds)
+    add(0, HTTP_SERIES[5], 5, lines.select(F.concat(F.lit("a"), F.concat_ws("\x01", "method", "route"), F.format_string("\x01%04d", "position")).alias("item"), "line"))
+    absent = spark.range(1).select(F.lit(0).alias("v"))
+    s = PROVIDER_SERIES[0]
+    add(1, s, 0, one(absent if provider is None else provider.select(F.lit(1).alias("v")), s, F.col("v")))
+    if provider is not None:
+        add(1, PROVIDER_SERIES[1], 1, one(provider, PROVIDER_SERIES[1], F.col("enabled").cast("int")))
+        add(1, PROVIDER_SERIES[2], 2, one(provider, PROVIDER_SERIES[2], F.lit(1), _labels(state=F.col("state"))))
+        for n, c in enumerate(("in_flight", "queued", "max_concurrency", "max_queue"), 3):
+            add(1, PROVIDER_SERIES[n], n, one(provider, PROVIDER_SERIES[n], F.col(c)))
+        s = PROVIDER_SERIES[7]
+        events = F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).cast("bigint").alias("n")) for e in LIMITER_EVENTS])
+        add(1, s, 7, provider.select(F.inline(events)).select(F.concat(F.lit("a"), "event").alias("item"), F.concat(F.lit(f"{prefix}_{s[0]}"), _labels(event=F.col("event")), F.lit(" "), F.col("n").cast("string")).alias("line")))
+    s = GUARD_SERIES[0]
+    add(2, s, 0, one(absent if guard is None else guard.select(F.lit(1).alias("v")), s, F.col("v")))
+    if guard is not None:
+        for n, (whole, part, outcome) in enumerate((("checked", "blocked", "blocked"), ("evidence", "quarantined", "quarantined")), 1):
+            s = GUARD_SERIES[n]
+            both = F.array(F.struct(F.lit("allowed").alias("outcome"), (F.col(whole) - F.col(part)).alias("n")), F.struct(F.lit(outcome).alias("outcome"), F.col(part).alias("n")))
+            add(2, s, n, guard.select(F.inline(both)).select(F.concat(F.lit("a"), "outcome").alias("item"), F.concat(F.lit(f"{prefix}_{s[0]}"), _labels(outcome=F.col("outcome")), F.lit(" "), F.col("n").cast("string")).alias("line")))
+        add(2, GUARD_SERIES[3], 3, one(guard, GUARD_SERIES[3], F.col("avoided")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def profile_report(profile: DataFrame, limit: int = 20) -> DataFrame:
+    """Hot spots of a profile table (file, line, function, calls, primitive_calls, own_seconds, total_seconds):
+    one row a function, the ``limit`` with the most cumulative time, then own time, calls and name."""
+    g = profile.groupBy("file", "line", "function").agg(*[F.sum(c).alias(c) for c in ("calls", "primitive_calls", "own_seconds", "total_seconds")])
+    return g.orderBy(F.desc("total_seconds"), F.desc("own_seconds"), F.desc("calls"), "file", "line", "function").limit(limit)
+
+
+def average_wait(calls: DataFrame, keys: list[str], wait: str = "wait_ms", digits: int = 3) -> DataFrame:
+    """Average wait of each key's calls."""
+    return calls.groupBy(*keys).agg(F.round(F.coalesce(F.avg(wait), F.lit(0.0)), digits).alias("average_wait_ms"))
+
+
+def measured(samples: DataFrame, warm_up: int = 1) -> DataFrame:
+    """Samples (scenario, iteration) without the first ``warm_up`` iterations of each scenario."""
+    return samples.where(F.col("iteration") >= warm_up)
+
+
+def load_contract(summary: DataFrame, seconds: Column, most_amplification: float = 1.0) -> DataFrame:
+    """``load_summary`` rows with throughput and whether upstream calls keep within the contract."""
+    s = summary.withColumn("throughput", F.when(seconds > 0, F.round(F.col("requests") / seconds, 6)).otherwise(F.lit(0.0)))
+    return s.withColumn("contract_met", F.col("amplification") <= most_amplification)
 
 
 def failure_category(kind: Column, status: Column) -> Column:
@@ -147,7 +262,7 @@ def cache_key(messages: Column, identity: Column, max_bytes: int, sensitive: str
     reason = (
         F.when(messages.isNull() | (F.size(messages) == 0), "empty")
         .when(F.exists(messages, lambda m: m["role"].isNull() | ~m["role"].isin("system", "user", "assistant")), "invalid")
-        .when(F.exists(messages, lambda m: m["content"].isNull() | (F.trim(m["content"]) == "")), "blank")
+        .when(F.exists(messages, lambda m: m["content"].isNull() | (strip(m["content"]) == "")), "blank")
         .when(F.octet_length(body) > max_bytes, "too_large")
         .when(text.rlike(sensitive), "sensitive")
     )

@@ -142,19 +142,57 @@ _REQUESTS = (
 )
 
 
-@query(f"SELECT request, intent FROM {_values([r[:2] for r in _REQUESTS], 'request', 'intent')}")
+#: A request for each order: count, price or days come from its columns, wording from its key.
+_ASKS = (
+    ("purchase", "采购{n}台电脑，每台{price}元，谁审批？", "approval_query"),
+    ("purchase", "紧急采购{n}套服务器，预算{price}元，走什么审批", "approval_query"),
+    ("leave", "我要请病假{n}天，需要哪些材料", "material_check"),
+    ("none", "出差去香港，预计总费用{price}元，怎么审批", "approval_query"),
+    ("expense_reimbursement", "费用报销金额{price}元，有发票和报销单，材料齐全吗", "material_check"),
+    ("purchase", "生成采购申请草稿，采购{n}台电脑", "draft_generation"),
+    ("none", "今天天气怎么样", "unknown"),
+    ("leave", "年假{n}天的标准是多少", "policy_query"),
+)
+_ASKED = f"""asked AS (SELECT o_orderkey, CAST(o_orderkey % {len(_ASKS)} AS INTEGER) AS w, 1 + o_orderkey % 9 AS n, 100 + o_orderkey * 7919 % 300000 AS price FROM orders),
+req AS (SELECT *, replace(replace([{", ".join("'" + a[1] + "'" for a in _ASKS)}][w + 1], '{{n}}', CAST(n AS VARCHAR)), '{{price}}', CAST(price AS VARCHAR)) AS request FROM asked)"""
+
+
+def _requests(spark, d):
+    k = F.col("o_orderkey")
+    wording = F.get(F.array(*[F.lit(a[1]) for a in _ASKS]), (k % len(_ASKS)).cast("int"))
+    text = F.replace(F.replace(wording, F.lit("{n}"), (1 + k % 9).cast("string")), F.lit("{price}"), (100 + k * 7919 % 300000).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", text.alias("request"))
+
+
+@query(f"WITH {_ASKED} SELECT o_orderkey, request, [{', '.join(repr(a[2]) for a in _ASKS)}][w + 1] AS intent FROM req")
 def intent_by_cues(spark, d):
-    return _literal(spark, [(r[0],) for r in _REQUESTS], "request").select("request", requests.intent(F.col("request")).alias("intent"))
+    return _requests(spark, d).select("o_orderkey", "request", requests.intent(F.col("request")).alias("intent"))
 
 
 @query(f"SELECT request, nullif(level, 'null') AS level, route FROM {_values([(r[0], r[2], r[3]) for r in _REQUESTS], 'request', 'level', 'route')}")
-def approval_requests(spark, d):
+def approval_requests_literal(spark, d):
     a = approval.check(_literal(spark, [(r[0],) for r in _REQUESTS], "request"), "request")
     return a.select("request", "level", F.array_join(F.transform("steps", lambda s: s["approver"]), ">").alias("route"))
 
 
-@query(f"SELECT request, nullif(application_type, 'null') AS application_type, nullif(complete, 'null') AS complete FROM {_values([(r[0], r[4], r[5]) for r in _REQUESTS], 'request', 'application_type', 'complete')}")
+@query(f"""WITH {_ASKED}, a AS (SELECT *, CASE w WHEN 0 THEN n * price ELSE price END AS amount FROM req WHERE w IN (0, 1, 3, 4))
+SELECT o_orderkey, CASE WHEN w = 1 THEN 'emergency_purchase'
+  WHEN w = 0 THEN CASE WHEN amount <= 5000 THEN 'small_purchase' WHEN amount <= 50000 THEN 'general_purchase' WHEN amount <= 200000 THEN 'important_purchase' ELSE 'major_purchase' END
+  WHEN w = 3 THEN CASE WHEN amount <= 5000 THEN 'small_travel' WHEN amount <= 20000 THEN 'general_travel' ELSE 'large_travel' END
+  ELSE CASE WHEN amount <= 1000 THEN 'small_expense' WHEN amount <= 5000 THEN 'general_expense' WHEN amount <= 20000 THEN 'large_expense' ELSE 'major_expense' END END AS level FROM a""")
+def approval_requests(spark, d):
+    """Levels of worded requests with generated counts and prices."""
+    k = F.col("o_orderkey") % len(_ASKS)
+    return approval.check(_requests(spark, d).where(k.isin(0, 1, 3, 4)), "request").select("o_orderkey", "level")
+
+
+@query(f"""WITH {_ASKED} SELECT o_orderkey, nullif([{', '.join(repr(a[0]) for a in _ASKS)}][w + 1], 'none') AS application_type FROM req""")
 def material_requests(spark, d):
+    return materials.check(_requests(spark, d), "request").select("o_orderkey", "application_type")
+
+
+@query(f"SELECT request, nullif(application_type, 'null') AS application_type, nullif(complete, 'null') AS complete FROM {_values([(r[0], r[4], r[5]) for r in _REQUESTS], 'request', 'application_type', 'complete')}")
+def material_requests_literal(spark, d):
     return materials.check(_literal(spark, [(r[0],) for r in _REQUESTS], "request"), "request").select("request", "application_type", F.col("complete").cast("string").alias("complete"))
 
 
@@ -167,17 +205,40 @@ _DRAFTS = (
 
 
 @query(f"SELECT request, nullif(application_type, 'null') AS application_type, status, nullif(missing, 'null') AS missing FROM {_values(_DRAFTS, 'request', 'application_type', 'status', 'missing')}")
-def draft_requests(spark, d):
+def draft_requests_literal(spark, d):
     rows = _literal(spark, [(r[0],) for r in _DRAFTS], "request").withColumn("employee_id", F.lit("E1")).withColumn("session_id", F.lit("S1"))
     return requests.drafts(rows, "request").select("request", "application_type", "status", F.array_join("missing_fields", ",").alias("missing"))
 
 
-_FOLLOW = (("那需要哪些材料", "true"), ("确认", "false"), ("标准是多少", "true"), ("差旅标准是多少", "false"), ("采购呢", "true"), ("公司采购制度有哪些规定", "false"))
+#: Clauses of a purchase draft; each order leaves one of them out, by its key, or none.
+_CLAUSES = (("purpose", "用途：研发测试"), ("specification", "规格：27寸"), ("budget_or_cost_center", "预算编号：B-01"), ("expected_delivery_date", "期望交付日期：2026-09-01"), ("delivery_location", "使用地点：上海"), ("supplier_name", "供应商：甲公司"), ("supplier_reason", "推荐理由：价格低"), ("is_emergency", "普通采购"))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, CAST(o_orderkey % {len(_CLAUSES) + 1} AS INTEGER) AS gap, 1 + o_orderkey % 9 AS n, 100 + o_orderkey % 2900 AS price, o_orderkey % 7 = 0 AS wrong FROM orders)
+SELECT o_orderkey, CAST(n AS VARCHAR) AS quantity, CAST(price AS VARCHAR) || '.00' AS unit_price, CAST(n * price + CASE WHEN wrong THEN 1 ELSE 0 END AS VARCHAR) || '.00' AS total, [{', '.join(repr(k) for k, _ in _CLAUSES)}, ''][gap + 1] AS missing,
+  CASE WHEN wrong THEN 'PURCHASE_TOTAL_MISMATCH' ELSE '' END AS issues, CASE WHEN gap < {len(_CLAUSES)} OR wrong THEN 'waiting_for_information' ELSE 'waiting_for_confirmation' END AS status FROM r""")
+def draft_requests(spark, d):
+    """Purchase drafts with generated counts and prices, a clause left out, and some totals that don't add up."""
+    k = F.col("o_orderkey")
+    gap, n, price = (k % (len(_CLAUSES) + 1)).cast("int"), 1 + k % 9, 100 + k % 2900
+    clauses = F.array_join(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (_, c) in enumerate(_CLAUSES)]), lambda x: x["i"] != gap)["c"], "，")
+    total = F.when(k % 7 == 0, F.concat(F.lit("，总金额"), (n * price + 1).cast("string"), F.lit("元"))).otherwise("")
+    text = F.concat(F.lit("采购"), n.cast("string"), F.lit("台显示器，每台"), price.cast("string"), F.lit("元"), total, F.lit("，"), clauses)
+    rows = table(spark, d, "orders").select(k, text.alias("request"), F.lit("E1").alias("employee_id"), F.lit("S1").alias("session_id"))
+    f = F.col("fields")
+    return requests.drafts(rows, "request").select(k, f["quantity"].alias("quantity"), f["estimated_unit_price"].alias("unit_price"), f["estimated_total_amount"].alias("total"), F.array_join("missing_fields", ",").alias("missing"), F.array_join("issues", ",").alias("issues"), "status")
 
 
-@query(f"SELECT request, needs = 'true' AS needs_context FROM {_values(_FOLLOW, 'request', 'needs')}")
+#: What leans on earlier turns, and what doesn't, around a generated subject.
+_FOLLOWS = (("那{x}需要哪些材料", True), ("确认", False), ("{x}标准是多少", True), ("差旅标准是多少，{x}", False), ("{x}呢", True), ("公司采购制度有哪些规定{x}", False), ("提交审批。", False), ("另外{x}", True))
+
+
+@query(f"""SELECT c_custkey, replace([{', '.join(repr(t) for t, _ in _FOLLOWS)}][CAST(c_custkey % {len(_FOLLOWS)} AS INTEGER) + 1], '{{x}}', c_mktsegment) AS request,
+  [{', '.join(str(y).lower() for _, y in _FOLLOWS)}][CAST(c_custkey % {len(_FOLLOWS)} AS INTEGER) + 1] AS needs_context FROM customer""")
 def follow_up_flag(spark, d):
-    return _literal(spark, [(r[0],) for r in _FOLLOW], "request").select("request", safety.needs_context(F.col("request")).alias("needs_context"))
+    k = F.col("c_custkey")
+    text = F.replace(F.get(F.array(*[F.lit(t) for t, _ in _FOLLOWS]), (k % len(_FOLLOWS)).cast("int")), F.lit("{x}"), F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(k, text.alias("request")).withColumn("needs_context", safety.needs_context(F.col("request")))
 
 
 # --- state ---------------------------------------------------------------------------------------
@@ -224,12 +285,26 @@ def latest_revision(spark, d):
     return state.latest(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS attempt, o_custkey AS draft_id, o_custkey || ':' || o_orderstatus AS idempotency_key, o_orderpriority AS owner FROM orders),
-n AS (SELECT *, row_number() OVER w AS n, first_value(idempotency_key) OVER w AS k, first_value(owner) OVER w AS o FROM a WINDOW w AS (PARTITION BY draft_id ORDER BY attempt))
-SELECT attempt, CASE WHEN n = 1 THEN 'created' WHEN k <> idempotency_key THEN 'draft_conflict' WHEN o = owner THEN 'replayed' ELSE 'key_conflict' END AS outcome FROM n""")
+#: Attempts whose keys several drafts share: neighbours in threes, by status.
+_ATTEMPTS = """a AS (SELECT o_orderkey AS attempt, o_custkey // 3 AS g, o_custkey AS draft, (o_custkey // 3) || ':' || o_orderstatus || ':' || (o_orderkey % 2) AS k, o_orderpriority AS owner, o_orderkey % 3 AS session,
+  row_number() OVER (PARTITION BY o_custkey // 3 ORDER BY o_orderkey) AS n FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_ATTEMPTS}, fold AS (
+  SELECT g, n, attempt, 'created' AS outcome, [{{'k': k, 'draft': draft, 'owner': owner, 'session': session}}] AS bound FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.g, a.n, a.attempt, o.outcome, CASE WHEN o.outcome = 'created' THEN list_append(f.bound, {{'k': a.k, 'draft': a.draft, 'owner': a.owner, 'session': a.session}}) ELSE f.bound END
+  FROM fold f JOIN a ON a.g = f.g AND a.n = f.n + 1,
+    LATERAL (SELECT CASE WHEN len(list_filter(f.bound, lambda b: b.k = a.k)) > 0
+        THEN CASE WHEN len(list_filter(f.bound, lambda b: b.k = a.k AND b.draft = a.draft AND b.owner = a.owner AND b.session = a.session)) > 0 THEN 'replayed' ELSE 'key_conflict' END
+      WHEN len(list_filter(f.bound, lambda b: b.draft = a.draft)) > 0 THEN 'draft_conflict' ELSE 'created' END AS outcome) o)
+SELECT attempt, outcome FROM fold""")
 def idempotent_submit(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("attempt"), F.col("o_custkey").alias("draft_id"), F.concat_ws(":", F.col("o_custkey").cast("string"), "o_orderstatus").alias("idempotency_key"), F.col("o_orderpriority").alias("owner"))
-    return requests.submit(a, at="attempt").select("attempt", "outcome")
+    """Submissions whose keys clash over drafts, owners and sessions, checked against a fold attempt by attempt."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    key = F.concat_ws(":", F.floor(c / 3).cast("string"), "o_orderstatus", (k % 2).cast("string"))
+    a = table(spark, d, "orders").select(k.alias("attempt"), c.alias("draft_id"), key.alias("idempotency_key"), F.col("o_orderpriority").alias("owner"), (k % 3).alias("session"))
+    return requests.submit(a, at="attempt", session="session").select("attempt", "outcome")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -238,9 +313,40 @@ def session_delete(spark, d):
     return state.deleted(table(spark, d, "orders").select("o_custkey", "o_orderkey"), gone, "o_custkey").select("o_orderkey")
 
 
-@query(None)
+#: Turns of a session and their (intent, action without a draft, while information is awaited, with a draft).
+_TURNS = (
+    ("生成采购申请草稿", "draft_generation", "new_request", "update_draft", "new_request"),
+    ("修改数量为3台", "unknown", "new_request", "update_draft", "update_draft"),
+    ("确认", "unknown", "new_request", "confirm_draft", "confirm_draft"),
+    ("提交审批。", "unknown", "submit_draft", "submit_draft", "submit_draft"),
+    ("取消草稿", "unknown", "new_request", "cancel_draft", "cancel_draft"),
+    ("谁审批", "approval_query", "new_request", "new_request", "new_request"),
+    ("预算编号 B-01", "unknown", "new_request", "update_draft", "new_request"),
+)
+_PLACE = f"(session_id * 5 + turn * turn * 3 + turn) % {len(_TURNS)}"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id AS session_id, turn FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+m AS (SELECT session_id, turn, CAST({_PLACE} AS INTEGER) + 1 AS p, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n FROM t),
+w AS (SELECT m.*, [{', '.join(repr(t[1]) for t in _TURNS)}][p] AS intent, [{', '.join(repr(t[2]) for t in _TURNS)}][p] AS bare, [{', '.join(repr(t[3]) for t in _TURNS)}][p] AS waiting, [{', '.join(repr(t[4]) for t in _TURNS)}][p] AS held FROM m),
+s AS (
+  SELECT session_id, 0 AS n, CAST(NULL AS INTEGER) AS turn, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS draft_status, CAST(0 AS BIGINT) AS revision FROM (SELECT DISTINCT session_id FROM t)
+  UNION ALL
+  SELECT w.session_id, w.n, w.turn, w.intent, x.action,
+    CASE WHEN x.action = 'new_request' AND w.intent = 'draft_generation' THEN 'waiting_for_information'
+         WHEN x.action = 'update_draft' AND s.draft_status IN ('waiting_for_information', 'confirmed') THEN 'waiting_for_information'
+         WHEN x.action = 'confirm_draft' AND s.draft_status = 'waiting_for_information' THEN 'confirmed'
+         WHEN x.action = 'cancel_draft' AND s.draft_status IS NOT NULL AND s.draft_status <> 'submitted' THEN 'cancelled'
+         WHEN x.action = 'submit_draft' AND s.draft_status = 'confirmed' THEN 'submitted' ELSE s.draft_status END,
+    CASE WHEN x.action = 'new_request' AND w.intent = 'draft_generation' THEN 1 WHEN x.action = 'update_draft' AND s.draft_status IN ('waiting_for_information', 'confirmed') THEN s.revision + 1 ELSE s.revision END
+  FROM s JOIN w ON w.session_id = s.session_id AND w.n = s.n + 1,
+    LATERAL (SELECT CASE WHEN s.draft_status IS NULL THEN w.bare WHEN s.draft_status = 'waiting_for_information' THEN w.waiting ELSE w.held END AS action) x)
+SELECT session_id, turn, intent, action, draft_status, revision FROM s WHERE n > 0""")
 def session_workflow(spark, d):
-    return folds.session_workflow(_messages(spark, d))
+    """Sessions of commands: the turns of the conversations, worded by session and turn."""
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn").distinct()
+    text = F.get(F.array(*[F.lit(t[0]) for t in _TURNS]), F.expr(_PLACE).cast("int"))
+    return folds.session_workflow(m.withColumn("text", text))
 
 
 @query("""WITH r AS (SELECT o_custkey AS draft_id, o_orderkey AS revision, o_orderstatus, o_orderpriority FROM orders),

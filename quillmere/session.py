@@ -12,6 +12,18 @@ SETTINGS = {
 }
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and stored in the shared folder, with no lineage behind it. The folder is
+    ``spark.checkpoint.dir``; only a local session gets one of its own where that is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or "/tmp/quillmere-shared")
+    return df.checkpoint()
+
+
 def build_session(name: str = "quillmere", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(name)
     if master:
