@@ -5,10 +5,17 @@ line_dedup      a line that several documents hold stays in the first of them
 simhash         one document of each near-duplicate component stays
 decontaminate   documents that hold a benchmark item go
 mix             words are taken from the sources by target weights
+
+A stage works on any input with the columns of documents and more: a column of its own making that the
+input has as well is kept aside, so the input's columns come out as they went in. An empty input gives
+an empty result. What a stage does with nulls, long texts and repeated rows is its operator's docstring;
+rows with a null id are never taken for copies or repeats of one another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,31 +23,52 @@ from quillmere.llm import decontam, langid, linededup, mixing, simhash
 from quillmere.llm.workspace import Workspace
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` with its columns of these names under others, and back."""
+    other = {c: f"__own_{c}" for c in names if c in docs.columns}
+    out = work(docs.withColumnsRenamed(other))
+    return out.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a known language; the model learns from the labelled documents of this input."""
-    return langid.predict(docs, langid.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
+    """Keep documents of a known language; the model learns from the labelled documents of this input.
+    Null and empty texts, and texts without a letter, go. Where no row is labelled nothing is known, and
+    every document stays."""
+    model = langid.fit(docs)
+    return _aside(docs, ("lang_pred", "score", "rejected"), lambda d: langid.predict(d, model).where(~F.col("rejected")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds; n_chars follows the text."""
-    kept = linededup.dedup_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    """Texts without the lines that an earlier document holds; n_chars follows the text. A null text stays null."""
+
+    def work(d: DataFrame) -> DataFrame:
+        kept = linededup.dedup_lines(d)
+        text = F.when(F.col("text").isNotNull(), F.col("kept"))
+        changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
+        return kept.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in d.columns])
+
+    return _aside(docs, ("n_lines", "n_dropped", "kept"), work)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near copies, and one row of a repeated id."""
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+MIXED = ("size", "source_size", "target", "taken", "first_slot")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with size, target and taken. Rows of one id share their sum."""
-    taken = mixing.Mix(docs).taken().groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"))
-    return docs.join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """The documents that the mix takes words of, with size, source_size, target, taken and first_slot, which
+    replace columns of these names. Rows of one id share their sum."""
+    sums = {"taken": F.sum("taken"), "first_slot": F.min("first_slot")}
+    taken = mixing.Mix(docs).taken().groupBy(F.col("doc_id").alias("__id")).agg(*[sums.get(c, F.max(c)).alias(c) for c in MIXED])
+    return docs.drop(*MIXED).join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
