@@ -5,6 +5,7 @@ import random
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from test_llm_operators import brute_lines, brute_print  # noqa: E402
@@ -59,3 +60,41 @@ def test_stages(spark, tmp_path):
     total = sum(len(t.split()) for t in texts.values())
     assert abs(sum(n for _, _, n in last) - total) <= 3
     assert {(r.doc_id, r.text, r.taken) for r in pipeline.run(spark, str(tmp_path)).collect()} == last
+
+
+AWKWARD = ("lang_pred", "score", "rejected", "n_lines", "n_dropped", "kept", "fp", "component_id", "n_windows", "coverage", "size", "source_size", "target", "taken", "first_slot", "rank")
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    make(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(30)
+    odd = [(500, None, "en", "s", 0), (None, "the water and the house with a thing", "en", None, 5), (None, "the water and the house with a thing", None, None, 5), (501, "", None, "s", 0), (502, "the water and the house " * 30_000, "en", "s", 1), (7, "und der haus nicht zeit", "de", "s", 1), (7, "the shine with the water", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for c in AWKWARD:
+        docs = docs.withColumn(c, F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    docs.write.parquet(f"{tmp_path}/odd")
+    docs = spark.read.parquet(f"{tmp_path}/odd")
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        last = n == len(pipeline.STAGES) - 1
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        none.write.parquet(f"{tmp_path}/none{n}")
+        assert none.count() == 0 and set(docs.columns) <= set(none.columns)
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/odd{n}")
+        out = spark.read.parquet(f"{tmp_path}/odd{n}")
+        if last:
+            assert set(docs.columns) <= set(out.columns) and {r.target for r in out.collect()} and out.count() > 5
+        else:
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert all(r[c] == f"own {c} {'-' if r.doc_id is None else r.doc_id}" for c in AWKWARD)
+            docs = out
+    ids = [r.doc_id for r in docs.collect()]
+    # Near copies go by id, so one row of a repeated id and all rows without one are left; null and empty texts went first.
+    assert ids.count(7) == 1 and ids.count(None) == 2 and 502 in ids and 500 not in ids and 501 not in ids
+
+
+def test_language_stage_without_labels(spark, tmp_path):
+    make(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language_id(spark, docs, str(tmp_path)).count() == docs.count()
