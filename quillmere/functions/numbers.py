@@ -44,6 +44,7 @@ def _scaled(amount: Column, unit: Column) -> Column:
 def money(c: Column, labels: tuple[str, ...], nouns: tuple[str, ...], commas: bool) -> Column:
     """An amount in yuan: quantity times unit price, else a labelled amount, else an amount before
     one of ``nouns``. ``commas`` allows thousands separators."""
+    # How a price for each, a labelled amount and an amount before its noun are written.
     num = r"[\d,]+(?:\.\d+)?" if commas else r"\d+(?:\.\d+)?"
     priced = rf"(\d+(?:\.\d+)?|[{_DIGITS}]+)\s*(?:台|个|套|件|份).{{0,20}}?每(?:台|个|套|件|份)?\s*({num})\s*元"
     labelled = rf"(?:{'|'.join(labels)})[为是约大概:\s]*({num})\s*(万元|万|元|块)"
@@ -56,6 +57,7 @@ def money(c: Column, labels: tuple[str, ...], nouns: tuple[str, ...], commas: bo
 
 def days(c: Column) -> Column:
     """Days of leave or travel; half a day is 0.5. Takes working, calendar and plain days."""
+    # How half a day and a number of days are written, here and in leave_days.
     half = c.contains("半天") | c.contains("半个工作日")
     return F.when(half, F.lit("0.5").cast(MONEY)).otherwise(small_number(_found(c, rf"(\d+(?:\.\d+)?|[{_DIGITS}]+)\s*(?:个)?(?:工作|自然)?(?:日|天)", 1)).cast(MONEY))
 
@@ -72,6 +74,7 @@ def plain_decimal(c: Column) -> Column:
 
 def dates(c: Column) -> Column:
     """Distinct dates in order, written with -, / or . or as 年月日. A month or day of one digit is no date."""
+    # Fixed value: how a date is written.
     tokens = F.regexp_extract_all(c, F.lit(r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{4}年\d{1,2}月\d{1,2}日)"), F.lit(1))
 
     def parse(t: Column) -> Column:

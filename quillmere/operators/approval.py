@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions.text import has_any
+from ..functions.text import has_any, strip
 
 #: The cues of each application type, in order of precedence, and of request features.
 TYPE_CUES = (
@@ -183,5 +183,5 @@ def decide(df: DataFrame) -> DataFrame:
 
 def check(requests: DataFrame, text: str = "text") -> DataFrame:
     """The route of free-text requests."""
-    f = request(F.trim(F.col(text)))
-    return decide(requests.select("*", *[f[n].alias(n) for n in FEATURES]))
+    f = request(F.col("__text"))
+    return decide(requests.withColumn("__text", strip(F.col(text))).select("*", *[f[n].alias(n) for n in FEATURES]).drop("__text"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..functions.text import has_any
+from ..functions.text import has_any, strip
 from .approval import IT_CUES, LEAVE_CUES, first_cue
 
 #: Type, aliases (longest first where it matters), sensitive, source document and article.
@@ -98,9 +98,13 @@ def leave_requirements(kind: Column, days: Column) -> Column:
     return _items((sick, "medical_proof", 1), (F.coalesce(kind == "marriage", F.lit(False)), "marriage_registration_certificate", 1))
 
 
+#: How a number of quotations is said, in order of precedence.
+QUOTATIONS = (r"(\d+)\s*家(?:供应商)?(?:的)?(?:有效)?报价", r"(\d+)\s*份(?:供应商)?报价", r"(?:报价|报价单)(\d+)\s*份")
+
+
 def quotation_count(t: Column) -> Column:
     """How many quotations a text speaks of; null if it doesn't say."""
-    found = [F.regexp_extract(t, p, 1) for p in (r"(\d+)\s*家(?:供应商)?(?:的)?(?:有效)?报价", r"(\d+)\s*份(?:供应商)?报价", r"(?:报价|报价单)(\d+)\s*份")]
+    found = [F.regexp_extract(t, p, 1) for p in QUOTATIONS]
     digits = F.coalesce(*[F.when(x != "", x).cast("int") for x in found])
     words = None
     for token, n in QUOTE_COUNTS:
@@ -131,8 +135,8 @@ def provided(t: Column) -> Column:
 def check(requests: DataFrame, text: str = "text") -> DataFrame:
     """``requests`` with application_type, mode, required, provided, missing, complete (null when only
     requirements are asked for) and clarify (the fact that is needed first)."""
-    t = F.trim(F.col(text))
-    d = requests.withColumn("application_type", application_type(t)).withColumn("mode", F.when(has_any(t, COMPARISON), "comparison").otherwise("requirements"))
+    t = F.col("__text")
+    d = requests.withColumn("__text", strip(F.col(text))).withColumn("application_type", application_type(t)).withColumn("mode", F.when(has_any(t, COMPARISON), "comparison").otherwise("requirements"))
     d = d.withColumn("amount", N.money(t, AMOUNT_LABELS, AMOUNT_NOUNS, commas=False)).withColumn("leave_type", first_cue(t, LEAVE_CUES)).withColumn("leave_days", N.leave_days(t)).withColumn("category", first_cue(t, CATEGORIES))
     kind, none = F.col("application_type"), F.array().cast("array<struct<material:string,required:int>>")
     general = _items(*[(True, m, 1) for m in EXPENSE], *[(F.coalesce(F.col("category") == c, F.lit(False)), m, 1) for c, ms in BY_CATEGORY.items() for m in ms])
@@ -146,7 +150,7 @@ def check(requests: DataFrame, text: str = "text") -> DataFrame:
     lacking = F.filter(F.transform("required", lambda r: F.struct(r["material"].alias("material"), F.greatest(r["required"] - F.coalesce(have[r["material"]], F.lit(0)), F.lit(0)).alias("lacking"))), lambda r: r["lacking"] > 0)
     judged = (F.col("mode") == "comparison") & F.col("clarify").isNull()
     d = d.withColumn("missing", F.when(judged, lacking).otherwise(F.array().cast("array<struct<material:string,lacking:int>>")))
-    return d.withColumn("complete", F.when(judged, F.size("missing") == 0))
+    return d.withColumn("complete", F.when(judged, F.size("missing") == 0)).drop("__text")
 
 
 def rules(spark) -> DataFrame:

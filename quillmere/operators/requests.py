@@ -126,14 +126,15 @@ def drafts(requests: DataFrame, text: str = "text", employee: str = "employee_id
     digest = F.upper(F.sha2(F.concat_ws("\0", kind, F.col(employee), F.col(session), t), 256))
     prefix = F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[kind]
     d = requests.withColumn("application_type", kind)
-    values, gaps = None, None
+    # The fields of the row's own type, as a column of its own, so that each is looked for once.
+    entries = None
     for name, fields in draft_fields(t).items():
-        entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
-        found, lack = F.filter(entries, lambda e: e["value"].isNotNull()), F.transform(F.filter(entries, lambda e: e["value"].isNull()), lambda e: e["key"])
-        mine = kind == name
-        values = F.when(mine, found) if values is None else values.when(mine, found)
-        gaps = F.when(mine, lack) if gaps is None else gaps.when(mine, lack)
-    d = d.withColumn("fields", F.map_from_entries(values)).withColumn("missing_fields", gaps)
+        all_of = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
+        mine = F.col("application_type") == name
+        entries = F.when(mine, all_of) if entries is None else entries.when(mine, all_of)
+    d = d.withColumn("__entries", entries)
+    d = d.withColumn("fields", F.map_from_entries(F.filter("__entries", lambda e: e["value"].isNotNull())))
+    d = d.withColumn("missing_fields", F.transform(F.filter("__entries", lambda e: e["value"].isNull()), lambda e: e["key"])).drop("__entries")
     late = F.coalesce(F.col("fields")["start_date"] > F.col("fields")["end_date"], F.lit(False))
     count, price, total = (F.col("fields")[k].cast(N.MONEY) for k in ("quantity", "estimated_unit_price", "estimated_total_amount"))
     wrong = (F.col("application_type") == "purchase") & F.coalesce(count * price != total, F.lit(False))

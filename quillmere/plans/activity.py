@@ -185,7 +185,7 @@ asked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_i
 @query(f"""WITH RECURSIVE {_CALLS}, miss AS (
   SELECT user_id, n, us, lost FROM asked WHERE n = 1
   UNION ALL
-  SELECT * FROM (SELECT m.user_id, min(a.n) AS n, arg_min(a.us, a.n) AS us, arg_min(a.lost, a.n) AS lost FROM miss m JOIN asked a ON a.user_id = m.user_id AND a.n > m.n AND (m.lost OR a.us >= m.us + {_TTL} * 1000000) GROUP BY m.user_id, m.n))
+  SELECT * FROM (SELECT m.user_id, min(a.n) AS n, arg_min(a.us, a.n) AS us, arg_min(a.lost, a.n) AS lost FROM miss m JOIN asked a ON a.user_id = m.user_id AND a.n > m.n AND (m.lost OR a.us >= m.us + {_TTL}000000) GROUP BY m.user_id, m.n))
 SELECT c.user_id, c.event_id, CASE WHEN c.bypass THEN 'bypass' WHEN c.broken THEN 'error' WHEN miss.n IS NOT NULL THEN 'miss' ELSE 'hit' END AS outcome
 FROM c LEFT JOIN asked USING (event_id) LEFT JOIN miss ON miss.user_id = asked.user_id AND miss.n = asked.n""")
 def ttl_cache_outcomes(spark, d):
