@@ -9,8 +9,9 @@ document puts into the item's slots must be consistent: one value of the item go
 value of the document and back. So a question with other numbers or names is caught, and a
 chance match of placeholders is not.
 
-The benchmark's windows are broadcast in blocks of ``block_bytes`` of item text, one pass over
-the documents for each block, so what is broadcast does not grow with the benchmark.
+The benchmark's texts are broadcast in blocks of at most about ``block_bytes``, one pass over the
+documents for each block, so what the driver gathers and what is broadcast does not grow with the
+benchmark. Each Python worker builds the windows of a block once and keeps those of one block.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .workspace import Workspace
 
 #: Units that make a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "g", "kg", "mg", "lb", "oz", "t", "l", "ml", "s", "ms", "min", "h", "hr", "hrs", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "gram", "grams", "kilogram", "kilograms", "liter", "liters", "litre", "litres", "mile", "miles", "degree", "degrees", "watt", "watts", "volt", "volts", "usd", "eur", "kw", "kwh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb")
@@ -396,7 +398,7 @@ def _longest(at: np.ndarray, width: np.ndarray, exact: np.ndarray, cut: np.ndarr
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 64 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, reparameterised: documents that hold benchmark items.
 
     A pair counts when at least ``coverage`` of the item's windows occur in the document, either
@@ -405,30 +407,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     that are over half placeholders, have no template: they count as they are, down to one token.
     A run of 13 tokens of an item as they are counts whatever its share of the item. If the rest of
     the item stands around it with slots that contradict each other, it takes 26.
-    Of items without a template a count such as 1 2 3 4 of fewer than 13 numbers is left out. Null or empty texts match nothing; rows with a null id are compared like others.
+    Of items without a template a count such as 1 2 3 4 of fewer than 13 numbers is left out. Null or empty texts match nothing; rows with a null id are compared like others, and repeated rows
+    each. An empty table gives no row, and neither does an empty benchmark. Long texts are matched whole.
+    Only id and text are read, so other columns of any name don't matter.
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    found = []
-    for shared in _indexes(docs.sparkSession, benchmark, item_id, item_text, window, shortest, block_bytes):
+    space, found, schema = Workspace(docs.sparkSession, "decontam"), [], "doc_id bigint, item_id bigint, n_windows bigint, coverage double, reparameterised boolean"
+    for n, (shared, last) in enumerate(_indexes(docs.sparkSession, benchmark, item_id, item_text, block_bytes)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(shared, window, shortest)
             for b in batches:
-                out = list(_in_batch(shared.value, b.column(1), coverage))
+                out = list(_in_batch(index, b.column(1), coverage))
                 ids = b.column(0).take(pa.array([m[0] for m in out], pa.int64()))
                 cols = [[m[j] for m in out] for j in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["doc_id", "item_id", "n_windows", "coverage", "reparameterised"])
 
-        found.append(src.mapInArrow(run, "doc_id bigint, item_id bigint, n_windows bigint, coverage double, reparameterised boolean"))
+        pairs = src.mapInArrow(run, schema)
+        if last and not n:
+            return pairs
+        # Of several blocks each is finished before the next, so that one is broadcast at a time.
+        found.append(space.write(pairs, f"block-{n}"))
+        shared.unpersist()
     return reduce(DataFrame.unionAll, found)
 
 
-def _indexes(spark, benchmark: DataFrame, item_id: str, item_text: str, window: int, shortest: int, block_bytes: int):
-    """One broadcast index for each block of about block_bytes of item text."""
+_built: dict[tuple, Index] = {}
+
+
+def _index(shared, window: int, shortest: int) -> Index:
+    """The windows of a broadcast block of items, built once in a worker."""
+    items = shared.value
+    key = (id(items), window, shortest)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(items, window, shortest)
+        _built[key].items = items  # keeps the id from being used again
+    return _built[key]
+
+
+def _indexes(spark, benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int):
+    """A broadcast of each block of about block_bytes of item text, and whether it is the last."""
     items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        yield spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], window, shortest))
+        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in rows]), k == blocks - 1
 
 
 def _in_batch(index: Index, texts: pa.Array, coverage: float):
@@ -437,15 +461,17 @@ def _in_batch(index: Index, texts: pa.Array, coverage: float):
             yield chunk.first + m[0], *m[1:]
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, as ``contaminated`` finds them. No shuffle."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, as ``contaminated`` finds them. No shuffle.
+    All columns are kept; rows with a null or repeated id are judged each by its own text."""
     place, schema = docs.columns.index(text), docs.schema
-    for shared in _indexes(docs.sparkSession, benchmark, item_id, item_text, window, shortest, block_bytes):
+    for shared, _ in _indexes(docs.sparkSession, benchmark, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(shared, window, shortest)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[m[0] for m in _in_batch(shared.value, b.column(place), coverage)]] = False
+                keep[[m[0] for m in _in_batch(index, b.column(place), coverage)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)

@@ -305,6 +305,92 @@ def test_a_run_of_a_long_item(docs_of, spark, n):
     assert hits(docs_of, spark, [other], [(1, " ".join(words))]) == {(0, 1): False}
 
 
+def brute_contaminated(doc, item, coverage=0.5, window=8):
+    """The rule for texts of lower-case words, where a template is the text itself."""
+    d, t = doc.split(), item.split()
+    w = min(window, len(t))
+    if not w:
+        return False
+    total = len(t) - w + 1
+    at = {(p, i) for p in range(len(d) - w + 1) for i in range(total) if d[p : p + w] == t[i : i + w]}
+    covered = {i for _, i in at}
+    whole = {i + k for i in covered for k in range(w)}
+    for g in {p - i for p, i in at}:
+        mine = sorted(i for p, i in at if p - i == g)
+        if len(mine) >= coverage * total:
+            return True
+        if len(t) >= 5 and len(covered) >= coverage * total and len({i + k for i in mine for k in range(w)}) >= coverage * len(whole):
+            return True
+        run = 1
+        for a, b in zip(mine, [*mine[1:], -9], strict=True):
+            if run + w - 1 >= 13:
+                return True
+            run = run + 1 if b == a + 1 else 1
+    return False
+
+
+def test_contamination_by_brute_force(docs_of, spark):
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate([1, 2, 4, 5, 7, 8, 9, 12, 14, 20, 26, 40, 60, 61])]
+    texts = []
+    for _ in range(240):
+        words = r.choice(items)[1].split()
+        a = r.randrange(len(words))
+        part = words[a : a + r.randint(1, len(words))]
+        if r.random() < 0.4:
+            part = [r.choice(vocab) if r.random() < 0.08 else w for w in part]
+        if r.random() < 0.3:
+            part = part[: len(part) // 2] + say(3).split() + part[len(part) // 2 :]
+        texts.append(" ".join([say(r.randint(0, 12)), *part, say(r.randint(0, 12))]))
+    texts += ["", None, say(3000)]
+    got = set(hits(docs_of, spark, texts, items))
+    want = {(k, i) for k, t in enumerate(texts) for i, item in items if t and brute_contaminated(t, item)}
+    assert got == want and 50 < len(want)
+    assert set(hits(docs_of, spark, texts, items, block_bytes=300)) == want
+
+
+PROBLEMS = (
+    "{A} has {n} apples and buys {m} more at the market. If {A} gives {k} of them to {B}, how many apples are left?",
+    "A train leaves the station at {n} km per hour. {A} boards {m} minutes later and rides for {k} hours. How far does {A} travel?",
+    "{A} and {B} share {n} dollars so that {A} gets {m} dollars more. How much money does {B} get in the end?",
+    "In a school of {n} pupils, {m} percent play chess. {A} counts {k} new players. How many pupils play chess now?",
+    "{A} reads {n} pages a day for {m} days and then {k} pages on the last day. How long is the book that {A} reads?",
+    "A tank holds {n} litres of water. {A} pours out {m} litres each minute for {k} minutes. How much water is left in the tank?",
+)
+
+
+def test_recall_of_changed_questions(docs_of, spark):
+    """The share of questions with other numbers, names and units that are found."""
+    r = random.Random(6)
+    names = ["Maria", "Peter", "Ines", "Karl", "Anna", "Tom", "Olga", "Yusuf", "Chen", "Mary Ann", "Élodie"]
+    units = {"km": "miles", "minutes": "hours", "dollars": "euros", "litres": "kg", "percent": "percent", "hours": "minutes"}
+
+    def fill(t, decimals=False):
+        a, b = r.sample(names[:9], 2)
+        number = lambda: f"{r.randint(2, 900)}.{r.randint(1, 9)}" if decimals and r.random() < 0.5 else str(r.randint(2, 9000))
+        return t.format(A=a, B=b, n=number(), m=number(), k=number())
+
+    items = [(i, fill(t)) for i, t in enumerate(PROBLEMS)]
+    kinds = {"numbers": [], "names": [], "both": [], "decimals": [], "units": []}
+    for i, t in enumerate(PROBLEMS):
+        for _ in range(10):
+            kinds["both"].append((i, fill(t)))
+            kinds["decimals"].append((i, fill(t, True)))
+            kinds["numbers"].append((i, re.sub(r"\d+", lambda _: str(r.randint(2, 9000)), items[i][1])))
+            old = sorted({n for n in names[:9] if n in items[i][1]})
+            new = dict(zip(old, r.sample([n for n in names if n not in old], len(old)), strict=True))
+            kinds["names"].append((i, re.sub("|".join(old), lambda m: new[m[0]], items[i][1])))
+            kinds["units"].append((i, re.sub("|".join(units), lambda m: units[m[0]], re.sub(r"\d+", lambda _: str(r.randint(2, 9000)), items[i][1]))))
+    flat = [(kind, i, f"some words before it. {t} And a few after it.") for kind, rows in kinds.items() for i, t in rows]
+    found = set(hits(docs_of, spark, [t for _, _, t in flat], items))
+    share = {kind: sum((n, i) in found for n, (k, i, _) in enumerate(flat) if k == kind) / len(rows) for kind, rows in kinds.items()}
+    print(share)
+    assert min(share.values()) >= 0.9, share
+    assert all(flat[n][1] == i for n, i in found)  # and no question is taken for another
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
