@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,29 +44,40 @@ def parse_literal(c: Column) -> Column:
     return F.transform(F.split(F.btrim(c, F.lit("[] ")), ","), lambda x: F.trim(x).cast("double"))
 
 
-def hash_embedding(dimension: int = 1024):
+def hash_embedding(dimension: int = 1024, instruction: str = ""):
     """An Arrow UDF: text -> unit vector of hashed terms. ASCII words weigh 2; CJK runs give 1-, 2-
-    and 3-grams of weights 0.25, 1.5 and 2.5. The slot is the first 8 bytes of SHA-256."""
+    and 3-grams of weights 0.25, 1.5 and 2.5. The slot is the first 8 bytes of SHA-256. A query's
+    embedding may have an instruction before the text. Slots of terms are kept over batches, and a
+    slab of rows is summed at once."""
     weights = {1: 0.25, 2: 1.5, 3: 2.5}
 
-    def slot(term: str) -> int:
-        return int.from_bytes(hashlib.sha256(term.encode()).digest()[:8], "big") % dimension
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(s: pd.Series) -> pd.Series:
-        def one(text):
-            v = np.zeros(dimension)
-            folded = unicodedata.normalize("NFKC", text or "").casefold()
-            for word in re.findall(r"[a-z0-9]+", folded):
-                v[slot("word:" + word)] += 2.0
-            for run in re.findall(r"[㐀-鿿]+", folded):
-                for n, w in weights.items():
-                    for i in range(len(run) - n + 1):
-                        v[slot(f"cjk{n}:" + run[i : i + n])] += w
-            size = np.linalg.norm(v)
-            return (v / size if size else v).tolist()
-
-        return s.map(one)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        slots: dict[str, int] = {}
+
+        def slot(term: str) -> int:
+            if term not in slots:
+                if len(slots) > 1 << 20:
+                    slots.clear()
+                slots[term] = int.from_bytes(hashlib.sha256(term.encode()).digest()[:8], "big") % dimension
+            return slots[term]
+
+        for batch in batches:
+            out: list[np.ndarray] = []
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                place, weight = [], []
+                for i, text in enumerate(part):
+                    folded = unicodedata.normalize("NFKC", instruction + (text or "")).casefold()
+                    terms = [("word:" + w, 2.0) for w in re.findall(r"[a-z0-9]+", folded)]
+                    for run in re.findall(r"[㐀-鿿]+", folded):
+                        terms += [(f"cjk{n}:" + run[j : j + n], w) for n, w in weights.items() for j in range(len(run) - n + 1)]
+                    place += [i * dimension + slot(t) for t, _ in terms]
+                    weight += [w for _, w in terms]
+                v = np.bincount(np.array(place, np.int64), weight, minlength=len(part) * dimension).reshape(len(part), dimension)
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                out += list(v / np.where(size > 0, size, 1))
+            yield pd.Series(out, index=batch.index)
 
     return embed
 

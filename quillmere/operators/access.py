@@ -127,3 +127,17 @@ def allowed_profiles(rows: DataFrame, identities: DataFrame, as_of: str, key: st
 def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str, who_key: str) -> DataFrame:
     """(identity, row) pairs that pass."""
     return profiles(identities, who_key).join(allowed_profiles(rows, identities, as_of, key), "profile").select(who_key, key)
+
+
+def narrowed(rows: DataFrame, ids: list | None = None, types: list | None = None, departments: list | None = None, effective: str | None = None, key: str = "document_id", kind: str = "document_type") -> DataFrame:
+    """The rows that a caller asks for within its scope: by id, type, department and day of effect."""
+    if ids is not None:
+        rows = rows.where(F.col(key).isin(ids))
+    if types is not None:
+        rows = rows.where(F.col(kind).isin(types))
+    if departments is not None:
+        rows = rows.where(F.arrays_overlap(scope(F.col("departments")), F.array(*[F.upper(F.lit(d)) for d in departments])))
+    if effective is not None:
+        day = F.lit(effective).cast("date")
+        rows = rows.where((F.col("effective") <= day) & (F.col("expiry").isNull() | (F.col("expiry") >= day)))
+    return rows

@@ -30,6 +30,45 @@ def flat_header(header: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([\w.-]+)\s*:", 1)), F.btrim(F.trim(F.regexp_extract(x, r"^[\w.-]+\s*:(.*)$", 1)), F.lit("\"'")))))
 
 
+#: Plain headings of extracted text, what ends a sentence, and the longest article title.
+PLAIN_CHAPTER, PLAIN_ARTICLE = rf"^第{_NUM}章(?: +.*)?$", rf"^(第{_NUM}条)(?: +(.*))?$"
+SENTENCE_END, TITLE_LENGTH = "[。！？；;!?.]", 24
+
+
+def heading_lines(line: Column) -> Column:
+    """The lines that an extracted line stands for: white space collapsed, a plain chapter or article as a
+    heading, and an article's text that is no title on a line of its own."""
+
+    def rewritten(n: Column) -> Column:
+        label, rest = F.regexp_extract(n, PLAIN_ARTICLE, 1), T.strip(F.regexp_extract(n, PLAIN_ARTICLE, 2))
+        title = (F.length(rest) <= TITLE_LENGTH) & ~rest.rlike(SENTENCE_END)
+        article = F.when(rest == "", F.array(F.concat(F.lit("### "), label))).when(title, F.array(F.concat(F.lit("### "), label, F.lit(" "), rest))).otherwise(F.array(F.concat(F.lit("### "), label), rest))
+        return F.when(n.startswith("#"), F.array(n)).when(n.rlike(PLAIN_CHAPTER), F.array(F.concat(F.lit("## "), n))).when(n.rlike(PLAIN_ARTICLE), article).otherwise(F.array(n))
+
+    return F.transform(F.array(T.collapse(line)), rewritten)[0]
+
+
+def trimmed(lines: Column, **maps: Column) -> Column:
+    """struct(body, then each map): a text's lines without blank ones at its edges, and the arrays that map
+    its lines cut in the same way. Null where the body is blank or a map has another length."""
+    blank = lambda x: T.strip(x) == ""
+    full = F.filter(F.transform(lines, lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
+    first, last = F.array_min(full), F.array_max(full)
+    cut = lambda a: F.slice(a, first + 1, last - first + 1)
+    fits = F.size(full) > 0
+    for m in maps.values():
+        fits = fits & (m.isNull() | (F.size(m) == 0) | (F.size(m) == F.size(lines)))
+    parts = [F.array_join(cut(lines), "\n").alias("body"), *[F.when(F.size(m) > 0, cut(m)).otherwise(m).alias(k) for k, m in maps.items()]]
+    return F.when(fits, F.struct(*parts))
+
+
+def policy_problems(documents: DataFrame, needed: tuple[str, ...], key: str = "document_id") -> DataFrame:
+    """key, problem of documents' metadata: a repeated id, a missing field, an expiry before the date of effect."""
+    twice = documents.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.lit("repeated_id").alias("problem"))
+    lacks = F.array_compact(F.array(*[F.when(F.coalesce(T.strip(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"missing_{c}")) for c in needed], F.when(F.col("expiry") < F.col("effective"), F.lit("expiry_before_effect"))))
+    return twice.unionByName(documents.select(key, F.explode(lacks).alias("problem")))
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line_no (from 1), line."""
     split = F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")

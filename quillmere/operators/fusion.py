@@ -81,3 +81,12 @@ def research_answer(internal: DataFrame, external: DataFrame, requested: Column,
     has_internal, lacks_web = F.coalesce("n_sources", F.lit(0)) > 0, F.col("wants_web") & (n_web == 0)
     status = F.when(~has_internal & (n_web == 0), "unavailable").when(lacks_web | ~has_internal, "partial").otherwise("completed")
     return r.select(query, F.coalesce("n_sources", F.lit(0)).cast("bigint").alias("n_internal"), n_web.cast("bigint").alias("n_web"), status.alias("status"))
+
+
+def merged_citations(first: DataFrame, second: DataFrame, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """Two lists of citations (query, key, position) as one: the first list before the second, each key once
+    at its first place, numbered S1.. anew."""
+    both = first.select(query, key, F.lit(0).alias("l"), "position").unionByName(second.select(query, key, F.lit(1).alias("l"), "position"))
+    once = both.groupBy(query, key).agg(F.min(F.struct("l", "position")).alias("at"))
+    n = F.row_number().over(Window.partitionBy(query).orderBy("at", key))
+    return once.withColumn("position", n).withColumn("source_id", F.concat(F.lit("S"), n.cast("string"))).drop("at")

@@ -81,3 +81,16 @@ def put_writes(old: DataFrame, new: DataFrame, keys: list[str], index: str = "wr
     others = [c for c in old.columns if c not in keys]
     rank = F.when(F.col(index) < 0, F.col("__new")).otherwise(-F.col("__new"))
     return o.unionByName(n).groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("__r")).select(*keys, "__r.*")
+
+
+def with_writes(checkpoints: DataFrame, writes: DataFrame) -> DataFrame:
+    """Checkpoints with their pending writes in order: array of (task_id, write_index, channel, value)."""
+    keys = ["thread_id", "ns", "checkpoint_id"]
+    w = writes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("task_id", "write_index", "channel", "value"))).alias("pending"))
+    none = F.array().cast(w.schema["pending"].dataType)
+    return checkpoints.join(w, keys, "left").withColumn("pending", F.coalesce("pending", none))
+
+
+def traced(steps: DataFrame, key: str, order: str) -> DataFrame:
+    """Steps of each key with their sequence from 1."""
+    return steps.withColumn("sequence", F.row_number().over(Window.partitionBy(key).orderBy(order)))

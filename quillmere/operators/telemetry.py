@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -212,6 +214,23 @@ def average_wait(calls: DataFrame, keys: list[str], wait: str = "wait_ms", digit
     return calls.groupBy(*keys).agg(F.round(F.coalesce(F.avg(wait), F.lit(0.0)), digits).alias("average_wait_ms"))
 
 
+def run_scenarios(spark, scenarios: dict[str, Callable[[], object]], iterations: int = 5, warm_up: int = 1) -> DataFrame:
+    """scenario, iteration, duration_ms, succeeded: each scenario is run on the driver one after the other; its
+    first ``warm_up`` iterations are not part of the result."""
+    if iterations < 1 or warm_up < 0:
+        raise ValueError("a scenario runs once at least")
+    rows = []
+    for name, call in scenarios.items():
+        for i in range(iterations + warm_up):
+            began, ok = time.perf_counter(), True
+            try:
+                call()
+            except Exception:  # noqa: BLE001  a failure is a sample
+                ok = False
+            rows.append((name, i, (time.perf_counter() - began) * 1e3, ok))
+    return measured(spark.createDataFrame(rows, "scenario string, iteration int, duration_ms double, succeeded boolean"), warm_up)
+
+
 def measured(samples: DataFrame, warm_up: int = 1) -> DataFrame:
     """Samples (scenario, iteration) without the first ``warm_up`` iterations of each scenario."""
     return samples.where(F.col("iteration") >= warm_up)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the engine expects; sizes and parallelism stay with the cluster.
@@ -12,6 +14,27 @@ SETTINGS = {
 }
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of a service's requests; a value out of range is an error when it is set."""
+
+    top_k: int = 5
+    candidate_k: int = 20
+    max_context_chunks: int = 5
+    memory_turns: int = 50
+    context_characters: int = 2400
+    queue_timeout_seconds: float = 2.0
+    cache_ttl_seconds: int = 3600
+
+    def __post_init__(self):
+        ranges = {"top_k": (1, 20), "candidate_k": (1, 1000), "max_context_chunks": (1, 20), "memory_turns": (1, 1000), "context_characters": (1, 1_000_000), "queue_timeout_seconds": (0.001, 600), "cache_ttl_seconds": (1, 30 * 86_400)}
+        for name, (low, high) in ranges.items():
+            if not low <= getattr(self, name) <= high:
+                raise ValueError(f"{name} is from {low} to {high}")
+        if self.candidate_k < self.top_k:
+            raise ValueError("candidate_k is at least top_k")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and stored in the shared folder, with no lineage behind it. The folder is
     ``spark.checkpoint.dir``; only a local session gets one of its own where that is unset."""

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.safety import redact
+
 
 def event_time(events: DataFrame, at: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Events with a proper timestamp (a zone-less one is taken as UTC) and a watermark."""
@@ -41,13 +43,16 @@ def live_counters(requests: DataFrame, keys: tuple[str, ...] = ("route", "status
     return requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.sum("duration").alias("duration_sum"))
 
 
-def memory(messages: DataFrame, keep_turns: int = 50, session: str = "session_id") -> DataFrame:
+def memory(messages: DataFrame, keep_turns: int = 50, session: str = "session_id", order: str | None = None, limit: int = 2000) -> DataFrame:
     """Append-only memory: messages (session_id, role, content) get turn numbers, and the state keeps
-    how many turns were allocated and which is the oldest retained."""
+    how many turns were allocated and which is the oldest retained. Messages of a micro-batch are taken
+    in order of ``order``; secrets are redacted before anything is kept, and blank messages go."""
+    messages = messages.withColumn("content", redact(F.col("content"), limit)["content"]).where("content is not null")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
-        for pdf in batches:
+        held = pd.concat(list(batches))
+        for pdf in (held if order is None else held.sort_values(order, kind="stable"),):
             turns = []
             for role in pdf["role"]:
                 last += role == "user"

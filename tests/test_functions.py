@@ -61,3 +61,19 @@ def test_vectors(spark):
     assert abs(sum(x * x for x in e) - 1) < 1e-9
     e = one(spark, "policy", V.digest_embedding(F.col("x"), 8))[0]
     assert len(e) == 8 and abs(sum(x * x for x in e) - 1) < 1e-9
+
+
+def test_small_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from quillmere.functions import numbers as N
+    from quillmere.functions import text as T
+
+    df = spark.createDataFrame([(' {"a":"1","b":null} ', "改成3台，修改为4台", ["b", " ", "a ", None])], "j string, r string, l array<string>")
+    r = df.select(T.json_map(F.col("j")).alias("m"), T.json_map(F.lit("[oops")).alias("none"), T.normalized_revision(F.col("r")).alias("r"), T.string_list(F.col("l")).alias("l"), T.string_list(F.lit("x "), scalar=True).alias("one"), T.sorted_json(F.array(F.lit("b"), F.lit("a"))).alias("s"), T.union_sorted(F.array(F.lit("c"), F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("u")).first()
+    assert r.m == {"a": "1", "b": None} and r.none == {} and r.r == "为3台，为4台" and r.l == ["b", "a"] and r.one == ["x"] and r.s == '["a","b"]' and r.u == ["a", "b", "c"]
+    import hashlib
+
+    d = spark.range(1).select(T.stable_digest(z=F.lit(1), a=F.lit(None).cast("string"), m=F.lit("x")).alias("d"), N.plain(F.lit("1200.500").cast("decimal(18,3)")).alias("p"), N.plain(F.lit(30).cast("decimal(18,2)")).alias("q"), N.hash_score(F.lit("q"), F.lit("t")).alias("h")).first()
+    assert d.d == hashlib.sha256(b'{"a":null,"m":"x","z":1}').hexdigest() and d.p == "1200.5" and d.q == "30" and 0 <= d.h <= 1
+    assert d.h == int(hashlib.sha256(b"q\x00t").hexdigest()[:12], 16) / (16**12 - 1)

@@ -442,3 +442,72 @@ def test_marks_without_width_and_blanks(spark):
     df = spark.createDataFrame(t, "t string")
     assert [r.blocked for r in safety.assess(df, "t").collect()] == [True, False, False, False]
     assert [r.c for r in df.select(safety.redact(F.col("t")).alias("r")).select(F.col("r.content").alias("c")).collect()][1:] == [None, "hello", "x"]
+
+
+def test_headings_of_extracted_lines(spark):
+    lines = ["第一章\u3000总则", "第二条 适用范围", "第三条 员工应当遵守本制度。", "第4条", "# 第一章", "  plain   text ", "第五条 " + "很" * 25, "第一章总则"]
+    got = [r.h for r in spark.createDataFrame([(x,) for x in lines], "t string").select(chunking.heading_lines(F.col("t")).alias("h")).collect()]
+    assert got == [["## 第一章 总则"], ["### 第二条 适用范围"], ["### 第三条", "员工应当遵守本制度。"], ["### 第4条"], ["# 第一章"], ["plain text"], ["### 第五条", "很" * 25], ["第一章总则"]]
+
+
+def test_trimmed_bodies(spark):
+    df = spark.createDataFrame([(["", " ", "a", "", "b", "\t"], [1, 1, 2, 2, 3, 3], []), (["a"], [1, 2], None), ([" "], [1], None)], "l array<string>, p array<int>, b array<int>")
+    got = [r.t for r in df.select(chunking.trimmed(F.col("l"), pages=F.col("p"), blocks=F.col("b")).alias("t")).collect()]
+    assert (got[0].body, got[0].pages, got[0].blocks) == ("a\n\nb", [2, 2, 3], []) and got[1] is None and got[2] is None
+
+
+def test_policy_problems(spark):
+    df = spark.createDataFrame([("a", "t", "2024-01-01", None), ("a", " ", "2024-01-01", "2023-01-01"), ("b", "t", None, None)], "document_id string, title string, effective string, expiry string")
+    assert sorted(map(tuple, chunking.policy_problems(df, ("title", "effective")).collect())) == [("a", "expiry_before_effect"), ("a", "missing_title"), ("a", "repeated_id"), ("b", "missing_effective")]
+
+
+def test_cache_table(spark):
+    from quillmere.operators import cache
+
+    at = lambda s: F.lit(s).cast("timestamp")
+    rows = lambda *x: spark.createDataFrame(list(x), "digest string, value string")
+    t = cache.put(None, rows(("a", "1"), ("b", " "), ("c", "x" * 99)), at("2026-01-01 00:00:00"), 60, most_bytes=50)
+    t = cache.put(t, rows(("d", "4"), ("a", "2")), at("2026-01-01 00:00:30"), 60)
+    asked = rows(("a", ""), ("b", ""), ("d", "")).select("digest")
+    got = lambda now: {r.digest: (r.outcome, r.value) for r in cache.get(t, asked, at(now)).collect()}
+    assert got("2026-01-01 00:01:10") == {"a": ("hit", "2"), "b": ("miss", None), "d": ("hit", "4")} and {o for o, _ in got("2026-01-01 00:01:30").values()} == {"miss"}
+    bad = t.unionByName(t.limit(1).withColumn("digest", F.lit("b")).withColumn("value", F.lit(" ")))
+    assert {r.digest: r.outcome for r in cache.get(bad, asked, at("2026-01-01 00:01:00")).collect()}["b"] == "error"
+    with pytest.raises(ValueError):
+        cache.put(None, rows(), at("2026-01-01"), 0)
+
+
+def test_merged_citations_and_writes(spark):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, doc_id int, position int")
+    b = spark.createDataFrame([(1, 11, 1), (1, 9, 2), (2, 9, 1)], "query_id int, doc_id int, position int")
+    assert sorted((r.query_id, r.source_id, r.doc_id) for r in fusion.merged_citations(a, b).collect()) == [(1, "S1", 10), (1, "S2", 11), (1, "S3", 9), (2, "S1", 9)]
+    c = spark.createDataFrame([("t", "", "1"), ("t", "", "2")], "thread_id string, ns string, checkpoint_id string")
+    w = spark.createDataFrame([("t", "", "1", "b", 0, "x", "1"), ("t", "", "1", "a", 1, "x", "2"), ("t", "", "1", "a", 0, "y", "3")], "thread_id string, ns string, checkpoint_id string, task_id string, write_index int, channel string, value string")
+    got = {r.checkpoint_id: [x.value for x in r.pending] for r in state.with_writes(c, w).collect()}
+    assert got == {"1": ["3", "2", "1"], "2": []}
+    s = spark.createDataFrame([("a", 5), ("a", 3), ("b", 1)], "k string, at int")
+    assert sorted((r.k, r["at"], r.sequence) for r in state.traced(s, "k", "at").collect()) == [("a", 3, 1), ("a", 5, 2), ("b", 1, 1)]
+
+
+def test_scenarios_limits_and_filters(spark):
+    from quillmere.session import Limits
+
+    calls = []
+    got = telemetry.run_scenarios(spark, {"ok": lambda: calls.append(1), "bad": lambda: 1 / 0}, iterations=3, warm_up=2).collect()
+    assert len(calls) == 5 and len(got) == 6 and {(r.scenario, r.succeeded) for r in got} == {("ok", True), ("bad", False)} and min(r.iteration for r in got) == 2
+    assert Limits().top_k == 5
+    for bad in ({"top_k": 0}, {"top_k": 21}, {"candidate_k": 3}, {"queue_timeout_seconds": 0}):
+        with pytest.raises(ValueError):
+            Limits(**bad)
+    rows = spark.createDataFrame([("a", "x", ["hr"], "2024-01-01", None), ("b", "y", ["it", "All"], "2024-06-01", "2024-07-01")], "document_id string, document_type string, departments array<string>, e string, x string")
+    rows = rows.withColumn("effective", F.to_date("e")).withColumn("expiry", F.to_date("x"))
+    ids = lambda **kw: sorted(r.document_id for r in access.narrowed(rows, **kw).collect())
+    assert ids() == ["a", "b"] and ids(ids=["b"]) == ["b"] and ids(types=["x"]) == ["a"] and ids(departments=["IT"]) == ["b"] and ids(effective="2024-05-01") == ["a"] and ids(effective="2024-08-01") == ["a"]
+
+
+def test_profiles_and_contracts(spark):
+    p = spark.createDataFrame([("f", 1, "a", 2, 1, 0.5, 1.0), ("f", 1, "a", 1, 1, 0.5, 1.5), ("g", 2, "b", 9, 9, 3.0, 2.0)], "file string, line int, function string, calls int, primitive_calls int, own_seconds double, total_seconds double")
+    assert [(r.function, r.calls, r.total_seconds) for r in telemetry.profile_report(p, 1).collect()] == [("a", 3, 2.5)]
+    c = spark.createDataFrame([("s", "k1", True), ("s", "k1", False), ("s", "k2", True)], "scenario string, request_key string, upstream boolean")
+    r = telemetry.load_contract(telemetry.load_summary(c, ["scenario"]), F.lit(1.5)).first()
+    assert (r.throughput, r.contract_met) == (2.0, True)

@@ -40,6 +40,56 @@ def test_json_lines_and_web(spark, tmp_path):
     assert [(r.url, r.title, len(r.snippet)) for r in got] == [("u", "t x", 600), ("v", "t", 1)] and sources.empty_web_results(spark).count() == 0
 
 
+def test_lines_of_a_dataset(spark, tmp_path):
+    f = tmp_path / "y.jsonl"
+    f.write_bytes('\ufeff{"id":"a","n":1}\r\n\n{"id":"b"}\n[1]\n{"id":"a"}'.encode())
+    rows, problems = sources.json_lines(spark, str(f), "id string, n int", "id")
+    assert sorted((r.line_no, r.id, r.n) for r in rows.collect()) == [(1, "a", 1), (3, "b", None), (5, "a", None)]
+    assert sorted((r.problem, r.line_no) for r in problems.collect()) == [("malformed", 4), ("repeated", 5)]
+    import hashlib
+
+    assert sources.file_digests(spark, str(f)).first().sha256 == hashlib.sha256(f.read_bytes()).hexdigest()
+
+
+def test_sidecars_and_discovery(spark, tmp_path):
+    (tmp_path / "b.docx").write_bytes(_docx())
+    (tmp_path / "a.docx").write_bytes(_docx())
+    (tmp_path / "c.md").write_text("# x", encoding="utf-8")
+    (tmp_path / "z.txt").write_text("no", encoding="utf-8")
+    (tmp_path / "b.metadata.yaml").write_text("\ufefftitle: B\n", encoding="utf-8")
+    (tmp_path / "a.metadata.yaml").write_text(" \n", encoding="utf-8")
+    reg = sources.Registry()
+    assert [r.path.rsplit("/", 1)[1] for r in reg.discover(spark, str(tmp_path)).collect()] == ["a.docx", "b.docx", "c.md"]
+    got = {r.stem: (r.header, r.error) for r in sources.with_sidecars(reg.load(spark, str(tmp_path)), sources.sidecars(spark, str(tmp_path))).collect()}
+    assert got == {"a": ("", "missing_metadata"), "b": ("title: B", None), "c": (None, None)}
+
+
+def test_recognised_images(spark):
+    df = spark.createDataFrame([("d", 1, b"ab"), ("d", 2, b"x" * 50), ("d", 3, b"bad")], "doc string, unit int, content binary")
+
+    def words(image):
+        if image == b"bad":
+            raise ValueError("no image")
+        return [("hello", 0.9), (" ", 0.1), ("you", 0.7), ("?", None)]
+
+    got = {r.unit: (r.text, r.confidence, r.error) for r in sources.recognised(df, words, most_bytes=10).collect()}
+    assert got[1][0] == "hello you ?" and abs(got[1][1] - (0.9 + 0.1 + 0.7) / 3) < 1e-9 and got[2][2] == "too_large" and got[3][2] == "ValueError"
+    assert {r.error for r in sources.recognised(df).collect()} == {"RuntimeError"}
+
+
+def test_web_results_hide_secrets(spark):
+    raw = spark.createDataFrame([(1, "u", "password: hunter2", "bearer abcdefghijk x", 1)], "query_id long, url string, title string, snippet string, position int")
+    r = sources.web_results(raw).first()
+    assert r.title == "[REDACTED]" and r.snippet == "[REDACTED] x"
+    with pytest.raises(ValueError):
+        sources.web_results(raw, 6)
+
+
+def test_markdown_report(spark):
+    df = spark.createDataFrame([(2, "b|c"), (1, None)], "n int, v string")
+    assert sources.markdown_report(df, "Report", "n").first().markdown == "# Report\n\n| n | v |\n| --- | --- |\n| 1 |  |\n| 2 | b\\|c |"
+
+
 def test_ocr(spark):
     w = spark.createDataFrame([("d", 1, 1, 1, 1, 2, "world", 80.0), ("d", 1, 1, 1, 1, 1, "hello", 100.0), ("d", 1, 1, 1, 1, 3, "!", -1.0)], "doc string, page int, block int, par int, line int, n int, text string, conf double")
     l = sources.ocr_lines(w).first()
@@ -73,6 +123,13 @@ def test_streaming_memory(spark, tmp_path):
     assert [(r.turn, r.role, r.oldest_kept) for r in out.collect()] == [(1, "user", 1), (1, "assistant", 1), (2, "user", 2)]
 
 
+def test_streaming_memory_in_order_and_without_secrets(spark, tmp_path):
+    m = spark.createDataFrame([("s", "user", "third", 3), ("s", "assistant", "token: abc", 2), ("s", "user", "first", 1), ("s", "user", " \t", 4)], "session_id string, role string, content string, at int")
+    m.write.parquet(str(tmp_path / "m"))
+    out = _drain(streaming.memory(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), order="at"), "append", "mem2", tmp_path)
+    assert sorted((r.turn, r.role, r.content) for r in out.collect()) == [(1, "assistant", "[REDACTED]"), (1, "user", "first"), (2, "user", "third")]
+
+
 def test_sync_files(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id long, v string").write.parquet(str(tmp_path / "in"))
     seen = []
