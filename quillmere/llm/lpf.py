@@ -375,3 +375,29 @@ def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Suffix-array dedup of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_suffixes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: String by string over the texts in hexadecimal digits; for small tables.
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), g AS (
+  SELECT doc_id, i, CAST(doc_id AS HUGEINT) * 1099511627776 + i AS age, md5_number(substr(hx, 2 * i + 1, 200)) AS h
+  FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 99)) AS i FROM d)
+), f AS (
+  SELECT h, min(age) AS first FROM g GROUP BY h HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 100 THEN 0 ELSE 1 END AS fresh FROM g JOIN f USING (h) WHERE age > first WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM later) GROUP BY doc_id, n
+), gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM spans
+  UNION ALL SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(hx, 2 * a + 1) ELSE substr(hx, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""

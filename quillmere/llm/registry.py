@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op5_decontamination
 from .langid import op10_language_id
 from .linededup import OP3_SQL, op3_line_dedup
-from .lpf import op4_suffix_dedup
+from .lpf import OP4_SQL, op4_suffix_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op1_quality
 from .simhash import op8_simhash
-from .substring import op9_substring_dedup
+from .substring import OP9_SQL, op9_substring_dedup
 from .tokens import op2_token_counts
 from .topk import OP7_SQL, op7_exact_topk
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op7_exact_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL}

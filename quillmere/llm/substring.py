@@ -247,3 +247,26 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Substring dedup of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", ex.sha256_column("kept").alias("kept_sha256"))
+
+
+#: Window by window; for small tables.
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, s, md5_number(array_to_string(ws[s:s + 12], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM w)
+), f AS (
+  SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)
+), later AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER o + 13 THEN 0 ELSE 1 END AS fresh FROM g JOIN f USING (h) WHERE doc_id > first WINDOW o AS (PARTITION BY doc_id ORDER BY s)
+), spans AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 12 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM later) GROUP BY doc_id, n
+), t AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), kept AS (
+  SELECT t.doc_id, string_agg(ws[i], ' ' ORDER BY i) AS kept, count(*) AS n FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM spans WHERE spans.doc_id = t.doc_id AND i BETWEEN lo AND hi) GROUP BY t.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
