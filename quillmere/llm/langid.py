@@ -120,30 +120,32 @@ def _features(dims: int):
 
 
 def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str = "text", dims: int = 4096, centroids: int = 3, per_language: int = 400, max_languages: int = 500, reject_share: float = 0.8) -> Model:
-    """Fit on at most ``per_language`` rows of each label, those with the smallest hashed ids, and on
-    at most ``max_languages`` labels, those with the most rows: a bounded sample. Rows that repeat
-    an id and a text are drawn like others, but no more than ``per_language`` reach the driver.
+    """Fit on at most ``per_language`` rows of each label, those with the smallest hashes of id and text, and
+    on at most ``max_languages`` labels, those with the most rows: a bounded sample. Rows that repeat
+    an id and a text count once.
 
     The bound of a language is ``reject_share`` of the cosine that 99 of 100 of its fitted rows
     reach; for a text of few n-grams it falls with the root of their number. With no labelled
     row the model has no language, and every document is undetermined but none is rejected.
     """
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    chance = F.xxhash64(F.col(doc_id), F.col(text))
+    hashed = known.select(F.col(label).alias("label"), chance.alias("chance"))
     # One row a language, at most max_languages of them.
-    sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_languages).collect()
+    sizes = hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("chance").alias("least")).orderBy(F.desc("n"), "label").limit(max_languages).collect()
     if not sizes:
         return Model([], np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(0))
-    # The hashed id up to which a label's sample goes: from ids and labels only, ranked in each task first.
-    chance = F.xxhash64(F.col(doc_id))
+    # The hash up to which a label's sample goes. Hashes below four times its share are few whatever the input's
+    # size, and copies of a row share one; a label of copies only has its least hash.
+    share = F.create_map(*[F.lit(x) for name, n, _ in sizes for x in (name, min(1.0, 4.0 * per_language / n))])
+    few = hashed.where((F.col("chance") / float(1 << 64) + 0.5) < share[F.col("label")]).groupBy("label", "chance").count()
     order = Window.partitionBy("label").orderBy("chance")
-    ranked = known.select(F.col(label).alias("label"), chance.alias("chance")).where(F.col("label").isin([r[0] for r in sizes])).withColumn("r", F.row_number().over(order))
-    bound = ranked.where(F.col("r") <= per_language).groupBy("label").agg(F.max("chance")).collect()
-    upto = F.create_map(*[F.lit(x) for name, cut in bound for x in (name, cut)])
+    bound = dict(few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).groupBy("label").agg(F.max("chance")).collect())
+    upto = F.create_map(*[F.lit(x) for name, _, least in sizes for x in (name, max(least, bound.get(name, least)))])
     drawn = known.withColumn("__chance", chance).where(F.col("__chance") <= upto[F.col(label)])
     counted = drawn.select(F.col(label).alias("label"), F.col("__chance").alias("chance"), F.col(text).alias("t")).mapInArrow(_features(dims), "label string, chance bigint, counts binary")
-    order = Window.partitionBy("label").orderBy("chance", "counts")
-    # At most max_languages * per_language rows by construction.
-    rows = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).orderBy("label", "r").collect()
+    # Copies become one in the task; at most max_languages * per_language rows by construction.
+    rows = counted.groupBy("label", "chance").agg(F.min("counts").alias("counts")).orderBy("label", "chance").collect()
     x = np.zeros((len(rows), dims), np.float32)
     for i, r in enumerate(rows):
         at, n = np.frombuffer(r["counts"], np.int32).reshape(2, -1)
