@@ -9,8 +9,8 @@ in order of document id, so the first holder of a key is its smallest id.
 
 Texts are split twice: once for the line keys, which are stored in the order of the input, and
 once to put the lines that stay together. A common line costs one pre-aggregated row for each map
-task. The join of line occurrences with repeated keys is a plain merge join with nothing above
-it that needs a key together, so adaptive execution can split a hot key.
+task. Occurrences of keys that hold over a thousandth of all lines meet them by a broadcast of
+under a thousand rows, so no task holds all of a common line; the others meet by a merge join.
 """
 
 from __future__ import annotations
@@ -71,16 +71,17 @@ class LineRuns:
         return self.space.write_bucketed(df, f"run-{self._n}", self.buckets, "h1", "h2")
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Take a batch in; return its keys that are repeated: h1, h2, first (the document that keeps them)."""
+        """Take a batch in; return its keys that are repeated: h1, h2, first (the document that keeps them) and
+        n, how often the batch has them."""
         with _merging(self.spark, self.buckets):
-            merged = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+            merged = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n"))
             runs = [run for level in self.levels for run in level]
             for i, run in enumerate(runs):
                 merged = merged.join(run.withColumnRenamed("first", f"run{i}").hint("merge"), ["h1", "h2"], "left")
             before = F.coalesce(*[F.col(f"run{i}") for i in range(len(runs))], F.lit(None).cast(lines.schema["d"].dataType))
-            table = self._store(merged.select("h1", "h2", F.coalesce(before, "first").alias("first"), "last", before.isNotNull().alias("seen")))
+            table = self._store(merged.select("h1", "h2", F.coalesce(before, "first").alias("first"), "last", "n", before.isNotNull().alias("seen")))
             self._push(0, table.where(~F.col("seen")).select("h1", "h2", "first"))
-        return table.where(F.col("seen") | (F.col("first") < F.col("last"))).select("h1", "h2", "first")
+        return table.where(F.col("seen") | (F.col("first") < F.col("last"))).select("h1", "h2", "first", "n")
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -113,8 +114,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     batch = sum((F.when(F.col("d") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     lines = store.space.write(occurrences(docs, doc_id, text, min_length).withColumn("batch", batch.cast("int")), "occurrences", partition_by="batch")
     repeated = reduce(DataFrame.unionAll, [store.add(lines.where(F.col("batch") == i)) for i in range(len(cuts) + 1)])
-    repeated = repeated.groupBy("h1", "h2").agg(F.min("first").alias("first"))
-    drops = lines.join(repeated.hint("merge"), ["h1", "h2"]).where("d > first")
+    repeated = store.space.write(repeated.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "repeated")
+    # Keys of over a thousandth of the lines, of which there are under a thousand, are broadcast; the others meet by merge.
+    frequent = F.col("n") * 1000 > F.lit(lines.count())
+    common, rare = (repeated.where(c).select("h1", "h2", "first") for c in (frequent, ~frequent))
+    apart = lines.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    drops = lines.join(F.broadcast(common), ["h1", "h2"]).unionByName(apart.join(rare.hint("merge"), ["h1", "h2"])).where("d > first")
     per_doc = drops.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     per_doc = per_doc.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__drop")
     joined = docs.join(per_doc.hint("merge"), (F.col(doc_id) == F.col("__d")) & (F.xxhash64(F.col(text)) == F.col("__t")), "left")
