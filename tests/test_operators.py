@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillmere.operators import access, approval, chunking, evaluation, folds, fusion, index_sync, lexical, materials, requests, safety, state, telemetry, vector
@@ -311,7 +312,7 @@ def test_stored_tables(spark, tmp_path):
     store.apply(rows((2, "c"), (3, "d")), rows((1, "")).select("id"))
     assert read(before) == [(1, "a"), (2, "b")] and read(store.read()) == [(2, "c"), (3, "d")]
     for bad in (lambda: store.apply(rows((4, "x"), (4, "y"))), lambda: store.apply(rows((4, "x")), rows((4, "")).select("id")), lambda: store.add(rows((2, "z"))), lambda: store.add(rows((None, "z"))), lambda: store.apply(rows((9, "q")).withColumn("more", F.lit(1)))):
-        with pytest.raises((ValueError, Exception)):
+        with pytest.raises((ValueError, AnalysisException)):
             bad()
         assert read(store.read()) == [(2, "c"), (3, "d")]
     # Of two writers from one version, the second fails and leaves nothing behind.
