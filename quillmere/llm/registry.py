@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_token_alignment
 from .decontam import op5_decontamination
 from .langid import op10_language_id
 from .linededup import OP3_SQL, op3_line_dedup
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
