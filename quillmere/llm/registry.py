@@ -17,6 +17,7 @@ from .simhash import op8_simhash
 from .substring import OP9_SQL, op9_substring_dedup
 from .tokens import op2_token_counts
 from .topk import OP7_SQL, op7_exact_topk
+from .wavelet import OP11_SQL, op11_ranked_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
+        "op11_ranked_search": op11_ranked_search,
         "op12_token_alignment": op12_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op7_exact_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op7_exact_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL}
