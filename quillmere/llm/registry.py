@@ -17,6 +17,7 @@ from .simhash import op8_simhash
 from .substring import OP9_SQL, op9_substring_dedup
 from .tokens import op2_token_counts
 from .topk import OP7_SQL, op7_exact_topk
+from .toxicity import op13_toxicity
 from .wavelet import OP11_SQL, op11_ranked_search
 
 
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_ranked_search": op11_ranked_search,
         "op12_token_alignment": op12_token_alignment,
+        "op13_toxicity": op13_toxicity,
     }
 
 
