@@ -1,8 +1,11 @@
 """Cross-tokenizer alignment: where two tokenizers cut the same bytes, and which tokens overlap.
 
-Documents are cut into blocks of some megabytes. For each block a task encodes the texts twice and
-lays the tokens of both sides end to end as interval tables on one byte axis; DuckDB, in the task,
-does the rest of the alignment by joins and windows over them:
+Documents are cut into blocks of some megabytes. Texts fall into segments at single spaces before a
+visible character, where both tokenizers always end a token: the pattern of the byte-level one starts
+a word there, and no piece of the other has a space behind another character (a vocabulary that has
+one gets whole texts as segments). A block encodes each distinct segment once, lays the tokens of
+both sides end to end as interval tables on one byte axis, and DuckDB, in the task, does the
+alignment by joins and windows over them:
 
 * overlaps: a token's range begins inside exactly one token of the other side, so ASOF joins in both
   directions give every overlapping pair once, at the place where the later of the two begins;
@@ -53,6 +56,11 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _laid(tokens: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The bytes of a vocabulary's tokens, and their number for each."""
+    return pa.array(tokens, pa.large_binary()), np.array([len(t) for t in tokens], np.int64)
+
+
 class ByteBpe:
     """Side A: a byte-level BPE vocabulary in JSON. Strings of special tokens are ordinary text."""
 
@@ -66,6 +74,7 @@ class ByteBpe:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
+        self.table, self.sizes, self.shown = *_laid(self.bytes), None
 
     def _slowly(self, text: str) -> list[int]:
         if self.whole is None:
@@ -76,7 +85,8 @@ class ByteBpe:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self._slowly(" " + t) if len(t) >= 20000 and LONG_BLANK.search(t) else self.encoding.encode_ordinary(" " + t) for t in texts]
+        """Ids of texts that begin with a space."""
+        return [self._slowly(t) if len(t) >= 20000 and LONG_BLANK.search(t) else self.encoding.encode_ordinary(t) for t in texts]
 
 
 class PieceBpe:
@@ -88,9 +98,13 @@ class PieceBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=raw)
         name = self.model.id_to_piece
         self.bytes = [bytes([int(name(i)[3:5], 16)]) if self.model.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
+        self.table, self.sizes = _laid(self.bytes)
+        #: Whether a token always ends before a space behind another character.
+        self.splits = not any(b" " in token.lstrip(b" ") for token in self.bytes)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
+        """Ids of texts that begin with a space."""
+        return self.model.encode([t[1:] for t in texts], num_threads=1) if texts else []
 
 
 def _vocabulary(kind: type, raw: bytes):
@@ -100,92 +114,105 @@ def _vocabulary(kind: type, raw: bytes):
     return _loaded[key]
 
 
+#: Bytes that begin a visible character; lead bytes of characters among which are blanks are left out.
+_VISIBLE = np.array([0x21 <= b <= 0x7E or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
+_TABLES = tk.byte_table(71), tk.byte_table(72)
+
+
+class Segments:
+    """The segments of a chunk's texts, each with the space in front: the document of each, and the distinct ones."""
+
+    def __init__(self, chunk: tk.Chunk, cut: bool):
+        data = np.insert(chunk.data, chunk.bounds[:-1], 32)
+        bounds = chunk.bounds + np.arange(chunk.n + 1)
+        begins = np.zeros(len(data), bool)
+        if cut and len(data) > 2:
+            space = data == 32
+            begins[1:-1] = space[1:-1] & ~space[:-2] & _VISIBLE[data[2:]]
+        begins[bounds[:-1]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        doc = np.searchsorted(bounds, starts, side="right") - 1
+        some = np.diff(bounds)[doc] > 1  # an empty text has no segment
+        starts, ends, self.doc = starts[some], ends[some], doc[some]
+        one, other = (tk.span_hash(tk.prefix(t[data]), starts, ends) for t in _TABLES)
+        _, first, self.of = np.unique(one, return_index=True, return_inverse=True)
+        if not np.array_equal(other[first][self.of], other):  # two segments of one hash
+            first = self.of = np.arange(len(starts))
+        self.texts = [data[a:b].tobytes() for a, b in zip(starts[first], ends[first], strict=True)]
+
+
 class Side:
-    """The tokens of one side of a block, laid end to end: ids, numbers of tokens of each text, ends in bytes."""
+    """The tokens of one side, laid end to end: ids, numbers of tokens of each segment, ends in bytes."""
 
     def __init__(self, vocabulary, texts: list[str]):
         found = vocabulary.encode(texts)
         self.count = np.array([len(x) for x in found], np.int64)
         self.ids = np.fromiter(chain.from_iterable(found), np.int32, int(self.count.sum()))
-        if not hasattr(vocabulary, "table"):
-            vocabulary.table = pa.array(vocabulary.bytes, pa.large_binary())
-            vocabulary.size = np.array([len(b) for b in vocabulary.bytes], np.int64)
         self.vocabulary = vocabulary
-        self.ends = np.cumsum(vocabulary.size[self.ids])
+        self.ends = np.cumsum(vocabulary.sizes[self.ids])
 
-    def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens' bytes, and the bounds of the texts in them."""
+    def differ(self, texts: list[bytes]) -> np.ndarray:
+        """Segments whose tokens' bytes aren't their own."""
         data = self.vocabulary.table.take(pa.array(self.ids)).buffers()[2] if len(self.ids) else None
-        bounds = np.concatenate([[0], self.ends])[np.concatenate([[0], np.cumsum(self.count)])]
-        return np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.zeros(0, np.uint8), bounds
+        got, at = data.to_pybytes() if data else b"", np.concatenate([[0], self.ends])[np.concatenate([[0], np.cumsum(self.count)])]
+        return np.array([got[x:y] != t for x, y, t in zip(at[:-1], at[1:], texts, strict=True)], bool)
 
     def without(self, bad: np.ndarray) -> None:
-        """Drop the tokens of some texts."""
+        """Drop the tokens of some segments."""
         stay = np.repeat(~bad, self.count)
         self.ids, self.count = self.ids[stay], np.where(bad, 0, self.count)
-        self.ends = np.cumsum(self.vocabulary.size[self.ids])
+        self.ends = np.cumsum(self.vocabulary.sizes[self.ids])
 
     def intervals(self) -> pa.Table:
         """i, s (start), id of every token; starts ascend."""
-        return pa.table({"i": np.arange(len(self.ids)), "s": self.ends - self.vocabulary.size[self.ids], "id": self.ids})
-
-
-def _differ(side: Side, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Texts whose tokens' bytes aren't those of the text."""
-    got, at = side.joined()
-    if np.array_equal(at, bounds) and np.array_equal(got, data):
-        return np.zeros(len(bounds) - 1, bool)
-    return np.array([got[at[i] : at[i + 1]].tobytes() != data[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)], bool)
+        return pa.table({"i": np.arange(len(self.ids)), "s": self.ends - self.vocabulary.sizes[self.ids], "id": self.ids})
 
 
 #: Every A token with the B token in which it begins, and the group it is in.
 _OF_A = """
 WITH l AS (SELECT a.i, a.id AS a, b.id AS b, CAST(a.s = b.s AS INTEGER) AS begins FROM a ASOF JOIN b ON a.s >= b.s)
-SELECT a, b, sum(begins) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM l ORDER BY i
+SELECT a, b, CAST(sum(begins) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g FROM l ORDER BY i
 """
 #: The same for B; a B token that begins where an A token does is in the rows of A already.
 _OF_B = """
 WITH l AS (SELECT b.i, a.id AS a, b.id AS b, CAST(a.s = b.s AS INTEGER) AS begins FROM b ASOF JOIN a ON b.s >= a.s)
-SELECT a, b, begins = 0 AS inside, sum(begins) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM l ORDER BY i
+SELECT a, b, begins = 0 AS inside, CAST(sum(begins) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g FROM l ORDER BY i
 """
-_SEPARATORS = (b",", b"|", b";", b"")
-
-
-def _rendered(a: Side, b: Side, ga: np.ndarray, gb: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The tokens of both sides in the order of groups, A before B, each as its decimal id and the separator
-    behind it; and the place of each text's first token."""
-    na, nb = len(ga), len(gb)
-    order_a, order_b = np.arange(na) + np.searchsorted(gb, ga, "left"), np.arange(nb) + np.searchsorted(ga, gb, "right")
-    code = np.empty(na + nb, np.int64)
-    last = lambda g: np.concatenate([g[1:] != g[:-1], [True]]) if len(g) else np.zeros(0, bool)
-    code[order_a] = 4 * a.ids + last(ga)
-    end = np.cumsum(b.count)[b.count > 0] - 1  # the last token of each text
-    sep = 2 * last(gb).astype(np.int64)
-    sep[end] = 3
-    code[order_b] = 4 * b.ids + sep
+_SEPARATORS = (b",", b"|", b";")
+
+
+def _rendered(a: Side, b: Side, ga: np.ndarray, gb: np.ndarray) -> pa.Array:
+    """The groups of each segment, ``a1,a2|b1;a3|b2,b3;``."""
+    order_a, order_b = np.arange(len(ga)) + np.searchsorted(gb, ga, "left"), np.arange(len(gb)) + np.searchsorted(ga, gb, "right")
+    code = np.empty(len(ga) + len(gb), np.int64)
+    last = lambda g: np.concatenate([g[1:] != g[:-1], [True]])[: len(g)].astype(np.int64)
+    code[order_a] = len(_SEPARATORS) * a.ids + last(ga)
+    code[order_b] = len(_SEPARATORS) * b.ids + 2 * last(gb)
     known = a.vocabulary
-    if not hasattr(known, "shown"):
+    if known.shown is None:
         most = max(len(a.vocabulary.bytes), len(b.vocabulary.bytes))
         known.shown = pa.array([str(i).encode() + s for i in range(most) for s in _SEPARATORS], pa.large_binary())
-    return known.shown.take(pa.array(code)), np.concatenate([[0], np.cumsum(a.count + b.count)])
+    tokens = known.shown.take(pa.array(code))
+    off = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+    bounds = np.concatenate([[0], np.cumsum(a.count + b.count)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a.count), [None, pa.py_buffer(off[bounds].tobytes()), tokens.buffers()[2]])
 
 
 class Aligned:
-    """The alignment of a block of texts: for each text its counts and its groups; links as (text, pair)."""
+    """The alignment of a chunk of texts: for each text its counts and its groups; links as (text, pair)."""
 
-    def __init__(self, raw_a: bytes, raw_b: bytes, texts: list[str | None]):
+    def __init__(self, raw_a: bytes, raw_b: bytes, chunk: tk.Chunk):
         import duckdb
 
-        held = [t or "" for t in texts]
-        self.a, self.b = a, b = Side(_vocabulary(ByteBpe, raw_a), held), Side(_vocabulary(PieceBpe, raw_b), held)
-        given = [b" " + t.encode() for t in held]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in given])]).astype(np.int64)
-        data = np.frombuffer(b"".join(given), np.uint8)
-        bad = np.array([not t for t in held], bool) | _differ(a, data, bounds) | _differ(b, data, bounds)
+        known_a, known_b = _vocabulary(ByteBpe, raw_a), _vocabulary(PieceBpe, raw_b)
+        segments = Segments(chunk, known_b.splits)
+        texts = [t.decode() for t in segments.texts]
+        a, b = Side(known_a, texts), Side(known_b, texts)
+        bad = a.differ(segments.texts) | b.differ(segments.texts)
         for side in (a, b):
             side.without(bad)
-        n = len(held)
-        text_a, text_b = (np.repeat(np.arange(n), s.count) for s in (a, b))
+        n = len(texts)
         if len(a.ids):
             with duckdb.connect(config={"threads": 1}) as con:
                 con.register("a", a.intervals())
@@ -195,26 +222,37 @@ class Aligned:
             inside = of_b.column("inside").to_numpy().astype(bool)
             ga, gb = number(of_a, "g"), number(of_b, "g")
             pair = lambda t: number(t, "a") << PAIR_BITS | number(t, "b")
-            self.text = np.concatenate([text_a, text_b[inside]])
-            self.pair = np.concatenate([pair(of_a), pair(of_b)[inside]])
+            of_a_token, of_b_token = (np.repeat(np.arange(n), s.count) for s in (a, b))
+            owner = np.concatenate([of_a_token, of_b_token[inside]])
+            order = np.argsort(owner, kind="stable")
+            self._pairs = np.concatenate([pair(of_a), pair(of_b)[inside]])[order]
+            begins = np.concatenate([[True], ga[1:] != ga[:-1]])
+            n_links, n_groups = np.bincount(owner, minlength=n), np.bincount(of_a_token[begins], minlength=n)
         else:
-            ga = gb = self.text = self.pair = np.zeros(0, np.int64)
-        self.n_links = np.bincount(self.text, minlength=n)
-        begins = np.concatenate([[True], ga[1:] != ga[:-1]])[: len(ga)]
-        self.n_groups = np.bincount(text_a[begins], minlength=n)
-        self._shown = _rendered(a, b, ga, gb)
+            ga = gb = self._pairs = np.zeros(0, np.int64)
+            n_links = n_groups = np.zeros(n, np.int64)
+        dropped = np.zeros(chunk.n, bool)
+        dropped[segments.doc[bad[segments.of]]] = True  # of a text with one bad segment nothing stays
+        stays = ~dropped[segments.doc]
+        self._doc, self._of = segments.doc[stays], segments.of[stays]
+        total = lambda of: np.bincount(self._doc, of[self._of], minlength=chunk.n).astype(np.int64)
+        self.n_a, self.n_b, self.n_groups, self.n_links = total(a.count), total(b.count), total(n_groups), total(n_links)
+        self._n, self._links, self._shown = chunk.n, n_links, _rendered(a, b, ga, gb)
 
     def groups(self) -> Iterator[memoryview]:
         """For each text its groups, ``a1,a2|b1;a3|b2,b3``."""
-        shown, at = self._shown
-        off = np.frombuffer(shown.buffers()[1], np.int64)[shown.offset : shown.offset + len(shown) + 1] if len(shown) else np.zeros(1, np.int64)
-        data = memoryview(shown.buffers()[2]) if len(shown) else memoryview(b"")
+        shown = self._shown.take(pa.array(self._of)) if len(self._of) else None
+        off = np.frombuffer(shown.buffers()[1], np.int64)[: len(shown) + 1] if shown else np.zeros(1, np.int64)
+        data = memoryview(shown.buffers()[2]) if shown else memoryview(b"")
+        at = off[np.searchsorted(self._doc, np.arange(self._n + 1))]
         for x, y in zip(at[:-1], at[1:], strict=True):
-            yield data[off[x] : off[y]]
+            yield data[x : max(x, y - 1)]
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, pair and number of each distinct pair of a text."""
-        key = np.sort(self.text << (2 * PAIR_BITS) | self.pair)
+        size, begins = self._links[self._of], (np.cumsum(self._links) - self._links)[self._of]
+        at = np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
+        key = np.sort(np.repeat(self._doc, size) << (2 * PAIR_BITS) | self._pairs[at])
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         return key[first] >> (2 * PAIR_BITS), key[first] & ((1 << 2 * PAIR_BITS) - 1), np.diff(np.concatenate([first, [len(key)]]))
 
@@ -230,11 +268,11 @@ def _aligned(shared, block_bytes: int):
                 rows = batch.slice(chunk.first, chunk.n)
                 block = (task << 24) + n
                 n += 1
-                found = Aligned(raw_a, raw_b, rows.column(1).to_pylist())
+                found = Aligned(raw_a, raw_b, chunk)
                 text, pair, times = found.links()
                 pairs, place = np.unique(pair, return_inverse=True)
                 digest = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in found.groups()]
-                docs = pa.table({"doc_id": rows.column(0), "n_a": found.a.count, "n_b": found.b.count, "n_groups": found.n_groups, "n_links": found.n_links, "groups_sha256": digest})
+                docs = pa.table({"doc_id": rows.column(0), "n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_groups, "n_links": found.n_links, "groups_sha256": digest})
                 bounds = np.searchsorted(text, np.arange(chunk.n + 1))
                 body = pa.table({"docs": [to_ipc(docs)], "bounds": [bounds.tobytes()], "pairs": [tk.packed(pairs)], "place": [tk.packed(place.astype(np.uint32))], "times": [tk.packed(times.astype(np.uint32))]})
                 none = np.zeros(len(pairs) + 1, bool)
@@ -278,7 +316,7 @@ class Alignment:
     a task memory in proportion to it. Only id and text are read, so other columns of any name don't matter.
     """
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, block_bytes: int = 1 << 22):
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, block_bytes: int = 4_000_000):
         self.spark = docs.sparkSession
         raw = []
         for path in (byte_bpe, piece_bpe):  # some megabytes each
@@ -315,7 +353,7 @@ class Alignment:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk in tk.chunks(batch.column(1)):
-                    found = Aligned(*shared.value, batch.column(1).slice(chunk.first, chunk.n).to_pylist())
+                    found = Aligned(*shared.value, chunk)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array([bytes(g).decode() for g in found.groups()], pa.string())], ["doc_id", "groups"])
 
         return self._rows.mapInArrow(run, "doc_id bigint, groups string")
