@@ -42,6 +42,9 @@ PATTERNS = ("addressed", "hostile", "masked", "stretched", "starred", "shouting"
 TIERS = ("word_strong_0", "word_strong_1", "word_medium", "stem_strong_0", "stem_strong_1", "stem_medium")
 VOTERS = [f"{x}_{how}" for x in LEXICONS for how in ("any", "dense")] + list(PATTERNS) + [f"{x}_{how}" for x in TIERS for how in ("any", "dense")]
 
+#: Weights of votes before anything is learnt; the fit departs from them only where labels give cause.
+PRIOR = {f"{x}_any": 2.0 for x in LEXICONS} | {f"{x}_dense": 1.0 for x in LEXICONS} | {"addressed": 1.5, "hostile": 1.5, "masked": 1.5, "stretched": 1.5}
+
 _TABLE = tk.byte_table(53)
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -331,22 +334,24 @@ def _columns(lexicon: Lexicon, words: Words, hits: tuple[np.ndarray, np.ndarray,
     return np.concatenate([doc, doc]), np.concatenate([of, of + len(lexicon.hashes)]), np.concatenate([np.ones(len(doc)), dense])
 
 
-def train(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, dims: int, target: np.ndarray, weight: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> np.ndarray:
-    """Weights of a logistic regression on soft labels, the bias last, by accelerated gradient steps."""
-    w = v = np.zeros(dims + 1)
+def train(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, dims: int, target: np.ndarray, weight: np.ndarray, prior: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> np.ndarray:
+    """Weights of a logistic regression on soft labels, the bias last, by accelerated gradient steps. The
+    penalty is on the distance from ``prior``, but for the bias."""
+    w = v = np.append(prior, 0.0)
     size = np.bincount(row, value**2, minlength=n) + 1
     step = 1 / (0.25 * float((weight * size).max() * max(1.0, np.sqrt(n))) + penalty)
     slope = lambda x: np.concatenate([np.bincount(column, value * x[row], minlength=dims), [x.sum()]])
     loss = lambda z: float((weight * (np.logaddexp(0, z) - target * z)).sum())
     made = lambda x: np.bincount(row, value * x[column], minlength=n) + x[-1]
+    far = lambda x: float((x[:-1] - prior) @ (x[:-1] - prior))
     z = made(v)
     for i in range(rounds):
         g = slope(weight * (_sigmoid(z) - target))
-        g[:-1] += penalty * v[:-1]
-        here = loss(z) + 0.5 * penalty * float(v[:-1] @ v[:-1])
+        g[:-1] += penalty * (v[:-1] - prior)
+        here = loss(z) + 0.5 * penalty * far(v)
         while True:  # the longest step that falls as far as its slope says
             new = v - step * g
-            if loss(made(new)) + 0.5 * penalty * float(new[:-1] @ new[:-1]) <= here - 0.5 * step * float(g @ g) + 1e-12 or step < 1e-12:
+            if loss(made(new)) + 0.5 * penalty * far(new) <= here - 0.5 * step * float(g @ g) + 1e-12 or step < 1e-12:
                 break
             step /= 2
         v, w = new + i / (i + 3) * (new - w), new
@@ -354,6 +359,10 @@ def train(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, dims:
     return w
 
 
+def _prior(features: int) -> np.ndarray:
+    return np.concatenate([np.zeros(features), [PRIOR.get(v, 0.0) for v in VOTERS]])
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -424,9 +433,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = space.write(known.select("text", "label"), "sample")
     seen = dict(sample.groupBy("label").count().collect())
     if min(seen.get(0, 0), seen.get(1, 0)) == 0:
-        weights = np.zeros(len(VOTERS) + 1)
-        weights[-1], weights[: 2 * len(LEXICONS)] = -3.0, 2.0
-        return Model(Lexicon(), weights)
+        return Model(Lexicon(), np.append(_prior(0), -3.0))
     counts = sample.mapInArrow(_feature_counts, "feature bigint, ones bigint, zeros bigint, word boolean").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.max("word").alias("word"))
     lexicon = _lexicon(_informative(counts, seen[1], seen[0], most_features, least_gain).collect())
     shared = spark.sparkContext.broadcast(lexicon)
@@ -445,7 +452,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # As many of each label as the labelled rows have.
     share = np.array([sizes[k] / seen[k] for k in (0, 1)])
     weight = share[y] * len(y) / share[y].sum()
-    weights = train(row, column, value, len(rows), dims + len(VOTERS), posterior(model, right, votes, y), weight)
+    weights = train(row, column, value, len(rows), dims + len(VOTERS), posterior(model, right, votes, y), weight, _prior(dims))
     return Model(lexicon, weights, model, right)
 
 

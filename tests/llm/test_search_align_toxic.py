@@ -317,9 +317,9 @@ def test_training_reaches_the_optimum():
     x = (r.random((200, 6)) < 0.3).astype(float)
     q = 1 / (1 + np.exp(-(x @ np.array([2, -1, 0, 1, 0, 3.0]) - 1)))
     row, column = np.nonzero(x)
-    w = toxicity.train(row, column, x[row, column], 200, 6, q, np.ones(200), penalty=0.1, rounds=3000)
+    w = toxicity.train(row, column, x[row, column], 200, 6, q, np.ones(200), np.arange(6) / 9, penalty=0.1, rounds=3000)
     p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
-    slope = x.T @ (p - q) + 0.1 * w[:-1]
+    slope = x.T @ (p - q) + 0.1 * (w[:-1] - np.arange(6) / 9)
     assert np.abs(slope).max() < 1e-3 and abs((p - q).sum()) < 1e-3
 
 
