@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import decontam, langid, linededup, mixing, simhash
-from quillmere.llm.workspace import Workspace
+from quillmere.llm.workspace import Workspace, aside
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def _aside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``work`` on ``docs`` with its columns of these names under others, and back."""
-    other = {c: f"__own_{c}" for c in names if c in docs.columns}
-    out = work(docs.withColumnsRenamed(other))
-    return out.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
+
+def _aside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` with all but the table's own columns under other names, and back."""
+    held, own = aside(docs, *COLUMNS)
+    out = work(held)
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without a letter, go. Where no row is labelled nothing is known, and
     every document stays."""
     model = langid.fit(docs)
-    return _aside(docs, ("lang_pred", "score", "rejected"), lambda d: langid.predict(d, model).where(~F.col("rejected")))
+    return _aside(docs, lambda d: langid.predict(d, model).where(~F.col("rejected")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
         return kept.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in d.columns])
 
-    return _aside(docs, ("n_lines", "n_dropped", "kept"), work)
+    return _aside(docs, work)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +69,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of, with size, source_size, target, taken and first_slot, which
     replace columns of these names. Rows of one id share their sum."""
     sums = {"taken": F.sum("taken"), "first_slot": F.min("first_slot")}
-    taken = mixing.Mix(docs).taken().groupBy(F.col("doc_id").alias("__id")).agg(*[sums.get(c, F.max(c)).alias(c) for c in MIXED])
-    return docs.drop(*MIXED).join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    held, own = aside(docs.drop(*MIXED), *COLUMNS)
+    taken = mixing.Mix(held).taken().groupBy(F.col("doc_id").alias("__id")).agg(*[sums.get(c, F.max(c)).alias(c) for c in MIXED])
+    mixed = held.join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return mixed.select(*[F.col(n).alias(c) for c, n in own.items()], *MIXED)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .workspace import Workspace
+from .workspace import Workspace, aside
 
 #: Units that make a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "g", "kg", "mg", "lb", "oz", "t", "l", "ml", "s", "ms", "min", "h", "hr", "hrs", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "gram", "grams", "kilogram", "kilograms", "liter", "liters", "litre", "litres", "mile", "miles", "degree", "degrees", "watt", "watts", "volt", "volts", "usd", "eur", "kw", "kwh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb")
@@ -462,10 +462,13 @@ def _in_batch(index: Index, texts: pa.Array, coverage: float):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, shortest: int = 5, coverage: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, as ``contaminated`` finds them. No shuffle.
+    """``docs`` without the rows that hold a benchmark item, as ``contaminated`` finds them: in one pass for
+    a benchmark of one block, else a pass for each block over stored documents and an anti-join of the rows found.
     All columns are kept; rows with a null or repeated id are judged each by its own text."""
+    docs, own = aside(docs, text)
     place, schema = docs.columns.index(text), docs.schema
-    for shared, _ in _indexes(docs.sparkSession, benchmark, item_id, item_text, block_bytes):
+    spark, space, stored = docs.sparkSession, Workspace(docs.sparkSession, "decontam"), None
+    for n, (shared, last) in enumerate(_indexes(spark, benchmark, item_id, item_text, block_bytes)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared, window, shortest)
@@ -474,8 +477,23 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                 keep[[m[0] for m in _in_batch(index, b.column(place), coverage)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        def held(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(shared, window, shortest)
+            for b in batches:
+                at = np.unique([m[0] for m in _in_batch(index, b.column(1), coverage)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at))], ["place"])
+
+        if last and stored is None:
+            left = docs.mapInArrow(run, schema)
+            return left.select(*[F.col(n).alias(c) for c, n in own.items()])
+        # Several blocks: each one's hits are written, and its broadcast goes, before the next.
+        if stored is None:
+            stored = space.write(docs.withColumn("__place", F.monotonically_increasing_id()), "docs")
+        space.write(stored.select("__place", text).mapInArrow(held, "place bigint"), f"hits/block={n}")
+        shared.unpersist()
+    hits = spark.read.schema("place bigint, block int").parquet(space.path("hits"))
+    left = stored.join(hits.hint("merge"), F.col("__place") == F.col("place"), "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .workspace import aside
 
 UNDETERMINED = "und"
 _FOLD = tk.LOWER.copy()
@@ -166,19 +167,19 @@ def fit(docs: DataFrame, label: str = "lang", doc_id: str = "doc_id", text: str
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred, score and rejected (score below the bound of the language,
-    or no letter). A column of ``docs`` that has one of these three names is replaced. A null or empty
+    no letter, or no n-gram, as a text of one letter). A column of ``docs`` that has one of these three names is replaced. A null or empty
     text is ``und`` and rejected. A model without languages predicts ``und`` and rejects nothing. An
     empty table gives no row, and repeated rows are predicted each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    src, place = docs.select(*names), names.index(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "lang_pred string", "score double", "rejected boolean"])
+    src, own = aside(docs.drop("lang_pred", "score", "rejected"), text)
+    names, place = src.columns, src.columns.index(text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema), "lang_pred string", "score double", "rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         dims = len(m.idf)
         for b in batches:
-            label, score, bound = [], [], []
+            label, score, bound, empty = [], [], [], []
             for chunk in tk.chunks(b.column(place), max_docs=512):
                 ok = has_letter(chunk)
                 if not m.labels:
@@ -188,16 +189,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     continue
                 counts = ngram_counts(chunk, dims)
                 best, s = m.score(counts)
+                empty.append(~counts.any(axis=1))
                 bound.append(m.bound(counts, best))
                 label += [m.labels[j] if o else UNDETERMINED for j, o in zip(best, ok, strict=True)]
                 score.append(np.where(ok, s, 0.0))
             score = np.concatenate(score).astype(float) if score else np.zeros(0)
             bad = np.zeros(len(label), bool)
             if m.labels and label:
-                bad = (score < np.concatenate(bound)) | (np.array(label, object) == UNDETERMINED)
+                bad = (score < np.concatenate(bound)) | (np.array(label, object) == UNDETERMINED) | np.concatenate(empty)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in own.items()], "lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:

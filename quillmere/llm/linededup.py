@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, aside
 
 TRIM = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,6 +108,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     n_lines, n_dropped or kept is replaced.
     """
     spark = docs.sparkSession
+    docs, own = aside(docs, doc_id, text)
     store = LineRuns(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fan_in)
     cuts = docs.agg(F.percentile_approx(doc_id, F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)).alias("c")).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
@@ -129,7 +130,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     ends = F.concat(F.col("__drop"), F.array(F.size("__lines")))
     kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(F.col("__lines"), a + 2, b - a - 1)))
     keep = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return lined.withColumn("kept", keep).select(*[docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")], "n_lines", "n_dropped", "kept")
+    return lined.withColumn("kept", keep).select(*[F.col(n).alias(c) for c, n in own.items() if c not in ("n_lines", "n_dropped", "kept")], "n_lines", "n_dropped", "kept")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import exchange as ex
 from . import textkit as tk
 from .components import components
-from .workspace import Workspace
+from .workspace import Workspace, aside
 
 # The five primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -301,6 +301,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     Which of several rows of an id stays is decided by their texts, then by all other columns. Rows
     with a null id can't be told apart by it and stay. All columns are kept.
     """
+    docs, own = aside(docs, doc_id, text)
     found = near_duplicates(docs, doc_id, text, bits).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
     goes = found.where(~F.col("stays")).select(F.col("doc_id").alias("__gone"))
     left = docs.join(goes, F.col(doc_id) == F.col("__gone"), "left_anti")
@@ -309,7 +310,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
     # Of a repeated id one row, by an aggregate that combines in the task.
     row = F.struct(F.xxhash64(text).alias("__hash"), *[F.col(c) for c in docs.columns])
     several = left.join(repeated, F.col(doc_id) == F.col("__again"), "left_semi").groupBy(F.col(doc_id).alias("__id")).agg(F.min(row).alias("__row"))
-    return once.unionByName(several.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+    both = once.unionByName(several.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+    return both.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .workspace import Workspace
+from .workspace import Workspace, aside
 
 #: Words of the fixed lexicons, by kind; lower case.
 LEXICONS = {
@@ -461,8 +461,8 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "
     of ``docs`` that has one of these names is replaced. A null or empty text is scored as one without words.
     An empty table gives no row, and repeated rows are scored each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted", "votes")]
-    src, place = docs.select(*[F.col(f"`{c}`") for c in names]), names.index(text)
+    src, own = aside(docs.drop("score", "predicted", "votes"), text)
+    names, place = src.columns, src.columns.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema), "score double", "predicted int", "votes bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +473,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "
             score, votes = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(votes)], [*names, "score", "predicted", "votes"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in own.items()], "score", "predicted", "votes")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -62,6 +62,13 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def aside(docs: DataFrame, *keep: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns, but for ``keep``, under names that no operator makes, and the name that each
+    column has now. An operator's own columns then clash with none of its input, whatever those are called."""
+    names = {c: c if c in keep else f"__own_{i}__" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def block_count(df: DataFrame, text: str, block_bytes: int) -> int:
     """Blocks for packed exchanges, so that a block fits a task whatever the shuffle parallelism is:
     by the bytes of the texts."""

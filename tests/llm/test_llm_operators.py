@@ -238,6 +238,14 @@ def hits(docs_of, spark, texts, items=((1, ITEM),), **kw):
     return {(r.doc_id, r.item_id): r.reparameterised for r in decontam.contaminated(docs_of(texts), b, **kw).collect()}
 
 
+def test_blocks_of_items_find_what_one_block_does(docs_of, spark):
+    items = [(i, f"item number {i} of this benchmark speaks of word{i} and thing{i} at length") for i in range(9)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of([(i, f"before it {items[i][1]} and after" if i < 9 and i % 2 else f"a plain text {i}") for i in range(20)], ("place", "__place", "block", "a.b"))
+    left = {n: sorted(r["doc_id"] for r in decontam.without_contaminated(docs, benchmark, block_bytes=n).collect()) for n in (8 << 20, 150)}
+    assert left[150] == left[8 << 20] == [i for i in range(20) if i >= 9 or i % 2 == 0]
+
+
 def test_templates(docs_of, spark):
     other = ITEM.replace("12", "75").replace("30", "44").replace("Maria", "Ines").replace("Peter", "Karl")
     mixed = ITEM.replace("12 kg of", "75 kg of")  # 12 becomes 75 in one place and stays 12 in the other

@@ -62,13 +62,13 @@ def test_stages(spark, tmp_path):
     assert {(r.doc_id, r.text, r.taken) for r in pipeline.run(spark, str(tmp_path)).collect()} == last
 
 
-AWKWARD = ("lang_pred", "score", "rejected", "n_lines", "n_dropped", "kept", "fp", "component_id", "n_windows", "coverage", "size", "source_size", "target", "taken", "first_slot", "rank")
+AWKWARD = ("lang_pred", "score", "rejected", "n_lines", "n_dropped", "kept", "fp", "component_id", "n_windows", "coverage", "size", "source_size", "target", "taken", "first_slot", "rank", "__d", "__t", "__drop", "__lines", "__hash", "__again", "__gone", "__id", "__row", "__place", "__fp", "__salt", "__hot", "__chance", "place", "d", "t", "pos", "h1", "h2", "n", "root", "salt", "stays", "batch", "a.b")
 
 
 def test_stages_with_awkward_rows(spark, tmp_path):
     make(tmp_path, spark)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(30)
-    odd = [(500, None, "en", "s", 0), (None, "the water and the house with a thing", "en", None, 5), (None, "the water and the house with a thing", None, None, 5), (501, "", None, "s", 0), (502, "the water and the house " * 30_000, "en", "s", 1), (7, "und der haus nicht zeit", "de", "s", 1), (7, "the shine with the water", "en", "s", 1)]
+    odd = [(500, None, "en", "s", 0), (None, "the water and the house with a thing", "en", None, 5), (None, "the water and the house with a thing", None, None, 5), (501, "", None, "s", 0), (502, "the water and the house " * 30_000, "en", "s", 1), (503, "a", "en", "s", 1), (7, "und der haus nicht zeit", "de", "s", 1), (7, "the shine with the water", "en", "s", 1)]
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     for c in AWKWARD:
         docs = docs.withColumn(c, F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
@@ -91,7 +91,7 @@ def test_stages_with_awkward_rows(spark, tmp_path):
             docs = out
     ids = [r.doc_id for r in docs.collect()]
     # Near copies go by id, so one row of a repeated id and all rows without one are left; null and empty texts went first.
-    assert ids.count(7) == 1 and ids.count(None) == 2 and 502 in ids and 500 not in ids and 501 not in ids
+    assert ids.count(7) == 1 and ids.count(None) == 2 and 502 in ids and not {500, 501, 503} & set(ids)
 
 
 def test_language_stage_without_labels(spark, tmp_path):

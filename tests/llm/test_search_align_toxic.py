@@ -251,7 +251,7 @@ def test_toxicity_of_held_out_rows(docs_of, spark):
     noisy = [(i, 1 - y if i % 50 == 1 else y) for i, y in toxic.items() if i % 4 != 2]  # some labels are wrong
     labels = spark.createDataFrame([*noisy, (None, 1), (10**6, 1), (5, None)], "doc_id long, toxic int")
     extra = [(5000, None), (5001, ""), (5002, "!!! ..."), (5003, " ".join(words) * 200), (5004, "You are a stupid 1d1ot, you pathetic stuuupid loser!!!"), (None, "no id")]
-    docs = docs_of([*rows, *extra], ("score", "label", "__id", "h", "predicted_"))
+    docs = docs_of([*rows, *extra], ("score", "label", "__id", "h", "a.b"))
     model = toxicity.fit(docs, labels)
     out = {r["doc_id"]: r for r in toxicity.predict(docs, model).collect()}
     assert len(out) == len(rows) + len(extra) and out[3]["label"] == "clash"
