@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def recall_at(retrieved: Column, relevant: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.slice(retrieved, 1, k), relevant)) / F.size(F.array_distinct(relevant))
@@ -43,19 +45,32 @@ def unknown_judgments(cases: DataFrame, rows: DataFrame, allowed: DataFrame, rel
     return missing.unionByName(hidden)
 
 
-def retrieval_report(channels: dict[str, DataFrame], cases: DataFrame, ks: tuple[int, ...] = (1, 3, 5), key: str = "doc_id") -> DataFrame:
+def _found(channel: DataFrame | Callable[[], DataFrame], key: str, most: int) -> tuple[DataFrame | None, str | None]:
+    """A channel's ranked ids of each case, computed and stored, or what it failed with."""
+    try:
+        ranked = channel if isinstance(channel, DataFrame) else channel()
+        top = ranked.where(F.col("rank") <= most).groupBy(F.col("query_id").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("retrieved"))
+        return (top if isinstance(channel, DataFrame) else cut(top)), None
+    except Exception as e:  # whatever stops one channel is its result, and the others are measured
+        return None, f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}".rstrip(": ")
+
+
+def retrieval_report(channels: dict[str, DataFrame | Callable[[], DataFrame]], cases: DataFrame, ks: tuple[int, ...] = (1, 3, 5), key: str = "doc_id") -> DataFrame:
     """Every case in every channel: case_id, channel, retrieved, relevant, recall at each k, mrr and error.
 
     ``channels`` are ranked rows (query_id, key, rank); a case that a channel finds nothing for is
-    there with nothing retrieved. ``cases``: case_id, relevant (array). Feed it to ``channel_summary``.
+    there with nothing retrieved. A channel may be a function that gives the rows: it is run at once, and
+    one that fails has every case there with nothing retrieved and what it failed with as error.
+    ``cases``: case_id, relevant (array). Feed it to ``channel_summary``.
     """
     if not ks or min(ks) < 1 or not channels:
         raise ValueError("an evaluation has channels and positive depths")
-    parts = []
-    for name, ranked in channels.items():
-        top = ranked.where(F.col("rank") <= max(ks)).groupBy(F.col("query_id").alias("case_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("retrieved"))
-        none = F.array().cast(top.schema["retrieved"].dataType)
-        parts.append(cases.join(top, "case_id", "left").select("case_id", F.lit(name).alias("channel"), F.coalesce("retrieved", none).alias("retrieved"), "relevant", F.lit(None).cast("string").alias("error")))
+    parts, same = [], cases.schema["relevant"].dataType
+    for name, channel in channels.items():
+        top, error = _found(channel, key, max(ks))
+        none = F.array().cast(same if top is None else top.schema["retrieved"].dataType)
+        joined = cases.withColumn("retrieved", none) if top is None else cases.join(top, "case_id", "left")
+        parts.append(joined.select("case_id", F.lit(name).alias("channel"), F.coalesce("retrieved", none).alias("retrieved"), "relevant", F.lit(error).cast("string").alias("error")))
     return per_case(reduce(DataFrame.unionAll, parts), ks)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -46,6 +46,9 @@ EXPENSE_CATEGORIES = (
 COUNTED = r"(?:采购|购买|购置|买)\s*(\d+|[一二两三四五六七八九十]+)\s*(台|个|套|件|份)\s*([^，,；;。\n]{1,40})"
 NAMED = r"(?:采购|购买|购置|买)\s*([^，,；;。\n]{1,30}?)\s*(\d+|[一二两三四五六七八九十]+)\s*(台|个|套|件|份)"
 PRICES = (r"每(?:台|个|套|件|份)?(?:单价)?\s*(?:是|为|：|:)?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)", r"(?:预计单价|单价)(?:\s*(?:是|为|：|:))?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)")
+DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{4}年\d{1,2}月\d{1,2}日"
+AMOUNT = r"([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)"
+ITEM_ENDS = "：:，,；;。.!！?？\"'“”‘’"
 CITIES = r"从([一-龥]{2,12})(?:出发)?(?:到|前往)([一-龥]{2,12})(?:出差|差旅)"
 PREFIX = {"travel_reimbursement": "TRAVEL-RMB", "expense_reimbursement": "EXPENSE", "purchase": "PURCHASE", "leave": "LEAVE"}
 
@@ -67,12 +70,12 @@ def intent_from_json(c: Column, allowed: tuple[str, ...], least: float = 0.6) ->
 
 
 def _labelled_date(c: Column, labels: tuple[str, ...]) -> Column:
-    raw = F.regexp_extract(c, rf"(?:{'|'.join(labels)})(?:\s*(?:是|为|：|:))?\s*(\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{4}}年\d{{1,2}}月\d{{1,2}}日)", 1)
+    raw = F.regexp_extract(c, rf"(?:{'|'.join(labels)})(?:\s*(?:是|为|：|:))?\s*({DATE})", 1)
     return F.get(N.dates(raw), F.lit(0))
 
 
 def _labelled_money(c: Column, labels: tuple[str, ...]) -> Column:
-    p = rf"(?:{'|'.join(labels)})(?:\s*(?:是|为|：|:|约))?\s*([\d,]+(?:\.\d+)?)\s*(万元|万|元|块)"
+    p = rf"(?:{'|'.join(labels)})(?:\s*(?:是|为|：|:|约))?\s*{AMOUNT}"
     raw, unit = F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2)
     v = F.when(raw != "", F.regexp_replace(raw, ",", "")).cast(N.WIDE)
     return F.when(unit.isin("万", "万元"), v * 10000).otherwise(v).cast(N.MONEY)
@@ -92,7 +95,7 @@ def draft_fields(c: Column) -> dict[str, dict[str, Column]]:
     t = c
     label, code, text = T.labelled_value, T.labelled_code, lambda col: col.cast("string")
     first = t.rlike(COUNTED)
-    item = F.btrim(T.strip(F.when(first, F.regexp_extract(t, COUNTED, 3)).otherwise(F.regexp_extract(t, NAMED, 1))), F.lit("：:，,；;。.!！?？\"'“”‘’"))
+    item = F.btrim(T.strip(F.when(first, F.regexp_extract(t, COUNTED, 3)).otherwise(F.regexp_extract(t, NAMED, 1))), F.lit(ITEM_ENDS))
     count = N.small_number(F.when(first, F.regexp_extract(t, COUNTED, 1)).otherwise(F.regexp_extract(t, NAMED, 2)))
     count = F.when(count == F.floor(count), count.cast("int"))
     prices = [F.when(F.regexp_extract(t, p, 1) != "", F.regexp_replace(F.regexp_extract(t, p, 1), ",", "").cast(N.WIDE) * F.when(F.regexp_extract(t, p, 2).isin("万", "万元"), 10000).otherwise(1)) for p in PRICES]
@@ -164,32 +167,61 @@ def first_failure(checks: list[Column]) -> Column:
     return out
 
 
-def submit(attempts: DataFrame, key: str = "idempotency_key", draft: str = "draft_id", owner: str = "owner", at: str = "at", session: str | None = None) -> DataFrame:
-    """outcome of each attempt in order of ``at``: created, replayed, key_conflict or draft_conflict.
+def _first_come(pairs: list[tuple]) -> list[tuple]:
+    """Of pairs (t, k, d) those that bind, taken in order of t: neither key nor draft is bound before."""
+    keys, drafts, out = set(), set(), []
+    for t, k, d in sorted(pairs):
+        if k not in keys and d not in drafts:
+            keys.add(k)
+            drafts.add(d)
+            out.append((t, k, d))
+    return out
+
+
+def _bindings(pairs: DataFrame, fold_pairs: int) -> DataFrame:
+    """The pairs (k, d, w) that bind, w ordering them. Rounds settle what comes first for key and draft alike;
+    once at most ``fold_pairs`` pairs are open, their order is folded in one go, so that a chain of clashes
+    costs no round a link. Every round binds the first of all open pairs at least."""
+    spark, left, bound = pairs.sparkSession, cut(pairs), []
+    while (n := left.count()) > fold_pairs:
+        by_key, by_draft = left.groupBy("k").agg(F.min("w").alias("kw")), left.groupBy("d").agg(F.min("w").alias("dw"))
+        new = cut(left.join(by_key, "k").join(by_draft, "d").where((F.col("w") == F.col("kw")) & (F.col("w") == F.col("dw"))).select("k", "d", "w"))
+        bound.append(new)
+        left = cut(left.join(new.select("k"), "k", "left_anti").join(new.select("d"), "d", "left_anti"))
+    if n:
+        # At most fold_pairs rows: places in order, keys and drafts by hash would do, but are short.
+        placed = cut(left.withColumn("t", F.row_number().over(Window.orderBy("w"))))
+        chosen = [(t,) for t, _, _ in _first_come([tuple(r) for r in placed.select("t", "k", "d").collect()])]
+        bound.append(placed.join(F.broadcast(spark.createDataFrame(chosen, "t int")), "t", "left_semi").select("k", "d", "w"))
+    return reduce(DataFrame.unionAll, bound) if bound else left
 
-    An attempt whose key is bound replays if draft, owner and session are those of the binding, and
-    is a key conflict otherwise. With a free key, a draft that is bound is a draft conflict; else the
-    attempt creates, and binds key, draft, owner and session. ``at`` is unique.
+
+def submit(attempts: DataFrame, key: str = "idempotency_key", draft: str = "draft_id", owner: str = "owner", at: str = "at", session: str | None = None, tie: str | None = None, fold_pairs: int = 20_000) -> DataFrame:
+    """outcome of each attempt in order of ``at``: created, replayed, key_conflict, draft_conflict or invalid.
+
+    An attempt without a key, a draft or a time (null, or blank text) is invalid and binds nothing. An
+    attempt whose key is bound replays if draft, owner and session are those of the binding, and is a
+    key conflict otherwise. With a free key, a draft that is bound is a draft conflict; else the attempt
+    creates, and binds key, draft, owner and session. Attempts of one time go by owner, session, key,
+    draft and ``tie``; of attempts alike in all of these one creates and the others replay.
 
     Keys and drafts may be mixed up at will, so that what an attempt meets hangs on all before it.
-    Bindings are found in rounds: of the pairs of key and draft that are open, those that come first
-    for their key and their draft alike bind, and pairs that share a key or a draft with a binding
-    are settled. Where each key belongs to one draft, one round does. Each round cuts its lineage.
     """
     session_of = F.col(session) if session else F.lit(None).cast("string")
-    a = attempts.select(F.col(key).alias("k"), F.col(draft).alias("d"), F.struct(F.col(at).alias("at"), F.col(owner).alias("o"), session_of.alias("s")).alias("w"))
-    left, bound = cut(a.groupBy("k", "d").agg(F.min("w").alias("w"))), []
-    while not left.isEmpty():
-        by_key, by_draft = left.groupBy("k").agg(F.min("w.at").alias("ka")), left.groupBy("d").agg(F.min("w.at").alias("da"))
-        placed = left.join(by_key, "k").join(by_draft, "d")
-        new = cut(placed.where((F.col("w.at") == F.col("ka")) & (F.col("w.at") == F.col("da"))).select("k", "d", "w"))
-        bound.append(new)
-        left = cut(left.join(new.select("k"), "k", "left_anti").join(new.select("d"), "d", "left_anti"))
-    bindings = reduce(DataFrame.unionAll, bound) if bound else left
-    by_key = bindings.select(F.col("k").alias("__k"), F.col("d").alias("__kd"), F.col("w").alias("__w"))
-    by_draft = bindings.select(F.col("d").alias("__d"), F.col("w.at").alias("__at"))
-    j = attempts.join(by_key, F.col(key) == F.col("__k"), "left").join(by_draft, F.col(draft) == F.col("__d"), "left")
-    same = (F.col("__kd") == F.col(draft)) & F.col("__w.o").eqNullSafe(F.col(owner)) & F.col("__w.s").eqNullSafe(session_of)
-    before = F.col("__w.at") < F.col(at)
-    outcome = F.when((F.col("__w.at") == F.col(at)) & (F.col("__kd") == F.col(draft)), "created").when(before & same, "replayed").when(before, "key_conflict").when(F.col("__at") < F.col(at), "draft_conflict")
-    return j.withColumn("outcome", outcome).drop("__k", "__kd", "__w", "__d", "__at")
+    given = [~F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True)) for c in (key, draft, at)]
+    whole = reduce(Column.__and__, given)
+    own = F.struct(F.col(at).alias("at"), F.col(owner).alias("o"), session_of.alias("s"), F.col(key).alias("k"), F.col(draft).alias("d"), *([F.col(tie).alias("i")] if tie else []))
+    asked = attempts.withColumn("__w", F.when(whole, own))
+    pairs = asked.where("__w is not null").groupBy(F.col("__w.k").alias("k"), F.col("__w.d").alias("d")).agg(F.min("__w").alias("w"))
+    bindings = _bindings(pairs, fold_pairs)
+    by_key = bindings.select(F.col("k").alias("__k"), F.col("w").alias("__kw"))
+    by_draft = bindings.select(F.col("d").alias("__d"), F.col("w").alias("__dw"))
+    # Invalid attempts have no key to meet by; they stay out of the joins, where they would be one hot key.
+    j = asked.where("__w is not null").join(by_key, F.col("__w.k") == F.col("__k"), "left").join(by_draft, F.col("__w.d") == F.col("__d"), "left")
+    place = F.row_number().over(Window.partitionBy("__w").orderBy(F.lit(0)))
+    first = F.col("__w") == F.col("__kw")
+    same = (F.col("__kw.d") == F.col("__w.d")) & F.col("__kw.o").eqNullSafe(F.col("__w.o")) & F.col("__kw.s").eqNullSafe(F.col("__w.s"))
+    before = F.col("__kw") < F.col("__w")
+    outcome = F.when(first & (F.col("__n") == 1), "created").when((before | first) & same, "replayed").when(before, "key_conflict").when(F.col("__dw") < F.col("__w"), "draft_conflict")
+    done = j.withColumn("__n", place).withColumn("outcome", outcome).select(*[F.col(f"`{c}`") for c in attempts.columns], "outcome")
+    return done.unionByName(asked.where("__w is null").select(*[F.col(f"`{c}`") for c in attempts.columns], F.lit("invalid").alias("outcome")))

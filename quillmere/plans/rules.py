@@ -20,10 +20,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _literal(spark, rows: tuple[tuple[str, ...], ...], *names: str):
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
-
-
 def _values(rows, *names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows) + f") AS v({', '.join(names)})"
 
@@ -129,19 +125,6 @@ def expense_routes(spark, d):
 
 # --- free text -----------------------------------------------------------------------------------
 
-#: request, intent, approval level, approvers, material type, complete
-_REQUESTS = (
-    ("采购3台电脑，每台8000元，谁审批？", "approval_query", "general_purchase", "DIRECT_MANAGER>DEPARTMENT_HEAD>IT_DEPARTMENT>PROCUREMENT_DEPARTMENT", "purchase", "null"),
-    ("紧急采购服务器，预算30万元，走什么审批", "approval_query", "emergency_purchase", "DEPARTMENT_HEAD>IT_DEPARTMENT>PROCUREMENT_DEPARTMENT>FINANCE_DEPARTMENT>BUSINESS_VICE_PRESIDENT>GENERAL_MANAGER", "purchase", "null"),
-    ("我要请病假十二天，需要哪些材料", "material_check", "long_term_leave", "DIRECT_MANAGER>DEPARTMENT_HEAD>HUMAN_RESOURCES>BUSINESS_VICE_PRESIDENT", "leave", "null"),
-    ("出差去香港，预计总费用12,000元，怎么审批", "approval_query", "general_travel", "DIRECT_MANAGER>DEPARTMENT_HEAD>FINANCE_DEPARTMENT", "null", "null"),
-    ("差旅报销我有行程单、住宿发票，还缺什么材料", "material_check", "travel_reimbursement", "DIRECT_MANAGER>DEPARTMENT_HEAD>FINANCE_DEPARTMENT", "travel_reimbursement", "false"),
-    ("费用报销金额800元，有发票和报销单，材料齐全吗", "material_check", "small_expense", "DIRECT_MANAGER>FINANCE_DEPARTMENT", "expense_reimbursement", "false"),
-    ("生成采购申请草稿", "draft_generation", "null", "", "purchase", "null"),
-    ("今天天气怎么样", "unknown", "null", "", "null", "null"),
-)
-
-
 #: A request for each order: count, price or days come from its columns, wording from its key.
 _ASKS = (
     ("purchase", "采购{n}台电脑，每台{price}元，谁审批？", "approval_query"),
@@ -169,12 +152,6 @@ def intent_by_cues(spark, d):
     return _requests(spark, d).select("o_orderkey", "request", requests.intent(F.col("request")).alias("intent"))
 
 
-@query(f"SELECT request, nullif(level, 'null') AS level, route FROM {_values([(r[0], r[2], r[3]) for r in _REQUESTS], 'request', 'level', 'route')}")
-def approval_requests_literal(spark, d):
-    a = approval.check(_literal(spark, [(r[0],) for r in _REQUESTS], "request"), "request")
-    return a.select("request", "level", F.array_join(F.transform("steps", lambda s: s["approver"]), ">").alias("route"))
-
-
 @query(f"""WITH {_ASKED}, a AS (SELECT *, CASE w WHEN 0 THEN n * price ELSE price END AS amount FROM req WHERE w IN (0, 1, 3, 4))
 SELECT o_orderkey, CASE WHEN w = 1 THEN 'emergency_purchase'
   WHEN w = 0 THEN CASE WHEN amount <= 5000 THEN 'small_purchase' WHEN amount <= 50000 THEN 'general_purchase' WHEN amount <= 200000 THEN 'important_purchase' ELSE 'major_purchase' END
@@ -191,25 +168,6 @@ def material_requests(spark, d):
     return materials.check(_requests(spark, d), "request").select("o_orderkey", "application_type")
 
 
-@query(f"SELECT request, nullif(application_type, 'null') AS application_type, nullif(complete, 'null') AS complete FROM {_values([(r[0], r[4], r[5]) for r in _REQUESTS], 'request', 'application_type', 'complete')}")
-def material_requests_literal(spark, d):
-    return materials.check(_literal(spark, [(r[0],) for r in _REQUESTS], "request"), "request").select("request", "application_type", F.col("complete").cast("string").alias("complete"))
-
-
-_DRAFTS = (
-    ("采购2台显示器，每台1500元，用途：研发测试，规格：27寸，预算编号：B-01，期望交付日期：2026-09-01，使用地点：上海，供应商：甲公司，推荐理由：价格低，普通采购", "purchase", "waiting_for_confirmation", ""),
-    ("申请年假3天，2026-08-05到2026-08-07，全天，原因：休息", "leave", "waiting_for_information", "handover_person,emergency_contact,is_emergency"),
-    ("费用报销，报销金额600元，费用类别：办公费", "expense_reimbursement", "waiting_for_information", "business_purpose,expense_date,budget_or_cost_center,payee,involves_contract,involves_purchase"),
-    ("你好", "null", "no_type", "null"),
-)
-
-
-@query(f"SELECT request, nullif(application_type, 'null') AS application_type, status, nullif(missing, 'null') AS missing FROM {_values(_DRAFTS, 'request', 'application_type', 'status', 'missing')}")
-def draft_requests_literal(spark, d):
-    rows = _literal(spark, [(r[0],) for r in _DRAFTS], "request").withColumn("employee_id", F.lit("E1")).withColumn("session_id", F.lit("S1"))
-    return requests.drafts(rows, "request").select("request", "application_type", "status", F.array_join("missing_fields", ",").alias("missing"))
-
-
 #: Clauses of a purchase draft; each order leaves one of them out, by its key, or none.
 _CLAUSES = (("purpose", "用途：研发测试"), ("specification", "规格：27寸"), ("budget_or_cost_center", "预算编号：B-01"), ("expected_delivery_date", "期望交付日期：2026-09-01"), ("delivery_location", "使用地点：上海"), ("supplier_name", "供应商：甲公司"), ("supplier_reason", "推荐理由：价格低"), ("is_emergency", "普通采购"))
 
@@ -286,8 +244,11 @@ def latest_revision(spark, d):
 
 
 #: Attempts whose keys several drafts share: neighbours in threes, by status.
-_ATTEMPTS = """a AS (SELECT o_orderkey AS attempt, o_custkey // 3 AS g, o_custkey AS draft, (o_custkey // 3) || ':' || o_orderstatus || ':' || (o_orderkey % 2) AS k, o_orderpriority AS owner, o_orderkey % 3 AS session,
-  row_number() OVER (PARTITION BY o_custkey // 3 ORDER BY o_orderkey) AS n FROM orders)"""
+#: Some lack a key, a draft or a time, or have a blank key; a few share their time with the one before.
+_ATTEMPTS = """every AS (SELECT o_orderkey AS attempt, o_custkey // 3 AS g, CASE WHEN o_orderkey % 89 <> 4 THEN o_custkey END AS draft,
+  CASE o_orderkey % 97 WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE (o_custkey // 3) || ':' || o_orderstatus || ':' || (o_orderkey % 2) END AS k, o_orderpriority AS owner, o_orderkey % 3 AS session,
+  CASE WHEN o_orderkey % 83 <> 5 THEN o_orderkey // 64 END AS moment FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY moment, owner, session, k, draft, attempt) AS n FROM every WHERE k <> ' ' AND draft IS NOT NULL AND moment IS NOT NULL)"""
 
 
 @query(f"""WITH RECURSIVE {_ATTEMPTS}, fold AS (
@@ -298,13 +259,13 @@ _ATTEMPTS = """a AS (SELECT o_orderkey AS attempt, o_custkey // 3 AS g, o_custke
     LATERAL (SELECT CASE WHEN len(list_filter(f.bound, lambda b: b.k = a.k)) > 0
         THEN CASE WHEN len(list_filter(f.bound, lambda b: b.k = a.k AND b.draft = a.draft AND b.owner = a.owner AND b.session = a.session)) > 0 THEN 'replayed' ELSE 'key_conflict' END
       WHEN len(list_filter(f.bound, lambda b: b.draft = a.draft)) > 0 THEN 'draft_conflict' ELSE 'created' END AS outcome) o)
-SELECT attempt, outcome FROM fold""")
+SELECT attempt, outcome FROM fold UNION ALL SELECT attempt, 'invalid' FROM every WHERE attempt NOT IN (SELECT attempt FROM a)""")
 def idempotent_submit(spark, d):
     """Submissions whose keys clash over drafts, owners and sessions, checked against a fold attempt by attempt."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    key = F.concat_ws(":", F.floor(c / 3).cast("string"), "o_orderstatus", (k % 2).cast("string"))
-    a = table(spark, d, "orders").select(k.alias("attempt"), c.alias("draft_id"), key.alias("idempotency_key"), F.col("o_orderpriority").alias("owner"), (k % 3).alias("session"))
-    return requests.submit(a, at="attempt", session="session").select("attempt", "outcome")
+    key = F.when(k % 97 == 2, " ").when(k % 97 != 1, F.concat_ws(":", F.floor(c / 3).cast("string"), "o_orderstatus", (k % 2).cast("string")))
+    a = table(spark, d, "orders").select(k.alias("attempt"), F.when(k % 89 != 4, c).alias("draft_id"), key.alias("idempotency_key"), F.col("o_orderpriority").alias("owner"), (k % 3).alias("session"), F.when(k % 83 != 5, F.floor(k / 64)).alias("at"))
+    return requests.submit(a, session="session", tie="attempt").select("attempt", "outcome")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
