@@ -1,25 +1,17 @@
 """BM25 with statistics of the caller's scope only.
 
 The access filter comes before the corpus statistics: number of documents, document frequencies
-and average length are those of the rows that are passed in. ``search`` scores a stated set of
-queries: their terms are a broadcast vocabulary, one pass counts statistics of those terms, and
-one pass scores a batch of documents against all queries as a sparse-by-dense product and keeps k
-of a query in each task. ``scores`` gives every pair as rows, for few or rare query terms.
+and average length are those of the rows that are passed in. ``search`` answers a stated set of
+queries from a stored index with score bounds (see ``postings``). ``scores`` gives every pair as rows,
+for few or rare query terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .vector import _best
+from .postings import Postings
 
 K1, B = 1.2, 0.75
 MAX_QUERY_TERMS = 64
@@ -58,104 +50,14 @@ def rejected_queries(queries: DataFrame, terms: Column, key: str = "query_id", l
     return q.where((F.col("n") <= 0) | (F.col("n") > limit)).select(key, F.when(F.col("n") <= 0, "no_terms").otherwise("too_many_terms").alias("reason"))
 
 
-def _hits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and count of a batch of (id, length, terms, counts)."""
-    terms, counts = (np.frombuffer(b"".join(x or b"" for x in batch.column(i).to_pylist()), np.int32) for i in (2, 3))
-    return np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column(2)).to_numpy() // 4), terms, counts
-
-
-def _compacted(shared, key: str):
-    """Documents (id, terms, length) -> id, length, and the terms of the vocabulary with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value[0]
-        for batch in batches:
-            column = batch.column(1)
-            place = pc.fill_null(pc.index_in(column.flatten(), value_set=words), -1).to_numpy()
-            doc = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-            on = place >= 0
-            pair, tf = np.unique(doc[on].astype(np.int64) * max(len(words), 1) + place[on], return_counts=True)
-            bounds = 4 * np.searchsorted(pair, np.arange(len(column) + 1) * max(len(words), 1))
-            packed = [pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(x.astype(np.int32).tobytes())]) for x in (pair % max(len(words), 1), tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], [key, "dl", "terms", "counts"])
-
-    return run
-
-
 def search(tokenized: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", k1: float = K1, b: float = B, digits: int = 9, query_block: int = 1024) -> DataFrame:
     """query, document, score, rank: the k best documents of each query with a score above zero, ties to
-    the smaller id. ``queries`` is (query, term), one row a distinct term; ids are integers.
-
-    The queries are a stated set, gathered and broadcast in blocks of ``query_block``.
-    """
-    spark, done, last = tokenized.sparkSession, [], None
-    by_query = queries.groupBy(query_key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    spec = f"{query_key} bigint, {key} bigint, score double"
-    src = tokenized.select(F.col(key).cast("bigint").alias(key), "terms", "dl")
-    while True:
-        block = (by_query if last is None else by_query.where(F.col(query_key) > last)).orderBy(query_key).limit(query_block).collect()
-        if block:
-            words = sorted({t for r in block for t in r[1]})
-            of = {t: i for i, t in enumerate(words)}
-            asks = np.zeros((len(words), len(block)))
-            for j, r in enumerate(block):
-                asks[[of[t] for t in r[1]], j] = 1
-            shared = spark.sparkContext.broadcast((pa.array(words, pa.string()), np.array([r[0] for r in block], np.int64), asks))
-            # Texts are tokenised once: what the queries ask of them is stored, and read for statistics and scores.
-            hits = cut(src.mapInArrow(_compacted(shared, key), f"{key} bigint, dl bigint, terms binary, counts binary"))
-            counts = hits.mapInArrow(_counted(len(words)), "term int, n bigint, dl bigint").groupBy("term").agg(F.sum("n"), F.sum("dl")).collect()
-            df, n, length = np.zeros(len(words)), 0, 0
-            for term, m, dl in counts:
-                if term < 0:
-                    n, length = m, dl
-                else:
-                    df[term] = m
-            stats = spark.sparkContext.broadcast((np.log(1.0 + (n - df + 0.5) / (df + 0.5)), length / n if n else 0.0))
-            done.append(hits.mapInArrow(_scored(shared, stats, k, k1, b, digits, key, query_key), spec))
-            last = block[-1][0]
-        if len(block) < query_block:
-            break
-    found = reduce(DataFrame.unionAll, done) if done else spark.createDataFrame([], spec)
+    the smaller id. ``queries`` is (query, term), one row a distinct term; ids are integers. Texts are
+    tokenised once, for the index."""
+    found = Postings(tokenized, key).search(queries, k, query_key, k1, b, digits, query_block)
     return top_k(found, k, key, query_key, digits)
 
 
-def _counted(n_words: int):
-    """Documents and document frequencies of a task; term -1 counts documents and their lengths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, length = np.zeros(n_words, np.int64), 0, 0
-        for b in batches:
-            df += np.bincount(_hits(b)[1], minlength=n_words)
-            n += b.num_rows
-            length += int(b.column(1).to_numpy().sum())
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]), pa.int32()), pa.array(np.concatenate([[n], df[some]]), pa.int64()), pa.array(np.concatenate([[length], 0 * some]), pa.int64())], ["term", "n", "dl"])
-
-    return run
-
-
-def _scored(shared, stats, k: int, k1: float, b: float, digits: int, key: str, query_key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, ids, asks), (idf, mean) = shared.value, stats.value
-        best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        rows = max(1, (1 << 22) // max(len(words), 1))
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                doc, term, tf = _hits(part)
-                dl = part.column(1).to_numpy()[doc]
-                weight = np.zeros((part.num_rows, len(words)))
-                weight[doc, term] = idf[term] * (tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * (dl / mean))))
-                score = np.round((weight @ asks).T, digits)
-                score[score <= 0] = -np.inf
-                own = np.broadcast_to(part.column(0).to_numpy(), score.shape)
-                best = _best(np.concatenate([best[0], score], axis=1), np.concatenate([best[1], own], axis=1), k)
-        row, at = np.nonzero(best[0] > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[1][row, at]), pa.array(best[0][row, at])], [query_key, key, "score"])
-
-    return run
-
-
 def scores(tokenized: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "query_id", k1: float = K1, b: float = B) -> DataFrame:
     """query, document, score for every pair that shares a term.
 

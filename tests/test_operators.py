@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from quillmere.operators import access, approval, chunking, evaluation, folds, fusion, index_sync, lexical, materials, requests, safety, state, telemetry, vector
+from quillmere.operators import access, approval, chunking, evaluation, folds, fusion, index_sync, lexical, materials, postings, requests, safety, state, telemetry, vector
 
 RULES = "status string, effective date, expiry date, rank int, departments array<string>, roles array<string>, region string"
 
@@ -166,6 +166,37 @@ def test_turns_and_submission(spark):
     assert [r[0] for r in j.select(requests.intent_from_json(F.col("j"), ("policy_query",))).collect()] == ["policy_query", "unknown", "unknown", "unknown"]
 
 
+def test_postings_skip_blocks(spark):
+    """Few documents of many score high; the ranges of the others are left out, and the ranking stays exact."""
+    import random
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, [r.choice(words) for _ in range(r.randint(3, 40))] + (["rare"] * 3 if i % 700 == 3 else [])) for i in range(3000)] + [(9000, []), (9001, None), (9002, ["rare"])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>").coalesce(1)
+    t = lexical.tokens(docs, F.col("terms"))
+    asked = [(q, w) for q in range(40) for w in {"rare", words[q], words[q + 5], "nowhere"}] + [(99, "nowhere")]
+    queries = spark.createDataFrame(asked, "query_id long, term string")
+    want = sorted(map(str, lexical.top_k(lexical.scores(t, queries), 2).select("query_id", "doc_id", "score", "rank").collect()))
+    index = postings.Postings(t, shard_docs=1024)
+    tally = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = lexical.top_k(index.search(queries, 2, tally=tally, query_block=16), 2).select("query_id", "doc_id", "score", "rank")
+    assert sorted(map(str, got.collect())) == want and len(want) == 80
+    scored, blocks = (x.value for x in tally)
+    assert 0 < scored < 0.4 * blocks
+
+
+def test_ten_thousand_queries(spark):
+    docs = spark.createDataFrame([(i, [f"t{i % 97}", f"t{i % 89}", f"u{i % 13}"]) for i in range(400)], "doc_id long, terms array<string>")
+    queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), F.lit("u3"))).alias("term"))
+    t = lexical.tokens(docs, F.col("terms"))
+    got = lexical.search(t, queries, 2)
+    assert got.groupBy("query_id").count().where("count = 2").count() == 10_000
+    some = queries.where("query_id % 997 = 5")
+    want = lexical.top_k(lexical.scores(t, some), 2).select("query_id", "doc_id", "rank")
+    assert sorted(map(tuple, got.where("query_id % 997 = 5").select("query_id", "doc_id", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_memory(spark):
     m = spark.createDataFrame([("s", t, r, r * t) for t in (1, 2, 3) for r in ("user", "assistant")], "session_id string, turn int, role string, content string")
     assert sorted((r.turn, r.role) for r in state.retained(m, 2).collect()) == [(2, "assistant"), (2, "user"), (3, "assistant"), (3, "user")]
