@@ -5,12 +5,16 @@ in fixed order and an allowed row is one whose array is empty. A null or unknown
 effect, level or scope denies, and so does every scope for an identity that lacks the value; an
 identity without department, roles, clearance or region is incomplete and refused as a whole.
 
-Many identities share few profiles (department, roles, clearance, region). Rows meet profiles by
-an equi-join on their scopes, never all pairs, and identities get the rows of their profile.
+Many identities share few profiles (department, roles, clearance, region). Profiles are numbered,
+each value of a scope is a mask of the profiles that have it, and a row's own masks are combined
+bit by bit where the row lies: no row is joined or shuffled, and open scopes are no hot key.
+Identities get the rows of their profile.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,21 +111,73 @@ def incomplete(identities: DataFrame, who_key: str) -> DataFrame:
     return _with_profile(identities).where("profile is null").select(who_key)
 
 
-def allowed_profiles(rows: DataFrame, identities: DataFrame, as_of: str, key: str) -> DataFrame:
-    """profile, row key of what each profile of ``identities`` may see."""
-    day = F.lit(as_of).cast("date")
+#: Profiles in a word of a mask; one bit of a signed integer stays free.
+WORD = 62
+
+
+def _mask(numbers: list[int], words: int) -> list[int]:
+    out = [0] * words
+    for i in numbers:
+        out[i // WORD] |= 1 << (i % WORD)
+    return out
+
+
+def _masks(spark, block: list) -> DataFrame:
+    """One row with the names of a block's profiles and the masks of every department, role and region that
+    they have, and of every clearance (the profiles that reach it); the mask of all, and of none."""
+    words, of = -(-len(block) // WORD), {"deps": {}, "roles": {}, "regions": {}}
+    for i, r in enumerate(block):
+        for kind, values in (("deps", [r["__dep"]]), ("regions", [r["__reg"]]), ("roles", r["__roles"])):
+            for v in values:
+                of[kind].setdefault(v, []).append(i)
+    ranks = [(n, _mask([i for i, r in enumerate(block) if r["__rank"] >= n], words)) for n in sorted({r["__rank"] for r in block})]
+    row = [[r["profile"] for r in block], *({v: _mask(n, words) for v, n in of[k].items()} for k in ("deps", "roles", "regions")), ranks, _mask(list(range(len(block))), words), [0] * words]
+    mask = "array<bigint>"
+    return spark.createDataFrame([tuple(row)], f"__names array<string>, __deps map<string, {mask}>, __rols map<string, {mask}>, __regs map<string, {mask}>, __ranks array<struct<rank: int, mask: {mask}>>, __all {mask}, __none {mask}")
+
+
+def _either(masks: Column, values: Column) -> Column:
+    """The profiles that have one of the values."""
+    return F.aggregate(values, F.col("__none"), lambda found, v: F.zip_with(found, F.coalesce(F.try_element_at(masks, F.coalesce(v, F.lit(""))), F.col("__none")), lambda a, b: a.bitwiseOR(b)))
+
+
+def _bits(word: Column) -> Column:
+    """The places of a word's set bits, in order."""
+    places = F.array(*[F.lit(b) for b in range(WORD)])
+    return F.when(word == 0, F.array().cast("array<int>")).otherwise(F.filter(places, lambda b: F.call_function("getbit", word, b) == 1))
+
+
+def _both(*masks: Column) -> Column:
+    out = masks[0]
+    for m in masks[1:]:
+        out = F.zip_with(out, m, lambda a, b: a.bitwiseAND(b))
+    return out
+
+
+def allowed_profiles(rows: DataFrame, identities: DataFrame, as_of: str, key: str, profile_block: int = 4096) -> DataFrame:
+    """profile, row key of what each profile of ``identities`` may see.
+
+    Profiles are taken in blocks of ``profile_block``; a block's masks are one broadcast row, of at most
+    that many values of a scope, and roles, with a bit for each profile.
+    """
+    spark, day, last, done = rows.sparkSession, F.lit(as_of).cast("date"), None, []
     mine = _with_profile(identities).where("profile is not null").groupBy("profile").agg(*[F.first(c).alias(c) for c in ("__dep", "__roles", "__rank", "__reg")])
-    for column, value in (("dep", F.array(F.lit("*"), F.col("__dep"))), ("reg", F.array(F.lit("*"), F.col("__reg"))), ("rol", F.concat(F.array(F.lit("*")), "__roles"))):
-        mine = mine.withColumn(column, F.explode(value))
     r = rows.where((F.col("status") == "effective") & (F.col("effective") <= day) & (F.col("expiry").isNull() | (F.col("expiry") >= day)) & F.col("rank").isNotNull())
-    departments, roles = scope(F.col("departments")), scope(F.col("roles"))
-    anyone = lambda s: F.when(_open(s), F.array(F.lit("*"))).otherwise(F.array_distinct(F.array_compact(s)))
-    r = r.select(key, F.col("rank").alias("__need"), anyone(departments).alias("__deps"), anyone(roles).alias("__rols"), F.coalesce(_named(F.lower("region")), F.lit("*")).alias("reg"))
-    r = r.withColumn("dep", F.explode("__deps")).withColumn("rol", F.explode("__rols"))
-    j = r.join(mine, ["dep", "rol", "reg"]).where(F.col("__need") <= F.col("__rank"))
-    # A row that several roles of a profile reach counts once, at the first of them.
-    first = F.get(F.array_intersect(F.col("__rols"), F.concat(F.array(F.lit("*")), "__roles")), F.lit(0))
-    return j.where(F.col("rol") == first).select("profile", key)
+    r = r.select(key, F.col("rank").alias("__need"), scope(F.col("departments")).alias("__d"), scope(F.col("roles")).alias("__r"), _named(F.lower("region")).alias("__g"))
+    while True:
+        block = (mine if last is None else mine.where(F.col("profile") > last)).orderBy("profile").limit(profile_block).collect()
+        if block:
+            last, m = block[-1]["profile"], r.join(F.broadcast(_masks(spark, block)))
+            nobody = F.lit(None).cast("array<string>")
+            departments, roles = (F.when(_open(F.col(c)), F.col("__all")).otherwise(_either(F.col(k), F.coalesce(F.col(c), nobody, F.array().cast("array<string>")))) for c, k in (("__d", "__deps"), ("__r", "__rols")))
+            region = F.when(F.col("__g").isNull(), F.col("__all")).otherwise(F.coalesce(F.try_element_at("__regs", F.col("__g")), F.col("__none")))
+            cleared = F.coalesce(F.get(F.filter("__ranks", lambda x: x["rank"] >= F.col("__need")), F.lit(0))["mask"], F.col("__none"))
+            seen = m.select(key, "__names", _both(departments, roles, region, cleared).alias("__m")).where(F.exists("__m", lambda w: w != 0))
+            bits = F.flatten(F.transform("__m", lambda w, i: F.transform(_bits(w), lambda b: b + i * WORD)))
+            done.append(seen.select(key, "__names", F.explode(bits).alias("__n")).select(F.get("__names", F.col("__n")).alias("profile"), key))
+        if len(block) < profile_block:
+            break
+    return reduce(DataFrame.unionAll, done) if done else mine.select("profile").join(rows.select(key).limit(0))
 
 
 def allowed_pairs(rows: DataFrame, identities: DataFrame, as_of: str, key: str, who_key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, chunking, index_sync, safety
+from ..operators import access, buckets, chunking, index_sync, safety
 from ..session import table
 from .common import ALLOWED, AS_OF, GOVERNED, IDENTITY, TERMS, governed, terms
 
@@ -252,10 +252,13 @@ def index_stale_ids(spark, d):
 
 @query(f"WITH {_INDEX} SELECT id, fingerprint FROM desired")
 def index_upsert_result(spark, d):
+    """The index after a synchronisation that rewrites the touched buckets of a stored table."""
     desired, current = _index(spark, d)
     changes = index_sync.diff(desired, current)
     upserts = desired.join(changes.where("status in ('added', 'changed')"), "id", "left_semi")
-    return index_sync.apply_changes(current, upserts, changes.where("status = 'deleted'"))
+    stored = buckets.BucketTable.of(current, name="index")
+    stored.apply(upserts, changes.where("status = 'deleted'"))
+    return stored.read()
 
 
 @query(f"""WITH {_LINES}, h AS (SELECT doc_id, sha256(line) AS h, line_no FROM l)

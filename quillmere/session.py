@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,18 +36,30 @@ class Limits:
             raise ValueError("candidate_k is at least top_k")
 
 
+def _shared(spark: SparkSession) -> str:
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "/tmp/quillmere-shared").rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and stored in the shared folder, with no lineage behind it. The folder is
     ``spark.checkpoint.dir``; only a local session gets one of its own where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or "/tmp/quillmere-shared")
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one; what is written there goes when the session's JVM ends."""
+    path = f"{_shared(spark)}/quillmere-{name}-{uuid.uuid4().hex[:12]}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def build_session(name: str = "quillmere", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(name)
     if master:

@@ -5,13 +5,15 @@ Every function takes a streaming (or batch) DataFrame, so that the same plan is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.buckets import BucketTable
 from ..operators.safety import redact
+from ..operators.state import latest
 
 
 def event_time(events: DataFrame, at: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -69,10 +71,15 @@ def idempotent(attempts: DataFrame) -> DataFrame:
     return deduplicated(attempts, ["idempotency_key"])
 
 
-def sync_files(stream: DataFrame, apply: Callable[[DataFrame], object], checkpoint: str):
-    """Each micro-batch of changed files goes through ``apply`` (a table store's upsert) exactly once by version."""
+def sync_files(stream: DataFrame, table: BucketTable, checkpoint: str, deleted: str | None = None, order: str | None = None):
+    """Each micro-batch of changed rows goes into ``table`` exactly once: its number is committed with the
+    rows, so that a batch which is played again after a crash changes nothing. Of several rows of a key
+    in a batch the one of the highest ``order`` counts; rows whose ``deleted`` column holds delete their key."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        apply(batch)
+    def each(batch: DataFrame, number: int) -> None:
+        if order is not None:
+            batch = latest(batch, [table.key], order)
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        table.apply(batch.where(~gone), batch.where(gone), batch=number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -197,6 +197,23 @@ def test_ten_thousand_queries(spark):
     assert sorted(map(tuple, got.where("query_id % 997 = 5").select("query_id", "doc_id", "rank").collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("profile_block", [2, 4096])
+def test_masks_of_profiles(spark, profile_block):
+    """What each of many profiles sees by masks equals the denial reasons of each identity, roles and blocks included."""
+    import random
+
+    r = random.Random(9)
+    some = lambda xs, n: [r.choice(xs) for _ in range(r.randint(0, n))]
+    rows = [(i, r.choice(["effective"] * 5 + ["draft", None]), "2026-01-01", None, r.choice([0, 1, 2, 3, None]), r.choice([None, some(["a", "B ", " c", "", None], 3), ["ALL"]]), r.choice([None, some(["R1", "r2", "R3"], 2), [" all "]]), r.choice([None, " ", "x", "Y"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "id long, " + RULES.replace("effective date", "effective string").replace("expiry date", "expiry string")).withColumn("effective", F.col("effective").cast("date")).withColumn("expiry", F.col("expiry").cast("date"))
+    people = [(f"p{i}", r.choice(["A", "b", "zz"]), r.sample(["r1", "R2", "R3", "R4"], r.randint(1, 3)), r.choice([0, 1, 2, 5]), r.choice(["X", "y"])) for i in range(70)]
+    who = spark.createDataFrame(people, "who string, department string, roles array<string>, rank int, region string")
+    p = access.profiles(who, "who")
+    got = {(x.who, x["id"]) for x in p.join(access.allowed_profiles(docs, who, "2026-06-01", "id", profile_block), "profile").collect()}
+    want = {(name, x["id"]) for name, dep, roles, rank, region in people[:25] for x in access.restrict(docs, {"department": dep, "roles": roles, "rank": rank, "region": region}, "2026-06-01").collect()}
+    assert {x for x in got if int(x[0][1:]) < 25} == want and len(want) > 50
+
+
 def test_memory(spark):
     m = spark.createDataFrame([("s", t, r, r * t) for t in (1, 2, 3) for r in ("user", "assistant")], "session_id string, turn int, role string, content string")
     assert sorted((r.turn, r.role) for r in state.retained(m, 2).collect()) == [(2, "assistant"), (2, "user"), (3, "assistant"), (3, "user")]

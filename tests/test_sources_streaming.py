@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere import sources, streaming
+from quillmere.operators import buckets
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -131,8 +132,36 @@ def test_streaming_memory_in_order_and_without_secrets(spark, tmp_path):
 
 
 def test_sync_files(spark, tmp_path):
-    spark.createDataFrame([(1, "a")], "id long, v string").write.parquet(str(tmp_path / "in"))
-    seen = []
-    q = streaming.sync_files(spark.readStream.schema("id long, v string").parquet(str(tmp_path / "in")), lambda b: seen.extend(b.collect()), str(tmp_path / "cp")).start()
-    q.awaitTermination(60)
-    assert [tuple(r) for r in seen] == [(1, "a")]
+    """Rows of every batch arrive once, also when a batch is played again."""
+    schema = "id long, v string, at int, gone boolean"
+    table = buckets.BucketTable(spark, str(tmp_path / "t"), "id long, v string", buckets=4)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for i, rows in enumerate(([(1, "a", 1, None), (2, "b", 1, False), (1, "c", 2, False)], [(2, None, 3, True), (3, "d", 3, False)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streaming.sync_files(stream, table, str(tmp_path / "cp"), deleted="gone", order="at").start().awaitTermination(60)
+        assert table.applied() == list(range(i + 1))
+    want = [(1, "c"), (3, "d")]
+    assert sorted(map(tuple, table.read().collect())) == want
+    table.apply(spark.createDataFrame([(2, "late")], "id long, v string"), batch=0)  # played again
+    assert sorted(map(tuple, table.read().collect())) == want and table.applied() == [0, 1]
+
+
+def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    t = buckets.BucketTable(spark, str(tmp_path / "b"), "id long, v string", buckets=16)
+    assert t.apply(rows) == list(range(16)) and t.read().count() == 1000
+    files = lambda: {p.parent.name: {q.name for q in p.parent.glob("*.parquet")} for p in (tmp_path / "b").glob("*/*.parquet")}
+    before, new = files(), spark.createDataFrame([(5, "new"), (2000, "more")], "id long, v string")
+    touched = t.apply(new, spark.createDataFrame([(7,)], "id long"))
+    after = files()
+    assert 1 <= len(touched) <= 3 and {b for b in before if before[b] != after[b]} == {f"__bucket={b}" for b in touched}
+    got = dict(map(tuple, t.read().collect()))
+    assert len(got) == 1000 and got[5] == "new" and got[2000] == "more" and 7 not in got and got[8] == "v8"
+    # A bucket that loses all of its rows is empty afterwards.
+    gone = t.read().where(t.bucket(F.col("id")) == touched[0])
+    t.apply(rows.limit(0), gone.select("id"))
+    assert t.read().where(t.bucket(F.col("id")) == touched[0]).count() == 0 and 800 < t.read().count() < 1000
+    for bad, gone in (([(1, "a"), (1, "b")], []), ([(None, "a")], []), ([(1, "a")], [(1,)])):
+        with pytest.raises(ValueError):
+            t.apply(spark.createDataFrame(bad, "id long, v string"), spark.createDataFrame(gone, "id long"))
