@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import requests as R
+from . import workflow as W
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -215,34 +216,50 @@ def limiter_summary(outcomes: DataFrame, key: str = "provider") -> DataFrame:
     return g.withColumn("average_wait_ms", F.coalesce("average_wait_ms", F.lit(0.0)))
 
 
-def session_workflow(messages: DataFrame, text: str = "text", session: str = "session_id", turn: str = "turn", max_active: int = 1) -> DataFrame:
-    """session, turn, action, draft_status, revision: the state of a session's draft after each turn.
+#: The states and actions of ``session_workflow``.
+_DRAFT = (None, "waiting_for_information", "confirmed", "submitted", "cancelled")
+_ACTIONS = ("new_request", "update_draft", "confirm_draft", "cancel_draft", "submit_draft")
 
-    Intent and commands are columns (``intent``, ``explicit``, ``standalone``); the fold holds
-    only the draft's status and revision.
+
+def _drafted(status: str | None, action: str, asked: bool) -> tuple[str | None, int]:
+    """A draft's status after an action, and what becomes of its revision."""
+    if action == "new_request" and asked:
+        return "waiting_for_information", W.FIRST
+    if action == "update_draft" and status in ("waiting_for_information", "confirmed"):
+        return "waiting_for_information", W.NEXT
+    if action == "confirm_draft" and status == "waiting_for_information":
+        return "confirmed", W.KEEP
+    if action == "cancel_draft" and status not in (None, "submitted"):
+        return "cancelled", W.KEEP
+    return ("submitted" if action == "submit_draft" and status == "confirmed" else status), W.KEEP
+
+
+def session_workflow(messages: DataFrame, text: str = "text", session: str = "session_id", turn: str = "turn") -> DataFrame:
+    """session, turn, intent, action, draft_status, revision: the state of a session's draft after each turn.
+
+    Intent and commands are columns; what a turn does in each state is one number, and the states are folded
+    by ``workflow.fold_states``, so that a session of any length is cut over tasks.
     """
-    c = F.col(text)
-    pre = messages.select(session, turn, R.intent(c).alias("intent"), R.turn_action(c, F.lit("confirmed")).alias("with_draft"), R.turn_action(c, F.lit("waiting_for_information")).alias("waiting"), R.turn_action(c, F.lit(None).cast("string")).alias("without"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(turn)
-        status, revision, rows = None, 0, []
-        for r in pdf.itertuples():
-            action = r.without if status is None else r.waiting if status == "waiting_for_information" else r.with_draft
-            if action == "new_request" and r.intent == "draft_generation":
-                status, revision = "waiting_for_information", 1
-            elif action == "update_draft" and status not in (None, "submitted", "cancelled"):
-                status, revision = "waiting_for_information", revision + 1
-            elif action == "confirm_draft" and status == "waiting_for_information":
-                status = "confirmed"
-            elif action == "cancel_draft" and status not in (None, "submitted"):
-                status = "cancelled"
-            elif action == "submit_draft" and status == "confirmed":
-                status = "submitted"
-            rows.append((getattr(r, session), getattr(r, turn), r.intent, action, status, revision))
-        return pd.DataFrame(rows, columns=[session, turn, "intent", "action", "draft_status", "revision"])
-
-    return pre.groupBy(session).applyInPandas(fold, f"{session} {_type(messages, session)}, {turn} {_type(messages, turn)}, intent string, action string, draft_status string, revision long")
+    c, n = F.col(text), len(_ACTIONS)
+    place = lambda a: (F.array_position(F.array(*[F.lit(x) for x in _ACTIONS]), a) - 1).cast("int")
+    by_status = [R.turn_action(c, F.lit(s).cast("string")) for s in (None, "waiting_for_information", "confirmed")]
+    bare, waiting, held = (place(a) for a in by_status)
+    pre = messages.select(session, turn, ((((bare * n + waiting) * n + held) * 2) + (R.intent(c) == "draft_generation").cast("int")).cast("int").alias("code"), R.intent(c).alias("intent"))
+    moves, rules = np.zeros((2 * n**3, len(_DRAFT)), int), np.zeros((2 * n**3, len(_DRAFT)), int)
+    for code in range(2 * n**3):
+        which = (code // 2 // n // n, code // 2 // n % n, code // 2 % n)
+        for i, status in enumerate(_DRAFT):
+            after, rules[code, i] = _drafted(status, _ACTIONS[which[min(i, 2)]], code % 2 == 1)
+            moves[code, i] = _DRAFT.index(after)
+    intents = ("policy_query", "material_check", "approval_query", "draft_generation", "unknown")
+    which = F.when(F.col("before") == 0, F.floor(F.col("code") / (2 * n * n))).when(F.col("before") == 1, F.floor(F.col("code") / (2 * n)) % n).otherwise(F.floor(F.col("code") / 2) % n)
+    # The intent travels in the code, beyond what the tables read.
+    at = F.coalesce(F.array_position(F.array(*[F.lit(i) for i in intents]), F.col("intent")) - 1, F.lit(len(intents) - 1))
+    wide = pre.select(session, turn, (F.col("code") + 2 * n**3 * at).cast("int").alias("code"))
+    folded = W.fold_states(wide, session, turn, "code", np.tile(moves, (len(intents), 1)), np.tile(rules, (len(intents), 1)))
+    intent = F.get(F.array(*[F.lit(i) for i in intents]), F.floor(F.col("code") / (2 * n**3)).cast("int"))
+    folded = folded.withColumn("intent", intent).withColumn("code", F.col("code") % (2 * n**3))
+    return folded.select(session, turn, "intent", F.get(F.array(*[F.lit(a) for a in _ACTIONS]), which.cast("int")).alias("action"), F.get(F.array(*[F.lit(s) for s in _DRAFT]), F.col("after")).alias("draft_status"), F.col("count").alias("revision"))
 
 
 def revise(revisions: DataFrame, draft: str = "draft_id", order: str = "revision") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import approval, folds, materials, requests, safety, state
+from ..operators import approval, folds, materials, requests, safety, state, workflow
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -310,6 +310,56 @@ def session_workflow(spark, d):
     return folds.session_workflow(m.withColumn("text", text))
 
 
+#: Turns of the workflow: text, intent, explicit command, whether it asks for something of its own.
+_SAYS = (
+    ("生成采购申请草稿", "draft_generation", "", False),
+    ("修改数量为3台", "unknown", "update_draft", False),
+    ("确认", "unknown", "confirm_draft", False),
+    ("提交审批。", "unknown", "submit_draft", False),
+    ("取消草稿", "unknown", "cancel_draft", False),
+    ("谁审批", "approval_query", "", True),
+    ("预算编号 B-01", "unknown", "", False),
+    ("报销需要哪些材料", "material_check", "", True),
+    ("出差怎么安排", "policy_query", "", False),
+)
+#: Which of them a turn is, by session and turn; sessions of the conversations are laid together, seven to one.
+_SAID = f"(session_id * 5 + turn * turn * 3 + turn * 7 + turn // 5) % {len(_SAYS)}"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id // 7 AS session_id, (conv_id % 7) * 100 + turn AS turn FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+m AS (SELECT session_id, turn, CAST({_SAID} AS INTEGER) + 1 AS p, (session_id + turn) % 3 <> 1 AS ready, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n FROM t),
+w AS (SELECT m.*, [{', '.join(repr(t[1]) for t in _SAYS)}][p] AS intent, nullif([{', '.join(repr(t[2]) for t in _SAYS)}][p], '') AS said, [{', '.join(str(t[3]).upper() for t in _SAYS)}][p] AS alone FROM m),
+s AS (
+  SELECT session_id, 0 AS n, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS draft_status, CAST(0 AS BIGINT) AS revision, '' AS outcome, '' AS nodes FROM (SELECT DISTINCT session_id FROM t)
+  UNION ALL
+  SELECT w.session_id, w.n, w.turn,
+    CASE WHEN o.outcome = 'draft_ready' THEN 'waiting_for_confirmation' WHEN o.outcome = 'draft_incomplete' AND x.action IN ('new_request', 'update_draft') THEN 'waiting_for_information'
+         WHEN o.outcome IN ('confirmed', 'submitted', 'cancelled') THEN o.outcome ELSE s.draft_status END,
+    CASE WHEN x.action = 'new_request' AND w.intent = 'draft_generation' THEN 1 WHEN x.action = 'update_draft' AND o.outcome <> 'rejected_after_submission' THEN s.revision + 1 ELSE s.revision END,
+    o.outcome,
+    CASE WHEN x.action = 'pending' THEN '' ELSE 'resolve_turn' || CASE WHEN x.gate THEN '>human_confirmation_gate' ELSE '' END
+      || CASE x.action WHEN 'new_request' THEN '>classify_intent>' || CASE w.intent WHEN 'draft_generation' THEN 'generate_draft' WHEN 'unknown' THEN 'request_clarification' WHEN 'approval_query' THEN 'check_approval' WHEN 'material_check' THEN 'check_materials' ELSE 'answer_policy' END
+           WHEN 'submit_draft' THEN '>submit_approval' ELSE '>' || x.action END
+      || CASE WHEN o.outcome = 'draft_ready' OR (x.action = 'submit_draft' AND x.gate) THEN '>await_confirmation>human_confirmation_gate' ELSE '' END END
+  FROM s JOIN w ON w.session_id = s.session_id AND w.n = s.n + 1,
+    LATERAL (SELECT coalesce(s.draft_status = 'waiting_for_confirmation', FALSE) AS gate, CASE WHEN s.draft_status = 'waiting_for_confirmation' AND w.said IS NULL THEN 'pending' WHEN w.said = 'submit_draft' OR (s.draft_status IS NOT NULL AND w.said IS NOT NULL) THEN w.said
+      WHEN s.draft_status = 'waiting_for_information' AND NOT w.alone THEN 'update_draft' ELSE 'new_request' END AS action) x,
+    LATERAL (SELECT CASE x.action WHEN 'pending' THEN 'confirmation_pending'
+      WHEN 'new_request' THEN CASE w.intent WHEN 'draft_generation' THEN CASE WHEN w.ready THEN 'draft_ready' ELSE 'draft_incomplete' END WHEN 'unknown' THEN 'clarification' ELSE 'answered' END
+      WHEN 'update_draft' THEN CASE WHEN s.draft_status = 'submitted' THEN 'rejected_after_submission' WHEN w.ready THEN 'draft_ready' ELSE 'draft_incomplete' END
+      WHEN 'confirm_draft' THEN CASE s.draft_status WHEN 'waiting_for_confirmation' THEN 'confirmed' WHEN 'confirmed' THEN 'confirmed' WHEN 'submitted' THEN 'already_submitted' WHEN 'cancelled' THEN 'draft_cancelled' ELSE 'draft_incomplete' END
+      WHEN 'cancel_draft' THEN CASE WHEN s.draft_status = 'submitted' THEN 'already_submitted' ELSE 'cancelled' END
+      ELSE CASE WHEN s.draft_status IS NULL THEN 'draft_missing' WHEN s.draft_status = 'cancelled' THEN 'draft_cancelled' WHEN s.draft_status = 'confirmed' THEN 'submitted' WHEN s.draft_status = 'submitted' THEN 'replayed' ELSE 'confirmation_required' END END AS outcome) o)
+SELECT session_id, turn, draft_status, coalesce(draft_status = 'waiting_for_confirmation', FALSE) AS pending, revision, outcome, nodes FROM s WHERE n > 0""")
+def workflow_turns(spark, d):
+    """The conversation workflow over long sessions: drafts, the gate that interrupts, and what resumes it."""
+    m = table(spark, d, "conversations").select("conv_id", "turn").distinct().select(F.floor(F.col("conv_id") / 7).alias("session_id"), ((F.col("conv_id") % 7) * 100 + F.col("turn")).alias("turn"))
+    place = F.expr(_SAID.replace("turn // 5", "turn div 5")).cast("int")
+    text = F.get(F.array(*[F.lit(t[0]) for t in _SAYS]), place)
+    done = workflow.workflow(m.withColumn("text", text), ready=(F.col("session_id") + F.col("turn")) % 3 != 1)
+    return done.withColumn("nodes", F.array_join("nodes", ">"))
+
+
 @query("""WITH r AS (SELECT o_custkey AS draft_id, o_orderkey AS revision, o_orderstatus, o_orderpriority FROM orders),
 f AS (SELECT draft_id, revision, 'status' AS k, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS v FROM r UNION ALL SELECT draft_id, revision, 'urgent', CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority END FROM r),
 w AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY draft_id, k ORDER BY revision ROWS UNBOUNDED PRECEDING) AS x FROM f)

@@ -5,15 +5,14 @@ Every function takes a streaming (or batch) DataFrame, so that the same plan is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.buckets import BucketTable
-from ..operators.safety import redact
 from ..operators.state import latest
+from .stateful import memory, workflow_sessions
+
+__all__ = ["deduplicated", "event_time", "idempotent", "live_counters", "memory", "sessions", "sync_files", "windowed", "workflow_sessions"]
 
 
 def event_time(events: DataFrame, at: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -45,27 +44,6 @@ def live_counters(requests: DataFrame, keys: tuple[str, ...] = ("route", "status
     return requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.sum("duration").alias("duration_sum"))
 
 
-def memory(messages: DataFrame, keep_turns: int = 50, session: str = "session_id", order: str | None = None, limit: int = 2000) -> DataFrame:
-    """Append-only memory: messages (session_id, role, content) get turn numbers, and the state keeps
-    how many turns were allocated and which is the oldest retained. Messages of a micro-batch are taken
-    in order of ``order``; secrets are redacted before anything is kept, and blank messages go."""
-    messages = messages.withColumn("content", redact(F.col("content"), limit)["content"]).where("content is not null")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        held = pd.concat(list(batches))
-        for pdf in (held if order is None else held.sort_values(order, kind="stable"),):
-            turns = []
-            for role in pdf["role"]:
-                last += role == "user"
-                turns.append(max(last, 1))
-            yield pd.DataFrame({session: [key[0]] * len(pdf), "turn": turns, "role": pdf["role"], "content": pdf["content"], "oldest_kept": [max(1, t - keep_turns + 1) for t in turns]})
-        state.update((last,))
-
-    kind = messages.schema[session].dataType.simpleString()
-    return messages.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, turn long, role string, content string, oldest_kept long", "last long", "append", "NoTimeout")
-
-
 def idempotent(attempts: DataFrame) -> DataFrame:
     """The first attempt of each idempotency key within the watermark."""
     return deduplicated(attempts, ["idempotency_key"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from quillmere.operators import access, approval, chunking, evaluation, folds, fusion, index_sync, lexical, materials, postings, requests, safety, state, telemetry, vector
+from quillmere.operators import access, approval, chunking, evaluation, folds, fusion, index_sync, lexical, materials, postings, requests, safety, state, telemetry, vector, workflow
 
 RULES = "status string, effective date, expiry date, rank int, departments array<string>, roles array<string>, region string"
 
@@ -214,6 +214,38 @@ def test_masks_of_profiles(spark, profile_block):
     assert {x for x in got if int(x[0][1:]) < 25} == want and len(want) > 50
 
 
+def test_states_of_a_hot_session(spark):
+    """A session of most turns lies in many tasks, and its states and revisions are those of a fold turn by turn."""
+    import random
+
+    r = random.Random(6)
+    rows = [("hot", i, r.randrange(workflow.N_CODES)) for i in range(3000)] + [(r.choice(["a", "b", None]), i, r.randrange(workflow.N_CODES)) for i in range(200)] + [("hot2", 1, 5)]
+    r.shuffle(rows)
+    events = spark.createDataFrame(rows, "s string, t long, code int").repartition(6)
+    moves, rules = workflow.tables()
+    folded = workflow.fold_states(events, "s", "t", "code", moves, rules)
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in folded.collect()}
+    assert folded.select(F.spark_partition_id().alias("p")).distinct().count() >= 3
+    want, held = {}, {}
+    for s, t, c in sorted(rows, key=lambda x: (str(x[0]), x[1], x[2])):
+        before, count = held.get(s, (0, 0))
+        rule, after = rules[c, before], int(moves[c, before])
+        count = 1 if rule == workflow.FIRST else count + int(rule == workflow.NEXT)
+        held[s], want[s, t, c] = (after, count), (before, after, count)
+    assert got == want
+    assert workflow.fold_states(events.limit(0), "s", "t", "code", moves, rules).count() == 0
+
+
+def test_every_branch_of_the_workflow():
+    """Each node is reached, and each outcome follows from its state."""
+    every = workflow._every()
+    assert {n for x in every for n in x[3]} == set(workflow.NODES)
+    assert workflow.step("waiting_for_confirmation", "approval_query", None, True, False) == ("waiting_for_confirmation", 0, "confirmation_pending", ())
+    assert workflow.step("waiting_for_confirmation", "unknown", "submit_draft", False, False)[2:] == ("confirmation_required", ("resolve_turn", "human_confirmation_gate", "submit_approval", "await_confirmation", "human_confirmation_gate"))
+    assert workflow.step("submitted", "unknown", "update_draft", False, True)[:3] == ("submitted", 0, "rejected_after_submission")
+    assert workflow.step("submitted", "draft_generation", None, False, True)[:3] == ("waiting_for_confirmation", 2, "draft_ready")
+
+
 def test_memory(spark):
     m = spark.createDataFrame([("s", t, r, r * t) for t in (1, 2, 3) for r in ("user", "assistant")], "session_id string, turn int, role string, content string")
     assert sorted((r.turn, r.role) for r in state.retained(m, 2).collect()) == [(2, "assistant"), (2, "user"), (3, "assistant"), (3, "user")]

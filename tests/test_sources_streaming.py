@@ -1,3 +1,4 @@
+import datetime
 import io
 import zipfile
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere import sources, streaming
-from quillmere.operators import buckets
+from quillmere.operators import buckets, state, workflow
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -120,17 +121,60 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_streaming_memory(spark, tmp_path):
     m = spark.createDataFrame([("s", r, r) for r in ("user", "assistant", "user")], "session_id string, role string, content string").coalesce(1)
     m.write.parquet(str(tmp_path / "m"))
-    out = _drain(streaming.memory(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), 1), "append", "mem", tmp_path)
+    out = _drain(streaming.memory(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), 1, ttl_minutes=None), "append", "mem", tmp_path)
     assert [(r.turn, r.role, r.oldest_kept) for r in out.collect()] == [(1, "user", 1), (1, "assistant", 1), (2, "user", 2)]
 
 
 def test_streaming_memory_in_order_and_without_secrets(spark, tmp_path):
     m = spark.createDataFrame([("s", "user", "third", 3), ("s", "assistant", "token: abc", 2), ("s", "user", "first", 1), ("s", "user", " \t", 4)], "session_id string, role string, content string, at int")
     m.write.parquet(str(tmp_path / "m"))
-    out = _drain(streaming.memory(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), order="at"), "append", "mem2", tmp_path)
+    out = _drain(streaming.memory(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), order="at", ttl_minutes=None), "append", "mem2", tmp_path)
     assert sorted((r.turn, r.role, r.content) for r in out.collect()) == [(1, "assistant", "[REDACTED]"), (1, "user", "first"), (2, "user", "third")]
 
 
+def test_memory_of_a_replayed_stream(spark, tmp_path):
+    """Batch by batch the state holds what the batch operator retains, and no more than its turns."""
+    schema, rows = "session_id string, role string, content string, at int", []
+    for i in range(40):
+        rows.append((f"s{i % 3}", "user" if i % 2 == 0 or i % 7 == 0 else "assistant", f"text {i}", i))
+    (tmp_path / "m").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "m"))
+    for part in (rows[:11], rows[11:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+        out = streaming.memory(stream, 2, order="at", ttl_minutes=None)
+        out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    kept = {tuple(r) for r in state.retained(got, 2).select("session_id", "turn", "role", "content").collect()}
+    turns, want = {}, []
+    for s, role, content, _ in rows:
+        turns[s] = turns.get(s, 0) + (role == "user")
+        want.append((s, max(turns[s], 1), role, content))
+    assert {tuple(r) for r in got.select("session_id", "turn", "role", "content").collect()} == set(want)
+    assert kept == {w for w in want if w[1] > turns[w[0]] - 2}
+    last = {r.session_id: r for r in got.where("session_id is not null").orderBy(F.col("turn"), F.size("context")).collect()}
+    assert all(r.n_held <= sum(1 for w in want if w[0] == s) and r.oldest_kept == max(1, r.turn - 1) for s, r in last.items())
+    assert max(r.n_held for r in got.collect()) < 14 and {r.context[-1].split(": ")[1] for r in got.where("content = 'text 39'").collect()} == {"text 39"}
+
+
+def test_workflow_sessions_equal_the_batch(spark, tmp_path):
+    """Turns over several micro-batches run through the states of the batch, and idle sessions are closed."""
+    schema, words = "session_id string, at timestamp_ntz, text string, ready boolean", ["生成采购申请草稿", "预算编号 B-01", "确认", "提交审批。", "谁审批", "取消草稿", "修改数量为3台"]
+    rows = [(f"s{i % 4}", datetime.datetime(2026, 1, 1, 8, i % 60), words[(i * 5 + i // 7) % 7], i % 3 == 0) for i in range(56)]
+    late = [("end", datetime.datetime(2026, 1, 1, 20, i), "谁审批", False) for i in (0, 50)]
+    (tmp_path / "t").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "t"))
+    for part in (rows[:20], rows[20:], late[:1], late[1:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+        out = streaming.workflow_sessions(stream, ready=F.col("ready"))
+        out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = spark.createDataFrame([(s, sum(1 for r in rows[:n] if r[0] == s) + 1, t, ready) for n, (s, _, t, ready) in enumerate(rows)], "session_id string, turn long, text string, ready boolean")
+    columns = ["session_id", "turn", "draft_status", "pending", "revision", "outcome", "nodes"]
+    want = sorted(map(str, workflow.workflow(batch, ready=F.col("ready")).select(*columns).collect()))
+    assert sorted(map(str, got.where("outcome <> 'abandoned' and session_id <> 'end'").select(*columns).collect())) == want
+    assert {r.session_id for r in got.where("outcome = 'abandoned'").collect()} >= {"s0", "s1", "s2", "s3"}
+
+
 def test_sync_files(spark, tmp_path):
     """Rows of every batch arrive once, also when a batch is played again."""
     schema = "id long, v string, at int, gone boolean"
