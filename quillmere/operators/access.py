@@ -172,7 +172,7 @@ def allowed_profiles(rows: DataFrame, identities: DataFrame, as_of: str, key: st
             departments, roles = (F.when(_open(F.col(c)), F.col("__all")).otherwise(_either(F.col(k), F.coalesce(F.col(c), nobody, F.array().cast("array<string>")))) for c, k in (("__d", "__deps"), ("__r", "__rols")))
             region = F.when(F.col("__g").isNull(), F.col("__all")).otherwise(F.coalesce(F.try_element_at("__regs", F.col("__g")), F.col("__none")))
             cleared = F.coalesce(F.get(F.filter("__ranks", lambda x: x["rank"] >= F.col("__need")), F.lit(0))["mask"], F.col("__none"))
-            seen = m.select(key, "__names", _both(departments, roles, region, cleared).alias("__m")).where(F.exists("__m", lambda w: w != 0))
+            seen = m.select(key, "__names", _both(departments, roles, region, cleared).alias("__m"))
             bits = F.flatten(F.transform("__m", lambda w, i: F.transform(_bits(w), lambda b: b + i * WORD)))
             done.append(seen.select(key, "__names", F.explode(bits).alias("__n")).select(F.get("__names", F.col("__n")).alias("profile"), key))
         if len(block) < profile_block:

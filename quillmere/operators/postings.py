@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 _COLUMNS = ("ids", "lengths", "terms", "lists", "local", "tf", "blocks", "ranges", "begins", "most_tf", "least_dl")
 _SHARDS = "shard bigint, n bigint, dl bigint, " + ", ".join(f"{c} binary" for c in _COLUMNS)
@@ -171,7 +171,7 @@ class Postings:
     def __init__(self, tokenized: DataFrame, key: str = "doc_id", shard_docs: int = 2048):
         self.key = key
         rows = tokenized.select(F.col(key).cast("bigint").alias(key), "terms", "dl")
-        self.shards = cut(rows.mapInArrow(_indexed(shard_docs), _SHARDS))
+        self.shards = stored(rows.mapInArrow(_indexed(shard_docs), _SHARDS), "postings")
         n, dl = self.shards.agg(F.sum("n"), F.sum("dl")).first()
         self.n, self.mean = n or 0, (dl or 0) / n if n and dl else 1.0
 

@@ -149,12 +149,12 @@ _PIECE = pa.schema([("piece", pa.int64()), ("first", pa.string()), ("last", pa.s
 _PIECES = "piece bigint, first string, last string, single boolean, state array<bigint>, add array<bigint>, anew array<boolean>"
 
 
-def fold_states(events: DataFrame, key: str, order: str, code: str, moves: np.ndarray, rules: np.ndarray) -> DataFrame:
+def fold_states(events: DataFrame, key: str, order: str, code: str, moves: np.ndarray, rules: np.ndarray, parts: int | None = None) -> DataFrame:
     """key, order, code of every event with before and after (states, from 0 for a key's first event) and
-    count (a number that begins at 0 and follows ``rules``). Events of one place go by their code."""
+    count (a number that begins at 0 and follows ``rules``). Events of one place go by their code. ``parts`` is the number of ranges, if not Spark's choice."""
     names = (key, order, code)
-    events = events.select(*names).repartitionByRange(*names).sortWithinPartitions(*names)
-    stored = cut(events)
+    dealt = events.select(*names).repartitionByRange(*([parts] if parts else []), *names)
+    stored = cut(dealt.sortWithinPartitions(*names))
     pieces = sorted(stored.mapInArrow(_pieces(moves, rules), _PIECES).collect(), key=lambda r: r["piece"])  # one row a task
     begin, held = {}, (None, 0, 0)
     for p in pieces:

@@ -60,6 +60,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a folder of its own below the shared one, and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(name: str = "quillmere", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(name)
     if master:

@@ -223,7 +223,7 @@ def test_states_of_a_hot_session(spark):
     r.shuffle(rows)
     events = spark.createDataFrame(rows, "s string, t long, code int").repartition(6)
     moves, rules = workflow.tables()
-    folded = workflow.fold_states(events, "s", "t", "code", moves, rules)
+    folded = workflow.fold_states(events, "s", "t", "code", moves, rules, parts=6)
     got = {tuple(x)[:3]: tuple(x)[3:] for x in folded.collect()}
     assert folded.select(F.spark_partition_id().alias("p")).distinct().count() >= 3
     want, held = {}, {}
