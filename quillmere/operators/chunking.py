@@ -6,6 +6,7 @@ and lines are grouped by (document, article counter). A chapter heading closes t
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,38 @@ def flat_header(header: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([\w.-]+)\s*:", 1)), F.btrim(F.trim(F.regexp_extract(x, r"^[\w.-]+\s*:(.*)$", 1)), F.lit("\"'")))))
 
 
+def nested_header(header: Column) -> Column:
+    """A YAML header of any depth as struct(fields, error): a map of dotted keys (lists by number) to values as
+    text, null where the header is no mapping, with the reason. An Arrow UDF; the parser is PyYAML."""
+    import yaml
+
+    def flat(value, name: str, out: dict[str, str | None]) -> None:
+        inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else None
+        if inner is None:
+            out[name] = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+        for k, v in inner or ():
+            flat(v, f"{name}.{k}" if name else str(k), out)
+
+    def one(text: str | None) -> dict:
+        if text is None:
+            return {"fields": None, "error": None}
+        try:
+            value = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            return {"fields": None, "error": type(e).__name__}
+        if not isinstance(value, dict):
+            return {"fields": None, "error": "empty" if value is None else "no_mapping"}
+        out: dict[str, str | None] = {}
+        flat(value, "", out)
+        return {"fields": out, "error": None}
+
+    @F.pandas_udf("fields map<string, string>, error string")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["fields", "error"])
+
+    return parsed(header)
+
+
 #: Plain headings of extracted text, what ends a sentence, and the longest article title.
 PLAIN_CHAPTER, PLAIN_ARTICLE = rf"^第{_NUM}章(?: +.*)?$", rf"^(第{_NUM}条)(?: +(.*))?$"
 SENTENCE_END, TITLE_LENGTH = "[。！？；;!?.]", 24

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, buckets, chunking, index_sync, safety
+from ..operators import access, buckets, chunking, constraints, index_sync, safety
 from ..session import table
 from .common import ALLOWED, AS_OF, GOVERNED, IDENTITY, TERMS, governed, terms
 
@@ -311,3 +311,42 @@ def record_metadata(spark, d):
     m = index_sync.record_metadata({"doc": F.col("doc_id"), "lang": F.when(F.col("lang") == "en", F.col("lang")), "source": F.col("source")})
     e = F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
     return docs(spark, d).select("doc_id", F.array_join(e, ";").alias("metadata"))
+
+
+# --- constraints ---------------------------------------------------------------------------------
+
+_RULES_SQL = """(
+  SELECT 'orders' AS "table", 'total_positive' AS rule, 'row' AS kind, 'error' AS severity, count(*) AS checked, count(*) FILTER (NOT coalesce(o_totalprice > 1000, FALSE)) AS violations,
+    list_sort(list(CAST(o_orderkey AS VARCHAR) ORDER BY CAST(o_orderkey AS VARCHAR)) FILTER (NOT coalesce(o_totalprice > 1000, FALSE)))[1:5] AS samples FROM orders
+  UNION ALL SELECT 'orders', 'known_status', 'row', 'warning', count(*), count(*) FILTER (o_orderstatus NOT IN ('O', 'F')), list_sort(list(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderstatus NOT IN ('O', 'F')))[1:5] FROM orders
+  UNION ALL SELECT 'orders', 'customer', 'reference', 'error', count(*), count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)), list_sort(list(CAST(o_orderkey AS VARCHAR)) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)))[1:5] FROM orders
+  UNION ALL SELECT 'lineitem', 'line_number', 'unique', 'error', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT), list_sort(list(CAST(k AS VARCHAR)) FILTER (n > 1))[1:5] FROM (SELECT count(*) AS n, min(l_orderkey) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber)
+  UNION ALL SELECT 'lineitem', 'supplier_of_order', 'unique', 'warning', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT), list_sort(list(CAST(k AS VARCHAR)) FILTER (n > 1))[1:5] FROM (SELECT count(*) AS n, min(l_orderkey) AS k FROM lineitem GROUP BY l_orderkey, l_suppkey)
+  UNION ALL SELECT 'lineitem', 'dates', 'row', 'error', count(*), count(*) FILTER (NOT coalesce(l_discount <= 0.1 AND l_quantity BETWEEN 1 AND 49, FALSE)), list_sort(list(CAST(l_orderkey AS VARCHAR)) FILTER (NOT coalesce(l_discount <= 0.1 AND l_quantity BETWEEN 1 AND 49, FALSE)))[1:5] FROM lineitem
+  UNION ALL SELECT 'documents', 'language', 'row', 'error', count(*), count(*) FILTER (NOT coalesce(lang IN ('en', 'de', 'fr'), FALSE)), list_sort(list(CAST(doc_id AS VARCHAR)) FILTER (NOT coalesce(lang IN ('en', 'de', 'fr'), FALSE)))[1:5] FROM documents
+  UNION ALL SELECT 'documents', 'same_text', 'unique', 'error', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT), list_sort(list(CAST(k AS VARCHAR)) FILTER (n > 1))[1:5] FROM (SELECT count(*) AS n, min(doc_id) AS k FROM documents GROUP BY sha256(text))
+)"""
+
+
+def _suite(spark, d):
+    o, c, li = (table(spark, d, t) for t in ("orders", "customer", "lineitem"))
+    texts = docs(spark, d).select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    rule, unique = constraints.Rule, constraints.Unique
+    return constraints.suite({
+        "orders": (o, [rule("total_positive", F.col("o_totalprice") > 1000), rule("known_status", F.col("o_orderstatus").isin("O", "F"), "warning"), constraints.Reference("customer", "o_custkey", c.where("c_acctbal >= 0"), "c_custkey")], "o_orderkey"),
+        "lineitem": (li, [rule("dates", (F.col("l_discount") <= 0.1) & F.col("l_quantity").between(1, 49)), unique("line_number", ("l_orderkey", "l_linenumber")), unique("supplier_of_order", ("l_orderkey", "l_suppkey"), "warning")], "l_orderkey"),
+        "documents": (texts, [rule("language", F.col("lang").isin("en", "de", "fr")), unique("same_text", ("digest",))], "doc_id"),
+    })
+
+
+@query(f"SELECT \"table\", rule, kind, severity, checked, violations, coalesce(array_to_string(samples, ','), '') AS samples FROM {_RULES_SQL}")
+def constraint_report(spark, d):
+    """Rules over three tables: predicates, uniqueness and references, with the keys of first violations."""
+    return _suite(spark, d).withColumn("samples", F.array_join("samples", ","))
+
+
+@query(f"SELECT \"table\" AS case_id, count(*) FILTER (severity = 'error' AND violations > 0) = 0 AS passed FROM {_RULES_SQL} GROUP BY \"table\"")
+def constraint_cases(spark, d):
+    """A table is a case that passes if no rule of severity error is violated."""
+    wrong = (F.col("severity") == "error") & (F.col("violations") > 0)
+    return _suite(spark, d).groupBy(F.col("table").alias("case_id")).agg((~F.max(wrong)).alias("passed"))

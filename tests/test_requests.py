@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.operators import answers, approval, evaluation, materials, requests
+from quillmere.operators import answers, approval, constraints, evaluation, materials, requests
 
 #: request, intent, approval level, approvers, material type, complete
 REQUESTS = (
@@ -110,3 +110,20 @@ def test_a_failing_channel_is_recorded(spark):
     assert rows["broken", 2].error == "RuntimeError: the index is away" and rows["late", 1].error and rows["broken", 1].retrieved == []
     s = {x.channel: x for x in evaluation.channel_summary(r, gate_recall=0.5, gate_mrr=0.5).collect()}
     assert s["good"].passed and (s["broken"].n_errors, s["broken"].passed, s["broken"].recall_5) == (2, False, 0.0)
+
+
+# --- constraints ---------------------------------------------------------------------------------
+
+
+def test_constraints(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (2, None, "a"), (3, -1, "b"), (4, 7, None), (5, 7, None), (None, -2, "c")], "id int, n int, ref string")
+    known = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    rules = [constraints.Rule("positive", F.col("n") > 0), constraints.Rule("positive_or_null", F.col("n").isNull() | (F.col("n") > 0), "warning"), constraints.Unique("n", ("n",)), constraints.Unique("pair", ("id", "n")), constraints.Reference("ref", "ref", known, "k")]
+    got = {r["rule"]: (r.kind, r.checked, r.violations, list(r.samples)) for r in constraints.judge(rows, rules, "id", samples=2).collect()}
+    assert got == {"positive": ("row", 6, 3, ["2", "3"]), "positive_or_null": ("row", 6, 2, ["3", "null"]), "n": ("unique", 6, 1, ["4"]), "pair": ("unique", 6, 0, []), "ref": ("reference", 4, 2, ["3", "null"])}
+    assert constraints.passed(constraints.judge(rows, rules[:2], "id")).first().passed is False
+    assert constraints.passed(constraints.judge(rows, rules[1:2], "id")).first().passed is True
+    none = {r["rule"]: (r.checked, r.violations, list(r.samples)) for r in constraints.judge(rows.limit(0), rules, "id").collect()}
+    assert set(none.values()) == {(0, 0, [])}
+    with pytest.raises(ValueError):
+        constraints.judge(rows, [rules[0], rules[0]], "id")

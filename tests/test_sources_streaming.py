@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere import sources, streaming
-from quillmere.operators import buckets, state, workflow
+from quillmere.operators import buckets, chunking, state, workflow
+from quillmere.sources import datasource
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -32,6 +33,42 @@ def test_loaders(spark, tmp_path):
         sources.Registry().register(".md", "again", None)
 
 
+def test_documents_as_a_data_source(spark, tmp_path):
+    """The format gives what the registry loads; filters keep files closed; a stream takes new files once."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("\ufeff# hi\nthere", encoding="utf-8")
+    (folder / "b.docx").write_bytes(_docx())
+    (folder / "c.DOCX").write_bytes(b"broken")
+    (folder / "d.md").write_text(" ", encoding="utf-8")
+    (folder / "e.txt").write_text("no loader", encoding="utf-8")
+    (folder / "sub").mkdir()
+    registry = sources.Registry()
+    datasource.register(spark, registry)
+    got = spark.read.format("documents").load(str(folder))
+    rows = {r.stem: (r.loader, r.text, r.line_blocks and list(r.line_blocks), r.error) for r in got.collect()}
+    loaded = {r.stem: (r.loader, r.text, r.line_blocks and list(r.line_blocks), r.error) for r in registry.load(spark, str(folder)).collect()}
+    assert set(rows) == {"a", "b", "c", "d"} and rows["c"] == ("docx", None, None, "BadZipFile") and {k: v for k, v in rows.items() if k != "c"} == {k: v for k, v in loaded.items() if k != "c"}
+    assert got.rdd.getNumPartitions() == 4
+    one = got.where("loader = 'docx' and stem in ('b', 'x')")
+    assert [r.stem for r in one.collect()] == ["b"] and one.rdd.getNumPartitions() == 1
+    stream = spark.readStream.format("documents").load(str(folder))
+    run = lambda: stream.select("stem", "error").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    run()
+    (folder / "f.md").write_text("new", encoding="utf-8")
+    run()
+    run()
+    assert sorted(r.stem for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "d", "f"]
+
+
+def test_nested_headers(spark):
+    header = "title: A: no\nx: 1", "title: T\nscope:\n  departments: [HR, IT]\n  open: true\nnone:", "- a", "", None
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(header)], "i int, h string").select("i", chunking.nested_header(F.col("h")).alias("p"))
+    got = {r.i: (r.p.fields, r.p.error) for r in rows.collect()}
+    assert got[1] == ({"title": "T", "scope.departments.0": "HR", "scope.departments.1": "IT", "scope.open": "true", "none": None}, None)
+    assert got[0] == (None, "ScannerError") and got[2] == (None, "no_mapping") and got[3] == (None, "empty") and got[4] == (None, None)
+
+
 def test_json_lines_and_web(spark, tmp_path):
     f = tmp_path / "x.jsonl"
     f.write_text('{"id":"a"}\n{"id":"a"}\nnot json\n', encoding="utf-8")
