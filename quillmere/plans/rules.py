@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import approval, folds, materials, requests, safety, state, workflow
+from ..operators import approval, folds, materials, requests, revisions, safety, state, workflow
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -310,6 +311,26 @@ def session_workflow(spark, d):
     return folds.session_workflow(m.withColumn("text", text))
 
 
+@query(f"""WITH r AS (SELECT o_custkey AS draft_id, o_orderkey AS revision, o_orderkey % 5 AS kind, 1 + o_orderkey % 9 AS n, 100 + o_orderkey * 37 % 29000 AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS first FROM orders),
+c AS (SELECT *, CASE WHEN first OR kind = 0 THEN n END AS said_n, CASE WHEN first OR kind = 1 THEN price END AS said_price, CASE WHEN NOT first AND kind = 2 THEN n * price END AS said_total, CASE WHEN first THEN FALSE WHEN kind = 3 THEN TRUE END AS said_urgent FROM r),
+h AS (SELECT draft_id, revision, {', '.join(f"last_value(said_{x} IGNORE NULLS) OVER (PARTITION BY draft_id ORDER BY revision ROWS UNBOUNDED PRECEDING) AS {x}" for x in ('n', 'price', 'total', 'urgent'))} FROM c),
+f AS (SELECT *, CAST(coalesce(total, n * price) AS DECIMAL(18, 2)) AS amount, coalesce(total <> n * price, FALSE) AS wrong FROM h)
+SELECT draft_id, revision, CAST(n AS VARCHAR) AS quantity, CAST(amount AS VARCHAR) AS total, CASE WHEN wrong THEN 'PURCHASE_TOTAL_MISMATCH' ELSE '' END AS issues, CASE WHEN wrong THEN 'waiting_for_information' ELSE 'waiting_for_confirmation' END AS status,
+  CASE WHEN urgent THEN 'emergency_purchase' WHEN amount <= 5000 THEN 'small_purchase' WHEN amount <= 50000 THEN 'general_purchase' WHEN amount <= 200000 THEN 'important_purchase' ELSE 'major_purchase' END AS level,
+  array_to_string(list_filter(CASE WHEN urgent THEN ['DEPARTMENT_HEAD', 'IT_DEPARTMENT', 'PROCUREMENT_DEPARTMENT', 'FINANCE_DEPARTMENT', CASE WHEN amount > 50000 THEN 'BUSINESS_VICE_PRESIDENT' END, CASE WHEN amount > 200000 THEN 'GENERAL_MANAGER' END]
+    ELSE ['DIRECT_MANAGER', CASE WHEN amount > 5000 THEN 'DEPARTMENT_HEAD' END, 'IT_DEPARTMENT', CASE WHEN amount > 5000 THEN 'PROCUREMENT_DEPARTMENT' END, CASE WHEN amount > 50000 THEN 'FINANCE_DEPARTMENT' END, CASE WHEN amount > 50000 THEN 'BUSINESS_VICE_PRESIDENT' END, CASE WHEN amount > 200000 THEN 'GENERAL_MANAGER' END] END, lambda x: x IS NOT NULL), '>') AS route,
+  array_to_string(list_filter(['technical_requirement:1', 'it_review_opinion:1', CASE WHEN urgent THEN 'emergency_purchase_explanation:1' END, CASE WHEN amount > 200000 THEN 'tender_document:1' END, CASE WHEN amount > 50000 AND amount <= 200000 THEN 'quotation:3' END, CASE WHEN amount > 50000 AND amount <= 200000 THEN 'comparison_record:1' END, CASE WHEN amount > 5000 AND amount <= 50000 THEN 'quotation:2' END], lambda x: x IS NOT NULL), ',') AS materials FROM f""")
+def purchase_revisions(spark, d):
+    """A customer's orders as revisions of a draft: counts, prices, totals and urgency change, and what hangs on them follows."""
+    k, first = F.col("o_orderkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1
+    n, price = (1 + k % 9).cast("string"), (100 + k * 37 % 29000).cast("string")
+    whole = F.concat(F.lit("采购"), n, F.lit("台显示器，每台"), price, F.lit("元，"), F.lit("，".join(c for _, c in _CLAUSES)))
+    says = F.array(F.concat(F.lit("数量改成"), n, F.lit("台")), F.concat(F.lit("每台改为"), price, F.lit("元")), F.concat(F.lit("总金额调整为"), ((1 + k % 9) * (100 + k * 37 % 29000)).cast("string"), F.lit("元")), F.lit("改为紧急采购"), F.concat(F.lit("用途：扩容"), n))
+    rows = table(spark, d, "orders").withColumn("first", first).select(F.col("o_custkey").alias("draft_id"), k.alias("revision"), F.when(F.col("first"), whole).otherwise(F.get(says, (k % 5).cast("int"))).alias("text"))
+    done = revisions.purchases(rows)
+    return done.select("draft_id", "revision", F.col("fields")["quantity"].alias("quantity"), F.col("total").cast("string").alias("total"), F.array_join("issues", ",").alias("issues"), "status", "level", F.array_join(F.transform("steps", lambda s: s["approver"]), ">").alias("route"), F.array_join(F.transform("materials", lambda m: F.concat(m["material"], F.lit(":"), m["required"].cast("string"))), ",").alias("materials"))
+
+
 #: Turns of the workflow: text, intent, explicit command, whether it asks for something of its own.
 _SAYS = (
     ("生成采购申请草稿", "draft_generation", "", False),
