@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -125,6 +127,19 @@ def evidence_counts(assessed: DataFrame) -> DataFrame:
     return assessed.agg(F.count(F.lit(1)).alias("checked"), F.count_if("blocked").alias("quarantined"))
 
 
+def observed(assessed: DataFrame, name: str = "guard") -> tuple[DataFrame, Observation]:
+    """``assessed`` as it is, with the counters of ``guard_counts`` and ``evidence_counts`` taken in passing by
+    whatever reads it: no scan of their own. The observation has checked, blocked, llm_calls_avoided and
+    quarantined once an action on the result (or on a plan above it) is done; on a stream they come
+    with each batch's progress, under ``name``."""
+    blocked = F.count_if("blocked")
+    counters = [F.count(F.lit(1)).alias("checked"), blocked.alias("blocked"), blocked.alias("llm_calls_avoided"), blocked.alias("quarantined")]
+    if assessed.isStreaming:
+        return assessed.observe(name, *counters), None
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    return assessed.observe(seen, *counters), seen
+
+
 def redact(c: Column, limit: int = 2000) -> Column:
     """struct(content, redacted, truncated). White space of any kind at the ends goes; blank content is null."""
 

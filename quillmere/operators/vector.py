@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut
 from .blocks import in_blocks
 
+#: Queries that a task multiplies with a batch of vectors at once.
+AT_ONCE = 256
+
 
 def indexed(rows: DataFrame, key: str, embedding: str, dimension: int) -> DataFrame:
     """key, v (doubles), norm: usable vectors with their norm computed once."""
@@ -62,7 +66,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, query_key: s
     smaller key. ``other`` leaves out the vector with the query's own key. Keys are integers.
 
     Both sides have v and norm (see ``indexed``). The stated queries are gathered and broadcast in
-    blocks of ``query_block``.
+    blocks of ``query_block``, of which a task multiplies a few hundred at a time; a block's answers are
+    stored and its broadcast freed before the next.
     """
     spark, done = index.sparkSession, []
     spec = f"{query_key} bigint, {key} bigint, score double"
@@ -77,11 +82,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, query_key: s
                     part = b.slice(at, 2048)
                     m, n = _matrix(part.column(1), q.shape[1]), part.column(2).to_numpy()
                     own = part.column(0).to_numpy()
-                    s = q @ m.T
-                    s = np.round(s if dot else s / (norm[:, None] * n[None, :]), digits)
-                    if other:
-                        s[ids[:, None] == own[None, :]] = -np.inf
-                    best = _best(np.concatenate([best[0], s], axis=1), np.concatenate([best[1], np.broadcast_to(own, s.shape)], axis=1), k)
+                    for lo in range(0, len(ids), AT_ONCE):
+                        some = slice(lo, lo + AT_ONCE)
+                        s = q[some] @ m.T
+                        s = np.round(s if dot else s / (norm[some, None] * n[None, :]), digits)
+                        if other:
+                            s[ids[some, None] == own[None, :]] = -np.inf
+                        best[0][some], best[1][some] = _best(np.concatenate([best[0][some], s], axis=1), np.concatenate([best[1][some], np.broadcast_to(own, s.shape)], axis=1), k)
             row, at = np.nonzero(best[0] > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[1][row, at]), pa.array(best[0][row, at])], [query_key, key, "score"])
 
@@ -92,7 +99,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, query_key: s
         block = (queries if last is None else queries.where(F.col(query_key) > last)).orderBy(query_key).limit(query_block).select(query_key, "v", "norm").collect()
         if block:
             shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block]), np.array([r[2] for r in block])))
-            done.append(src.mapInArrow(scored(shared), spec))
+            done.append(cut(src.mapInArrow(scored(shared), spec)))
+            shared.unpersist()
             last = block[-1][0]
         if len(block) < query_block:
             break

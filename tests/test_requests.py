@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.operators import answers, approval, constraints, evaluation, materials, requests
+from quillmere.operators import answers, approval, catalogue, constraints, evaluation, materials, requests, safety, vector
 
 #: request, intent, approval level, approvers, material type, complete
 REQUESTS = (
@@ -127,3 +127,58 @@ def test_constraints(spark):
     assert all(v == (0, 0, []) for v in none.values()) and len(none) == 5
     with pytest.raises(ValueError):
         constraints.judge(rows, [rules[0], rules[0]], "id")
+
+
+# --- catalogue, counters -------------------------------------------------------------------------
+
+
+def test_service_tables(spark):
+    """Eight tables, created twice without change; older ones gain columns, later ones are refused."""
+    db = "quillmere_test_catalogue"
+    spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+    try:
+        assert len(catalogue.create(spark, db)) == 8 and catalogue.create(spark, db) == []
+        assert spark.table(f"{db}.drafts").schema["fields"].dataType.simpleString() == "map<string,string>"
+        spark.sql(f"DROP TABLE {db}.sessions")
+        old = catalogue.Table("sessions", tuple(c for c in catalogue.TABLES[0].columns if c[0] != "expires_at"), ("session_id",))
+        catalogue.create(spark, db, (old,), version=1)
+        spark.sql(f"INSERT INTO {db}.sessions VALUES ('s', 'o', 'idle', 1, null)")
+        assert catalogue.create(spark, db) == ["sessions"] and spark.table(f"{db}.sessions").first().asDict()["expires_at"] is None
+        assert catalogue.version_of(spark, f"{db}.sessions") == 2 and catalogue.version_of(spark, f"{db}.none") is None
+        spark.sql(f"ALTER TABLE {db}.drafts SET TBLPROPERTIES ('{catalogue.PROPERTY}' = '9')")
+        spark.sql(f"DROP TABLE {db}.messages")
+        with pytest.raises(ValueError, match="drafts"):
+            catalogue.create(spark, db)
+        assert not spark.catalog.tableExists(f"{db}.messages")
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
+def test_counters_in_passing(spark, tmp_path):
+    texts = spark.createDataFrame([(i, POISON if i % 4 == 1 else f"text {i}") for i in range(20)], "id long, text string")
+    texts.write.parquet(str(tmp_path / "t"))
+    assessed = safety.assess(spark.read.parquet(str(tmp_path / "t")), "text")
+    rows, seen = safety.observed(assessed)
+    assert rows.where("not blocked").count() == 15
+    assert {k: seen.get[k] for k in ("checked", "blocked", "llm_calls_avoided")} == safety.guard_counts(assessed).first().asDict()
+    assert {k: seen.get[k] for k in ("checked", "quarantined")} == safety.evidence_counts(assessed).first().asDict()
+    stream = safety.observed(safety.assess(spark.readStream.schema("id long, text string").parquet(str(tmp_path / "t")), "text"))[0]
+    q = stream.where("not blocked").writeStream.format("memory").queryName("served").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sum(p.observedMetrics["guard"]["blocked"] for p in q.recentProgress if "guard" in p.observedMetrics) == 5
+
+
+def test_a_full_block_of_queries(spark):
+    """Thousands of queries against a batch of vectors, a few hundred at a time."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = [(i, [float(x) for x in r.integers(-9, 9, 8)]) for i in range(1500)]
+    index = vector.indexed(spark.createDataFrame(v, "vec_id long, e array<double>"), "vec_id", "e", 8)
+    queries = index.select(F.col("vec_id").alias("query_id"), "v", "norm")
+    got = vector.nearest(index, queries, 3, "vec_id", dot=True, other=True, query_block=700)
+    m = np.array([x[1] for x in v])
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    want = {(q, int(c), rank + 1) for q in range(1500) for rank, c in enumerate(np.lexsort((np.arange(1500), -s[q]))[:3])}
+    assert {(x.query_id, x.vec_id, x["rank"]) for x in got.select("query_id", "vec_id", "rank").collect()} == want
