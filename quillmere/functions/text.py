@@ -29,6 +29,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: ASCII and the characters of Latin-1 that normalisation and scanning leave as they are.
+STABLE = "[\\x00-\\x7F\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff]"
+
+
+def is_stable(c: Column) -> Column:
+    """Whether a text is its own NFKC form by its characters alone: no compatibility forms, and no marks to
+    compose. Null is not."""
+    return F.coalesce(is_ascii(c) | c.rlike(rf"\A{STABLE}*\z"), F.lit(False))
+
+
 def is_ascii(c: Column) -> Column:
     return F.length(c) == F.octet_length(c)
 

@@ -57,6 +57,8 @@ NEEDED = {
     "PI012": (("解码", "base64", "rot13"),),
     "PI013": (("system", "developer"), ("<system>", "[system]", "###")),
 }
+#: A part of a rule that no match is without, where its words alone turn up in most texts.
+NEEDED_PART = {"PI007": r"\b(?:unrestricted|developer|system|administrator|root|dan|jailbroken)\b"}
 SECRET_NEEDED = (("key", "token", "secret", "passw", "pwd"), ("bearer",), ("sk-",), ("密码",))
 
 
@@ -91,21 +93,22 @@ def injection(scanned: Column) -> Column:
 
 
 def harmless(c: Column) -> Column:
-    """A fast test of the text as it is: ASCII, and for no rule all the words that a match holds. White
-    space may stand between the words of a phrase, so only its longest word is asked for."""
+    """A fast test of the text as it is: of characters that scanning leaves alone, and for no rule all the words
+    that a match holds. White space may stand between the words of a phrase, so only its longest word is
+    asked for."""
 
     def held(low: Column) -> Column:
         out = F.lit(False)
-        for groups in NEEDED.values():
+        for rule, groups in NEEDED.items():
             words = [tuple(w for w in (max(word.split(), key=len) for word in g) if w.isascii()) for g in groups]
             if all(words):
                 may = _any(low, words[0])
                 for g in words[1:]:
                     may = may & _any(low, g)
-                out = out | may
+                out = out | (may & low.rlike("(?iu)" + NEEDED_PART[rule]) if rule in NEEDED_PART else may)
         return out
 
-    return T.is_ascii(c) & ~F.transform(F.array(F.lower(c)), held)[0]
+    return T.is_stable(c) & ~F.transform(F.array(F.lower(c)), held)[0]
 
 
 def assess(df: DataFrame, text: str) -> DataFrame:

@@ -77,3 +77,16 @@ def test_small_text_functions(spark):
     d = spark.range(1).select(T.stable_digest(z=F.lit(1), a=F.lit(None).cast("string"), m=F.lit("x")).alias("d"), N.plain(F.lit("1200.500").cast("decimal(18,3)")).alias("p"), N.plain(F.lit(30).cast("decimal(18,2)")).alias("q"), N.hash_score(F.lit("q"), F.lit("t")).alias("h")).first()
     assert d.d == hashlib.sha256(b'{"a":null,"m":"x","z":1}').hexdigest() and d.p == "1200.5" and d.q == "30" and 0 <= d.h <= 1
     assert d.h == int(hashlib.sha256(b"q\x00t").hexdigest()[:12], 16) / (16**12 - 1)
+
+
+def test_stable_characters(spark):
+    """Every character that counts as stable is its own normal form, alone and beside each other, and nothing else of use is lost."""
+    import re
+    import unicodedata
+
+    chars = [chr(i) for i in range(0x250)]
+    stable = [c for c in chars if re.fullmatch(T.STABLE.replace("\\\\", "\\"), c)]
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in stable for b in stable) and {"ß", "é", "ñ", "ü", "¿"} <= set(stable)
+    assert not {"\u00a0", "ª", "²", "µ", "¼", "\u00ad", "¨", "\u0301", "İ", "ı", "ſ"} & set(stable)
+    rows = spark.createDataFrame([("plain",), ("Größe ¿qué?",), ("e\u0301",), ("ﬁ",), ("a\u00a0b",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(T.is_stable(F.col("t"))).collect()] == [True, True, False, False, False, False, True]
