@@ -297,7 +297,7 @@ class WaveletIndex:
     its own, so that it costs a task memory in proportion to it. Only id and text are read.
     """
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 1 << 23):
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8_000_000):
         self.spark = docs.sparkSession
         rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
         size = rows.select("text").mapInArrow(_lengths, "n bigint, l bigint").agg(F.sum("n"), F.sum("l")).first()
