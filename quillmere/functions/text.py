@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The ideographs that make bigrams, and what a term is.
 CJK = r"㐀-䶿一-鿿"
 SEGMENT = rf"[a-z0-9]+(?:[._/-][a-z0-9]+)*|[{CJK}]+"
 #: Characters without width that a scan leaves out.
