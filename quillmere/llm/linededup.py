@@ -98,7 +98,7 @@ def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("h1", "h2", F.coalesce("first", "other").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 10, batches: int = 4, fan_in: int = 2, buckets: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 10, batches: int = 4, fan_in: int = 2, buckets: int | None = None, bucket_lines: int = 4_000_000) -> DataFrame:
     """All columns of ``docs``, with n_lines, n_dropped and kept (the text that stays).
 
     A key of at least ``min_length`` code points that several documents hold loses its lines in
@@ -109,15 +109,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     spark = docs.sparkSession
     docs, own = aside(docs, doc_id, text)
-    store = LineRuns(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fan_in)
+    store = LineRuns(spark, 1, fan_in)
     cuts = docs.agg(F.percentile_approx(doc_id, F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)).alias("c")).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     batch = sum((F.when(F.col("d") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     lines = store.space.write(occurrences(docs, doc_id, text, min_length).withColumn("batch", batch.cast("int")), "occurrences", partition_by="batch")
+    n_lines = lines.count()
+    # As many buckets as keep one to bucket_lines lines, so that a bucket's sort stays the same size at any scale.
+    store.buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines // bucket_lines))
     repeated = reduce(DataFrame.unionAll, [store.add(lines.where(F.col("batch") == i)) for i in range(len(cuts) + 1)])
     repeated = store.space.write(repeated.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "repeated")
     # Keys of over a thousandth of the lines, of which there are under a thousand, are broadcast; the others meet by merge.
-    frequent = F.col("n") * 1000 > F.lit(lines.count())
+    frequent = F.col("n") * 1000 > F.lit(n_lines)
     common, rare = (repeated.where(c).select("h1", "h2", "first") for c in (frequent, ~frequent))
     apart = lines.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti")
     drops = lines.join(F.broadcast(common), ["h1", "h2"]).unionByName(apart.join(rare.hint("merge"), ["h1", "h2"])).where("d > first")

@@ -272,20 +272,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document; a null id names no component (a component of null ids only has a null id). An empty
     table gives no row. Only id and text are read, so other columns of any name don't matter.
 
-    A component or a fingerprint may hold a third of all rows: names of components go back to their
-    members in ``salts`` copies, and those of frequent fingerprints (over a thousandth of the
-    rows, so at most a thousand of them) as well.
+    A component or a fingerprint may hold a third of all rows: names of large components and of frequent
+    fingerprints (over a thousandth of the fingerprints or rows, so at most a thousand of each) go back to
+    their members in ``salts`` copies.
     """
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.write(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
     nodes = space.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes, bits), space)
     hung = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"]).select("fp", "first", "root")
-    # Smallest ids are combined in the task before they meet by component.
-    least = hung.groupBy("root").agg(F.min("first").alias("least"))
-    rooted = nodes.join(least.hint("merge"), nodes["fp"] == least["root"]).select(F.col("fp").alias("root"), F.least("first", "least").alias("component_id"))
-    copies = rooted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = hung.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(copies.hint("merge"), ["root", "salt"]).select("fp", "component_id")
+    # Smallest ids are combined in the task before they meet by component. Names of components of over a thousandth
+    # of the fingerprints, of which there are under a thousand, go out in copies.
+    many = F.lit(nodes.count())
+    least = space.write(hung.groupBy("root").agg(F.min("first").alias("least"), (F.count(F.lit(1)) * 1000 > many).alias("hub")), "least")
+    rooted = nodes.join(least.hint("merge"), nodes["fp"] == least["root"]).select(F.col("fp").alias("root"), F.least("first", "least").alias("component_id"), "hub")
+    copies = rooted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hub"), salts - 1).otherwise(0))))
+    hubs = F.broadcast(least.where("hub").select(F.col("root").alias("__hub")))
+    spread = F.when(F.col("__hub").isNotNull(), F.pmod(F.xxhash64("fp"), F.lit(salts))).otherwise(0).cast("int")
+    members = hung.join(hubs, F.col("root") == F.col("__hub"), "left").withColumn("salt", spread).join(copies.hint("merge"), ["root", "salt"]).select("fp", "component_id")
+    rooted = rooted.select("root", "component_id")
     linked = members.unionAll(rooted).withColumnRenamed("fp", "__fp")
     named = nodes.join(linked.hint("merge"), nodes["fp"] == linked["__fp"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
     frequent = F.col("n") * 1000 > F.lit(prints.count())
