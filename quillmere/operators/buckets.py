@@ -43,6 +43,7 @@ class BucketTable:
     @classmethod
     def of(cls, rows: DataFrame, key: str = "id", name: str = "table", **how: int) -> BucketTable:
         """A table of ``rows`` in a folder of its own below the shared one."""
+        rows = cut(rows)
         made = cls(rows.sparkSession, shared_folder(rows.sparkSession, name), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), key, buckets_for(rows, **how))
         made.apply(rows)
         return made
@@ -74,7 +75,9 @@ class BucketTable:
             return []
         names = [f.name for f in self.fields]
         upserts = upserts.select(*[F.col(f"`{c}`").cast(f.dataType).alias(c) for c, f in zip(names, self.fields, strict=True)])
-        deletes = upserts.select(self.key).limit(0) if deletes is None else deletes.select(self.key)
+        # Both are read several times: checks, touched buckets, the change itself.
+        upserts = cut(upserts)
+        deletes = upserts.select(self.key).limit(0) if deletes is None else cut(deletes.select(self.key))
         if not upserts.groupBy(self.key).count().where(f"count > 1 or `{self.key}` is null").isEmpty():
             raise ValueError("an id is repeated or missing")
         if not overlap(upserts, deletes, self.key).isEmpty():

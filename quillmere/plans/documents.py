@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import access, buckets, chunking, constraints, index_sync, safety
-from ..session import table
+from ..session import cut, table
 from .common import ALLOWED, AS_OF, GOVERNED, IDENTITY, TERMS, governed, terms
 
 QUERIES, SQL = {}, {}
@@ -230,8 +230,10 @@ diff AS (SELECT coalesce(d.id, c.id) AS id, CASE WHEN c.id IS NULL THEN 'added'
 def _index(spark, d):
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     desired = governed(spark, d).where("status = 'effective'").select(F.col("doc_id").alias("id"), sha(F.col("text")).alias("fingerprint"))
-    old = table(spark, d, "labels").select("doc_id", "toxic").join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    current = old.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, sha(F.concat(F.lit("old"), "text"))).otherwise(sha(F.col("text"))).alias("fingerprint"))
+    # Hashed where the text lies, so that no text is shuffled for the join.
+    hashed = docs(spark, d).select("doc_id", sha(F.col("text")).alias("now"), sha(F.concat(F.lit("old"), "text")).alias("before"))
+    old = table(spark, d, "labels").select("doc_id", "toxic").join(hashed, "doc_id")
+    current = old.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, F.col("before")).otherwise(F.col("now")).alias("fingerprint"))
     return desired, current
 
 
@@ -253,8 +255,8 @@ def index_stale_ids(spark, d):
 @query(f"WITH {_INDEX} SELECT id, fingerprint FROM desired")
 def index_upsert_result(spark, d):
     """The index after a synchronisation that rewrites the touched buckets of a stored table."""
-    desired, current = _index(spark, d)
-    changes = index_sync.diff(desired, current)
+    desired, current = (cut(x) for x in _index(spark, d))
+    changes = cut(index_sync.diff(desired, current))
     upserts = desired.join(changes.where("status in ('added', 'changed')"), "id", "left_semi")
     stored = buckets.BucketTable.of(current, name="index")
     stored.apply(upserts, changes.where("status = 'deleted'"))
