@@ -84,6 +84,25 @@ def run_cases(cases: DataFrame, predict: Callable[[DataFrame], DataFrame], metri
     return p.select("case_id", F.inline(each)).where("passed is not null")
 
 
+def golden(cases: DataFrame, runners: dict[str, Callable[[DataFrame], DataFrame]], metrics: dict[str, dict[str, Callable[[], Column]]], category: str = "category") -> DataFrame:
+    """case_id, metric, passed over cases of several categories, each with its own runner and metrics.
+
+    A runner adds predictions (and perhaps an error column) to the cases of its category. Each metric of a
+    category is judged where the case expects something; a runner that fails fails every metric that its
+    cases could have, a case of a category without a runner is an error."""
+    if unknown := [r[0] for r in cases.where(~F.coalesce(F.col(category).isin(*runners), F.lit(False))).select(category).distinct().limit(5).collect()]:
+        raise ValueError(f"no runner for {', '.join(map(str, unknown))}")
+    parts = []
+    for name, run in runners.items():
+        mine = cases.where(F.col(category) == name)
+        try:
+            parts.append(cut(run_cases(mine, run, metrics[name])))
+        except Exception:  # what stops a runner fails its category, and the others are judged
+            failed = F.explode(F.array(*[F.lit(m) for m in metrics[name]])).alias("metric")
+            parts.append(mine.select("case_id", failed, F.lit(False).alias("passed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def metric_summary(dimensions: DataFrame, metrics: dict[str, float]) -> DataFrame:
     """passed, total and accuracy of every metric in ``metrics`` (name: target), also those without cases."""
     seed = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(t)).alias("target")) for m, t in metrics.items()])).alias("s")

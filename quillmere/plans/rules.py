@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import approval, folds, materials, requests, revisions, safety, state, workflow
+from ..operators import approval, evaluation, folds, materials, requests, revisions, safety, state, workflow
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -331,6 +331,45 @@ def purchase_revisions(spark, d):
     return done.select("draft_id", "revision", F.col("fields")["quantity"].alias("quantity"), F.col("total").cast("string").alias("total"), F.array_join("issues", ",").alias("issues"), "status", "level", F.array_join(F.transform("steps", lambda s: s["approver"]), ">").alias("route"), F.array_join(F.transform("materials", lambda m: F.concat(m["material"], F.lit(":"), m["required"].cast("string"))), ",").alias("materials"))
 
 
+#: Golden cases: the category of each wording, and what is expected of it; every 13th case expects a wrong intent.
+_CATEGORY = ("approval", "approval", "material", "approval", "material", "draft", "draft", "material")
+_GOLDEN = f"""{_ASKED}, cases AS (SELECT o_orderkey AS case_id, w, n, price, [{', '.join(repr(c) for c in _CATEGORY)}][w + 1] AS category, o_orderkey % 13 <> 4 AS fine FROM req),
+amounts AS (SELECT *, CASE w WHEN 0 THEN n * price ELSE price END AS amount FROM cases),
+dims AS (SELECT case_id, 'intent' AS metric, fine AS passed FROM amounts
+  UNION ALL SELECT case_id, 'approval_level', CASE w WHEN 0 THEN amount <= 50000 WHEN 1 THEN TRUE ELSE amount <= 20000 END FROM amounts WHERE category = 'approval'
+  UNION ALL SELECT case_id, 'material_type', w <> 7 OR n > 2 FROM amounts WHERE category = 'material')"""
+
+
+def _golden(spark, d):
+    k = F.col("o_orderkey")
+    w, n = (k % len(_ASKS)).cast("int"), 1 + k % 9
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), w)
+    intent = F.when(k % 13 == 4, "another").otherwise(pick([a[2] for a in _ASKS]))
+    # Levels and types that hold up to an amount or a count; beyond it the case expects what it doesn't get.
+    levels = {"approval": F.when(w == 0, F.array(F.lit("small_purchase"), F.lit("general_purchase"))).when(w == 1, F.array(F.lit("emergency_purchase"))).otherwise(F.array(F.lit("small_travel"), F.lit("general_travel")))}
+    kind = F.when((w == 7) & (n <= 2), "another").otherwise(F.nullif(pick([a[0] for a in _ASKS]), F.lit("none")))
+    cases = _requests(spark, d).select(k.alias("case_id"), "request", pick(_CATEGORY).alias("category"), intent.alias("want_intent"), levels["approval"].alias("want_levels"), kind.alias("want_type"))
+    said = lambda c: c.withColumn("intent", requests.intent(F.col("request")))
+    right = {"intent": lambda: F.col("intent") == F.col("want_intent")}
+    runners = {"approval": lambda c: approval.check(said(c), "request"), "material": lambda c: materials.check(said(c), "request"), "draft": said}
+    metrics = {"approval": right | {"approval_level": lambda: F.array_contains("want_levels", F.col("level"))}, "material": right | {"material_type": lambda: F.col("application_type") == F.col("want_type")}, "draft": right}
+    return evaluation.golden(cases, runners, metrics)
+
+
+@query(f"WITH {_GOLDEN} SELECT case_id, metric, passed FROM dims")
+def golden_cases(spark, d):
+    """Cases of three categories through their runners: each dimension of each case."""
+    return _golden(spark, d)
+
+
+@query(f"""WITH {_GOLDEN}, m(metric, target) AS (VALUES ('intent', 0.9), ('approval_level', 1.0), ('material_type', 0.9), ('citation', 1.0)),
+s AS (SELECT metric, count(*) FILTER (passed) AS passed, count(*) AS total FROM dims GROUP BY metric)
+SELECT m.metric, coalesce(passed, 0) AS passed, coalesce(total, 0) AS total, CASE WHEN total > 0 THEN round(passed / total, 6) ELSE 0.0 END AS accuracy, coalesce(total > 0 AND round(passed / total, 6) >= target, FALSE) AS met FROM m LEFT JOIN s USING (metric)""")
+def golden_metrics(spark, d):
+    """Accuracy of each metric over all golden cases, against its target; a metric without cases is not met."""
+    return evaluation.metric_summary(_golden(spark, d), {"intent": 0.9, "approval_level": 1.0, "material_type": 0.9, "citation": 1.0})
+
+
 #: Turns of the workflow: text, intent, explicit command, whether it asks for something of its own.
 _SAYS = (
     ("生成采购申请草稿", "draft_generation", "", False),

@@ -112,6 +112,20 @@ def test_a_failing_channel_is_recorded(spark):
     assert s["good"].passed and (s["broken"].n_errors, s["broken"].passed, s["broken"].recall_5) == (2, False, 0.0)
 
 
+def test_a_failing_runner_fails_its_category(spark):
+    cases = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x")], "case_id int, category string, want string")
+
+    def broken(c):
+        return c.withColumn("got", F.raise_error(F.lit("tool away")).cast("string"))
+
+    same = {"same": lambda: F.col("got") == F.col("want")}
+    run = {"a": lambda c: c.withColumn("got", F.lit("x")), "b": broken}
+    got = {(r.case_id, r.metric): r.passed for r in evaluation.golden(cases, run, {"a": same, "b": same | {"more": lambda: F.lit(True)}}).collect()}
+    assert got == {(1, "same"): True, (2, "same"): False, (3, "same"): False, (3, "more"): False}
+    with pytest.raises(ValueError, match="b"):
+        evaluation.golden(cases, {"a": run["a"]}, {"a": same})
+
+
 # --- constraints ---------------------------------------------------------------------------------
 
 
