@@ -16,7 +16,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from . import approval, folds, materials, requests
 
-#: How a revision names a count or an item, once its verbs are one (see ``normalized_revision``).
+#: How a revision names a count, an item and a total, once its verbs are one (see ``normalized_revision``).
 COUNT = r"数量\s*[为是：:]?\s*(\d+|[一二两三四五六七八九十]+)"
 ITEM = r"(?:采购事项|采购物品|物品名称|商品名称)\s*[为是：:]?\s*([^，,；;。\n]+)"
 TOTALS = ("预计总金额", "采购总金额", "总金额", "总价", "预算金额")

@@ -26,6 +26,7 @@ from ..session import cut
 from . import requests as R
 from .safety import command
 
+#: States of a draft, intents, commands and nodes (states from 0, which is none).
 STATUSES = (None, "waiting_for_information", "waiting_for_confirmation", "confirmed", "submitted", "cancelled")
 INTENTS = ("policy_query", "material_check", "approval_query", "draft_generation", "unknown")
 COMMANDS = (None, "submit_draft", "confirm_draft", "cancel_draft", "update_draft")
