@@ -424,13 +424,15 @@ def _sample(labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 6000, most_features: int = 4096, least_gain: float = 12.0) -> Model:
     """The model of ``docs`` from ``labels`` (doc_id, ``label`` 0 or 1). Other labels, and labels of no document,
-    don't count; of an id labelled twice the higher label does. Without labels of both kinds nothing is
+    don't count; of an id labelled twice the higher label does, and of several rows of an id one text. Without labels of both kinds nothing is
     learnt, and only the fixed lexicons score."""
     spark, space = docs.sparkSession, Workspace(docs.sparkSession, "toxicity")
     chosen, sizes = _sample(labels.select("doc_id", F.col(label).alias("label")), per_label)
     # At most per_label ids of each label.
     known = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    sample = space.write(known.select("text", "label"), "sample")
+    # Of rows that repeat an id one counts, that of the smallest text hash; they become one in the task.
+    once = known.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r"))
+    sample = space.write(once.select("r.text", "r.label"), "sample")
     seen = dict(sample.groupBy("label").count().collect())
     if min(seen.get(0, 0), seen.get(1, 0)) == 0:
         return Model(Lexicon(), np.append(_prior(0), -3.0))

@@ -263,6 +263,19 @@ def test_toxicity_of_held_out_rows(docs_of, spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out.values())
 
 
+def test_a_labelled_id_of_many_rows_stays_one(docs_of, spark):
+    """The sample stays bounded where rows repeat a labelled id, and repeated rows are scored each."""
+    rows, toxic, _ = labelled(n=300)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    hot = [(0, "the same row again and again")] * 500
+    once, often = (toxicity.fit(docs_of(x), labels, per_label=50) for x in (rows, rows[1:] + hot))
+    assert len(once.lexicon.hashes) and len(often.lexicon.hashes)
+    score = {r["score"] for r in toxicity.predict(docs_of(hot[:9]), often).collect()}
+    assert len(score) == 1
+    known = toxicity.fit(docs_of(rows + rows[:40]), labels, per_label=50)
+    assert np.array_equal(known.lexicon.hashes, once.lexicon.hashes) and np.allclose(known.weights, once.weights)
+
+
 def test_toxicity_of_nothing(docs_of, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs_of([(1, "a")]), none)
