@@ -1,6 +1,7 @@
 """Ranked search, token alignment and toxicity against brute-force versions: nulls, empty and long texts,
 ties, repeated rows, null ids, clashing columns, empty tables."""
 
+import bisect
 import hashlib
 import math
 import os
@@ -145,8 +146,9 @@ def brute_groups(text):
         spans.append(out)
     cuts = sorted({x[1] for x in spans[0]} & {x[1] for x in spans[1]})
     groups, links = [], []
+    begins = [[x[0] for x in s] for s in spans]
     for lo, hi in zip([0, *cuts], cuts, strict=False):
-        one, two = ([x for x in s if lo <= x[0] < hi] for s in spans)
+        one, two = (s[bisect.bisect_left(b, lo) : bisect.bisect_left(b, hi)] for s, b in zip(spans, begins, strict=True))
         groups.append(",".join(str(x[2]) for x in one) + "|" + ",".join(str(x[2]) for x in two))
         links += [(x[2], y[2]) for x in one for y in two if x[0] < y[1] and y[0] < x[1]]
     return len(e.ids), len(b), groups, links
