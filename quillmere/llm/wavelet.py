@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import LARGE_ROWS, rows_at_once
 from . import textkit as tk
 from .workspace import Workspace
 
@@ -45,8 +46,16 @@ def item_terms(text: str | None) -> list[bytes]:
     return _TERMS.findall((text or "").encode().lower())
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return tk.span_hash(tk.prefix(_TABLE[tk.LOWER[data]]), starts, ends)
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Hashes of terms that lie one after the other, a piece of the data at a time: prefix sums and powers take
+    many times the bytes that they stand for."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, side="right")))
+        pre = tk.prefix(_TABLE[tk.LOWER[data[starts[at] : ends[to - 1]]]])
+        out[at:to] = tk.span_hash(pre, starts[at:to] - starts[at], ends[at:to] - starts[at])
+        at = to
+    return out
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +312,7 @@ class WaveletIndex:
         size = rows.select("text").mapInArrow(_lengths, "n bigint, l bigint").agg(F.sum("n"), F.sum("l")).first()
         self.docs, self.terms = size[0] or 0, size[1] or 0
         self.space = Workspace(self.spark, "wavelet")
-        self.shards = self.space.write(rows.mapInArrow(_built(self.docs, max(self.terms, 1), shard_bytes), _SHARD), "shards")
+        self.shards = self.space.write(rows.mapInArrow(_built(self.docs, max(self.terms, 1), shard_bytes), _SHARD), "shards", **LARGE_ROWS)
 
     def weighted(self, items: list[tuple[int, str | None]]) -> Ask:
         """The queries with the weights of their terms, whose document frequencies come from the dictionaries."""
@@ -311,7 +320,8 @@ class WaveletIndex:
         shared = self.spark.sparkContext.broadcast(ask)
         found = self.shards.select("hashes", "starts", "ends", "terms").mapInArrow(_counted(shared), "term bigint, df bigint")
         # One row for each term of the block of queries.
-        df = dict(found.groupBy("term").agg(F.sum("df")).collect())
+        with rows_at_once(self.spark, 1):
+            df = dict(found.groupBy("term").agg(F.sum("df")).collect())
         shared.unpersist()
         ask.weight = np.array([math.floor(1000 * math.log((2 * self.docs + 2) / (2 * df.get(i, 0) + 1))) for i in range(len(ask.words))], np.int64)
         return ask
@@ -332,12 +342,13 @@ class WaveletIndex:
             floors, at = np.zeros(len(items), np.int64), {q: i for i, q in enumerate(ask.ids)}
             first = self.spark.sparkContext.broadcast((ask, floors))
             some = _ranked(self.shards.where(seed).mapInArrow(_searched(first, k, tally), _HITS), k)
-            # One score a query of the block.
-            for q, score in some.where(F.col("rank") == k).select("item_id", "score").collect():
-                floors[at[q]] = score
-            second = self.spark.sparkContext.broadcast((ask, floors))
-            found = _ranked(self.shards.mapInArrow(_searched(second, k, tally), _HITS), k)
-            self.space.write(found.select("item_id", "rank", "doc_id", "score"), f"answers/block={n}")
+            with rows_at_once(self.spark, 1):
+                # One score a query of the block.
+                for q, score in some.where(F.col("rank") == k).select("item_id", "score").collect():
+                    floors[at[q]] = score
+                second = self.spark.sparkContext.broadcast((ask, floors))
+                found = _ranked(self.shards.mapInArrow(_searched(second, k, tally), _HITS), k)
+                self.space.write(found.select("item_id", "rank", "doc_id", "score"), f"answers/block={n}")
             first.unpersist()
             second.unpersist()
             n += 1

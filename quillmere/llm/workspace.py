@@ -39,9 +39,9 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, table: str, partition_by: str | None = None, **options: str) -> DataFrame:
         """Write ``df`` and return the table as read back, with no lineage behind it."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", "zstd").options(**options)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(table))
         schema = df.schema
         del df

@@ -101,6 +101,27 @@ def test_most_nodes_are_left_out(docs_of, spark):
     assert 4 <= tally.value < 1600  # of about 3,200 nodes a shard
 
 
+def test_hashing_takes_a_piece_at_a_time():
+    """Terms hash alike wherever the pieces are cut; a process keeps powers for a piece, not for a shard."""
+    data = np.frombuffer(b" ".join(b"%dWord" % (i % 900) for i in range(400_000)), np.uint8)
+    starts, ends, _ = tk.runs(wavelet.TERM[data], np.array([0, len(data)]))
+    tk._powers.clear()
+    got = wavelet._hashed(data, starts, ends)
+    assert len(tk._powers["p"]) <= 1 << 21
+    want = tk.span_hash(tk.prefix(wavelet._TABLE[tk.LOWER[data]]), starts, ends)
+    assert (got == want).all() and (wavelet._hashed(data, starts, ends, 3) == want).all() and len(np.unique(got)) == 900
+
+
+def test_shards_lie_in_row_groups_of_some_megabytes(spark):
+    import pyarrow.parquet as pq
+
+    texts = spark.range(0, 2400, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.md5(F.concat_ws(":", F.col("id"), i))), " ").alias("text"))
+    index = wavelet.WaveletIndex(texts, shard_bytes=2_000_000)
+    files = [pq.ParquetFile(f.split(":", 1)[1].replace("///", "/")).metadata for f in index.shards.inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 20 and max(g.num_rows for g in groups) <= 14
+
+
 def test_a_shard_sorts_both_ways():
     """Lists fall by impact at the root, and at every level a node's part of a list still does."""
     chunk = next(tk.chunks(pa.array([t or "" for t in TEXTS])))
