@@ -186,6 +186,22 @@ def test_postings_skip_blocks(spark):
     assert 0 < scored < 0.4 * blocks
 
 
+def test_index_is_written_and_read_a_few_rows_at_a_time(spark):
+    """A task of many shards holds some megabytes of them, in the writer as in its row groups."""
+    import pyarrow.parquet as pq
+
+    terms = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5(F.concat_ws(":", F.col("id"), i)))
+    docs = spark.range(0, 2400, 1, 1).select(F.col("id").alias("doc_id"), terms.alias("terms"))
+    index = postings.Postings(lexical.tokens(docs, F.col("terms")), shard_docs=100)
+    files = [pq.ParquetFile(f.split(":", 1)[1].replace("///", "/")).metadata for f in index.shards.inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24 and max(g.num_rows for g in groups) <= 12
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = F.md5(F.lit("7:3"))
+    assert [r.doc_id for r in index.search(spark.range(1).select(F.col("id").alias("query_id"), one.alias("term")), 5).collect()] == [7]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_ten_thousand_queries(spark):
     docs = spark.createDataFrame([(i, [f"t{i % 97}", f"t{i % 89}", f"u{i % 13}"]) for i in range(400)], "doc_id long, terms array<string>")
     queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), F.lit("u3"))).alias("term"))
