@@ -62,15 +62,16 @@ def digest_of(rows: DataFrame, key: str, value: str, *groups: str) -> DataFrame:
     return rows.groupBy(*groups).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
 
 
-def corpus_digest(rows: DataFrame, key: str, value: str, cell_rows: int = 4096) -> DataFrame:
+def corpus_digest(rows: DataFrame, key: str, value: str, cell_rows: int = 4096, levels: int | None = None) -> DataFrame:
     """One digest of a whole table, independent of order: a tree of SHA-256 over ranges of hashed lines.
 
     A line's hash puts it into a range of its first bits; the number of ranges grows with the table,
     level by level, so that no task sees more than a range of about ``cell_rows`` lines, and a
-    node's digest is that of its sorted children. The depth is a function of the number of rows.
+    node's digest is that of its sorted children. The depth is a function of the number of rows, or
+    ``levels`` where digests of tables of any size follow one form.
     """
     line = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col(value)), 256)
-    depth, n = 0, rows.count()
+    depth, n = levels or 0, 0 if levels is not None else rows.count()
     while n > cell_rows * 256**depth:
         depth += 1
     level = rows.select(F.substring(line, 1, 2 * depth).alias("range"), line.alias("l"))

@@ -202,6 +202,22 @@ def test_index_is_written_and_read_a_few_rows_at_a_time(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+@pytest.mark.parametrize("n", [3, 26_000])
+def test_corpus_digest_in_one_level_of_ranges(spark, n):
+    """The query's form: 256 ranges, whatever the number of rows."""
+    import hashlib
+    from collections import defaultdict
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ranges = defaultdict(list)
+    for i in range(n):
+        h = sha(f"{i}:v")
+        ranges[h[:2]].append(h)
+    want = sha("\n".join(sorted(f"{r}:{sha(chr(10).join(sorted(hs)))}" for r, hs in ranges.items())))
+    rows = spark.range(n).select(F.col("id"), F.lit("v").alias("h"))
+    assert index_sync.corpus_digest(rows, "id", "h", levels=1).first()[0] == want
+
+
 def test_ten_thousand_queries(spark):
     docs = spark.createDataFrame([(i, [f"t{i % 97}", f"t{i % 89}", f"u{i % 13}"]) for i in range(400)], "doc_id long, terms array<string>")
     queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), F.lit("u3"))).alias("term"))
