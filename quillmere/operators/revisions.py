@@ -9,12 +9,12 @@ approval route and the materials are those of the fields as they stand after the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from . import approval, folds, materials, requests
+from . import approval, materials, requests
 
 #: How a revision names a count, an item and a total, once its verbs are one (see ``normalized_revision``).
 COUNT = r"数量\s*[为是：:]?\s*(\d+|[一二两三四五六七八九十]+)"
@@ -44,10 +44,13 @@ def purchases(revisions: DataFrame, draft: str = "draft_id", order: str = "revis
     draft's revisions is unique."""
     words = revisions.select(draft, order, T.normalized_revision(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
     said = found_fields(F.col("__t"))
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in said.items()])
-    found = words.select(draft, order, F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("fields"))
-    merged = folds.revise(found, draft, order)
-    every = words.select(draft, order).join(merged, [draft, order], "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string, string>")))
+    # A column a field, found once, before the one shuffle; a revision without draft or place adds nothing.
+    known = F.col(draft).isNotNull() & F.col(order).isNotNull()
+    found = words.select(draft, order, *[F.when(known, v).alias(f"__{k}") for k, v in said.items()])
+    so_far = Window.partitionBy(draft).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    held = found.select(draft, order, *[F.last(f"__{k}", ignorenulls=True).over(so_far).alias(f"__{k}") for k in said])
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"__{k}").alias("value")) for k in sorted(said)])
+    every = held.select(draft, order, F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("fields"))
     f = F.col("fields")
     count, price, given = (f[k].cast(N.MONEY) for k in ("quantity", "estimated_unit_price", "estimated_total_amount"))
     worked_out = (price * count).cast(N.MONEY)

@@ -225,6 +225,18 @@ def test_numbers_of_the_exposition_are_the_doubles_own(spark):
     assert got == ["0", "12.5", "100", "30123.456789", "2999999.123455999885", "0.1", "123456789.000000998378"]
 
 
+def test_revisions_are_sorted_once(spark):
+    """Fields are found once a revision and carried by one window: no join, and one shuffle."""
+    from quillmere.operators import revisions
+
+    rows = spark.createDataFrame([(1, 1, "采购2台显示器，每台300元"), (1, 2, "每台改为400元"), (1, 3, None), (2, 1, "改为紧急采购"), (None, 1, "每台改为5元"), (1, None, "每台改为6元")], "draft_id int, revision int, text string")
+    done = revisions.purchases(rows)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Join" not in plan and "Generate" not in plan
+    got = {(r.draft_id, r.revision): (r.fields.get("estimated_unit_price"), r.fields.get("is_emergency"), None if r.total is None else float(r.total)) for r in done.collect()}
+    assert got[1, 3] == got[1, 2] and got[1, 2][0] != got[1, 1][0] and got[None, 1] == got[1, None] == (None, None, None)
+
+
 def test_ten_thousand_queries(spark):
     docs = spark.createDataFrame([(i, [f"t{i % 97}", f"t{i % 89}", f"u{i % 13}"]) for i in range(400)], "doc_id long, terms array<string>")
     queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), F.lit("u3"))).alias("term"))
