@@ -36,6 +36,11 @@ def islands(events: DataFrame, key: str, order: str, until: Column) -> DataFrame
     return e.withColumn("__fresh", fresh).withColumn("island", F.sum("__fresh").over(running)).drop("__until", "__fresh")
 
 
+def _in_order(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Whole islands in a task, one after the other, each in order."""
+    return events.repartition(*keys).sortWithinPartitions(*keys, "us", order)
+
+
 def _by_island(events: DataFrame, keys: list[str], order: str, fold: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """``fold`` over whole islands, many at a time: the events in order, and where each island starts.
     A task holds one Arrow batch and one island."""
@@ -60,7 +65,7 @@ def _by_island(events: DataFrame, keys: list[str], order: str, fold: Callable[[p
         pdf = pdf.reset_index(drop=True)
         return fold(pdf, np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()))
 
-    return events.repartition(*keys).sortWithinPartitions(*keys, "us", order).mapInPandas(run, schema)
+    return _in_order(events, keys, order).mapInPandas(run, schema)
 
 
 def _jumps(us: np.ndarray, end: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -122,28 +127,31 @@ def single_flight(calls: DataFrame, key: str = "key", start: str = "start", seco
 
         return _by_island(islands(src, key, order, F.col("us") + F.col("took")), [key, "island"], order, fold, schema)
 
-    def registry(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    def registry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # What is open goes on from batch to batch: at most max_keys keys, however long an island is.
         ends: dict[object, int] = {}
         due: list[tuple[int, object]] = []
-        roles, fresh = [], set(starts.tolist())
-        for i, (us, took, k) in enumerate(zip(pdf["us"].tolist(), pdf["took"].tolist(), pdf[key].tolist(), strict=True)):
-            if i in fresh:
-                ends, due = {}, []
-            while due and due[0][0] <= us:
-                end, old = heapq.heappop(due)
-                if ends.get(old) == end:
-                    del ends[old]
-            if k in ends:
-                roles.append("follower")
-            elif len(ends) >= max_keys:
-                roles.append("overflow")
-            else:
-                ends[k] = us + took
-                heapq.heappush(due, (us + took, k))
-                roles.append("leader")
-        return pdf.assign(role=roles)[[key, order, "role"]]
-
-    return _by_island(islands(src, process, order, F.col("us") + F.col("took")), [process, "island"], order, registry, schema)
+        at: tuple | None = None
+        for pdf in batches:
+            roles = []
+            for p, island, us, took, k in zip(*(pdf[c].tolist() for c in (process, "island", "us", "took", key)), strict=True):
+                if (p, island) != at:
+                    ends, due, at = {}, [], (p, island)
+                while due and due[0][0] <= us:
+                    end, old = heapq.heappop(due)
+                    if ends.get(old) == end:
+                        del ends[old]
+                if k in ends:
+                    roles.append("follower")
+                elif len(ends) >= max_keys:
+                    roles.append("overflow")
+                else:
+                    ends[k] = us + took
+                    heapq.heappush(due, (us + took, k))
+                    roles.append("leader")
+            yield pdf.assign(role=roles)[[key, order, "role"]]
+
+    return _in_order(islands(src, process, order, F.col("us") + F.col("took")), [process, "island"], order).mapInPandas(registry, schema)
 
 
 def fifo_limiter(calls: DataFrame, max_concurrency: int, max_queue: int, timeout_seconds: float, key: str = "provider", start: str = "start", seconds: str = "seconds", order: str = "event_id") -> DataFrame:

@@ -237,6 +237,27 @@ def test_revisions_are_sorted_once(spark):
     assert got[1, 3] == got[1, 2] and got[1, 2][0] != got[1, 1][0] and got[None, 1] == got[1, None] == (None, None, None)
 
 
+def test_registry_goes_on_from_batch_to_batch(spark, monkeypatch):
+    """One island of many batches: roles hang on what is open, and no task gathers the island."""
+    monkeypatch.setattr(folds, "_by_island", None)
+    n = 900
+    rows = [(i, "p" if i % 2 else "q", i * i % 7, (i * 1000 + i % 3) / 1000, 1.5 + i % 5) for i in range(n)]
+    calls = spark.createDataFrame(rows, "event_id int, process string, key int, s double, seconds double").withColumn("start", F.timestamp_micros((F.col("s") * 1_000_000).cast("bigint")))
+    want, opened = {}, {"p": {}, "q": {}}
+    for i, p, k, s, took in rows:
+        live = opened[p] = {x: end for x, end in opened[p].items() if end > round(s * 1e6)}
+        want[i] = "follower" if k in live else "overflow" if len(live) >= 2 else "leader"
+        if want[i] == "leader":
+            live[k] = round(s * 1e6) + int(took * 1e6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.event_id: r.role for r in folds.single_flight(calls, key="key", start="start", seconds="seconds", process="process", max_keys=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want and set(want.values()) == {"leader", "follower", "overflow"}
+
+
 def test_ten_thousand_queries(spark):
     docs = spark.createDataFrame([(i, [f"t{i % 97}", f"t{i % 89}", f"u{i % 13}"]) for i in range(400)], "doc_id long, terms array<string>")
     queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.explode(F.array(F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), F.lit("u3"))).alias("term"))
