@@ -30,6 +30,8 @@ PACKED = "kind int, key bigint, part int, body binary"
 FAN = 8192
 #: Most partitions of an exchange; a partition may hold several destinations.
 MOST_PARTITIONS = 1 << 16
+#: Destinations of a partition on average, and partitions for each core that there are before any holds several.
+KEYS, PARTITIONS_A_CORE = 4, 3
 #: Parts of the senders in the second step of an exchange.
 PARTS = 64
 DOCS = 0
@@ -192,9 +194,15 @@ def arrived(rows: DataFrame, *routes: Route, passing: Route | None = None) -> Da
     return reduce(DataFrame.unionByName, [*parts, rows.where(F.col("kind") == passing.kind)] if passing else parts)
 
 
+def partitions(keys: int, cores: int) -> int:
+    """Partitions of an exchange to so many keys. A task takes its keys one by one, so several of them need no
+    more memory, and each task that there is not is a file less of each kind that the exchange writes."""
+    return min(max(min(keys, PARTITIONS_A_CORE * cores), -(-keys // KEYS)), MOST_PARTITIONS)
+
+
 def exchanged(rows: DataFrame, parts: int, work: Callable[[int, dict[int, list[bytes]]], pa.Table], schema: str = PACKED) -> DataFrame:
     """Bring the rows of each of about ``parts`` keys together and run ``work`` on them: key, {kind: bodies}.
-    There are as many partitions as keys, whatever the shuffle parallelism, so that a task stays short."""
+    The number of partitions follows that of the keys, whatever the shuffle parallelism, so that a task stays short."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kinds: dict[int, list[bytes]] = {}
@@ -202,7 +210,8 @@ def exchanged(rows: DataFrame, parts: int, work: Callable[[int, dict[int, list[b
             kinds.setdefault(kind, []).append(body)
         return work(int(key[0].as_py()), kinds)
 
-    return rows.repartition(min(parts, MOST_PARTITIONS), "key").groupBy("key").applyInArrow(run, schema)
+    n = partitions(parts, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, "key").groupBy("key").applyInArrow(run, schema)
 
 
 def each_block(blocks: DataFrame, work: Callable[[int, list[bytes]], pa.Table]) -> DataFrame:

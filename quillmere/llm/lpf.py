@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import LARGE_ROWS
 from . import exchange as ex
 from . import textkit as tk
 from .exchange import DOCS
@@ -37,6 +38,8 @@ from .workspace import Workspace, block_count
 _TABLE, _SECOND = tk.byte_table(41), tk.byte_table(43)
 FOUND, SPANS, FIRST, COUNTS, SEVERAL, ASKED, CONTEXTS, NAMED = 1, 2, 3, 4, 5, 6, 7, 8
 _TOP = tk.U64(2**64 - 1)
+#: Bytes of text that a step takes at once, but for longer texts; finding anchors holds a hundred bytes for each.
+CHUNK_BYTES = 1 << 19
 
 
 # --- suffix order and previous factors ---------------------------------------------------------
@@ -47,9 +50,10 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    rank = np.empty(len(order), np.int32 if len(order) < 2**31 else np.int64)
+    rank[order] = np.cumsum(new, dtype=rank.dtype)
     return rank
 
 
@@ -60,14 +64,17 @@ def prefix_ranks(data: np.ndarray, room: np.ndarray, length: int) -> tuple[np.nd
     at = np.flatnonzero(room >= step)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray((len(data),), ">u8", padded, strides=(1,))[at].astype(np.uint64)
-    rank = np.zeros(len(data), np.int64)
-    rank[at] = _dense(word >> tk.U64(64 - 8 * step))
+    word >>= tk.U64(64 - 8 * step)
+    new = _dense(word)
+    del word
+    rank = np.zeros(len(data), new.dtype)
+    rank[at] = new
     while step < length:
         to = min(2 * step, length)
         at = at[room[at] >= to]
-        new = _dense(rank[at] * np.int64(len(data) + 1) + rank[at + to - step])
-        rank = np.zeros(len(data), np.int64)
-        rank[at] = new
+        pair = rank[at] * np.int64(len(data) + 1)
+        pair += rank[at + (to - step)]
+        rank[at] = _dense(pair)  # places without room keep an old rank, and no later step reads them
         step = to
     return at, rank[at]
 
@@ -83,15 +90,16 @@ def repeats(at: np.ndarray, rank: np.ndarray, age: np.ndarray) -> np.ndarray:
     r, a = rank[order], age[order]
     if not len(r):
         return np.zeros(0, bool)
-    run = np.cumsum(np.concatenate([[0], (r[1:] != r[:-1]).astype(np.int64)]))
-    span = np.int64(a.max() + 1)
+    same = r[1:] == r[:-1]
     # Runs get falling or rising offsets, so that one running minimum serves all of them.
-    before = np.minimum.accumulate(a - run * span)
-    after = np.minimum.accumulate((a + run * span)[::-1])[::-1]
-    smaller_before = np.concatenate([[False], (before[:-1] < a[1:] - run[1:] * span) & (run[1:] == run[:-1])])
-    smaller_after = np.concatenate([(after[1:] < a[:-1] + run[:-1] * span) & (run[1:] == run[:-1]), [False]])
+    run = np.concatenate([[0], np.cumsum(~same)]) * (np.int64(a.max()) + 1)
+    smaller = np.zeros(len(at), bool)
+    key = a - run
+    smaller[1:] = (np.minimum.accumulate(key)[:-1] < key[1:]) & same
+    key = a + run
+    smaller[:-1] |= (np.minimum.accumulate(key[::-1])[::-1][1:] < key[:-1]) & same
     out = np.zeros(len(at), bool)
-    out[order] = smaller_before | smaller_after
+    out[order] = smaller
     return out
 
 
@@ -176,7 +184,7 @@ class _Dedup:
     def find(self, block: int, bodies: list[bytes]) -> pa.Table:
         """A block -> its first anchors by bucket of their names, and spans that repeat inside the block."""
         b, parts = ex.Block(bodies, self.doc_id, self.text), []
-        for chunk in tk.chunks(b.texts, 1 << 20):
+        for chunk in tk.chunks(b.texts, CHUNK_BYTES):
             at, h, doc, context, _ = anchors(chunk, self.length, self.anchor)
             on = b.usable[chunk.first + doc]
             at, h, doc, context = at[on], h[on], doc[on], context[on]
@@ -237,7 +245,7 @@ class _Dedup:
         rows, h, total = rows[o], h[o], total[o]
         lo, hi = self.whole(pos[o])
         few, contexts, suffixes = total <= self.contexts, [], []
-        for chunk in tk.chunks(b.texts, 1 << 20):
+        for chunk in tk.chunks(b.texts, CHUNK_BYTES):
             k = np.arange(np.searchsorted(rows, chunk.first), np.searchsorted(rows, chunk.first + chunk.n))
             base, end = chunk.bounds[rows[k] - chunk.first], np.diff(chunk.bounds)[rows[k] - chunk.first]
             a, z = lo[k], np.minimum(hi[k], end)
@@ -290,8 +298,11 @@ class _Dedup:
                 to = max(g + 1, int(np.searchsorted(grown, grown[g] + self.slice_bytes, side="right")) - 1)
                 k = order[edge[g] : edge[to]]
                 chunk = next(tk.chunks(data.take(pa.array(k)), 1 << 62))
-                which = np.repeat(np.arange(len(k)), np.diff(chunk.bounds))
-                at, rank = prefix_ranks(chunk.data, chunk.bounds[which + 1] - np.arange(len(which)), self.length)
+                which = np.repeat(np.arange(len(k), dtype=np.int32), np.diff(chunk.bounds))
+                at, rank = prefix_ranks(chunk.data, chunk.bounds[1:][which] - np.arange(len(which)), self.length)
+                # A suffix whose prefix no other one has is no repeat.
+                on = np.bincount(rank)[rank] > 1
+                at, rank = at[on], rank[on]
                 far = start[k][which[at]] + at - chunk.bounds[which[at]]
                 k = k[which[at]]
                 on = repeats(at, rank, _dense(ids[k], far))
@@ -351,7 +362,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(*names).withColumn(doc_id, F.col(doc_id).cast("bigint"))
     n = block_count(docs, text, block_bytes)
     space, d = Workspace(docs.sparkSession, "suffix"), _Dedup(doc_id, text, length, anchor, n, slice_bytes, fan)
-    blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks")
+    blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks", **LARGE_ROWS)
     met = space.write(ex.exchanged(ex.arrived(ex.each_block(blocks, d.find), d.found, passing=d.spans), n, d.meet), "met", partition_by="kind")
     space.release()
     several = ex.exchanged(d.counts.arrive(met), n, d.add)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import LARGE_ROWS
 from . import exchange as ex
 from . import textkit as tk
 from .exchange import DOCS
@@ -230,7 +231,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = docs.select(*names).withColumn(doc_id, F.col(doc_id).cast("bigint"))
     n = block_count(docs, text, block_bytes)
     space, d = Workspace(docs.sparkSession, "substring"), _Dedup(doc_id, text, window, block_words, n, fan)
-    blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks")
+    blocks = space.write(ex.blocked(docs, text, block_bytes), "blocks", **LARGE_ROWS)
     probes = ex.each_block(blocks, d.probe)
     hits = space.write(ex.exchanged(ex.arrived(probes, d.probes, d.references), n, d.meet), "hits")
     del probes

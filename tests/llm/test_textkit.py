@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillmere.llm import decontam, lpf, mixing, simhash, topk
+from quillmere.llm import decontam, exchange, lpf, mixing, simhash, topk
 from quillmere.llm import textkit as tk
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +77,42 @@ def test_repeats_are_factors_over_a_threshold(texts, length):
     assert lpf.repeats(at, rank, at).tolist() == want
 
 
+def peak_mb(work):
+    """MB that numpy holds at once while ``work`` runs, beyond what it held before."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_factors_of_a_full_slice_take_a_bounded_room():
+    r = np.random.default_rng(3)
+    size, n = 200, 5000
+    data = r.integers(97, 123, (n, size)).astype(np.uint8)
+    data[1::2, 49], data[1::2, 50:] = 65, data[::2, 50:]  # each second context shares its last 150 bytes with the one before
+    table = pa.table({"block": np.zeros(n, np.int64), "id": np.arange(n), "row": np.arange(n), "start": np.zeros(n, np.int64), "h": np.arange(n, dtype=np.uint64) // np.uint64(2), "data": pa.array([x.tobytes() for x in data], pa.binary())})
+    d, out = lpf._Dedup("doc_id", "text", 100, 32, 1, 2 << 20, None), []
+    room = peak_mb(lambda: out.append(d.factors(0, {lpf.CONTEXTS: [exchange.to_ipc(table)]})))
+    _, _, rows, lo, hi = exchange.unpack(out[0].column("body").to_pylist(), *d.spans.dtypes)
+    assert rows.tolist() == list(range(1, n, 2)) and set(lo.tolist()) == {50} and set(hi.tolist()) == {200}
+    assert room < 72
+
+
+def test_anchors_of_a_block_take_a_bounded_room():
+    text = np.random.default_rng(4).integers(97, 123, 3 << 20).astype(np.uint8).tobytes().decode()
+    table = pa.table({"doc_id": np.arange(3072), "text": [text[i : i + 1024] for i in range(0, len(text), 1024)]})
+    d = lpf._Dedup("doc_id", "text", 100, 32, 8, 2 << 20, None)
+    tk._powers.clear()
+    assert peak_mb(lambda: d.find(0, [exchange.to_ipc(table)])) < 85
+
+
+def test_an_exchange_has_a_partition_for_several_keys():
+    assert [exchange.partitions(k, 6) for k in (1, 10, 42, 206, 20_000)] == [1, 10, 18, 52, 5000]
+    assert exchange.partitions(10**7, 6) == exchange.MOST_PARTITIONS and exchange.partitions(206, 1000) == 206
+
+
 def test_walk_of_a_dense_bucket_reaches_the_smallest():
     base = np.uint64(0x0F0F0F0F0F0F0F0F)
     fp = np.sort(np.array([base ^ np.uint64(1 << i) for i in range(40)] + [base ^ np.uint64(0x3FF)], np.uint64))
