@@ -130,7 +130,8 @@ class Tokens(View):
         if n > 1:
             follows[1:] = doc[1:] == doc[:-1]
             gap_clean[1:] = follows[1:] & (stops[starts[1:]] == stops[ends[:-1]])
-            unit[1:] = number[:-1] & follows[1:] & np.isin(literal[1:], _unit_hashes())
+            after = np.flatnonzero(number[:-1] & follows[1:]) + 1
+            unit[after] = np.isin(literal[after], _unit_hashes())
         size = capital[starts] if n else np.zeros(0, np.uint8)
         self.capital = (size > 0) & (ends - starts > size)
         self.plain = np.where(number, NUMBER, np.where(unit, UNIT, 0))
@@ -180,6 +181,26 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
+#: Kinds of hashes: windows of the two views, windows of the plain index, and first and second halves of its masked ones.
+VIEWS, WHOLE, FIRST, SECOND = (1, 2), 4, 8, 16
+
+
+class Seen:
+    """The kinds of hashes that an index holds, by their top bits: most windows of a document need no search."""
+
+    def __init__(self, marks: list[tuple[int, np.ndarray]]):
+        bits = min(26, max(12, (8 * sum(len(h) for _, h in marks)).bit_length()))
+        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << bits, np.uint8)
+        for kind, h in marks:
+            self.table[h >> self.shift] |= kind
+
+    def kinds(self, h: np.ndarray) -> np.ndarray:
+        return self.table[h >> self.shift]
+
+    def holds(self, h: np.ndarray, kind: int) -> np.ndarray:
+        return self.kinds(h) & kind > 0
+
+
 class ViewIndex:
     """Template windows of some items in one view, sorted by hash, for each window length."""
 
@@ -220,33 +241,56 @@ class PlainIndex:
             mask = sum((name[at + j] << j for j in range(w)), np.zeros(len(at), np.int64))
             for m in np.unique(mask):
                 self.masked[w, int(m)] = _sorted(at[mask == m], h[mask == m])
-        every = [h for h, _ in [*self.exact.values(), *self.masked.values()]]
-        # Hashes seen, by their top bits: most windows of a document need no search.
-        bits = min(26, max(12, int(16 * sum(map(len, every))).bit_length()))
-        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
-        for h in every:
-            self.seen[h >> self.shift] = True
-
-    def hits(self, t: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
-        """Places in the document and in the item of equal windows, their length, and whether they are exact."""
+
+    def marks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for h, _ in [*self.exact.values(), *self.masked.values()]:
+            yield WHOLE, h
+        for w in {w for w, _ in self.masked}:
+            half = _rolled(self.view.template, w - w // 2)
+            at = np.concatenate([at for (v, _), (_, at) in self.masked.items() if v == w])
+            yield FIRST, half[at]
+            yield SECOND, half[at + w // 2]
+
+    def hits(self, t: Tokens, seen: Seen) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+        """Places in the document and in the item of equal windows, their length, and whether they are exact.
+
+        A mask is tried only at the places where both halves of a window (of odd length they share a token)
+        are halves of items' windows with the same wildcards. So every place is hashed once for each mask of
+        a half, at most 16 for 8 tokens, and not for each mask of a window."""
         for w, entry in self.exact.items():
-            yield *self._found(entry, t, _rolled(t.literal, w), w), w, True
+            h = _rolled(t.literal, w)
+            pos = np.flatnonzero(seen.holds(h, WHOLE))
+            yield *_found(entry, t, pos, h[pos], w), w, True
         values = np.where(t.plain == 0, t.literal, _PLACE[t.plain])
         wild, p = values - _PLACE[NAME], tk.powers(9)[0]
         for w in {w for w, _ in self.masked}:
-            whole = _rolled(values, w)
-            for (v, mask), entry in self.masked.items():
-                if v == w:
-                    h = whole.copy()
-                    for j in range(w):
-                        if mask >> j & 1:
-                            h -= wild[j : j + len(h)] * p[j]
-                    yield *self._found(entry, t, h, w), w, False
-
-    def _found(self, entry, t: Tokens, h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-        pos = np.flatnonzero(self.seen[h >> self.shift])
-        pos = pos[t.doc[pos] == t.doc[pos + w - 1]]
-        return _joined(entry, pos, h[pos])
+            entries = {m: entry for (v, m), entry in self.masked.items() if v == w}
+            whole, half, low = _rolled(values, w), _rolled(values, w - w // 2), (1 << w - w // 2) - 1
+            kinds = {}
+            for m in {m & low for m in entries} | {m >> w // 2 for m in entries}:
+                h = half.copy()
+                for j in _bits(m):
+                    h -= wild[j : j + len(h)] * p[j]
+                kinds[m] = seen.kinds(h)
+            starts = {m: np.flatnonzero(kinds[m][: len(whole)] & FIRST > 0) for m in {m & low for m in entries}}
+            for m, entry in entries.items():
+                pos = starts[m & low]
+                pos = pos[kinds[m >> w // 2][pos + w // 2] & SECOND > 0]
+                h = whole[pos]
+                for j in _bits(m):
+                    h -= wild[pos + j] * p[j]
+                ok = seen.holds(h, WHOLE)
+                yield *_found(entry, t, pos[ok], h[ok], w), w, False
+
+
+def _bits(mask: int) -> list[int]:
+    return [j for j in range(mask.bit_length()) if mask >> j & 1]
+
+
+def _found(entry: tuple[np.ndarray, np.ndarray], t: Tokens, pos: np.ndarray, h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``_joined`` for windows of w tokens of one document."""
+    ok = t.doc[pos] == t.doc[pos + w - 1]
+    return _joined(entry, pos[ok], h[ok])
 
 
 def _own(view: View, count: np.ndarray, w: int, window: int, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,11 +330,12 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         texts = pa.array([t or "" for _, t in items], pa.large_string())
         parts = list(tk.chunks(texts, 1 << 62))
-        self.views, self.plain = [], None
+        self.views, self.plain, self.seen = [], None, None
         if parts:
             t = Tokens(parts[0])
             self.views = [ViewIndex(v, len(items), window, shortest) for v in t.views()]
             self.plain = PlainIndex(t, len(items), window, shortest, np.array([_counts_up(x or "") for _, x in items]))
+            self.seen = Seen([*((kind, h) for kind, v in zip(VIEWS, self.views, strict=True) for h, _ in v.by.values()), *self.plain.marks()])
 
 
 def _literals(w: int) -> int:
@@ -310,7 +355,8 @@ def _matches(index: Index, chunk: tk.Chunk, coverage: float):
     if index.plain is None:
         return
     t, known = Tokens(chunk), set()
-    for found in [*(_by_view(i, v, coverage) for i, v in zip(index.views, t.views(), strict=True)), _by_place(index.plain, t, coverage)]:
+    views = (_by_view(i, v, coverage, index.seen, kind) for i, v, kind in zip(index.views, t.views(), VIEWS, strict=True))
+    for found in [*views, _by_place(index.plain, t, coverage, index.seen)]:
         for doc, item, *rest in found:
             if (doc, item) not in known:
                 known.add((doc, item))
@@ -326,10 +372,12 @@ def _grouped(keys: tuple[np.ndarray, ...], *columns: np.ndarray) -> tuple[np.nda
     return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(o)]]), [c[o] for c in columns]
 
 
-def _by_view(index: ViewIndex, t: View, coverage: float):
+def _by_view(index: ViewIndex, t: View, coverage: float, seen: Seen, kind: int):
     rows = []
     for w, entry in index.by.items():
-        pos, at = _joined(entry, *t.windows(w, _literals(w)))
+        pos, h = t.windows(w, _literals(w))
+        ok = seen.holds(h, kind)
+        pos, at = _joined(entry, pos[ok], h[ok])
         if len(pos):
             rows.append((pos, at, np.full(len(pos), w)))
     if not rows:
@@ -357,11 +405,11 @@ def _by_view(index: ViewIndex, t: View, coverage: float):
                 break
 
 
-def _by_place(index: PlainIndex, t: Tokens, coverage: float):
+def _by_place(index: PlainIndex, t: Tokens, coverage: float, seen: Seen):
     """Pairs that match token by token, in whatever case: a copy with other names and numbers whose
     slots are consistent, or an exact copy of its share or of RUN tokens. Where the former matches,
     its slots decide over exact runs of less than twice RUN tokens."""
-    rows = [(pos, at, np.full(len(pos), w), np.full(len(pos), exact)) for pos, at, w, exact in index.hits(t) if len(pos)]
+    rows = [(pos, at, np.full(len(pos), w), np.full(len(pos), exact)) for pos, at, w, exact in index.hits(t, seen) if len(pos)]
     if not rows:
         return
     pos, at, width, exact = (np.concatenate(x) for x in zip(*rows, strict=True))

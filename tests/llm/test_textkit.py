@@ -1,4 +1,6 @@
+import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -136,6 +138,45 @@ def test_template_tokens():
     assert decontam.Tokens(c).kind.tolist() == [0, decontam.NUMBER, decontam.NAME, 0, decontam.NUMBER, decontam.UNIT]
 
 
+def test_names_in_many_places_cost_little_more_than_in_one():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    masks = [m for m in range(1, 256) if m.bit_count() <= 4]
+    items = {
+        kind: [(i, " ".join(word().capitalize() if m >> j & 1 else word() for j in range(8))) for i, m in enumerate(ms)]
+        for kind, ms in (("one", [1] * len(masks)), ("many", masks))
+    }
+    changed = [" ".join(w if w[0].islower() else word() for w in t.split()) for _, t in items["many"]]
+    plain, renamed = (next(tk.chunks(pa.array(texts))) for texts in ([" ".join(word() for _ in range(100_000))], changed))
+    seconds = {}
+    for kind, rows in items.items():
+        index = decontam.Index(rows, 8, 5)
+        for _ in range(5):
+            start = time.process_time()
+            assert not list(decontam._matches(index, plain, 0.5))
+            seconds[kind] = min(seconds.get(kind, 1e9), time.process_time() - start)
+    assert {(d, i) for d, i, *_ in decontam._matches(index, renamed, 0.5)} == {(i, i) for i in range(len(masks))}
+    assert seconds["many"] < 2.5 * seconds["one"], seconds
+
+
+def test_windows_with_names_by_brute_force():
+    r = random.Random(9)
+    word = lambda: r.choice(["ab", "cd", "ef", "Ab", "Cd", "7", "12", "kg"])
+    say = lambda n: [word() for _ in range(n)]
+    items = [(i, " ".join(say(r.choice([5, 6, 7, 8, 9, 14])))) for i in range(30)]
+    texts = [" ".join([*say(3), *(w if r.random() < 0.8 else word() for w in r.choice(items)[1].split()), *say(3)]).lower() for _ in range(40)]
+    index, t = decontam.Index(items, 8, 5), decontam.Tokens(next(tk.chunks(pa.array(texts))))
+    got = {(int(p), int(a), w) for pos, at, w, exact in index.plain.hits(t, index.seen) if not exact for p, a in zip(pos, at, strict=True)}
+    view, plain = index.plain.view, np.where(t.plain == 0, t.literal, t.plain.astype(np.uint64))
+    want, item = set(), np.where((view.kind == 0) | (view.kind == decontam.NAME), view.literal, view.kind.astype(np.uint64))
+    for a in range(len(item)):
+        w = min(8, int((view.doc == view.doc[a]).sum()))
+        if a + w <= len(item) and view.doc[a + w - 1] == view.doc[a] and (view.kind[a : a + w] == 0).sum() >= (w + 1) // 2:
+            wild = view.kind[a : a + w] == decontam.NAME
+            want |= {(p, a, w) for p in range(len(plain) - w + 1) if t.doc[p] == t.doc[p + w - 1] and ((plain[p : p + w] == item[a : a + w]) | wild).all()}
+    assert got == want and {w for _, _, w in got} == {5, 6, 7, 8}
+
+
 def test_large_buckets_are_split_without_losing_links():
     r = np.random.default_rng(5)
     base = r.integers(0, 2**43, 300).astype(np.uint64) << np.uint64(21)
