@@ -29,7 +29,7 @@ def long_items(tmp_path_factory):
     return str(folder), len(words)
 
 
-@pytest.mark.parametrize("name", ["bm25_multi_query"])
+@pytest.mark.parametrize("name", ["bm25_multi_query", "bm25_topk"])
 def test_items_of_any_length_are_answered(spark, long_items, name):
     duckdb = pytest.importorskip("duckdb")
     folder, n_words = long_items
