@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmere import plans
 from quillmere.operators import lexical, postings
+from quillmere.plans.retrieval import six
 
 from test_queries import SF, canonical, pytestmark  # noqa: F401
 
@@ -103,3 +104,13 @@ def test_rounding_of_a_long_query_loses_no_document():
     floor = score + 5e-9  # as another order of summation would have it
     assert shard.best(lists, weight, 1, floor - 1e-8, 9)[0].tolist() == [7]
     assert shard.best(lists, weight, 1, floor, 9)[2] == n  # looked at, since its bound can't rule it out
+
+
+def test_scores_are_rounded_as_by_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = np.random.default_rng(5)
+    scores = [131.1361595, 0.0000005, 0.000001, 12345.0000005] + (np.round(r.random(5000) * 10.0 ** r.integers(-2, 5, 5000), 6) + 5e-7).round(9).tolist()
+    want = [x for (x,) in duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 6)", [scores]).fetchall()]
+    rows = spark.createDataFrame(list(enumerate(scores)), "i int, s double").select("i", six(F.col("s")).alias("s"), F.round("s", 6).alias("other")).orderBy("i").collect()
+    assert [x.s for x in rows] == want and want[0] == 131.136159
+    assert [x.other for x in rows] != want
