@@ -114,3 +114,13 @@ def test_scores_are_rounded_as_by_the_sql(spark):
     rows = spark.createDataFrame(list(enumerate(scores)), "i int, s double").select("i", six(F.col("s")).alias("s"), F.round("s", 6).alias("other")).orderBy("i").collect()
     assert [x.s for x in rows] == want and want[0] == 131.136159
     assert [x.other for x in rows] != want
+
+
+def test_a_writer_of_shards_keeps_none_of_their_columns(spark):
+    """Statistics would hold the least and the greatest value of each row group, megabytes each, until a file ends."""
+    terms = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5(F.concat_ws(":", F.col("id"), i)))
+    docs = spark.range(0, 2400, 1, 1).select(F.col("id").alias("doc_id"), terms.alias("terms"))
+    index = postings.Postings(lexical.tokens(docs, F.col("terms")), shard_docs=100)
+    files = [pq.ParquetFile(f.split(":", 1)[1].replace("///", "/")).metadata for f in index.shards.inputFiles()]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert len(columns) > 14 and not any(c.is_stats_set for c in columns)
